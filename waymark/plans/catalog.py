@@ -1,10 +1,493 @@
-"""Named queries and their SQL twins."""
+"""Named queries over the derived road tables; their SQL twins are in oracle.py."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import cost, driving, geometry, tiles
+from ..operators import events, graph, places, quality, routes, spatial, stats
+from ..sources import roads
+from .oracle import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+C = F.col
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def timed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = roads.edge(spark, sf_dir).withColumn("length_m", geometry.distance(C("x1"), C("z1"), C("x2"), C("z2")))
+    e = e.withColumn("time_s", cost.time_s(C("kind"), C("speed_limit"), C("semaphore_id"), C("length_m")))
+    return e.withColumns({p: cost.cost(p, C("time_s"), C("length_m"), C("flags")) for p in ("fastest", "shortest", "balanced")})
+
+
+def route_time():
+    return cost.time_s(C("kind"), C("speed_limit"), F.lit(-1), C("length_m"))
+
+
+@query
+def a07_time_distance_by_kind(spark, d):
+    unknown = (C("kind") == 0) & (C("speed_limit") < 0)
+    return timed_edges(spark, d).groupBy("kind").agg(F.count("*").alias("edges"), F.round(F.sum("length_m"), 6).alias("distance_m"), F.round(F.sum("time_s"), 6).alias("time_s"), F.round(F.sum(F.when(unknown, C("length_m")).otherwise(0.0)), 6).alias("unknown_speed_m"))
+
+
+@query
+def p16_cost_by_profile(spark, d):
+    return timed_edges(spark, d).select("edge_id", *[F.round(p, 6).alias(p) for p in ("fastest", "shortest", "balanced")])
+
+
+@query
+def p01_flag_predicates(spark, d):
+    return roads.edge(spark, d).select("edge_id", cost.has_flag(C("flags"), cost.NO_AI).alias("no_ai"), cost.has_flag(C("flags"), cost.GPS_AVOID).alias("gps_avoid"), cost.has_flag(C("flags"), cost.SECRET).alias("secret"))
+
+
+@query
+def a01_graph_stats(spark, d):
+    e = roads.edge(spark, d)
+    counts = e.agg(F.count("*").alias("edges"), *[F.count_if(C("kind") == k).alias(f"kind_{k}") for k in range(3)], F.count_if((C("kind") == 0) & (C("speed_limit") < 0)).alias("unknown_speed"))
+    return counts.join(F.broadcast(graph.active_nodes(e).agg(F.count("*").alias("active_nodes"))))
+
+
+@query
+def a02_degree(spark, d):
+    return graph.degrees(roads.edge(spark, d))
+
+
+@query
+def a17_distributions(spark, d):
+    return roads.edge(spark, d).groupBy("kind", "speed_limit", "road_class").agg(F.count("*").alias("n"))
+
+
+@query
+def p08_active_nodes(spark, d):
+    return graph.active_nodes(roads.edge(spark, d).where("road_class = 1"))
+
+
+@query
+def u05_edges_by_kind_union(spark, d):
+    e = roads.edge(spark, d).select("edge_id", "kind")
+    return e.where("kind = 0").unionByName(e.where("kind = 1")).unionByName(e.where("kind = 2"))
+
+
+@query
+def j01_road_endpoints(spark, d):
+    n = roads.node(spark, d).select("uid", "y")
+    e = roads.edge(spark, d).where("kind = 0")
+    a, b = n.select(C("uid").alias("src"), C("y").alias("y_src")), n.select(C("uid").alias("dst"), C("y").alias("y_dst"))
+    return e.join(a, "src").join(b, "dst").select("edge_id", F.round(C("y_dst") - C("y_src"), 6).alias("climb"))
+
+
+@query
+def j13_radius_edges(spark, d):
+    return spatial.radius_join(roads.frame(spark, d), roads.edge(spark, d), 100.0, "seq").select("seq", "edge_id")
+
+
+@query
+def f02_project_points(spark, d):
+    pairs = spatial.with_projection(spatial.radius_join(roads.frame(spark, d), roads.edge(spark, d).where("kind = 0"), 50.0, "seq"))
+    return pairs.select("seq", "edge_id", F.round("lateral", 6).alias("lateral"), F.round("offset", 6).alias("offset"))
+
+
+@query
+def j14_nearest_edge(spark, d):
+    near = spatial.nearest_edge(roads.frame(spark, d), roads.edge(spark, d), 200.0, "seq")
+    return near.select("seq", "edge_id", F.round("lateral", 6).alias("lateral"), F.round("offset", 6).alias("offset"))
+
+
+@query
+def j15_topk_candidates(spark, d):
+    frames = roads.frame(spark, d).withColumn("heading", F.pmod(C("seq"), F.lit(7)) * 0.5 - 1.5)
+    return spatial.candidates(frames, roads.edge(spark, d), 300.0, "seq").select("seq", "rank", "edge_id", F.round("score", 6).alias("score"))
+
+
+@query
+def a10_match_confidence(spark, d):
+    near = spatial.nearest_edge(roads.frame(spark, d), roads.edge(spark, d), 60.0, "seq")
+    rows = roads.frame(spark, d).select("seq").join(near.select("seq", "lateral"), "seq", "left")
+    confidence = F.when(C("lateral") < 8, "HIGH").when(C("lateral") < 20, "MEDIUM").when(C("lateral").isNotNull(), "LOW").otherwise("UNMATCHED")
+    return rows.groupBy(confidence.alias("confidence")).agg(F.count("*").alias("n"), F.round(F.avg("lateral"), 6).alias("mean_lateral"))
+
+
+@query
+def a11_most_matched_edges(spark, d):
+    near = spatial.nearest_edge(roads.frame(spark, d), roads.edge(spark, d), 60.0, "seq")
+    return near.groupBy("edge_id").agg(F.count("*").alias("frames")).orderBy(F.desc("frames"), "edge_id").limit(5)
+
+
+@query
+def j04_country_of_node(spark, d):
+    return places.countries(roads.node(spark, d), roads.city(spark, d))
+
+
+@query
+def j12_poi_access(spark, d):
+    n = roads.node(spark, d).select(C("uid").alias("access_uid"), "x", "z")
+    return roads.poi(spark, d).join(n, "access_uid", "left").select("poi_id", "kind", "x", "z")
+
+
+@query
+def j23_near_company(spark, d):
+    n = roads.node(spark, d)
+    company = roads.poi(spark, d).where("kind = 'Company' and poi_id % 16 = 1").join(n.select(C("uid").alias("access_uid"), "x", "z"), "access_uid")
+    return places.near_places(n.select("uid", "x", "z"), company, 150.0).select("uid")
+
+
+@query
+def j17_signal_link(spark, d):
+    moves = roads.edge(spark, d).where("kind = 1").select("edge_id", "semaphore_id", C("x1").alias("x"), C("z1").alias("z"), geometry.bearing(C("x1"), C("z1"), C("x2"), C("z2")).alias("heading"))
+    lights = roads.light(spark, d).withColumn("yaw", C("slot") % 4 * 0.4)
+    return places.link_signals(moves, lights).select("edge_id", "light_id", F.round("score", 6).alias("score"), "confidence")
+
+
+@query
+def j19_nearest_events(spark, d):
+    e = roads.signal_event(spark, d)
+    return events.nearest_events(e.where("kind = 'OTHER'"), e.where("kind in ('R2G', 'G2R')"), 2)
+
+
+@query
+def j20_next_events(spark, d):
+    e = roads.signal_event(spark, d)
+    return events.next_events(e.where("kind = 'RST'"), e.where("kind in ('R2G', 'G2R')"), 3)
+
+
+@query
+def j21_nearest_reset(spark, d):
+    e = roads.signal_event(spark, d)
+    return events.nearest_events(e.where("kind = 'PROF'"), e.where("kind = 'RST'"), 1)
+
+
+@query
+def j22_interval_avg(spark, d):
+    return events.interval_averages(roads.signal_event(spark, d).withColumn("v", (C("event_id") % 97).cast("double")), "v", 30_000)
+
+
+@query
+def j24_isolated_transit(spark, d):
+    return quality.isolated_transit(roads.edge(spark, d).where("road_class < 3"))
+
+
+@query
+def j32_dump_diff(spark, d):
+    e = roads.edge(spark, d)
+    return quality.differences(e.where("road_class <> 2").select("src", "dst"), e.where("road_class <> 3").select("src", "dst"))
+
+
+@query
+def v02_broken_refs(spark, d):
+    return quality.broken_references(roads.edge(spark, d), roads.node(spark, d).where("uid % 17 <> 0"))
+
+
+@query
+def v06_geometry_issues(spark, d):
+    r = roads.route_edge(spark, d).withColumn("m", F.when(C("idx") % 7 == 6, F.lit(float("nan"))).when(C("idx") % 5 == 4, 0.0).otherwise(C("length_m") * 3))
+    return quality.geometry_issues(r, "edge_ref", "m")
+
+
+@query
+def a27_duplicates(spark, d):
+    r = roads.route_edge(spark, d)
+    return quality.issues(quality.repeats(r, ["route_id", "edge_ref"], ["idx"]), "STRUCT_DUP_EDGE", "Warning", "route_id")
+
+
+@query
+def a29_oneway_deadends(spark, d):
+    return quality.dead_ends(roads.edge(spark, d).where("road_class in (0, 1)"), roads.node(spark, d))
+
+
+@query
+def a26_severity_counts(spark, d):
+    e, n = roads.edge(spark, d), roads.node(spark, d).where("uid % 17 <> 0")
+    half = e.where("road_class in (0, 1)")
+    return quality.severity_counts(quality.together(quality.broken_references(e, n), quality.self_loops(e), quality.duplicate_edges(e.select("edge_id", (C("src") / 10).cast("long").alias("src"), (C("dst") / 10).cast("long").alias("dst"))), quality.dead_ends(half, n)))
+
+
+@query
+def w01_suffix_remaining(spark, d):
+    return routes.remaining(roads.route_edge(spark, d), route_time())
+
+
+@query
+def w02_speed_breaks(spark, d):
+    return routes.speed_breaks(roads.route_edge(spark, d), 3000.0)
+
+
+@query
+def w05_next_change(spark, d):
+    return routes.next_change(roads.route_edge(spark, d))
+
+
+@query
+def w06_change_beyond(spark, d):
+    return routes.change_beyond(roads.route_edge(spark, d), 500.0)
+
+
+@query
+def w07_legs(spark, d):
+    return routes.legs(roads.route_edge(spark, d))
+
+
+@query
+def w08_maneuvers(spark, d):
+    return routes.maneuvers(roads.route_edge(spark, d))
+
+
+@query
+def a07_route_metrics(spark, d):
+    return routes.metrics(roads.route_edge(spark, d), route_time())
+
+
+def _route_pairs(spark, d):
+    r = roads.route_edge(spark, d).select("route_id").distinct()
+    return r.select(C("route_id").alias("a"), (C("route_id") + 1).alias("b")).join(r.select(C("route_id").alias("b")), "b")
+
+
+@query
+def a09_route_overlap(spark, d):
+    return routes.overlap(roads.route_edge(spark, d).withColumn("edge_ref", C("edge_ref") % 40), _route_pairs(spark, d))
+
+
+@query
+def u03_shared_edges(spark, d):
+    r = roads.route_edge(spark, d).groupBy("route_id").agg(F.collect_set(C("edge_ref") % 40).alias("e"))
+    pairs = r.select(C("route_id").alias("a"), C("e").alias("ea")).join(r.select((C("route_id") - 1).alias("a"), C("e").alias("eb")), "a")
+    return pairs.select("a", F.size(F.array_intersect("ea", "eb")).cast("long").alias("shared"))
+
+
+@query
+def w11_trace_events(spark, d):
+    return events.frame_events(roads.frame(spark, d))
+
+
+@query
+def w12_phase_intervals(spark, d):
+    return events.phase_intervals(roads.signal_event(spark, d))
+
+
+@query
+def w13_same_kind_intervals(spark, d):
+    return events.same_kind_intervals(roads.signal_event(spark, d))
+
+
+@query
+def w14_warps(spark, d):
+    e = roads.signal_event(spark, d).withColumns({"wall_ms": C("wall_ms") - 4000 * (C("event_id") % 3).cast("long"), "sim_us": C("sim_us") + 400_000 * (C("event_id") % 5)})
+    return events.warps(e)
+
+
+@query
+def w15_resets(spark, d):
+    return events.resets(roads.signal_event(spark, d).withColumn("sim_us", C("sim_us") % 200_000_000))
+
+
+@query
+def w16_load_windows(spark, d):
+    return events.load_windows(roads.signal_event(spark, d))
+
+
+@query
+def w20_low_speed_streaks(spark, d):
+    return events.streaks(roads.frame(spark, d), C("speed_ms") < 3)
+
+
+@query
+def w21_offroute_state(spark, d):
+    return events.off_route(roads.frame(spark, d), C("speed_ms") < 8)
+
+
+@query
+def p22_speed_compare(spark, d):
+    f = roads.frame(spark, d).withColumn("map_kmh", F.when(C("seq") % 6 == 5, -1).otherwise(10 * (C("seq") % 9)).cast("int"))
+    diff = driving.speed_difference(C("map_kmh"), C("limit_ms"))
+    return f.select("seq", diff.alias("diff_kmh"), (F.abs(diff) > 5).alias("mismatch"))
+
+
+@query
+def p23_overspeed(spark, d):
+    return roads.frame(spark, d).select("seq", driving.overspeeding(C("speed_ms") * 3, C("limit_ms") * 3.6).alias("over"))
+
+
+def _approach(spark, d):
+    """Frames with a light ahead of them."""
+    lights = roads.light(spark, d).select(C("slot").alias("s"), "state", "time_remaining")
+    f = roads.frame(spark, d)
+    n = roads.table(spark, d, "supplier").agg(F.count("*").alias("n"))
+    return f.join(F.broadcast(n)).withColumn("s", C("seq") % C("n")).join(lights, "s").withColumns({"ahead_m": (C("seq") % 240).cast("double"), "verified": C("seq") % 4 != 0})
+
+
+@query
+def p24_red_light(spark, d):
+    return _approach(spark, d).select("seq", driving.red_light_warning(C("state"), C("ahead_m"), C("speed_ms")).alias("warn"), driving.green_imminent(C("state"), C("verified"), C("speed_ms"), C("time_remaining") / 5).alias("imminent"))
+
+
+@query
+def p26_glosa(spark, d):
+    return _approach(spark, d).select("seq", driving.glosa(C("ahead_m"), C("state"), C("verified"), C("time_remaining"), C("speed_ms"), (C("limit_ms") * 3.6).cast("int")).alias("g")).select("seq", "g.*")
+
+
+@query
+def p27_speak_distance(spark, d):
+    return roads.frame(spark, d).select("seq", driving.speech_lead(C("speed_ms") * 3.6, C("seq") % 4, C("seq") % 5).alias("lead_m"))
+
+
+@query
+def f36_speech_text(spark, d):
+    return roads.frame(spark, d).select("seq", driving.spoken_limit((C("seq") % 30 * 50).cast("int"), (C("seq") % 4 * 30 - 30).cast("int")).alias("said"))
+
+
+@query
+def f05_signed_angle(spark, d):
+    f = roads.frame(spark, d).select("seq", (C("seq") % 13 * 0.5 - 3.0).alias("a"), (C("seq") % 11 * 0.6 - 3.0).alias("b"))
+    angle = geometry.signed_angle(C("a"), C("b"))
+    return f.select("seq", F.round(angle, 6).alias("angle"), geometry.turn_of_angle(angle).alias("turn"))
+
+
+@query
+def a12_latency_quantiles(spark, d):
+    return stats.order_statistics(roads.table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+
+
+@query
+def a13_upper_median(spark, d):
+    return stats.order_statistics(roads.route_edge(spark, d), ["route_id"], "length_m", {"median": 0.5}).select("route_id", "n", "median")
+
+
+@query
+def a14_frame_stats(spark, d):
+    return stats.frame_rate(roads.table(spark, d, "events"), "user_id", "value")
+
+
+@query
+def a15_agreement(spark, d):
+    return stats.agreement(roads.frame(spark, d), "vehicle", C("limit_ms") * 3.6, C("speed_ms") * 3.6)
+
+
+@query
+def a03_components(spark, d):
+    return graph.components(roads.edge(spark, d).where("road_class in (0, 1)"))
+
+
+@query
+def a04_component_sizes(spark, d):
+    sizes = graph.component_sizes(graph.components(roads.edge(spark, d).where("road_class in (0, 1)")))
+    return sizes.groupBy(graph.size_bucket(C("nodes")).alias("bucket")).agg(F.count("*").alias("components"), F.sum("nodes").alias("nodes"))
+
+
+@query
+def a05_component_bbox(spark, d):
+    labels = graph.components(roads.edge(spark, d).where("road_class in (0, 1)"))
+    rows = labels.join(roads.node(spark, d), "uid").groupBy("component").agg(F.count("*").alias("nodes"), *[f(c).alias(f"{n}_{c}") for c in ("x", "z") for n, f in (("min", F.min), ("max", F.max))])
+    return rows.orderBy(F.desc("nodes"), "component").limit(30)
+
+
+def _sources(spark, d):
+    return roads.node(spark, d).where("uid % 500 = 0").select("uid")
+
+
+@query
+def g08_reachable(spark, d):
+    return graph.reachable(roads.edge(spark, d).where("road_class in (0, 1)"), _sources(spark, d)).select("source", "uid")
+
+
+@query
+def g09_khop(spark, d):
+    return graph.reachable(roads.edge(spark, d), _sources(spark, d), 3)
+
+
+@query
+def g01_shortest_costs(spark, d):
+    return graph.shortest_costs(timed_edges(spark, d), _sources(spark, d), "time_s", 90.0).select("source", "uid", F.round("cost", 6).alias("cost"))
+
+
+def _od(spark, d):
+    """Pairs of far-off nodes."""
+    n = roads.node(spark, d)
+    total = n.agg(F.count("*").alias("n"))
+    return n.where("uid % 40 = 0").join(F.broadcast(total)).select((C("uid") / 40).cast("long").alias("od_id"), C("uid").alias("src"), (C("uid") * 37 % C("n")).alias("dst"))
+
+
+@query
+def g02_route_costs(spark, d):
+    found = graph.routes(timed_edges(spark, d), _od(spark, d), ["fastest", "shortest", "balanced"])
+    return found.select("od_id", "profile", F.round("cost", 6).alias("cost"), F.size("edges").alias("n_edges"))
+
+
+@query
+def g05_alternatives(spark, d):
+    e = timed_edges(spark, d)
+    return graph.alternatives(graph.routes(e, _od(spark, d), ["fastest", "shortest", "balanced"]), e.select("edge_id", "length_m"))
+
+
+@query
+def a19_od_check(spark, d):
+    """Reached pairs, and routes whose edges do not follow one another or turn back."""
+    e = timed_edges(spark, d)
+    found = graph.routes(e, _od(spark, d), ["fastest"])
+    steps = found.select("od_id", F.posexplode("edges").alias("i", "edge_id")).join(e.select("edge_id", "src", "dst"), "edge_id")
+    order = Window.partitionBy("od_id").orderBy("i")
+    steps = steps.select("od_id", (C("dst") != F.lead("src").over(order)).alias("jump"), (F.lead("dst").over(order) == C("src")).alias("uturn"))
+    bad = steps.groupBy("od_id").agg(F.count_if("jump").alias("jumps"), F.count_if("uturn").alias("uturns"))
+    return found.join(bad, "od_id", "left").agg(F.count("*").alias("pairs"), F.count_if(C("cost").isNotNull()).alias("reached"), F.coalesce(F.sum("jumps"), F.lit(0)).alias("jumps"), F.coalesce(F.sum("uturns"), F.lit(0)).alias("uturns"))
+
+
+@query
+def t04_poi_search(spark, d):
+    return places.search(roads.poi(spark, d), "Build").select("poi_id", "name")
+
+
+@query
+def d01_resolve_name(spark, d):
+    p = roads.poi(spark, d).where("kind in ('City', 'Company')")
+    asked = roads.table(spark, d, "nation").select(F.concat(F.lit("Building_"), C("n_nationkey")).alias("request")).union(roads.table(spark, d, "region").select(F.lower("r_name")))
+    return places.resolve_names(asked, p)
+
+
+@query
+def f16_tile_xy(spark, d):
+    x, y = tiles.tile_xy(C("x"), C("z"), 11)
+    return roads.node(spark, d).select("uid", x.alias("tile_x"), y.alias("tile_y"))
+
+
+@query
+def f17_tile_id(spark, d):
+    x, y = tiles.tile_xy(C("x") * 40, C("z") * 40, 11)
+    return roads.node(spark, d).select("uid", tiles.tile_id(F.lit(11), x, y).alias("tile_id"))
+
+
+@query
+def a35_charset(spark, d):
+    return stats.characters(roads.table(spark, d, "documents"), "text", "lang")
+
+
+@query
+def a36_pattern_scan(spark, d):
+    return stats.pattern_scan(roads.table(spark, d, "documents"), "doc_id", "text")
+
+
+@query
+def f30_hex_uid(spark, d):
+    return roads.node(spark, d).select("uid", F.lpad(F.lower(F.hex("uid")), 16, "0").alias("hex"))
+
+
+@query
+def a31_fingerprint(spark, d):
+    """A digest of each source's documents, in order of id, by blocks of 1000 ids."""
+    t = roads.table(spark, d, "documents")
+    line = F.concat(F.lit("|"), C("doc_id"), F.lit(":"), C("n_chars"))
+    rows = t.groupBy("source", F.floor(C("doc_id") / 1000).alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc_id", line.alias("l")))).alias("a"))
+    return rows.select("source", "block", F.sha2(F.array_join(F.transform("a", lambda s: s["l"]), ""), 256).alias("fingerprint"))
+
+
+@query
+def s15_overlay(spark, d):
+    """Of names that several sources give, the one of highest priority."""
+    rows = roads.table(spark, d, "part").select(C("p_name").alias("path"), C("p_size").alias("priority"), C("p_partkey").alias("item"))
+    return rows.groupBy("path").agg(F.max_by("item", F.struct("priority", (-C("item")).alias("o"))).alias("item"), F.max("priority").alias("priority"))
