@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 METRES_PER_DEGREE = 111_320.0
 
@@ -27,7 +28,7 @@ def tile_xy(x: Column, z: Column, zoom: int) -> tuple[Column, Column]:
     return inside(tx), inside(ty)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def tile_id(zoom: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     """Tiles of lower zooms, and the distance along the Hilbert curve of the tile's own zoom."""
     z, x, y = (s.to_numpy(np.int64).copy() for s in (zoom, x, y))

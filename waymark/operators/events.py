@@ -88,7 +88,7 @@ def nearest_events(left: DataFrame, right: DataFrame, k: int, bucket_ms: int = 6
     r = right.select("junction_id", F.col("event_id").alias("right_id"), F.col("wall_ms").alias("right_ms"), b.alias("b"))
     pairs = l.join(r, ["junction_id", "b"]).withColumn("dt", F.abs(F.col("right_ms") - F.col("left_ms"))).where(F.col("dt") <= reach_ms)
     order = Window.partitionBy("left_id").orderBy("dt", "right_ms", "right_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("left_id", "rank", "right_id", "dt")
+    return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("left_id", "rank", "right_id", "dt")
 
 
 def next_events(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
@@ -98,7 +98,7 @@ def next_events(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     rows = rows.withColumn("n", F.sum("side").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     asked = rows.where("side = 0").select("junction_id", F.col("event_id").alias("left_id"), F.col("wall_ms").alias("left_ms"), F.posexplode(F.sequence(F.col("n") + 1, F.col("n") + k)).alias("pos", "n"))
     there = rows.where("side = 1").select("junction_id", "n", F.col("event_id").alias("right_id"), F.col("wall_ms").alias("right_ms"))
-    return asked.join(there, ["junction_id", "n"]).select("left_id", (F.col("pos") + 1).alias("rank"), "right_id", (F.col("right_ms") - F.col("left_ms")).alias("dt"))
+    return asked.join(there, ["junction_id", "n"]).select("left_id", (F.col("pos") + 1).cast("long").alias("rank"), "right_id", (F.col("right_ms") - F.col("left_ms")).alias("dt"))
 
 
 def interval_averages(events: DataFrame, value: str, before_ms: int, bucket_ms: int = 60_000) -> DataFrame:

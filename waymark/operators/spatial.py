@@ -71,4 +71,4 @@ def candidates(points: DataFrame, edges: DataFrame, radius: float, key: str, k:
     pairs = with_projection(radius_join(points, edges.where("kind in (0, 1)"), radius, key)).where(F.col("lateral") <= 3 * scale)
     score = match_score(F.col("lateral"), F.col("heading"), bearing(*(F.col(c) for c in ("x1", "z1", "x2", "z2"))), F.lit(0.5), scale)
     order = Window.partitionBy(key).orderBy(F.desc("score"), *first_scanned(radius), "edge_id")
-    return pairs.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pairs.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

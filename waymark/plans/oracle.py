@@ -99,7 +99,7 @@ _SQL = {
     "p16_cost_by_profile": """SELECT edge_id, round(time_s + extra, 6) AS fastest, round(length_m + extra, 6) AS shortest, round(0.7e0 * time_s + 0.3e0 * length_m / 1000 + extra, 6) AS balanced
       FROM (SELECT *, CASE WHEN flags & 2 <> 0 THEN 600.0e0 ELSE 0.0e0 END + CASE WHEN flags & 4 <> 0 THEN 3600.0e0 ELSE 0.0e0 END AS extra FROM f_timed)""",
     "p01_flag_predicates": "SELECT edge_id, flags & 1 <> 0 AS no_ai, flags & 2 <> 0 AS gps_avoid, flags & 4 <> 0 AS secret FROM f_edge",
-    "a01_graph_stats": """SELECT count(*) AS edges, count_if(kind = 0) AS kind_0, count_if(kind = 1) AS kind_1, count_if(kind = 2) AS kind_2, count_if(kind = 0 AND speed_limit < 0) AS unknown_speed,
+    "a01_graph_stats": """SELECT count(*) AS edges, CAST(count_if(kind = 0) AS BIGINT) AS kind_0, CAST(count_if(kind = 1) AS BIGINT) AS kind_1, CAST(count_if(kind = 2) AS BIGINT) AS kind_2, CAST(count_if(kind = 0 AND speed_limit < 0) AS BIGINT) AS unknown_speed,
       (SELECT count(*) FROM (SELECT src FROM f_edge UNION SELECT dst FROM f_edge)) AS active_nodes FROM f_edge""",
     "a02_degree": "SELECT uid, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS uid, 1 AS o, 0 AS i FROM f_edge UNION ALL SELECT dst, 0, 1 FROM f_edge) GROUP BY uid",
     "a17_distributions": "SELECT kind, speed_limit, road_class, count(*) AS n FROM f_edge GROUP BY ALL",
@@ -146,11 +146,9 @@ _SQL = {
       SELECT *, CASE WHEN idx % 7 = 6 THEN CAST('nan' AS DOUBLE) WHEN idx % 5 = 4 THEN 0.0e0 ELSE length_m * 3 END AS m FROM f_route)) WHERE code IS NOT NULL""",
     "a27_duplicates": "SELECT 'STRUCT_DUP_EDGE' AS code, 'Warning' AS severity, route_id AS uid FROM f_route QUALIFY row_number() OVER (PARTITION BY route_id, edge_ref ORDER BY idx) > 1",
     "a29_oneway_deadends": "SELECT DISTINCT 'CONN_ONEWAY_DEAD_END' AS code, 'Info' AS severity, src AS uid FROM f_half WHERE kind = 0 AND src NOT IN (SELECT dst FROM f_half)",
-    "a26_severity_counts": """SELECT * FROM (
-      SELECT 'Error' AS severity, 'REF_BROKEN_START' AS code, (SELECT count(*) FROM f_edge WHERE src % 17 = 0) AS n
-      UNION ALL SELECT 'Error', 'REF_BROKEN_END', (SELECT count(*) FROM f_edge WHERE dst % 17 = 0)
-      UNION ALL SELECT 'Warning', 'STRUCT_DUP_EDGE', (SELECT count(*) - count(DISTINCT (src // 10) * 1000000000 + dst // 10) FROM f_edge)
-      UNION ALL SELECT 'Info', 'CONN_ONEWAY_DEAD_END', (SELECT count(DISTINCT h.src) FROM f_half h LEFT JOIN (SELECT DISTINCT dst FROM f_half) t ON t.dst = h.src WHERE h.kind = 0 AND t.dst IS NULL)) WHERE n > 0""",
+    "a26_severity_counts": """SELECT severity, code, n FROM (SELECT unnest(['Error', 'Error', 'Warning', 'Info']) AS severity, unnest(['REF_BROKEN_START', 'REF_BROKEN_END', 'STRUCT_DUP_EDGE', 'CONN_ONEWAY_DEAD_END']) AS code, unnest([
+      (SELECT CAST(count_if(src % 17 = 0) AS BIGINT) FROM f_edge), (SELECT CAST(count_if(dst % 17 = 0) AS BIGINT) FROM f_edge), (SELECT count(*) - count(DISTINCT (src // 10) * 1000000000 + dst // 10) FROM f_edge),
+      (SELECT count(DISTINCT h.src) FROM f_half h LEFT JOIN (SELECT DISTINCT dst FROM f_half) t ON t.dst = h.src WHERE h.kind = 0 AND t.dst IS NULL)]) AS n) WHERE n > 0""",
     "w01_suffix_remaining": f"""SELECT route_id, idx, round(sum(length_m) OVER w, 6) AS remaining_m, round(sum(t) OVER w, 6) AS remaining_s FROM f_rtime WINDOW w AS ({_ROUTE} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
     "w02_speed_breaks": "SELECT route_id, idx, offset_m, lim AS \"limit\" FROM " + _BREAKS.format(where="WHERE offset_m < 3000"),
     "w05_next_change": f"SELECT route_id, idx, offset_m, lim AS \"limit\" FROM {_BREAKS.format(where='')} QUALIFY row_number() OVER ({_ROUTE}) = 2",
@@ -160,7 +158,7 @@ _SQL = {
       SELECT route_id, idx, coalesce(sum(length_m) OVER ({_ROUTE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0e0) AS off,
         CASE WHEN lag(kind) OVER ({_ROUTE}) IS NULL THEN 'Depart' WHEN kind <> lag(kind) OVER ({_ROUTE}) THEN CASE WHEN kind = 1 THEN 'EnterJunction' ELSE 'LeaveJunction' END
           WHEN abs(speed_limit - lag(speed_limit) OVER ({_ROUTE})) >= 30 THEN 'SpeedChange' END AS maneuver FROM f_route) WHERE maneuver IS NOT NULL""",
-    "a07_route_metrics": """SELECT route_id, round(sum(length_m), 4) AS length_m, round(sum(t), 6) AS time_s, count_if(kind = 0) AS roads, count_if(kind <> 0) AS junctions,
+    "a07_route_metrics": """SELECT route_id, round(sum(length_m), 4) AS length_m, round(sum(t), 6) AS time_s, CAST(count_if(kind = 0) AS BIGINT) AS roads, CAST(count_if(kind <> 0) AS BIGINT) AS junctions,
       round(sum(CASE WHEN kind = 0 AND speed_limit < 0 THEN length_m ELSE 0.0e0 END), 4) AS unknown_speed_m FROM f_rtime GROUP BY route_id""",
     "a09_route_overlap": """SELECT p.a, p.b, coalesce(s.n, 0) AS shared_edges, round(coalesce(s.m, 0.0e0) / least(la.len, lb.len), 6) AS overlap FROM
       (SELECT x.route_id AS a, y.route_id AS b FROM (SELECT DISTINCT route_id FROM f_route) x JOIN (SELECT DISTINCT route_id FROM f_route) y ON y.route_id = x.route_id + 1) p
