@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
+
+def by_arrival() -> WindowSpec:
+    return Window.partitionBy("vehicle").orderBy("sim_us", "seq")
+
+
+def by_wall() -> WindowSpec:
+    return Window.partitionBy("junction_id").orderBy("wall_ms", "event_id")
 
-ARRIVAL = Window.partitionBy("vehicle").orderBy("sim_us", "seq")
-WALL = Window.partitionBy("junction_id").orderBy("wall_ms", "event_id")
 
 TELEPORT_M, RESET_US = 50.0, 1_000_000
 
 
-def _before(name: str, order=ARRIVAL) -> Column:
-    return F.lag(name).over(order)
+def _before(name: str, order: WindowSpec | None = None) -> Column:
+    return F.lag(name).over(order or by_arrival())
 
 
 def frame_events(frames: DataFrame) -> DataFrame:
@@ -33,7 +38,7 @@ def frame_events(frames: DataFrame) -> DataFrame:
 def phase_intervals(events: DataFrame) -> DataFrame:
     """Each phase event with the time to the next; resets and profile marks are left out first."""
     kept = events.where("kind not in ('RST', 'PROF')")
-    return kept.select("junction_id", "event_id", "kind", F.lead("kind").over(WALL).alias("next_kind"), (F.lead("wall_ms").over(WALL) - F.col("wall_ms")).alias("interval_ms")).where("next_kind is not null")
+    return kept.select("junction_id", "event_id", "kind", F.lead("kind").over(by_wall()).alias("next_kind"), (F.lead("wall_ms").over(by_wall()) - F.col("wall_ms")).alias("interval_ms")).where("next_kind is not null")
 
 
 def same_kind_intervals(events: DataFrame) -> DataFrame:
@@ -43,37 +48,37 @@ def same_kind_intervals(events: DataFrame) -> DataFrame:
 
 def warps(events: DataFrame, threshold_us: int = 300_000, longest_ms: int = 5000) -> DataFrame:
     """Where simulation time runs ahead of scaled wall time by more than the threshold."""
-    wall = F.col("wall_ms") - _before("wall_ms", WALL)
-    ahead = F.col("sim_us") - _before("sim_us", WALL) - wall * F.col("scale") * 1000
+    wall = F.col("wall_ms") - _before("wall_ms", by_wall())
+    ahead = F.col("sim_us") - _before("sim_us", by_wall()) - wall * F.col("scale") * 1000
     rows = events.withColumns({"gap_ms": wall, "ahead_us": ahead})
     return rows.where((F.col("gap_ms") > 0) & (F.col("gap_ms") <= longest_ms) & (F.col("ahead_us") > threshold_us)).select("junction_id", "event_id", "gap_ms", F.col("ahead_us").cast("long").alias("ahead_us"))
 
 
 def resets(events: DataFrame) -> DataFrame:
     """Events before which simulation time went back."""
-    return events.withColumn("before", _before("sim_us", WALL)).where("sim_us < before").select("junction_id", "event_id", (F.col("before") - F.col("sim_us")).alias("back_us"))
+    return events.withColumn("before", _before("sim_us", by_wall())).where("sim_us < before").select("junction_id", "event_id", (F.col("before") - F.col("sim_us")).alias("back_us"))
 
 
 def load_windows(events: DataFrame, cycle_ms: int = 14_000, tolerance: float = 0.15) -> DataFrame:
     """R2G events in runs whose gaps are whole cycles; another gap begins a new window."""
     reds = events.where("kind = 'R2G'")
-    gap = (F.col("wall_ms") - _before("wall_ms", WALL)) / cycle_ms
+    gap = (F.col("wall_ms") - _before("wall_ms", by_wall())) / cycle_ms
     new = F.when(gap.isNull() | (F.abs(gap - F.round(gap)) >= tolerance), 1).otherwise(0)
-    rows = reds.withColumn("new", new).withColumn("window", F.sum("new").over(WALL))
+    rows = reds.withColumn("new", new).withColumn("window", F.sum("new").over(by_wall()))
     return rows.groupBy("junction_id", "window").agg(F.count("*").alias("events"), F.min("wall_ms").alias("from_ms"), F.max("wall_ms").alias("to_ms"))
 
 
 def streaks(frames: DataFrame, condition: Column) -> DataFrame:
     """Lengths of unbroken runs of frames for which a condition holds."""
-    rows = frames.withColumns({"hit": F.coalesce(condition, F.lit(False)), "n": F.row_number().over(ARRIVAL)}).where("hit")
-    rows = rows.withColumn("island", F.col("n") - F.row_number().over(ARRIVAL))
+    rows = frames.withColumns({"hit": F.coalesce(condition, F.lit(False)), "n": F.row_number().over(by_arrival())}).where("hit")
+    rows = rows.withColumn("island", F.col("n") - F.row_number().over(by_arrival()))
     return rows.groupBy("vehicle", "island").agg(F.min("seq").alias("from_seq"), F.count("*").alias("frames")).select("vehicle", "from_seq", "frames")
 
 
 def off_route(frames: DataFrame, unmatched: Column, suspect: int = 5, confirm: int = 15) -> DataFrame:
     """Off-route state of each frame by the length of its unmatched streak so far."""
     rows = frames.withColumns({"miss": F.coalesce(unmatched, F.lit(False)).cast("int")})
-    rows = rows.withColumn("group", F.sum(1 - F.col("miss")).over(ARRIVAL))
+    rows = rows.withColumn("group", F.sum(1 - F.col("miss")).over(by_arrival()))
     run = F.sum("miss").over(Window.partitionBy("vehicle", "group").orderBy("sim_us", "seq"))
     return rows.withColumn("streak", run).select("vehicle", "seq", "streak", F.when(F.col("streak") >= confirm, "OFF_ROUTE").when(F.col("streak") >= suspect, "SUSPECTED").otherwise("ON_ROUTE").alias("state"))
 
