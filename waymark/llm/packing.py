@@ -11,6 +11,7 @@ hashed buckets, so that no size, however common, is gathered in one task.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, id_key, key_id, stage, text_bytes
+from .common import chunks, id_key, joined, key_id, stage, text_bytes, word_hashes, word_spans
 
 #: A worker forgets its words when it holds this many; they are only a cache.
-_CACHED_WORDS = 200_000
+_CACHED_WORDS = 500_000
 #: Ranks are counted over buckets of about this many items.
 _BUCKET_ITEMS = 20_000
 
@@ -92,29 +93,96 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[Segment]:
     return out
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def _byte_letters() -> str:
+    """The letters by which byte-level vocabularies write bytes: printable bytes as they are, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(others)) for b in range(256))
+
+
+_BYTES = np.arange(256)
+_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+_SMALL = (_BYTES >= 97) & (_BYTES <= 122)
+_MARK = np.isin(_BYTES, list(b".,!?;:*&%$#|"))
+
+
+class WordIds:
+    """Ids of texts under a lower-casing, space-dropping tokenizer with word-end merges.
 
-    return Tokenizer.from_file(path), {}
+    Such a tokenizer never joins across white space, nor a letter with the marks that end a word, so these units are
+    hashed, encoded once and remembered. A unit of small letters alone is one unit of the vocabulary's merges; any
+    other goes through the whole tokenizer, and so does a text that may hold special tokens.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters = _byte_letters()
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[int, int] = {}
+        self.ids, self.begins, self.sizes = np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def _encode(self, unit: bytes) -> list[int]:
+        text = unit.decode("utf-8", "replace")
+        if text.isalpha() and (text.isascii() or text == text.lower() and unicodedata.is_normalized("NFC", text)):
+            return [t.id for t in self.tokenizer.model.tokenize(text if text.isascii() else "".join(self.letters[b] for b in unit))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, units: list[bytes], hashes: list[int]) -> None:
+        made = [self._encode(u) for u in units]
+        sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
+        self.rows.update(zip(hashes, range(len(self.sizes), len(self.sizes) + len(made))))
+        self.begins = np.concatenate((self.begins, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(made), dtype="<u4", count=int(sizes.sum()))))
+
+    def batch(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Little-endian 32-bit ids of each text."""
+        if len(self.rows) > _CACHED_WORDS:
+            self.forget()
+        special = [k for k, t in enumerate(texts) if b"<|" in t]
+        buf, offsets = joined([b"" if b"<|" in t else t for t in texts] if special else texts)
+        low = _LOWER[buf]
+        starts, ends = word_spans(low)
+        # where the marks that end a word begin
+        letters = np.maximum.accumulate(np.where(_MARK[low], -1, np.arange(len(low))))
+        cut = np.maximum(letters[ends - 1] + 1, starts)
+        two = (cut > starts) & (cut < ends) & _SMALL[low[cut - 1]]
+        counts = 1 + two
+        first = np.cumsum(counts) - counts
+        unit_starts, unit_ends = np.repeat(starts, counts), np.repeat(ends, counts)
+        unit_ends[first[two]] = unit_starts[first[two] + 1] = cut[two]
+        hashes, where, unit = np.unique(word_hashes(low, unit_starts, unit_ends, 13), return_index=True, return_inverse=True)
+        known = hashes.tolist()
+        new = [k for k, h in enumerate(known) if h not in self.rows]
+        if new:
+            raw = low.tobytes()
+            at = where[new]
+            self._learn([raw[a:b] for a, b in zip(unit_starts[at].tolist(), unit_ends[at].tolist())], [known[k] for k in new])
+        row = np.fromiter(map(self.rows.__getitem__, known), dtype=np.int64, count=len(known))[unit]
+        sizes = self.sizes[row]
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.ids[np.repeat(self.begins[row] - total[:-1], sizes) + np.arange(total[-1])]
+        of_text = total[np.append(first, len(unit))[np.searchsorted(starts, offsets)]]
+        out = [ids[a:b] for a, b in zip(of_text[:-1].tolist(), of_text[1:].tolist())]
+        for k in special:
+            out[k] = np.array(self.tokenizer.encode(texts[k].decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4")
+        return out
+
+
+@lru_cache(maxsize=2)
+def _word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def _ids(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """Little-endian 32-bit ids of each text. The tokenizer never joins across white space, so each word is encoded once."""
-    tokenizer, cache = _tokenizer(path)
-    for lo, hi in chunks(texts, 2 << 20):
-        words = [t.split() for t in texts[lo:hi]]
-        new = [w for w in set(chain.from_iterable(words)) if w not in cache]
-        if len(cache) + len(new) > _CACHED_WORDS:
-            cache.clear()
-            new = list(set(chain.from_iterable(words)))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            made = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            cache.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, made))
-        for w in words:
-            yield b"".join(map(cache.__getitem__, w))
+    """Little-endian 32-bit ids of each text."""
+    for lo, hi in chunks(texts):
+        yield from (x.tobytes() for x in _word_ids(path).batch(texts[lo:hi]))
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
