@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from ..functions import cost, driving, geometry, tiles
 from ..operators import events, graph, places, quality, routes, spatial, stats
 from ..sources import roads
+from ..streaming import vehicle
+from ..streaming.fold import fold
 from .oracle import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -491,3 +493,168 @@ def s15_overlay(spark, d):
     """Of names that several sources give, the one of highest priority."""
     rows = roads.table(spark, d, "part").select(C("p_name").alias("path"), C("p_size").alias("priority"), C("p_partkey").alias("item"))
     return rows.groupBy("path").agg(F.max_by("item", F.struct("priority", (-C("item")).alias("o"))).alias("item"), F.max("priority").alias("priority"))
+
+
+@query
+def x03_map_match(spark, d):
+    frames = roads.frame(spark, d).withColumn("heading", F.pmod(C("seq"), F.lit(7)) * 0.5 - 1.5)
+    return vehicle.match(frames, roads.edge(spark, d)).select("vehicle", "seq", "edge_id", F.round("lateral", 6).alias("lateral"), F.round("score", 6).alias("score"), "confidence")
+
+
+@query
+def x02_event_fold(spark, d):
+    """The events of w11 by the fold that streams use."""
+    found = fold(roads.frame(spark, d), "vehicle", ["sim_us", "seq"], vehicle.event_step, {}, vehicle.EVENT_SCHEMA)
+    return found.select("vehicle", "seq", F.explode(F.split("events", ",")).alias("event"))
+
+
+@query
+def w17_reminder_gate(spark, d):
+    """Overspeed reminders, one in half a second of simulated time at most."""
+    rows = roads.frame(spark, d).select("vehicle", "seq", C("sim_us") * 60, F.lit("OverSpeed").alias("kind"), "speed_ms").toDF("vehicle", "seq", "sim_us", "kind", "speed_ms").where("speed_ms > 4")
+    return fold(rows.drop("speed_ms"), "vehicle", ["sim_us", "seq"], vehicle.gate_step, {}, vehicle.GATE_SCHEMA)
+
+
+@query
+def j02_lane_class_fallback(spark, d):
+    """A look's class by its prefixed name, else by its plain name."""
+    looks = roads.table(spark, d, "part").select(C("p_partkey").alias("item"), F.split("p_name", " ")[0].alias("look"), C("p_size"))
+    named = looks.groupBy("look").agg(F.min("p_size").alias("m"))
+    classes = named.select(F.when(C("m") % 2 == 0, F.concat(F.lit("road."), C("look"))).otherwise(C("look")).alias("name"), C("m").alias("class")).where("class < 40")
+    a, b = classes.select(F.expr("name").alias("full"), C("class").alias("c1")), classes.select(C("name").alias("look"), C("class").alias("c2"))
+    rows = looks.withColumn("full", F.concat(F.lit("road."), C("look"))).join(a, "full", "left").join(b, "look", "left")
+    return rows.select("item", F.coalesce("c1", "c2").alias("class"))
+
+
+@query
+def j05_limits(spark, d):
+    """Limits by country and class, -1 where none is set."""
+    places_of = roads.table(spark, d, "customer").select("c_custkey", C("c_nationkey").alias("country"), (C("c_custkey") % 6).cast("int").alias("class"))
+    limits = roads.table(spark, d, "nation").withColumn("class", F.explode(F.array(*map(F.lit, range(4))))).select(C("n_nationkey").alias("country"), "class", (30 + 10 * ((C("n_nationkey") + C("class")) % 9)).alias("limit"))
+    return places_of.join(limits, ["country", "class"], "left").select("c_custkey", F.coalesce("limit", F.lit(-1)).cast("int").alias("limit"))
+
+
+@query
+def j10_control_nodes(spark, d):
+    """The node of each control index, counted from an origin and around."""
+    items = roads.table(spark, d, "supplier").select("s_suppkey", F.transform(F.sequence(F.lit(0), C("s_nationkey") % 5 + 1), lambda i: C("s_suppkey") * 10 + i).alias("nodes"))
+    origin = C("s_suppkey") % 7
+    return items.withColumn("control", F.explode(F.array(*map(F.lit, range(4))))).select("s_suppkey", "control", F.element_at("nodes", (F.pmod(C("control") - origin, F.size("nodes")) + 1).cast("int")).alias("node"))
+
+
+@query
+def j18_limit_at_endpoint(spark, d):
+    """The limit of the nearest edge start within 30 m of each frame."""
+    n = roads.edge(spark, d).where("speed_limit >= 0").select("edge_id", "speed_limit", C("x1").alias("px"), C("z1").alias("pz"), spatial.cell(C("x1"), 64.0).alias("a"), spatial.cell(C("z1"), 64.0).alias("b"))
+    f = roads.frame(spark, d).withColumn("a", F.explode(F.sequence(spatial.cell(C("x") - 30, 64.0), spatial.cell(C("x") + 30, 64.0)))).withColumn("b", F.explode(F.sequence(spatial.cell(C("z") - 30, 64.0), spatial.cell(C("z") + 30, 64.0))))
+    dist = geometry.distance(C("x"), C("z"), C("px"), C("pz"))
+    return f.join(n, ["a", "b"]).where(dist < 30).groupBy("seq").agg(F.min_by("speed_limit", F.struct(F.round(dist, 9), "edge_id")).alias("speed_limit"))
+
+
+@query
+def j28_issue_places(spark, d):
+    """Issues with the place of their edge, where it is known."""
+    e = roads.edge(spark, d)
+    found = quality.broken_references(e, roads.node(spark, d).where("uid % 17 <> 0"))
+    return found.join(e.where("road_class > 0").select(C("edge_id").alias("uid"), "x1", "z1"), "uid", "left").select("code", "uid", F.coalesce("x1", F.lit(-1.0)).alias("x"), F.coalesce("z1", F.lit(-1.0)).alias("z"))
+
+
+@query
+def a06_diagnostics(spark, d):
+    e = roads.edge(spark, d)
+    return e.agg(F.count_if(F.expr("kind = 0")).alias("roads"), F.count_if(F.expr("kind = 1")).alias("movements"), F.count_if(F.expr("kind = 2")).alias("ferries"), F.countDistinct("semaphore_id").alias("semaphores"), F.count_if(F.expr("flags > 0")).alias("flagged"))
+
+
+@query
+def a16_sectors(spark, d):
+    """Nodes and their mean height by sector of 1000 m."""
+    return roads.node(spark, d).groupBy(spatial.cell(C("x"), 1000.0).alias("sx"), spatial.cell(C("z"), 1000.0).alias("sz")).agg(F.count("*").alias("nodes"), F.round(F.avg("y"), 6).alias("mean_y"))
+
+
+@query
+def a18_poi_by_type(spark, d):
+    known = roads.node(spark, d).where("uid % 5 <> 0").select(C("uid").alias("access_uid"), F.lit(True).alias("there"))
+    return roads.poi(spark, d).join(known, "access_uid", "left").groupBy("kind").agg(F.count("*").alias("n"), F.count_if(C("there").isNull()).alias("without_access"))
+
+
+@query
+def a20_reach_scope(spark, d):
+    """Nodes within three hops of every hundredth node; fewer than eight is broken."""
+    starts = roads.node(spark, d).where("uid % 100 = 0").select("uid")
+    n = graph.reachable(roads.edge(spark, d).where("road_class <> 2"), starts, 3).groupBy("source").agg(F.count("*").alias("nodes"))
+    return n.withColumn("broken", C("nodes") < 8)
+
+
+@query
+def a28_connectivity(spark, d):
+    e = roads.edge(spark, d).where("road_class in (0, 1)")
+    sizes = graph.component_sizes(graph.components(e))
+    degree = graph.degrees(e)
+    one = sizes.agg(F.count("*").alias("components"), F.max("nodes").alias("largest"))
+    return one.join(F.broadcast(degree.agg(F.count_if(F.expr("out_degree = 0")).alias("no_way_out"), F.count_if(F.expr("in_degree = 0")).alias("no_way_in"), F.count_if(F.expr("out_degree + in_degree = 1")).alias("dead_ends"))))
+
+
+@query
+def a34_extrapolation_error(spark, d):
+    """How far each junction's events stray from its first event plus whole cycles."""
+    e = roads.signal_event(spark, d)
+    first = e.groupBy("junction_id").agg(F.min("wall_ms").alias("anchor"))
+    off = F.pmod(C("wall_ms") - C("anchor"), F.lit(7000))
+    return e.join(first, "junction_id").groupBy("junction_id").agg(F.max(F.least(off, 7000 - off)).alias("max_error_ms"))
+
+
+@query
+def f40_parallel_arrays(spark, d):
+    """Parallel arrays to rows; missing entries are 0."""
+    rows = roads.table(spark, d, "nation").select("n_nationkey", F.transform(F.sequence(F.lit(1), C("n_nationkey") % 4 + 1), lambda i: i * 10).alias("limit"), F.transform(F.sequence(F.lit(1), C("n_nationkey") % 3 + 1), lambda i: i * 7).alias("urban"))
+    return rows.select("n_nationkey", F.posexplode(F.arrays_zip("limit", "urban")).alias("lane", "v")).select("n_nationkey", "lane", F.coalesce("v.limit", F.lit(0)).alias("limit"), F.coalesce("v.urban", F.lit(0)).alias("urban"))
+
+
+@query
+def f42_last_wins(spark, d):
+    """Of rows with one key, the one loaded last."""
+    return roads.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("loaded"))
+
+
+@query
+def g17_od_regression(spark, d):
+    """Routes against a baseline: lengths within 1 %, edges within 5 %."""
+    r = routes.metrics(roads.route_edge(spark, d), route_time()).select("route_id", "length_m", (C("roads") + C("junctions")).alias("edges"))
+    base = r.select("route_id", F.round(C("length_m") * (1 + (C("route_id") % 5 - 2) * 0.008), 4).alias("base_m"), (C("edges") + C("route_id") % 2).alias("base_edges"))
+    ok = (F.abs(C("length_m") - C("base_m")) <= 0.01 * C("base_m")) & (F.abs(C("edges") - C("base_edges")) <= 0.05 * C("base_edges"))
+    return r.join(base, "route_id", "left").select("route_id", ok.alias("passed"))
+
+
+@query
+def g21_nearest_node(spark, d):
+    """The nearest node to each city's centre, by cells of 2048 m around it."""
+    n = roads.node(spark, d).select("uid", "x", "z", spatial.cell(C("x"), 2048.0).alias("a"), spatial.cell(C("z"), 2048.0).alias("b"))
+    c = roads.city(spark, d).withColumn("a", F.explode(F.sequence(spatial.cell(C("cx"), 2048.0) - 1, spatial.cell(C("cx"), 2048.0) + 1))).withColumn("b", F.explode(F.sequence(spatial.cell(C("cz"), 2048.0) - 1, spatial.cell(C("cz"), 2048.0) + 1)))
+    d2 = (C("x") - C("cx")) * (C("x") - C("cx")) + (C("z") - C("cz")) * (C("z") - C("cz"))
+    return c.join(n, ["a", "b"]).where(d2 <= 2048.0 * 2048.0).groupBy("city_id").agg(F.min_by("uid", F.struct(d2.alias("d"), "uid")).alias("uid"))
+
+
+@query
+def k06_inverted_index(spark, d):
+    """Words of place names and the places that hold them."""
+    return roads.poi(spark, d).select("poi_id", F.explode(F.split(F.lower("name"), "_")).alias("word")).groupBy("word").agg(F.count("*").alias("places"), F.min("poi_id").alias("first"))
+
+
+@query
+def k13_snapshots(spark, d):
+    """Frames as JSON snapshots."""
+    return roads.frame(spark, d).select("seq", F.to_json(F.struct("vehicle", "seq", "paused", "job_dest"), {"ignoreNullFields": "false"}).alias("snapshot"))
+
+
+@query
+def w18_next_controlled(spark, d):
+    """The next junction edge at or after each route edge."""
+    at = F.min(F.when(C("kind") == 1, C("idx"))).over(routes.ahead())
+    return roads.route_edge(spark, d).select("route_id", "idx", at.alias("next_junction"))
+
+
+@query
+def p02_road_class(spark, d):
+    """Class of a road by what its type's name holds; the higher class goes first."""
+    low = F.lower("p_type")
+    return roads.table(spark, d, "part").select("p_partkey", F.when(F.contains(low, F.lit("promo")), 3).when(F.contains(low, F.lit("standard")), 2).when(F.contains(low, F.lit("economy")), 1).otherwise(0).alias("road_class"))

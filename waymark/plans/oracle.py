@@ -216,6 +216,32 @@ _SQL = {
     "f30_hex_uid": "SELECT uid, lpad(lower(to_hex(uid)), 16, '0') AS hex FROM f_node",
     "a31_fingerprint": "SELECT source, doc_id // 1000 AS block, sha256(string_agg('|' || doc_id || ':' || n_chars, '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY 1, 2",
     "s15_overlay": "SELECT p_name AS path, arg_max(p_partkey, CAST(p_size AS BIGINT) * 1000000000 - p_partkey) AS item, max(p_size) AS priority FROM part GROUP BY 1",
+    "j02_lane_class_fallback": """SELECT item, coalesce(a.class, b.class) AS class FROM (SELECT p_partkey AS item, string_split(p_name, ' ')[1] AS look FROM part) l
+      LEFT JOIN (SELECT * FROM (SELECT CASE WHEN m % 2 = 0 THEN 'road.' || look ELSE look END AS name, m AS class FROM (SELECT string_split(p_name, ' ')[1] AS look, min(p_size) AS m FROM part GROUP BY 1)) WHERE class < 40) a ON a.name = 'road.' || l.look
+      LEFT JOIN (SELECT * FROM (SELECT CASE WHEN m % 2 = 0 THEN 'road.' || look ELSE look END AS name, m AS class FROM (SELECT string_split(p_name, ' ')[1] AS look, min(p_size) AS m FROM part GROUP BY 1)) WHERE class < 40) b ON b.name = l.look""",
+    "j05_limits": """SELECT c_custkey, CAST(coalesce(l.lim, -1) AS INTEGER) AS "limit" FROM customer LEFT JOIN (SELECT n_nationkey AS country, k AS class, 30 + 10 * ((n_nationkey + k) % 9) AS lim FROM nation, (VALUES (0), (1), (2), (3)) v(k)) l
+      ON l.country = c_nationkey AND l.class = c_custkey % 6""",
+    "j10_control_nodes": """SELECT s_suppkey, control, s_suppkey * 10 + ((control - s_suppkey % 7) % n + n) % n AS node FROM (SELECT s_suppkey, s_nationkey % 5 + 2 AS n FROM supplier), (VALUES (0), (1), (2), (3)) v(control)""",
+    "j18_limit_at_endpoint": """SELECT seq, speed_limit FROM (SELECT f.seq, e.speed_limit, e.edge_id, sqrt((f.x - x1) * (f.x - x1) + (f.z - z1) * (f.z - z1)) AS d FROM f_frame f JOIN f_edge e ON abs(f.x - x1) < 30 AND abs(f.z - z1) < 30 AND speed_limit >= 0)
+      WHERE d < 30 QUALIFY row_number() OVER (PARTITION BY seq ORDER BY round(d, 9), edge_id) = 1""",
+    "a06_diagnostics": "SELECT CAST(count_if(kind = 0) AS BIGINT) AS roads, CAST(count_if(kind = 1) AS BIGINT) AS movements, CAST(count_if(kind = 2) AS BIGINT) AS ferries, count(DISTINCT semaphore_id) AS semaphores, CAST(count_if(flags > 0) AS BIGINT) AS flagged FROM f_edge",
+    "a16_sectors": "SELECT CAST(floor(x / 1000) AS BIGINT) AS sx, CAST(floor(z / 1000) AS BIGINT) AS sz, count(*) AS nodes, round(avg(y), 6) AS mean_y FROM f_node GROUP BY 1, 2",
+    "a18_poi_by_type": "SELECT kind, count(*) AS n, CAST(count_if(access_uid % 5 = 0) AS BIGINT) AS without_access FROM f_poi GROUP BY 1",
+    "a20_reach_scope": """SELECT source, count(DISTINCT uid) AS nodes, count(DISTINCT uid) < 8 AS broken FROM (WITH RECURSIVE r(source, uid, hops) AS (SELECT uid, uid, 0 FROM f_node WHERE uid % 100 = 0
+      UNION SELECT r.source, e.dst, r.hops + 1 FROM r JOIN f_edge e ON e.src = r.uid WHERE r.hops < 3 AND e.road_class <> 2) SELECT * FROM r) GROUP BY 1""",
+    "a28_connectivity": """SELECT components, largest, no_way_out, no_way_in, dead_ends FROM (SELECT count(*) AS components, max(nodes) AS largest FROM (SELECT component, count(*) AS nodes FROM f_component GROUP BY 1)),
+      (SELECT CAST(count_if(o = 0) AS BIGINT) AS no_way_out, CAST(count_if(i = 0) AS BIGINT) AS no_way_in, CAST(count_if(o + i = 1) AS BIGINT) AS dead_ends FROM (SELECT uid, sum(o) AS o, sum(i) AS i FROM (SELECT src AS uid, 1 AS o, 0 AS i FROM f_half UNION ALL SELECT dst, 0, 1 FROM f_half) GROUP BY 1))""",
+    "a34_extrapolation_error": "SELECT junction_id, max(least(off, 7000 - off)) AS max_error_ms FROM (SELECT junction_id, (wall_ms - min(wall_ms) OVER (PARTITION BY junction_id)) % 7000 AS off FROM f_signal) GROUP BY 1",
+    "f40_parallel_arrays": """SELECT n_nationkey, k AS lane, CASE WHEN k < n_nationkey % 4 + 1 THEN (k + 1) * 10 ELSE 0 END AS "limit", CASE WHEN k < n_nationkey % 3 + 1 THEN (k + 1) * 7 ELSE 0 END AS urban
+      FROM nation, (VALUES (0), (1), (2), (3)) v(k) WHERE k < greatest(n_nationkey % 4 + 1, n_nationkey % 3 + 1)""",
+    "f42_last_wins": "SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS loaded FROM events GROUP BY 1, 2",
+    "g17_od_regression": """SELECT route_id, abs(m - base_m) <= 0.01e0 * base_m AND abs(n - base_n) <= 0.05e0 * base_n AS passed FROM (SELECT *, round(m * (1 + (route_id % 5 - 2) * 0.008e0), 4) AS base_m, n + route_id % 2 AS base_n FROM (
+      SELECT route_id, round(sum(length_m), 4) AS m, count(*) AS n FROM f_route GROUP BY 1))""",
+    "g21_nearest_node": """SELECT city_id, uid FROM f_city, f_node WHERE (x - cx) * (x - cx) + (z - cz) * (z - cz) <= 2048.0e0 * 2048 QUALIFY row_number() OVER (PARTITION BY city_id ORDER BY (x - cx) * (x - cx) + (z - cz) * (z - cz), uid) = 1""",
+    "k06_inverted_index": "SELECT word, count(*) AS places, min(poi_id) AS first FROM (SELECT poi_id, unnest(string_split(lower(name), '_')) AS word FROM f_poi) GROUP BY 1",
+    "k13_snapshots": """SELECT seq, '{"vehicle":' || vehicle || ',"seq":' || seq || ',"paused":' || CASE WHEN paused THEN 'true' ELSE 'false' END || ',"job_dest":' || coalesce(CAST(job_dest AS VARCHAR), 'null') || '}' AS snapshot FROM f_frame""",
+    "w18_next_controlled": f"SELECT route_id, idx, min(CASE WHEN kind = 1 THEN idx END) OVER ({_ROUTE} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_junction FROM f_route",
+    "p02_road_class": "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'promo') THEN 3 WHEN contains(lower(p_type), 'standard') THEN 2 WHEN contains(lower(p_type), 'economy') THEN 1 ELSE 0 END AS road_class FROM part",
 }
 
 
@@ -226,4 +252,6 @@ def _pattern_sql() -> str:
     return f"SELECT * FROM ({rows}) WHERE hits > 0"
 
 
+_SQL["x02_event_fold"] = _SQL["w11_trace_events"]
+
 ORACLES: dict[str, str] = {name: _with(sql) for name, sql in _SQL.items()} | {"a36_pattern_scan": _pattern_sql()}
