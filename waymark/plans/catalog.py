@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import cost, driving, geometry, tiles
-from ..operators import events, graph, places, quality, routes, spatial, stats
+from ..operators import events, graph, junctions, places, quality, routes, spatial, stats
 from ..sources import roads
 from ..streaming import vehicle
 from ..streaming.fold import fold
@@ -658,3 +658,28 @@ def p02_road_class(spark, d):
     """Class of a road by what its type's name holds; the higher class goes first."""
     low = F.lower("p_type")
     return roads.table(spark, d, "part").select("p_partkey", F.when(F.contains(low, F.lit("promo")), 3).when(F.contains(low, F.lit("standard")), 2).when(F.contains(low, F.lit("economy")), 1).otherwise(0).alias("road_class"))
+
+
+def _junctions(spark, d):
+    """Movements of made-up junctions: one for each supplier, some of them rings with entries and exits."""
+    s = roads.table(spark, d, "supplier").select(C("s_suppkey").alias("junction_id"), (C("s_suppkey") % 5 + 3).alias("n"))
+    i = s.withColumn("i", F.explode(F.sequence(F.lit(0), C("n").cast("int") - 1)))
+    ring = i.select("junction_id", C("i").alias("entry"), ((C("i") + 1) % C("n")).alias("exit"))
+    arms = i.where("junction_id % 3 <> 0").select("junction_id", (C("i") + 100).alias("entry"), C("i").alias("exit")).union(i.where("junction_id % 3 <> 0").select("junction_id", C("i").alias("entry"), (C("i") + 200).alias("exit")))
+    apart = s.where("junction_id % 4 = 1").select("junction_id", F.lit(900).alias("entry"), F.lit(901).alias("exit"))
+    return ring.union(arms).union(apart).select("junction_id", C("entry").cast("long").alias("entry"), C("exit").cast("long").alias("exit"), (C("junction_id") % 7 * 25 + 10).cast("double").alias("length_m"))
+
+
+@query
+def g13_roundabouts(spark, d):
+    return junctions.roundabouts(_junctions(spark, d))
+
+
+@query
+def a22_movement_clusters(spark, d):
+    return junctions.clusters(_junctions(spark, d)).select("junction_id", "clusters")
+
+
+@query
+def k02_movements_without_loops(spark, d):
+    return _junctions(spark, d).where("entry <> exit").groupBy("junction_id").agg(F.count("*").alias("movements"))

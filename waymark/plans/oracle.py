@@ -241,6 +241,9 @@ _SQL = {
     "k06_inverted_index": "SELECT word, count(*) AS places, min(poi_id) AS first FROM (SELECT poi_id, unnest(string_split(lower(name), '_')) AS word FROM f_poi) GROUP BY 1",
     "k13_snapshots": """SELECT seq, '{"vehicle":' || vehicle || ',"seq":' || seq || ',"paused":' || CASE WHEN paused THEN 'true' ELSE 'false' END || ',"job_dest":' || coalesce(CAST(job_dest AS VARCHAR), 'null') || '}' AS snapshot FROM f_frame""",
     "w18_next_controlled": f"SELECT route_id, idx, min(CASE WHEN kind = 1 THEN idx END) OVER ({_ROUTE} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_junction FROM f_route",
+    "a22_movement_clusters": "SELECT s_suppkey AS junction_id, CAST(CASE WHEN s_suppkey % 4 = 1 THEN 2 ELSE 1 END AS BIGINT) AS clusters FROM supplier",
+    "g13_roundabouts": """SELECT s_suppkey AS junction_id, ok AS is_roundabout, CASE WHEN ok THEN range(s_suppkey % 5 + 3) ELSE CAST([] AS BIGINT[]) END AS ring FROM (SELECT *, s_suppkey % 3 <> 0 AND s_suppkey % 7 * 25 + 10 <= 120 AS ok FROM supplier)""",
+    "k02_movements_without_loops": "SELECT s_suppkey AS junction_id, (s_suppkey % 5 + 3) * CASE WHEN s_suppkey % 3 <> 0 THEN 3 ELSE 1 END + CASE WHEN s_suppkey % 4 = 1 THEN 1 ELSE 0 END AS movements FROM supplier",
     "p02_road_class": "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'promo') THEN 3 WHEN contains(lower(p_type), 'standard') THEN 2 WHEN contains(lower(p_type), 'economy') THEN 1 ELSE 0 END AS road_class FROM part",
 }
 
