@@ -12,6 +12,7 @@ from .ann_tree import nearest
 from .byte_cnn import fit_quality, with_quality
 from .common import SPACE_CLASS
 from .mixing import mix_sources
+from .oracles import ORACLES as ORACLES
 from .packing import pack_documents
 from .quality_rules import judge_quality
 from .simhash import near_duplicates
@@ -84,7 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_quality_rules, op2_warc, op3_mixing, op4_packing, op5_byte_cnn, op6_simhash, op7_url_filter, op8_ann, op9_substring, op10_licenses)
 }
-
-ORACLES: dict[str, str] = {
-    "op10_licenses": licenses.oracle(),
-}
