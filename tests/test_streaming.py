@@ -68,3 +68,17 @@ def test_parallel_roads_match_the_near_one(spark):
     frames = spark.createDataFrame([(7, i, i, 20.0 * i, 2.0, 0.0) for i in range(40)], "vehicle long, seq long, sim_us long, x double, z double, heading double")
     rows = vehicle.match(frames, edges).collect()
     assert len(rows) == 40 and {r["edge_id"] for r in rows} == {0} and {r["confidence"] for r in rows} == {"HIGH"}
+
+
+def test_tracker(spark):
+    route = spark.createDataFrame([(1, i, 10 + i, 1000.0) for i in range(3)], "route_id long, idx long, edge_ref long, length_m double")
+    rows = [(7, 1, s, s, e, o) for s, (e, o) in enumerate([(10, 500.0), (11, 0.0), (10, 900.0), (11, 500.0), (99, 0.0), (12, 100.0)])]
+    matches = spark.createDataFrame(rows, "vehicle long, route_id long, seq long, sim_us long, edge_ref long, offset double")
+    got = {r["seq"]: (r["idx"], r["travelled_m"], r["remaining_m"]) for r in vehicle.track(matches, route).collect()}
+    assert got == {0: (0, 500.0, 2500.0), 1: (1, 1000.0, 2000.0), 2: (0, 1000.0, 2000.0), 3: (1, 1500.0, 1500.0), 5: (2, 2100.0, 900.0)}
+
+
+def test_tracker_keeps_within_its_window():
+    state, _ = vehicle.track_step({}, {"vehicle": 1, "seq": 0, "offset": 0.0, "route_m": 9.0, "places": [{"idx": 0, "start_m": 0.0}, {"idx": 7, "start_m": 7.0}]})
+    assert state["idx"] == 0
+    assert vehicle.track_step(state, {"vehicle": 1, "seq": 1, "offset": 0.0, "route_m": 9.0, "places": [{"idx": 7, "start_m": 7.0}]})[1] is None

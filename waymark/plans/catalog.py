@@ -683,3 +683,123 @@ def a22_movement_clusters(spark, d):
 @query
 def k02_movements_without_loops(spark, d):
     return _junctions(spark, d).where("entry <> exit").groupBy("junction_id").agg(F.count("*").alias("movements"))
+
+
+@query
+def x06_tracker(spark, d):
+    """Each vehicle drives the route of its number: its frames are matched to the route's edges in turn."""
+    r = roads.route_edge(spark, d)
+    n = r.groupBy("route_id").agg(F.count("*").alias("n"))
+    f = roads.frame(spark, d).join(n, C("vehicle") == C("route_id")).withColumn("idx", (C("sim_us") / 150_000).cast("long") % C("n"))
+    matches = f.join(r.select("route_id", "idx", "edge_ref", "length_m"), ["route_id", "idx"]).withColumn("offset", C("length_m") * (C("seq") % 10) / 10)
+    return vehicle.track(matches, r).select("vehicle", "seq", "idx", F.round("travelled_m", 4).alias("travelled_m"), F.round("remaining_m", 4).alias("remaining_m"))
+
+
+@query
+def j16_turn_lookup(spark, d):
+    """Turn types of movements by junction and movement id; a missing id counts as 0, a missing turn stays null."""
+    moves = roads.edge(spark, d).where("kind = 1").select("edge_id", C("src").alias("junction_id"), F.coalesce(F.when(C("edge_id") % 3 > 0, C("edge_id") % 4), F.lit(0)).alias("movement_id"))
+    turns = roads.node(spark, d).where("uid % 2 = 0").withColumn("movement_id", F.explode(F.array(*map(F.lit, range(3))))).select(C("uid").alias("junction_id"), C("movement_id").cast("long").alias("movement_id"), ((C("uid") + C("movement_id")) % 4 - 1).alias("turn"))
+    return moves.join(turns, ["junction_id", "movement_id"], "left").select("edge_id", "turn")
+
+
+@query
+def j08_port_pairs(spark, d):
+    """Connection names split at the first dot where both halves are known ports."""
+    ports = roads.table(spark, d, "nation").select(F.when(C("n_nationkey") % 3 == 0, F.concat(F.lit("p."), C("n_nationkey"))).otherwise(F.concat(F.lit("p"), C("n_nationkey"))).alias("port"))
+    key = roads.table(spark, d, "customer").select(C("c_custkey").alias("id"), (C("c_nationkey")).alias("a"), (C("c_custkey") % 30).alias("b"))
+    name = lambda n: F.when(n % 3 == 0, F.concat(F.lit("p."), n)).otherwise(F.concat(F.lit("p"), n))
+    named = key.select("id", F.concat(name(C("a")), F.lit("."), name(C("b"))).alias("name"))
+    cuts = named.withColumn("pos", F.explode(F.sequence(F.lit(1), F.length("name")))).where(F.expr("substr(name, pos, 1) = '.'"))
+    halves = cuts.select("id", "pos", F.expr("substr(name, 1, pos - 1)").alias("left"), F.expr("substr(name, pos + 1)").alias("right"))
+    known = halves.join(ports.select(C("port").alias("left")), "left", "left_semi").join(ports.select(C("port").alias("right")), "right", "left_semi")
+    return known.groupBy("id").agg(F.min_by("left", "pos").alias("port_a"), F.min_by("right", "pos").alias("port_b"))
+
+
+@query
+def j09_terminal_pairs(spark, d):
+    """Edges between the terminals of two ports, one way or both: terminals are a port's own short list."""
+    t = roads.table(spark, d, "supplier").select("s_suppkey", F.transform(F.sequence(F.lit(0), C("s_nationkey") % 3), lambda i: C("s_suppkey") * 10 + i).alias("a"), F.transform(F.sequence(F.lit(0), C("s_suppkey") % 2), lambda i: C("s_suppkey") * 10 + i + 1).alias("b"))
+    pairs = t.withColumn("src", F.explode("a")).withColumn("dst", F.explode("b")).where("src <> dst")
+    both = pairs.where("s_suppkey % 2 = 0").select(C("s_suppkey"), C("dst").alias("src"), C("src").alias("dst"))
+    return pairs.select("s_suppkey", "src", "dst").unionByName(both)
+
+
+@query
+def v03_direction_conflicts(spark, d):
+    """Edges whose start node names another forward item."""
+    n = roads.node(spark, d).select(C("uid").alias("src"), (C("uid") * 4 + C("p_size") % 3).alias("forward"))
+    return quality.issues(roads.edge(spark, d).where("kind = 0").join(n, "src").where("forward <> edge_id"), "DIR_FORWARD_CONFLICT", "Info", "edge_id")
+
+
+@query
+def a30_access_coverage(spark, d):
+    """Share of places of each kind whose access node is an active one."""
+    active = graph.active_nodes(roads.edge(spark, d).where("road_class in (0, 1)")).select(C("uid").alias("access_uid"), F.lit(1).alias("there"))
+    return roads.poi(spark, d).where("kind in ('Company', 'Fuel', 'Garage', 'Repair')").join(active, "access_uid", "left").groupBy("kind").agg(F.count("*").alias("n"), F.count("there").alias("covered"), F.round(F.count("there") / F.count("*"), 6).alias("share"))
+
+
+@query
+def a25_junction_span(spark, d):
+    """Junction edges that join different components of the road edges alone."""
+    labels = graph.components(roads.edge(spark, d).where("kind = 0 and road_class in (0, 1)"))
+    j = roads.edge(spark, d).where("kind = 1")
+    a, b = (labels.select(C("uid").alias(c), C("component").alias(f"{c}_c")) for c in ("src", "dst"))
+    rows = j.join(a, "src").join(b, "dst")
+    return rows.agg(F.count("*").alias("junctions"), F.count_if(C("src_c") != C("dst_c")).alias("spanning"))
+
+
+@query
+def f04_turn_angle(spark, d):
+    """Angles at which edges follow one another, folded to 0 to pi, without turning back."""
+    e = roads.edge(spark, d).where("road_class = 1").withColumn("b", geometry.bearing(C("x1"), C("z1"), C("x2"), C("z2")))
+    pairs = e.select(C("edge_id").alias("from_edge"), C("src").alias("s"), C("dst").alias("via"), C("b").alias("b1")).join(e.select(C("edge_id").alias("to_edge"), C("src").alias("via"), C("dst").alias("t"), C("b").alias("b2")), "via").where("s <> t")
+    turn = F.abs(C("b2") - C("b1"))
+    return pairs.select("from_edge", "to_edge", F.round(F.least(turn, geometry.TAU - turn), 6).alias("angle"))
+
+
+@query
+def f10_yaw(spark, d):
+    a = (C("slot") % 12) * 0.5 - 3.0
+    rows = roads.light(spark, d).select("slot", a.alias("yaw"))
+    return rows.select("slot", F.round(geometry.quaternion_yaw(F.lit(0.0), F.sin(C("yaw") / 2), F.lit(0.0), F.cos(C("yaw") / 2)), 6).alias("yaw"))
+
+
+@query
+def f23_phase_extrapolation(spark, d):
+    """Seconds into the cycle since each junction's first event."""
+    e = roads.signal_event(spark, d)
+    first = F.min("sim_us").over(Window.partitionBy("junction_id"))
+    return e.select("event_id", F.pmod(C("sim_us") - first, F.lit(40_000_000)).alias("phase_us"))
+
+
+@query
+def w12_interval_stats(spark, d):
+    """Upper-median interval of each pair of phases."""
+    return stats.order_statistics(events.phase_intervals(roads.signal_event(spark, d)), ["kind", "next_kind"], "interval_ms", {"median": 0.5})
+
+
+@query
+def p13_poi_mapping(spark, d):
+    """Service numbers to kinds of place; others are dropped."""
+    kind = F.when(C("s") == 0, "Fuel").when(C("s") == 1, "Repair").when(C("s") == 2, "Company").when(C("s") == 4, "Rest")
+    return roads.table(spark, d, "orders").select("o_orderkey", (C("o_orderkey") % 6).alias("s")).select("o_orderkey", kind.alias("kind")).where("kind is not null")
+
+
+@query
+def a33_regression_tallies(spark, d):
+    """Places by kind and region: reached, and by how many signals at most."""
+    labels = graph.components(roads.edge(spark, d).where("road_class in (0, 1)"))
+    main = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component", F.lit(1).alias("main"))
+    rows = roads.poi(spark, d).join(labels, C("access_uid") == C("uid"), "left").join(F.broadcast(main), "component", "left")
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count("main").alias("in_main"))
+
+
+@query
+def a21_transit_bridges(spark, d):
+    """Pairs of land components that one ferry edge alone joins."""
+    e = roads.edge(spark, d).where("road_class in (0, 1, 2)")
+    labels = graph.components(e.where("kind in (0, 1)"))
+    a, b = (labels.select(C("uid").alias(c), C("component").alias(f"{c}_c")) for c in ("src", "dst"))
+    rows = e.where("kind = 2").join(a, "src").join(b, "dst").where("src_c <> dst_c")
+    return rows.groupBy(F.least("src_c", "dst_c").alias("a"), F.greatest("src_c", "dst_c").alias("b")).agg(F.count("*").alias("edges")).where("edges = 1").select("a", "b")

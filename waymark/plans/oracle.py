@@ -51,11 +51,21 @@ FIXTURES = {
       WITH RECURSIVE b AS (SELECT src, dst FROM f_half UNION SELECT dst, src FROM f_half),
       r(uid, label) AS (SELECT DISTINCT src, src FROM b UNION SELECT b.dst, r.label FROM r JOIN b ON r.uid = b.src WHERE r.label < b.dst)
       SELECT uid, label FROM r) GROUP BY uid""",
+    "f_roads": "SELECT * FROM f_edge WHERE kind = 0 AND road_class IN (0, 1)",
+    "f_roadcomp": """SELECT uid, min(label) AS component FROM (
+      WITH RECURSIVE b AS (SELECT src, dst FROM f_roads UNION SELECT dst, src FROM f_roads),
+      r(uid, label) AS (SELECT DISTINCT src, src FROM b UNION SELECT b.dst, r.label FROM r JOIN b ON r.uid = b.src WHERE r.label < b.dst)
+      SELECT uid, label FROM r) GROUP BY uid""",
+    "f_land": "SELECT * FROM f_edge WHERE kind IN (0, 1) AND road_class IN (0, 1, 2)",
+    "f_landcomp": """SELECT uid, min(label) AS component FROM (
+      WITH RECURSIVE b AS (SELECT src, dst FROM f_land UNION SELECT dst, src FROM f_land),
+      r(uid, label) AS (SELECT DISTINCT src, src FROM b UNION SELECT b.dst, r.label FROM r JOIN b ON r.uid = b.src WHERE r.label < b.dst)
+      SELECT uid, label FROM r) GROUP BY uid""",
 }
 
 _DEPENDS = {
     "f_edge": ["f_node"], "f_timed": ["f_edge"], "f_rtime": ["f_route"], "f_half": ["f_edge"], "f_approach": ["f_frame", "f_light"],
-    "f_near": ["f_frame", "f_edge"], "f_component": ["f_half"],
+    "f_near": ["f_frame", "f_edge"], "f_component": ["f_half"], "f_roads": ["f_edge"], "f_roadcomp": ["f_roads"], "f_land": ["f_edge"], "f_landcomp": ["f_land"],
 }
 
 
@@ -244,6 +254,28 @@ _SQL = {
     "a22_movement_clusters": "SELECT s_suppkey AS junction_id, CAST(CASE WHEN s_suppkey % 4 = 1 THEN 2 ELSE 1 END AS BIGINT) AS clusters FROM supplier",
     "g13_roundabouts": """SELECT s_suppkey AS junction_id, ok AS is_roundabout, CASE WHEN ok THEN range(s_suppkey % 5 + 3) ELSE CAST([] AS BIGINT[]) END AS ring FROM (SELECT *, s_suppkey % 3 <> 0 AND s_suppkey % 7 * 25 + 10 <= 120 AS ok FROM supplier)""",
     "k02_movements_without_loops": "SELECT s_suppkey AS junction_id, (s_suppkey % 5 + 3) * CASE WHEN s_suppkey % 3 <> 0 THEN 3 ELSE 1 END + CASE WHEN s_suppkey % 4 = 1 THEN 1 ELSE 0 END AS movements FROM supplier",
+    "j16_turn_lookup": """SELECT edge_id, t.turn FROM (SELECT edge_id, src, CASE WHEN edge_id % 3 > 0 THEN edge_id % 4 ELSE 0 END AS m FROM f_edge WHERE kind = 1) e
+      LEFT JOIN (SELECT uid, k, (uid + k) % 4 - 1 AS turn FROM f_node, (VALUES (0), (1), (2)) v(k) WHERE uid % 2 = 0) t ON t.uid = e.src AND t.k = e.m""",
+    "j08_port_pairs": """SELECT id, min_by(l, pos) AS port_a, min_by(r, pos) AS port_b FROM (SELECT id, pos, substr(name, 1, pos - 1) AS l, substr(name, pos + 1) AS r FROM (
+      SELECT id, name, unnest(range(1, length(name) + 1)) AS pos FROM (SELECT c_custkey AS id, CASE WHEN c_nationkey % 3 = 0 THEN 'p.' ELSE 'p' END || c_nationkey || '.' || CASE WHEN c_custkey % 30 % 3 = 0 THEN 'p.' ELSE 'p' END || c_custkey % 30 AS name FROM customer)) WHERE substr(name, pos, 1) = '.')
+      WHERE l IN (SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'p.' ELSE 'p' END || n_nationkey FROM nation) AND r IN (SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'p.' ELSE 'p' END || n_nationkey FROM nation) GROUP BY id""",
+    "j09_terminal_pairs": """SELECT s_suppkey, CASE WHEN w = 0 THEN a ELSE b END AS src, CASE WHEN w = 0 THEN b ELSE a END AS dst FROM (SELECT s_suppkey, s_suppkey * 10 + i AS a, s_suppkey * 10 + j + 1 AS b FROM supplier, (VALUES (0), (1), (2)) x(i), (VALUES (0), (1)) y(j)
+      WHERE i <= s_nationkey % 3 AND j <= s_suppkey % 2), (VALUES (0), (1)) z(w) WHERE a <> b AND (w = 0 OR s_suppkey % 2 = 0)""",
+    "v03_direction_conflicts": "SELECT 'DIR_FORWARD_CONFLICT' AS code, 'Info' AS severity, edge_id AS uid FROM f_edge e JOIN f_node n ON n.uid = e.src WHERE kind = 0 AND n.uid * 4 + n.p_size % 3 <> edge_id",
+    "a30_access_coverage": """SELECT kind, count(*) AS n, count(t.uid) AS covered, round(count(t.uid) / count(*), 6) AS share FROM f_poi LEFT JOIN (SELECT src AS uid FROM f_half UNION SELECT dst FROM f_half) t ON t.uid = access_uid
+      WHERE kind IN ('Company', 'Fuel', 'Garage', 'Repair') GROUP BY 1""",
+    "a25_junction_span": "SELECT count(*) AS junctions, CAST(count_if(a.component <> b.component) AS BIGINT) AS spanning FROM f_edge e JOIN f_roadcomp a ON a.uid = e.src JOIN f_roadcomp b ON b.uid = e.dst WHERE e.kind = 1",
+    "f04_turn_angle": """SELECT from_edge, to_edge, round(least(t, 2 * pi() - t), 6) AS angle FROM (SELECT a.edge_id AS from_edge, b.edge_id AS to_edge, abs(atan2(b.z2 - b.z1, b.x2 - b.x1) - atan2(a.z2 - a.z1, a.x2 - a.x1)) AS t
+      FROM f_edge a JOIN f_edge b ON b.src = a.dst AND b.dst <> a.src WHERE a.road_class = 1 AND b.road_class = 1)""",
+    "f10_yaw": "SELECT slot, round(atan2(2 * c * s, 1 - 2 * s * s), 6) AS yaw FROM (SELECT slot, sin((slot % 12 * 0.5e0 - 3.0e0) / 2) AS s, cos((slot % 12 * 0.5e0 - 3.0e0) / 2) AS c FROM f_light)",
+    "f23_phase_extrapolation": "SELECT event_id, (sim_us - min(sim_us) OVER (PARTITION BY junction_id)) % 40000000 AS phase_us FROM f_signal",
+    "w12_interval_stats": f"""SELECT kind, next_kind, n, s[n // 2 + 1] AS median, s[n] AS largest FROM (SELECT kind, next_kind, count(*) AS n, list_sort(list(interval_ms)) AS s FROM (
+      SELECT kind, lead(kind) OVER ({_WALL}) AS next_kind, lead(wall_ms) OVER ({_WALL}) - wall_ms AS interval_ms FROM f_signal WHERE kind NOT IN ('RST', 'PROF')) WHERE next_kind IS NOT NULL GROUP BY 1, 2)""",
+    "p13_poi_mapping": "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'Fuel' WHEN 1 THEN 'Repair' WHEN 2 THEN 'Company' WHEN 4 THEN 'Rest' END AS kind FROM orders WHERE o_orderkey % 6 IN (0, 1, 2, 4)",
+    "a33_regression_tallies": """SELECT kind, count(*) AS n, count(m.component) AS in_main FROM f_poi LEFT JOIN f_component c ON c.uid = access_uid
+      LEFT JOIN (SELECT component FROM f_component GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) m ON m.component = c.component GROUP BY 1""",
+    "a21_transit_bridges": """SELECT least(a.component, b.component) AS a, greatest(a.component, b.component) AS b FROM f_edge e JOIN f_landcomp a ON a.uid = e.src JOIN f_landcomp b ON b.uid = e.dst
+      WHERE e.kind = 2 AND e.road_class IN (0, 1, 2) AND a.component <> b.component GROUP BY 1, 2 HAVING count(*) = 1""",
     "p02_road_class": "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'promo') THEN 3 WHEN contains(lower(p_type), 'standard') THEN 2 WHEN contains(lower(p_type), 'economy') THEN 1 ELSE 0 END AS road_class FROM part",
 }
 

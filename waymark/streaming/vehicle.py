@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructType
 
 from ..functions.geometry import bearing
@@ -87,3 +88,31 @@ def with_candidates(frames: DataFrame, edges: DataFrame) -> DataFrame:
 def match(frames: DataFrame, edges: DataFrame) -> DataFrame:
     rows = with_candidates(frames, edges).select("vehicle", "seq", "sim_us", "heading", "candidates")
     return fold(rows, "vehicle", ["sim_us", "seq"], match_step, {}, MATCH_SCHEMA)
+
+
+TRACK_SCHEMA = StructType().add("vehicle", LongType()).add("seq", LongType()).add("idx", LongType()).add("travelled_m", DoubleType()).add("remaining_m", DoubleType())
+WINDOW = 4
+
+
+def track_step(state: dict, row: dict) -> tuple[dict, dict | None]:
+    """Progress along a route: the occurrence of the matched edge nearest to the last one, within WINDOW edges of it.
+
+    row["places"] are the edge's occurrences on the vehicle's route (idx, start_m); travelled distance never falls.
+    """
+    last = state.get("idx")
+    near = [p for p in (row["places"] if row["places"] is not None else ()) if last is None or abs(p["idx"] - last) <= WINDOW]
+    if not near:
+        return state, None
+    p = min(near, key=lambda p: (abs(p["idx"] - (last or 0)), p["idx"]))
+    travelled = max(state.get("travelled", 0.0), float(p["start_m"] + row["offset"]))
+    return {"idx": int(p["idx"]), "travelled": travelled}, {"vehicle": row["vehicle"], "seq": row["seq"], "idx": int(p["idx"]), "travelled_m": travelled, "remaining_m": float(row["route_m"]) - travelled}
+
+
+def track(matches: DataFrame, route: DataFrame) -> DataFrame:
+    """Matches (vehicle, route_id, seq, sim_us, edge_ref, offset) along routes (route_id, idx, edge_ref, length_m)."""
+    order = Window.partitionBy("route_id").orderBy("idx")
+    start = F.coalesce(F.sum("length_m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = route.withColumns({"start_m": start, "route_m": F.sum("length_m").over(Window.partitionBy("route_id"))})
+    places = placed.groupBy("route_id", "edge_ref").agg(F.collect_list(F.struct("idx", "start_m")).alias("places"), F.first("route_m").alias("route_m"))
+    rows = matches.join(places, ["route_id", "edge_ref"]).select("vehicle", "seq", "sim_us", "offset", "places", "route_m")
+    return fold(rows, "vehicle", ["sim_us", "seq"], track_step, {}, TRACK_SCHEMA)
