@@ -9,7 +9,7 @@ so an equality join on the size yields the candidates.
 from __future__ import annotations
 
 import math
-import string
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +30,7 @@ TEMPLATES = {
 
 
 def normalised_words(text: Column) -> Column:
-    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.split(F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " ")), " ")
+    return F.split(F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))), " ")
 
 
 def bigrams(words: Column) -> Column:
@@ -40,6 +39,12 @@ def bigrams(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
+def bigrams_of(text: str) -> set[tuple[str, str]]:
+    """The same of one template, for its size."""
+    words = re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return set(zip(words, words[1:]))
+
+
 def sizes_for(b: int, dice: float) -> tuple[int, int]:
     """The least and most bigrams of a unit that a template of b bigrams can fit."""
     return max(1, math.ceil(dice * b / (2 - dice) - 1e-9)), math.floor(b * (2 - dice) / dice + 1e-9)
@@ -69,9 +74,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.size(lines).alias("n_lines"),
     )
     line = F.when(F.col("at") < F.col("n_lines"), F.col("at")).otherwise(-1)
-    words = units.select("id", line.alias("line"), normalised_words(F.col("unit")).alias("words"))
-    # a unit has fewer bigrams than words; repeats only make them fewer, so only too few words can be told at once
-    paired = words.where(F.size("words") > 1).select("id", "line", bigrams(F.col("words")).alias("unit_pairs")).withColumn("size", F.size("unit_pairs"))
+    # exploding an array of one keeps what is made in it from being made again by each later use
+    words = units.select("id", line.alias("line"), F.explode(F.array(normalised_words(F.col("unit")))).alias("words"))
+    # n distinct bigrams hold at most n + 1 distinct words: units too large for any template go before they are paired
+    most = max((sizes_for(len(bigrams_of(t)), dice)[1] for t in (TEMPLATES if templates is None else templates).values()), default=0)
+    fits = F.when(F.size("words") > most + 1, F.size(F.array_distinct("words")) <= most + 1).otherwise(F.size("words") > 1)
+    paired = words.where(fits).select("id", "line", F.explode(F.array(bigrams(F.col("words")))).alias("unit_pairs")).withColumn("size", F.size("unit_pairs"))
     found = paired.join(F.broadcast(known), "size")
     score = 2.0 * F.size(F.array_intersect("unit_pairs", "pairs")) / (F.col("size") + F.col("b"))
     return found.select("id", "line", "licence", score.alias("dice")).where(F.col("dice") >= dice).withColumnRenamed("id", id_col)
@@ -80,7 +88,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def oracle(dice: float = 0.8) -> str:
     """DuckDB SQL for scan_licenses() over documents."""
     values = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items())
-    words = "string_split(trim(regexp_replace(translate({}, '" + string.ascii_uppercase + "', '" + string.ascii_lowercase + "'), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    words = "string_split(trim(lower(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')"
     pairs = "list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))"
     return f"""
 WITH templates AS (SELECT licence, {pairs} AS pairs FROM (SELECT licence, {words.format('text')} AS words FROM (VALUES {values}) v(licence, text))),

@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import chunks, id_key, joined, key_id, stage, text_bytes, word_hashes, word_spans
 
 #: A worker forgets its words when it holds this many; they are only a cache.
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 300_000
 #: Ranks are counted over buckets of about this many items.
 _BUCKET_ITEMS = 20_000
 

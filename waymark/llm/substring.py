@@ -5,7 +5,8 @@ Every window is hashed; what is shuffled are runs of consecutive windows that sh
 Rabin-Karp hash of the `anchor`-word windows within. Equal windows have equal minimisers, and a run never holds
 two equal windows, so nothing is lost:
 
-1. runs are counted by minimiser; a minimiser seen once holds no repeated window;
+1. runs are counted by minimiser; a minimiser seen once holds no repeated window. The others are marked in a bitmap
+   of bounded size, by which each task drops runs before they are shuffled; a wrongly kept run does no harm;
 2. runs with equal words (a second, independent hash) repeat as a whole, all but the earliest;
 3. where a minimiser has runs with different words, the windows of each earliest run are counted one by one.
 
@@ -17,15 +18,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import as_long, chunks, id_key, joined, key_id, stage, text_bytes, window_hashes, word_hashes, word_spans
 
-_PIECE = 40  # rows that share an id are parts of one document; the part's number stands above the word's
+_PIECE = 32  # rows that share an id are parts of one document; the part's number stands above the word's
+#: Bits of the bitmap of repeated minimisers: 16 to each, up to 32 MB, however large the corpus.
+_BITS_PER_KEY, _BITMAP_BITS = 16, 1 << 28
 _FIRST, _SECOND = 11, 29  # seeds of the two independent hash families
+_BASE = 0xD1B54A32D192ED03  # of the windows' second hash
 
 
 def _window_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -40,114 +45,150 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
-def _hashed(texts: list[bytes]):
-    """Words of all texts: document of each word, its number in the document, and its two hashes."""
+def _words(texts: list[bytes]):
+    """Words of all texts: the buffer, their first bytes and ends, the text of each, and each text's first word."""
     buf, offsets = joined(texts)
     starts, ends = word_spans(buf)
-    doc = np.searchsorted(offsets, starts, side="right") - 1
-    first = np.searchsorted(starts, offsets[:-1])
-    return doc, np.arange(len(starts)) - first[doc], word_hashes(buf, starts, ends, _FIRST), word_hashes(buf, starts, ends, _SECOND)
+    first = np.searchsorted(starts, offsets)
+    return buf, starts, ends, np.repeat(np.arange(len(texts)), np.diff(first)), first[:-1]
 
 
-def _runs(width: int, anchor: int):
-    schema = pa.schema([("key", pa.int64()), ("words", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
+def _marks(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The two bits of each key in a bitmap of `bits` bits, a power of two."""
+    return [(keys >> np.uint64(shift)) & np.uint64(bits - 1) for shift in (0, 32)]
 
+
+def _runs_of(texts: list[bytes], width: int, anchor: int):
+    """Runs of windows that share a minimiser: key, first word and size of each, and the words they come from."""
+    words = _words(texts)
+    buf, starts, ends, doc, _ = words
+    if len(doc) < width:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), words
+    n = len(doc) - width + 1
+    whole = doc[:n] == doc[width - 1 :]
+    anchors = window_hashes(word_hashes(buf, starts, ends, _FIRST), anchor)
+    where = _window_min(anchors, width - anchor + 1)
+    new = whole.copy()
+    new[1:] &= ~whole[:-1] | (where[1:] != where[:-1])
+    begin = np.flatnonzero(new)
+    stop = np.flatnonzero(whole & np.append(new[1:] | ~whole[1:], True)) + 1
+    return anchors[where[begin]], begin, stop - begin, words
+
+
+def _keys(width: int, anchor: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            for lo, hi in chunks(texts):
+                yield pa.record_batch([pa.array(as_long(_runs_of(texts[lo:hi], width, anchor)[0]))], names=["key"])
+
+    return run
+
+
+_RUN = "key long, words long, doc long, at long, n int"
+_RUN_SCHEMA = pa.schema([("key", pa.int64()), ("words", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
+
+
+def _runs(width: int, anchor: int, bitmap: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
         for b in batches:
             ids, parts, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
             for lo, hi in chunks(texts):
-                doc, pos, first, second = _hashed(texts[lo:hi])
-                if len(doc) < width:
-                    continue
-                n = len(doc) - width + 1
-                whole = doc[:n] == doc[width - 1 :]
-                anchors = window_hashes(first, anchor)
-                where = _window_min(anchors, width - anchor + 1)
-                new = whole.copy()
-                new[1:] &= ~whole[:-1] | (where[1:] != where[:-1])
-                begin = np.flatnonzero(new)
-                if not len(begin):
+                keys, begin, sizes, (buf, starts, ends, doc, first) = _runs_of(texts[lo:hi], width, anchor)
+                keep = np.ones(len(keys), dtype=bool)
+                for mark in _marks(keys, 64 * len(bits)):
+                    keep &= (bits[mark >> np.uint64(6)] >> (mark & np.uint64(63))) & np.uint64(1) == 1
+                keys, begin, sizes = keys[keep], begin[keep], sizes[keep]
+                if not len(keys):
                     continue
-                stop = np.flatnonzero(whole & np.append(new[1:] | ~whole[1:], True)) + 1
-                sizes = stop - begin
+                second = word_hashes(buf, starts, ends, _SECOND)
                 words = np.empty(len(begin), dtype=np.uint64)
                 for size in np.unique(sizes):
                     pick = np.flatnonzero(sizes == size)
-                    words[pick] = window_hashes(second, int(size) + width - 1, 0xD1B54A32D192ED03)[begin[pick]]
-                yield pa.record_batch(
-                    [
-                        pa.array(as_long(anchors[where[begin]])),
-                        pa.array(as_long(words * np.uint64(0x9E3779B97F4A7C15) + sizes.astype(np.uint64))),
-                        pa.array(ids[lo:hi][doc[begin]]),
-                        pa.array((parts[lo:hi].astype(np.int64) << _PIECE)[doc[begin]] + pos[begin]),
-                        pa.array(sizes.astype(np.int32)),
-                    ],
-                    schema=schema,
-                )
+                    words[pick] = window_hashes(second, int(size) + width - 1, _BASE)[begin[pick]]
+                words = words * np.uint64(0x9E3779B97F4A7C15) + sizes.astype(np.uint64)
+                d = doc[begin]
+                at = (parts[lo:hi].astype(np.int64) << _PIECE)[d] + begin - first[d]
+                yield pa.record_batch([pa.array(as_long(keys)), pa.array(as_long(words)), pa.array(ids[lo:hi][d]), pa.array(at), pa.array(sizes.astype(np.int32))], schema=_RUN_SCHEMA)
 
     return run
 
 
-def _of_part(runs: pa.Scalar, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words and sizes of the runs in one part of a document."""
-    at, n = (runs.values.field(f).to_numpy(zero_copy_only=False) for f in ("at", "n"))
-    here = at >> _PIECE == part
-    return at[here] & ((1 << _PIECE) - 1), n[here].astype(np.int64)
-
-
 def _windows(width: int):
     """(id, part, text, [(at, n)]) to the windows of those runs."""
-    schema = pa.schema([("key", pa.int64()), ("words", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, parts, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
             runs = b.column(3)
             for lo, hi in chunks(texts):
-                doc, pos, first, second = _hashed(texts[lo:hi])
-                if len(doc) < width:
-                    continue
-                one, two = window_hashes(first, width), window_hashes(second, width, 0xD1B54A32D192ED03)
-                base = np.searchsorted(doc, np.arange(hi - lo))
-                take = []
-                for k in range(lo, hi):
-                    for at, n in zip(*_of_part(runs[k], parts[k])):
-                        take.append(np.arange(base[k - lo] + at, base[k - lo] + at + n))
+                buf, starts, ends, doc, first = _words(texts[lo:hi])
+                take = [np.arange(first[k - lo] + at, first[k - lo] + at + n) for k in range(lo, hi) for at, n in zip(*_of_part(runs[k], parts[k]))]
                 if take:
                     w = np.concatenate(take)
+                    one, two = (window_hashes(word_hashes(buf, starts, ends, seed), width, base)[w] for seed, base in ((_FIRST, _BASE), (_SECOND, _BASE)))
                     d = doc[w]
-                    yield pa.record_batch([pa.array(as_long(one[w])), pa.array(as_long(two[w])), pa.array(ids[lo:hi][d]), pa.array((parts[lo:hi].astype(np.int64) << _PIECE)[d] + pos[w]), pa.array(np.ones(len(w), dtype=np.int32))], schema=schema)
+                    at = (parts[lo:hi].astype(np.int64) << _PIECE)[d] + w - first[d]
+                    yield pa.record_batch([pa.array(as_long(one)), pa.array(as_long(two)), pa.array(ids[lo:hi][d]), pa.array(at), pa.array(np.ones(len(w), dtype=np.int32))], schema=_RUN_SCHEMA)
 
     return run
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, part, text): rows that share an id are numbered in the order of their texts."""
-    rows = docs.select(id_key(F.col(f"`{id_col}`")).alias("doc"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
-    return rows.withColumn("part", F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1).select("doc", "part", "text")
+def _of_part(runs: pa.Scalar, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and sizes of the runs in one part of a document."""
+    at, n = (runs.values.field(f).to_numpy(zero_copy_only=False) for f in ("at", "n"))
+    here = at >> _PIECE == part
+    return at[here] & ((1 << _PIECE) - 1), n[here].astype(np.int64)
+
+
+def _part(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """0 where ids are unique. Else a hash of the text: rows alike in id and text are one part of a document."""
+    unique = docs.groupBy(id_key(F.col(f"`{id_col}`")).alias("doc")).agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    return F.lit(0) if unique else F.shiftrightunsigned(F.xxhash64(text_bytes(F.col(f"`{text_col}`"))), 33).cast("int")
 
 
-def _later(rows: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, part: Column) -> DataFrame:
+    return docs.select(id_key(F.col(f"`{id_col}`")).alias("doc"), part.alias("part"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
+
+
+def _after(rows: DataFrame, first: DataFrame) -> DataFrame:
     """The rows whose (key, words) also stand at an earlier (doc, at)."""
-    first = rows.groupBy("key", "words").agg(F.min(F.struct("doc", "at", "n")).alias("first"), F.count("*").alias("c")).where("c > 1")
     return rows.join(first.select("key", "words", "first"), ["key", "words"]).where(F.struct("doc", "at", "n") > F.col("first")).select("doc", "at", "n")
 
 
+def _later(rows: DataFrame) -> DataFrame:
+    first = rows.groupBy("key", "words").agg(F.min(F.struct("doc", "at", "n")).alias("first"), F.count("*").alias("c"))
+    return _after(rows, first.where("c > 1"))
+
+
 def _of_docs(rows: DataFrame) -> DataFrame:
     """A document's rows as one array; all its parts together, so that texts need not be dealt out anew by part."""
     return rows.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
 
-def _spans(numbered: DataFrame, raw: DataFrame, width: int, anchor: int) -> DataFrame:
-    made = "key long, words long, doc long, at long, n int"
-    keys = raw.mapInArrow(_runs(width, anchor), made).groupBy("key").agg(F.count("*").alias("c"), F.min("words").alias("lo"), F.max("words").alias("hi"))
-    keys = stage(keys.where("c > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
-    runs = numbered.mapInArrow(_runs(width, anchor), made).join(keys, "key")
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """The bitmap of keys: bits are joined in Spark, so at most _BITMAP_BITS / 64 rows come to the driver."""
+    size = min(_BITMAP_BITS, 1 << max(16, (_BITS_PER_KEY * keys.count()).bit_length()))
+    marks = [F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(size - 1)) for shift in (0, 32)]
+    bits = keys.select(F.explode(F.array(*marks)).alias("m")).select(F.shiftright("m", 6).alias("word"), F.expr("shiftleft(1L, cast(m & 63 as int))").alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(size // 64, dtype=np.uint64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _spans(rows: DataFrame, width: int, anchor: int) -> DataFrame:
+    counted = rows.mapInArrow(_keys(width, anchor), "key long").groupBy("key").agg(F.count("*").alias("c"))
+    repeated = stage(counted.where("c > 1").select("key"), "repeated")
+    bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(repeated))
+    runs = stage(rows.mapInArrow(_runs(width, anchor, bitmap), _RUN), "runs")
+    first = stage(runs.groupBy("key", "words").agg(F.min(F.struct("doc", "at", "n")).alias("first"), F.count("*").alias("c")), "first_runs")
     # windows of the earliest run of each word sequence, where a minimiser has several
-    single = runs.where("mixed").groupBy("key", "words").agg(F.min(F.struct("doc", "at", "n")).alias("r")).select("r.*")
-    windows = numbered.join(_of_docs(single), "doc").select("doc", "part", "text", "runs")
-    windows = windows.mapInArrow(_windows(width), made)
-    return _later(runs).unionByName(_later(windows))
+    mixed = first.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    single = first.join(mixed, "key", "left_semi").select("first.*")
+    windows = rows.join(_of_docs(single), "doc").select("doc", "part", "text", "runs").mapInArrow(_windows(width), _RUN)
+    return _after(runs, first.where("c > 1")).unionByName(_later(windows))
 
 
 def _intervals(starts: np.ndarray, sizes: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -161,26 +202,29 @@ def _intervals(starts: np.ndarray, sizes: np.ndarray, width: int) -> list[tuple[
     return list(zip(starts[np.concatenate(([0], cut + 1))].tolist(), ends[np.concatenate((cut, [len(ends) - 1]))].tolist()))
 
 
+def _cut(text: bytes, at: np.ndarray, n: np.ndarray, width: int) -> tuple[int, int, list[tuple[int, int]], str]:
+    """Words, removed words, the word intervals to remove, and the text without them."""
+    starts, _ = word_spans(np.frombuffer(text, dtype=np.uint8))
+    spans = _intervals(at, n, width)
+    kept, done = [], 0
+    for lo, hi in spans:
+        kept.append(text[done : starts[lo]])
+        done = int(starts[hi]) if hi < len(starts) else len(text)
+    kept.append(text[done:])
+    return len(starts), sum(hi - lo for lo, hi in spans), spans, b"".join(kept).decode("utf-8", "replace")
+
+
 def _removal(width: int):
-    schema = pa.schema([("doc", pa.int64()), ("part", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
+    none = np.empty(0, dtype=np.int64)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    schema = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", span), ("kept_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, parts, texts, runs = b.column(0), b.column(1), b.column(2).to_pylist(), b.column(3)
-            out: list[list] = [[], [], [], []]
-            for k, text in enumerate(texts):
-                starts, ends = word_spans(np.frombuffer(text, dtype=np.uint8))
-                spans = []
-                if runs[k].is_valid:
-                    spans = _intervals(*_of_part(runs[k], parts[k].as_py()), width)
-                kept, done, gone = [], 0, 0
-                for lo, hi in spans:
-                    kept.append(text[done : starts[lo]])
-                    done, gone = int(starts[hi]) if hi < len(starts) else len(text), gone + hi - lo
-                kept.append(text[done:])
-                for column, value in zip(out, (len(starts), gone, [{"start": lo, "end": hi} for lo, hi in spans], b"".join(kept).decode("utf-8", "replace"))):
-                    column.append(value)
-            yield pa.record_batch([ids, parts.cast(pa.int32()), *(pa.array(c, type=f.type) for c, f in zip(out, list(schema)[2:]))], schema=schema)
+            parts, runs = b.column(1).to_pylist(), b.column(3)
+            made = [_cut(t, *(_of_part(r, p) if r.is_valid else (none, none)), width) for t, p, r in zip(b.column(2).to_pylist(), parts, runs)]
+            spans = [[{"start": lo, "end": hi} for lo, hi in m[2]] for m in made]
+            yield pa.record_batch([b.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array(spans, span), pa.array([m[3] for m in made], pa.string())], schema=schema)
 
     return run
 
@@ -190,26 +234,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are runs of bytes other than ASCII white space. kept_text is the text without the removed words and the
     white space after them. Null texts have no words and an empty kept_text; texts shorter than `width` words are
-    kept; rows that share an id (a null id comes before all others) are parts of one document, in the order of
-    their texts, and windows don't span parts; an empty table gives an empty table; other columns are ignored.
+    kept; a null id comes before all others. Rows that share an id are parts of one document, in an order by hash;
+    windows don't span parts, and rows alike in id and text are one part, which does not repeat itself. An empty
+    table gives an empty table; other columns are ignored.
     """
-    return _removed(docs, id_col, text_col, width, anchor).select(key_id("doc").alias(id_col), "n_words", "n_removed", "removed", "kept_text")
-
-
-def _removed(docs: DataFrame, id_col: str, text_col: str, width: int, anchor: int | None) -> DataFrame:
-    anchor = anchor or max(1, min(6, width // 3))
-    numbered = _numbered(docs, id_col, text_col)
-    raw = docs.select(id_key(F.col(f"`{id_col}`")).alias("doc"), F.lit(0).alias("part"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
-    spans = _spans(numbered, raw, width, anchor)
-    rows = numbered.join(_of_docs(spans), "doc", "left").select("doc", "part", "text", "runs")
-    return rows.mapInArrow(_removal(width), "doc long, part int, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
+    rows = _rows(docs, id_col, text_col, _part(docs, id_col, text_col))
+    spans = _spans(rows, width, anchor or max(1, min(6, width // 3)))
+    cut = rows.join(_of_docs(spans), "doc", "left").select("doc", "part", "text", "runs")
+    made = cut.mapInArrow(_removal(width), "doc long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
+    return made.select(key_id("doc").alias(id_col), "n_words", "n_removed", "removed", "kept_text")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
     """All columns of `docs`, with repeated passages cut from the text; every row stays."""
-    cut = _removed(docs, id_col, text_col, width, None).where("n_removed > 0").select("doc", "part", "kept_text")
-    rows = docs.withColumn("__doc", id_key(F.col(f"`{id_col}`")))
-    rows = rows.withColumn("__part", F.row_number().over(Window.partitionBy("__doc").orderBy(text_bytes(F.col(f"`{text_col}`")))) - 1)
-    found = rows.join(cut, (rows["__doc"] == cut.doc) & (rows["__part"] == cut.part), "left")
-    text = F.coalesce("kept_text", F.col(f"`{text_col}`"))
-    return found.select(*[text.alias(c) if c == text_col else rows[f"`{c}`"] for c in docs.columns])
+    part = _part(docs, id_col, text_col)
+    spans = _of_docs(_spans(_rows(docs, id_col, text_col, part), width, max(1, min(6, width // 3))))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, parts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for text, p, at, n in zip(texts, parts, starts, sizes):
+            here = at >> _PIECE == p
+            out.append(_cut(text, at[here] & ((1 << _PIECE) - 1), n[here].astype(np.int64), width)[3])
+        return pd.Series(out, dtype=object)
+
+    text = F.col(f"`{text_col}`")
+    none = F.array().cast("array<long>")
+    found = docs.withColumns({"__doc": id_key(F.col(f"`{id_col}`")), "__part": part})
+    found = found.join(spans.select(F.col("doc").alias("__doc"), F.col("runs.at").alias("__at"), F.col("runs.n").cast("array<long>").alias("__n")), "__doc", "left")
+    changed = F.col("__at").isNotNull()
+    kept = cut(F.when(changed, text_bytes(text)).otherwise(F.lit(b"")), F.col("__part"), F.coalesce("__at", none), F.coalesce("__n", none))
+    return found.select(*[F.when(changed, kept).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
