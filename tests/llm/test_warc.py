@@ -47,7 +47,7 @@ def digest(found):
 
 def test_round_trip(spark):
     rows = [(i, f"http://h{i % 7}.example.com/p{i % 50}", None if i % 41 == 0 else "x" * (i % 13) if i % 3 else f"<p>page {i} ü</p>" * 50) for i in range(2000)]
-    rows += [(5000, None, "<p>no url</p>"), (5001, "not a url", ""), (5002, "http://x/" + "y" * 3000, "z" * 300_000), (5003, "http://x/ \n\x07", "\x00\r\n\r\n")]
+    rows += [(5000, None, "<p>no url</p>"), (5001, "not a url", ""), (5002, "http://x/" + "y" * 3000, "z" * 300_000), (5003, "http://x/ \n\x07", "\x00\r\n\r\n"), (5004, "http://x/a\u2028b\x85c {", "<p>separators</p>")]
     pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, key string, id int").repartition(5)
     for least in (0, 5):
         archive = write_archive(pages, min_revisit_bytes=least)

@@ -234,7 +234,7 @@ def lookup(archive: Archive, wanted: DataFrame, id_col: str = "page_id", url_col
                     if block != at:
                         text = zlib.decompress(_range(fs, path, shards, *directory[block][1:])).decode()
                         at, entries = block, {}
-                        for line in text.splitlines():
+                        for line in text.split("\n")[:-1]:
                             k, _, entry = line.rpartition(" {")
                             entries.setdefault(k, "{" + entry)
                     found = key in entries
