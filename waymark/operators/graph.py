@@ -38,21 +38,32 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("uid").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """One round: nodes above a node move to its least neighbour, then each node's lower neighbours to the least of them."""
+    both = links.unionByName(links.select(F.col("low").alias("high"), F.col("high").alias("low")))
+    least = both.groupBy("high").agg(F.min("low").alias("m")).select("high", F.least("high", "m").alias("m"))
+    up = both.join(least, "high").where("low > high").select(F.col("low").alias("high"), F.col("m").alias("low")).distinct()
+    least = up.groupBy("high").agg(F.min("low").alias("m"))
+    down = up.join(least, "high").where("low <> m").select(F.col("low").alias("high"), F.col("m").alias("low"))
+    return down.unionByName(least.select("high", F.col("m").alias("low"))).distinct()
+
+
+def _print(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(uid, component): weakly connected components, named by their smallest node; minimum labels with shortcuts."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
-    both = checkpoint(both)
-    labels = active_nodes(edges).withColumn("component", F.col("uid"))
-    while True:
-        near = both.join(labels, both.src == labels.uid).groupBy("dst").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels.uid == near.dst, "left").select("uid", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        # the label's own label is nearer still
-        jump = step.select(F.col("uid").alias("component"), F.col("component").alias("further"))
-        step = step.join(jump, "component", "left").select("uid", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
-        step = checkpoint(step)
-        labels = step.select("uid", "component")
-        if step.where("old <> component").isEmpty():
-            return labels
+    """(uid, component): weakly connected components, named by their smallest node.
+
+    Rounds of star operations, about as many as the logarithm of the graph's size, however long its paths are.
+    """
+    links = checkpoint(edges.where("src <> dst").select(F.greatest("src", "dst").alias("high"), F.least("src", "dst").alias("low")).distinct())
+    before, after = None, _print(links)
+    while after != before:
+        links = checkpoint(_stars(links))
+        before, after = after, _print(links)
+    stars = links.select(F.col("high").alias("uid"), F.col("low").alias("component"))
+    return active_nodes(edges).join(stars, "uid", "left").select("uid", F.coalesce("component", "uid").alias("component"))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

@@ -13,9 +13,10 @@ from ..operators import events, graph, junctions, places, quality, routes, spati
 from ..sources import roads
 from ..streaming import vehicle
 from ..streaming.fold import fold
-from .oracle import ORACLES
+from . import network, oracle
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(network.QUERIES)
+ORACLES: dict[str, str] = oracle.ORACLES | {name: oracle.with_tables(sql) for name, sql in network.SQL.items()}
 
 C = F.col
 

@@ -69,7 +69,7 @@ _DEPENDS = {
 }
 
 
-def _with(sql: str) -> str:
+def with_tables(sql: str) -> str:
     """Puts the derived tables that a query names before it."""
     wanted: list[str] = []
 
@@ -289,4 +289,4 @@ def _pattern_sql() -> str:
 
 _SQL["x02_event_fold"] = _SQL["w11_trace_events"]
 
-ORACLES: dict[str, str] = {name: _with(sql) for name, sql in _SQL.items()} | {"a36_pattern_scan": _pattern_sql()}
+ORACLES: dict[str, str] = {name: with_tables(sql) for name, sql in _SQL.items()} | {"a36_pattern_scan": _pattern_sql()}
