@@ -14,15 +14,15 @@ from waymark.llm.common import stage
 from waymark.llm.mixing import mixed_documents
 from waymark.llm.packing import pack_documents
 from waymark.llm.queries import tokenizer_path
-from waymark.llm.simhash import drop_near_duplicates
+from waymark.llm.shingles import drop_similar
 from waymark.llm.substring import drop_repeats
 
 #: Documents with a lower probability of good quality go.
 QUALITY = 0.5
-#: Near-duplicates share five-word shingles.
-SHINGLE = 5
+#: Near-duplicates have this Jaccard similarity of five-word shingles at least.
+SHINGLE, SIMILARITY = 5, 0.8
 
-#: No SQL: the stages learn a model, hash with XXH64 and tokenise.
+#: No SQL: the stages learn a model, hash texts and tokenise.
 ORACLE_SQL = None
 
 
@@ -34,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the one with the smallest id."""
-    return drop_near_duplicates(docs, shingle=SHINGLE)
+    return drop_similar(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

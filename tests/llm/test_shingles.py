@@ -1,0 +1,91 @@
+"""Shingle similarity against brute force over all pairs."""
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tests.compare import DATA
+from waymark.llm import shingles
+
+from .conftest import DOCS, words
+
+
+def plain_set(text, size=5):
+    ws = (text or "").encode().lower().split()
+    return frozenset(b" ".join(ws[i : i + size]) for i in range(max(1, len(ws) - size + 1))) if ws else frozenset()
+
+
+def plain_groups(rows, similarity=0.8):
+    """{id: smallest id of its component} over all pairs; the sets that meet in no shingle are not alike."""
+    sets = [plain_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) / len(a | b) >= similarity):
+                x, y = top(i), top(j)
+                parent[max(x, y)] = min(x, y)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[top(k)] = min(least.get(top(k), i), i)
+    return {i: least[top(k)] for k, (i, _) in enumerate(rows)}
+
+
+def edited(rng, n):
+    """A text and copies with more and more changed words: similarity about 0.95 to 0.6 to the first."""
+    base = words(rng, n, 5000)
+    for k in range(12):
+        copy = list(base)
+        for at in range(k):
+            copy[at * (n // 12) + 3] = f"changed{k}x{at}"
+        yield " ".join(copy)
+
+
+def test_edited_copies_against_brute_force(spark, docs):
+    rng = random.Random(7)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rows += [(1000 + i, t) for i, t in enumerate(t for n in (24, 60, 130, 400) for t in edited(rng, n))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in shingles.similar_groups(df).collect()} == plain_groups(rows)
+
+
+def test_stage_takes_similarity_not_bits(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    kept = corpus_pipeline.near_duplicates(spark, docs, f"{DATA}/sf0.01")
+    want = plain_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_members_apart_from_the_first_are_compared():
+    """Pairs across components, in blocks, over batches that cut runs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(k), int(c), int(c) * 1000 + int(x), 10) for k, c, x in zip(rng.integers(0, 4, 900), rng.integers(0, 9, 900), rng.integers(0, 50, 900))})
+    cols = np.array(rows, dtype=np.int64).T
+    batches = [pa.record_batch([pa.array(c[lo : lo + 70]) for c in cols], names=["key", "c", "same", "n"]) for lo in range(0, len(rows), 70)]
+    found = [(u, v) for b in shingles._across(0.8)(iter(batches)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    want = [(min(a[2], b[2]), max(a[2], b[2])) for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] and a[1] != b[1]]
+    assert sorted(found) == sorted(want)
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    rows = shingles.similar_groups(odd_docs).collect()
+    assert len(rows) == 8
+    assert {r["component_id"] for r in rows if r["doc_id"] == 7} == {None}
+    assert shingles.similar_groups(no_docs).count() == shingles.drop_similar(no_docs).count() == 0
+    assert shingles.drop_similar(odd_docs).columns == DOCS.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+
+
+@pytest.mark.parametrize("text", [b"", b" \n ", b"one", b"A b c d e", b"a B c d e f a b c d e f"])
+def test_sets_have_as_many_members(text):
+    assert len(shingles.shingle_set(text)) == len(plain_set(text.decode()))

@@ -1,0 +1,186 @@
+"""Near-duplicate groups of documents by Jaccard similarity of their word shingles.
+
+A text is the set of hashes of its word shingles (a shorter text has one, all its words). Texts with the same set are
+one class. Minima of seeded scramblings of the hashes agree with the sets' similarity as their chance; `ROWS` of them
+make the key of one of `BANDS` bands, so that a pair of similarity 0.8 shares none with a chance of
+(1 - 0.8**4)**24 = 3e-6. Classes that share a key are candidates, and only pairs whose whole sets have the similarity
+are linked.
+
+Each key's members are first compared with its smallest member alone; then those which that leaves apart are compared
+in full. Large groups of near copies so cost few pairs, and no two members of a key stay apart unseen.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import id_key, key_id, mix64, stage, text_bytes, window_hashes, word_hashes, word_spans
+from .components import connected_components
+
+BANDS, ROWS = 24, 4
+#: Pairs are made in blocks of about this many.
+_BLOCK = 1 << 16
+
+
+def shingle_set(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of the lower-cased text's shingles; empty for a text without words."""
+    buf = np.frombuffer(text.lower(), dtype=np.uint8)
+    starts, ends = word_spans(buf)
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64)
+    values = word_hashes(buf, starts, ends, seed)
+    return np.unique(mix64(window_hashes(values, min(shingle, len(values))) + np.uint64(min(shingle, len(values)))))
+
+
+def set_hash(values: np.ndarray) -> np.uint64:
+    """A hash of a whole sorted set."""
+    return np.uint64(len(values)) + mix64(values + np.arange(1, len(values) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
+
+
+def _scramblers(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64), rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(values: np.ndarray, seed: int = 42) -> np.ndarray:
+    """One key per band of a set; none for the empty set."""
+    if not len(values):
+        return np.empty(0, dtype=np.uint64)
+    flips, factors = _scramblers(seed)
+    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for lo in range(0, len(values), 1 << 12):
+        least = np.minimum(least, ((values[lo : lo + (1 << 12), None] ^ flips) * factors).min(axis=0))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + row)
+    return keys
+
+
+def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of rows sorted by their first column: batches of columns and the first row of each run, begun runs carried over."""
+    for b in batches:
+        rows = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)])
+        if rows.shape[1]:
+            yield rows, np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+
+
+def _with_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, same) sorted by both to pairs (u, v) of each key's first member and the others."""
+    key = hub = None
+    for rows, starts in _runs(batches, 2):
+        hubs = rows[1, starts]
+        if rows[0, 0] == key:
+            hubs[0] = hub
+        key, hub = rows[0, -1], hubs[-1]
+        u = np.repeat(hubs, np.diff(np.concatenate((starts, [rows.shape[1]]))))
+        apart = u != rows[1]
+        yield pa.record_batch([pa.array(u[apart]), pa.array(rows[1, apart])], names=["u", "v"])
+
+
+def _across(similarity: float):
+    """Rows (key, c, same, n) sorted by the first three to pairs of a key's members in different components."""
+
+    def pairs(run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        c, same, n = run[1:]
+        ends = np.searchsorted(c, c, side="right")
+        rest = len(c) - ends
+        cuts = np.searchsorted(np.cumsum(rest), np.arange(0, rest.sum(), _BLOCK), side="right")
+        bounds = np.unique(np.concatenate((cuts, [0, len(c)])))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            count = rest[lo:hi]
+            if not count.sum():
+                continue
+            a = np.repeat(np.arange(lo, hi), count)
+            b = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ends[lo:hi], count)
+            near = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
+            x, y = same[a[near]], same[b[near]]
+            yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for rows, starts in _runs(batches, 4):
+            parts = np.split(rows, starts[1:], axis=1)
+            if held and held[0][0, 0] != rows[0, 0]:
+                yield from pairs(np.concatenate(held, axis=1))
+                held = []
+            for part in parts[:-1]:
+                yield from pairs(np.concatenate([*held, part], axis=1))
+                held = []
+            held.append(parts[-1])
+        if held:
+            yield from pairs(np.concatenate(held, axis=1))
+
+    return run
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose whole sets have the similarity."""
+    left = sets.select(F.col("same").alias("u"), F.col("hashes").alias("a"))
+    right = sets.select(F.col("same").alias("v"), F.col("hashes").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.join(right, "v").join(left, "u").where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """One row per document: id, component_id, the smallest id reachable over links of at least the similarity.
+
+    Null or empty texts are alike; a null id counts as smaller than every id, so a component that holds one has a
+    null component_id; repeated rows give repeated rows; an empty table gives an empty table; other columns are ignored.
+    """
+
+    @F.pandas_udf("struct<n long, same long, keys array<long>>")
+    def sketches(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, shingle, seed) for t in texts]
+        same = np.array([set_hash(s) for s in sets], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"n": [len(s) for s in sets], "same": same, "keys": [band_keys(s, seed).view(np.int64) for s in sets]})
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle, seed).view(np.int64) for t in texts])
+
+    @F.pandas_udf("long")
+    def same_of(sets: pd.Series) -> pd.Series:
+        return pd.Series(np.array([set_hash(np.asarray(s, dtype=np.int64).view(np.uint64)) for s in sets], dtype=np.uint64).view(np.int64))
+
+    text = text_bytes(F.col(f"`{text_col}`"))
+    keyed = docs.select(id_key(F.col(f"`{id_col}`")).alias("id"), text.alias("text"))
+    made = stage(keyed.select("id", sketches("text").alias("s")).select("id", "s.*"), "sketches")
+    classes = made.groupBy("same").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = stage(classes, "classes")
+
+    rows = classes.select(F.explode("keys").alias("key"), "same", "n")
+    hubs = rows.select("key", "same").repartition("key").sortWithinPartitions("key", "same").mapInArrow(_with_hubs, "u long, v long")
+    hubs = stage(hubs.distinct(), "hubs")
+    shared = hubs.select(F.col("u").alias("same")).union(hubs.select("v")).distinct()
+    shared = stage(classes.join(shared, "same", "left_semi").select("same", "least", "n", "keys"), "shared")
+    wanted = shared.select(F.col("least").alias("id")).distinct()
+    sets = keyed.join(wanted, "id", "left_semi").select(hashes("text").alias("hashes")).withColumn("same", same_of("hashes"))
+    sets = stage(sets.join(shared.select("same"), "same", "left_semi").dropDuplicates(["same"]), "sets")
+    links = stage(_similar(hubs, sets, similarity), "similar")
+
+    labels = stage(connected_components(links), "labels")
+    rows = shared.join(labels, shared.same == labels.node, "left").select(F.explode("keys").alias("key"), F.coalesce("component", "same").alias("c"), "same", "n")
+    rest = rows.repartition("key").sortWithinPartitions("key", "c", "same").mapInArrow(_across(similarity), "u long, v long")
+    rest = stage(rest.distinct().join(hubs, ["u", "v"], "left_anti"), "rest")
+    more = stage(_similar(rest, sets, similarity), "similar")
+    if not more.isEmpty():
+        labels = stage(connected_components(links.unionByName(more)), "labels")
+
+    joint = stage(classes.join(labels, classes.same == labels.node, "left").select("same", "least", F.coalesce("component", "same").alias("c")), "groups")
+    first = joint.groupBy("c").agg(F.min("least").alias("component"))
+    named = joint.join(first, "c").select("same", "component")
+    return made.select("id", "same").join(named, "same").select(key_id("id").alias(id_col), key_id("component").alias("component_id"))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows whose id is its component's smallest; of rows that repeat an id, one stays. All columns are kept."""
+    found = similar_groups(docs, id_col, text_col, **options)
+    stays = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_key(id_col).alias("__key")).distinct()
+    rows = docs.withColumn("__key", id_key(F.col(f"`{id_col}`")))
+    return rows.join(stays, "__key", "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
