@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from waymark.llm.simhash import drop_near_duplicates, fingerprint_links, near_duplicates
+from waymark.llm.simhash import fingerprint_links, near_duplicates
 
 
 def plain_fingerprint(text, size):
@@ -75,14 +75,6 @@ def test_odd_rows(odd_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
 
 
-def test_drop_keeps_one_of_each(docs, no_docs):
-    kept = drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    named = {r["component_id"] for r in near_duplicates(docs).collect()}
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(named)
-    assert drop_near_duplicates(no_docs).count() == 0
-
-
 def test_fingerprint_is_over_half(spark):
     one = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert near_duplicates(one).select(F.col("fingerprint")).first()[0] == f"{xxhash.xxh64_intdigest(b'a b c', 42):016x}"

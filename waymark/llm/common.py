@@ -25,9 +25,11 @@ _BLOCK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where a local session sets none."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(spark.sparkContext, "_waymark_shared", None)
         if base is None:
             base = spark.sparkContext._waymark_shared = "file://" + tempfile.mkdtemp(prefix="waymark-")
@@ -45,6 +47,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns, unlike any column of the table."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def all_of(df: DataFrame) -> list[Column]:
+    """The table's columns, whatever their names hold."""
+    return [df[quoted(c)] for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def id_key(column: str | Column) -> Column:
     """A never-null long for a possibly null id."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("long"), F.lit(NULL_ID))

@@ -8,6 +8,9 @@ What is matched are distinct fingerprints, never documents: copies share one. Wi
 spanning forest leave the task, so large groups of near copies cost no pairs. Keys with more fingerprints than
 `dense` are cut anew by the bits that their key leaves open (16-bit, then 8-bit segments), which bounds every
 group at 2**11 fingerprints without losing a link.
+
+This is the form with exact bit distances. `similar.py` holds the same method for groups by shingle similarity, which
+needs wider prints, and drops near-duplicates by it.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from .components import connected_components
 #: Fingerprints within this many bits are linked; two segments with one wildcard are exact up to three.
 MAX_DISTANCE = 3
 
+
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """SimHash of one text: majority over the bits of XXH64 of its word shingles, repeats included."""
     return int(_fingerprints([text], shingle, seed)[0])
@@ -150,6 +154,7 @@ def _link_runs(distance: int, dense: int, last: bool):
 
     return run
 
+
 def fingerprint_links(prints: DataFrame, fp: str = "fp", distance: int = MAX_DISTANCE, dense: int = 4096) -> DataFrame:
     """Distinct fingerprints (longs) to (u, v) links whose components are those of all links within `distance`."""
     if not 0 <= distance <= 3:
@@ -195,14 +200,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = joint.groupBy("c").agg(F.min("least").alias("component"))
     named = joint.join(first, "c").select("fp", "component")
     return made.join(named, "fp").select(key_id("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), key_id("component").alias("component_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows whose id is its component's smallest; of rows that repeat an id, one stays. All columns are kept.
-
-    A component that holds a null id is named by it, so the row with the null id stays.
-    """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    stays = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_key(id_col).alias("__key")).distinct()
-    keyed = docs.withColumn("__key", id_key(F.col(f"`{id_col}`")))
-    return keyed.join(stays, "__key", "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
