@@ -1,12 +1,12 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A text's bytes, each marked if its word repeats the word before, run through learned filters over overlapping
-chunks that cover the whole text. Each filter is max-pooled within a chunk; the mean and the largest of a text's
-chunk values are combined by a logistic layer into one probability. The filters are tables with a weight for each
-byte at each place of the filter, so a convolution is a sum of table rows.
+A text's bytes run through learned filters over overlapping chunks that cover the whole text. Each filter is max-pooled
+within a chunk; the mean and the largest of a text's chunk values are combined by a logistic layer into one
+probability. The filters are tables with a weight for each byte at each place of the filter, so a convolution is a
+sum of table rows.
 
-Only training is bounded: it takes at most `per_class` labelled documents of each class and `max_chunks` chunks of
-each, spread over the whole text. Scores always come from whole texts.
+Only the number of training rows is bounded: at most `per_class` labelled documents of each class, by hash of their
+id. Both training and scores read whole texts, a slice at a time.
 """
 
 from __future__ import annotations
@@ -17,43 +17,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import id_key, text_bytes, word_hashes, word_spans
+from .common import id_key, quoted, text_bytes
 
 CHUNK, STEP = 256, 192  # chunks overlap by a quarter
 WIDTH, FILTERS = 6, 16
-_MARK = 256  # added to the bytes of a word that repeats the one before
 _SLICE = 1 << 14  # bytes convolved at a time, few enough for a processor's cache
 
 
 @dataclass
 class Model:
-    tables: np.ndarray  # WIDTH x 257 x FILTERS: bytes, and the mark
+    tables: np.ndarray  # WIDTH x 256 x FILTERS
     bias: np.ndarray
     head: np.ndarray  # of means, then of maxima
     shift: float
 
-    def rows(self) -> np.ndarray:
-        """Tables over marked and unmarked bytes."""
-        return np.concatenate([self.tables[:, :256], self.tables[:, :256] + self.tables[:, 256:]], axis=1).astype(np.float32)
-
-
-def symbols(text: bytes) -> np.ndarray:
-    """Bytes, with _MARK added in words that repeat the word before; padded to the filters' width."""
-    buf = np.frombuffer(text, dtype=np.uint8)
-    out = np.full(max(len(buf), WIDTH), 32, dtype=np.int16)
-    out[: len(buf)] = buf
-    starts, ends = word_spans(buf)
-    if len(starts) > 1:
-        hashes = word_hashes(buf, starts, ends, 5)
-        same = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
-        edge = np.zeros(len(out) + 1, dtype=np.int8)
-        edge[starts[same]] += 1
-        edge[ends[same]] -= 1
-        out += np.cumsum(edge[:-1]).astype(np.int16) * _MARK
-    return out
-
 
 def _convolve(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Filter values at each place of x (along its last axis)."""
@@ -67,11 +45,11 @@ def _convolve(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _padded(text: bytes) -> np.ndarray:
-    """Symbols, with blanks up to the end of the last chunk."""
-    x = symbols(text)
-    chunks = -(-(len(x) - WIDTH + 1) // STEP)
-    out = np.full(STEP * (chunks - 1) + CHUNK + WIDTH - 1, 32, dtype=np.int16)
-    out[: min(len(x), len(out))] = x[: len(out)]
+    """Bytes, with blanks up to the end of the last chunk."""
+    n = max(len(text), WIDTH)
+    chunks = -(-(n - WIDTH + 1) // STEP)
+    out = np.full(STEP * (chunks - 1) + CHUNK + WIDTH - 1, 32, dtype=np.uint8)
+    out[: len(text)] = np.frombuffer(text, dtype=np.uint8)[: len(out)]
     return out
 
 
@@ -83,41 +61,44 @@ def _pooled(made: np.ndarray) -> np.ndarray:
     return parts[(STEP // part) * np.arange(chunks)[:, None] + np.arange(CHUNK // part)].max(axis=1)
 
 
-def score_text(model: Model, rows: np.ndarray, text: bytes) -> float:
+def score_text(model: Model, text: bytes) -> float:
     x = _padded(text)
     step = _SLICE // STEP * STEP  # whole chunks at a time
     places = len(x) - WIDTH + 1
-    values = [_pooled(_convolve(rows, x[lo : min(lo + step + CHUNK - STEP, places) + WIDTH - 1])) for lo in range(0, places - (CHUNK - STEP), step)]
+    values = [_pooled(_convolve(model.tables, x[lo : min(lo + step + CHUNK - STEP, places) + WIDTH - 1])) for lo in range(0, places - (CHUNK - STEP), step)]
     pooled = np.maximum(np.concatenate(values) + model.bias, 0)
     return float(1 / (1 + np.exp(-(np.concatenate([pooled.mean(axis=0), pooled.max(axis=0)]) @ model.head + model.shift))))
 
 
-def _training_chunks(text: bytes, most: int) -> np.ndarray:
-    """At most `most` chunks, spread evenly over the text."""
+def _largest(tables: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Each filter's largest value in each chunk of a whole text, and the WIDTH bytes that give it (chunks x WIDTH x FILTERS)."""
     x = _padded(text)
     starts = np.arange(0, len(x) - CHUNK - WIDTH + 2, STEP)
-    if len(starts) > most:
-        starts = starts[np.linspace(0, len(starts) - 1, most).astype(int)]
-    return x[starts[:, None] + np.arange(CHUNK + WIDTH - 1)]
-
-
-def train(texts: list[np.ndarray], labels: np.ndarray, prior: float, epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 3) -> Model:
-    """Fits chunks of texts to labels by Adam. `prior` is the share of label 1 that scores should assume."""
+    values, windows = [], []
+    for lo in range(0, len(starts), _SLICE // STEP):
+        chunks = x[starts[lo : lo + _SLICE // STEP, None] + np.arange(CHUNK + WIDTH - 1)]
+        made = _convolve(tables, chunks)
+        best = made.argmax(axis=1)  # chunks x filters
+        values.append(np.take_along_axis(made, best[:, None], axis=1)[:, 0])
+        windows.append(np.take_along_axis(chunks[:, :, None], best[:, None] + np.arange(WIDTH)[None, :, None], axis=1))
+    return np.concatenate(values), np.concatenate(windows)
+
+
+def train(texts: list[bytes], labels: np.ndarray, prior: float, epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 3) -> Model:
+    """Fits whole texts to labels by Adam. `prior` is the share of label 1 that scores should assume."""
     rng = np.random.default_rng(seed)
-    params = [rng.normal(0, 0.15, (WIDTH, 257, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.3, 2 * FILTERS), np.zeros(1)]
-    params[0][:, 256] = rng.normal(0, 0.5, (WIDTH, FILTERS))
+    params = [rng.normal(0, 0.15, (WIDTH, 256, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.3, 2 * FILTERS), np.zeros(1)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step, lanes = 0, np.arange(FILTERS)
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for lo in range(0, len(order), batch):
             pick = order[lo : lo + batch]
-            sizes = np.array([len(texts[i]) for i in pick])
-            x, y, cuts = np.concatenate([texts[i] for i in pick]), labels[pick], np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            model = Model(*params[:3], 0.0)
-            made = _convolve(model.rows(), x)
-            best = made.argmax(axis=1)  # chunks x filters
-            raw = np.take_along_axis(made, best[:, None], axis=1)[:, 0] + params[1]
+            tables = params[0].astype(np.float32)
+            seen = [_largest(tables, texts[i]) for i in pick]
+            sizes = np.array([len(v) for v, _ in seen])
+            y, cuts = labels[pick], np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            raw, windows = np.concatenate([v for v, _ in seen]) + params[1], np.concatenate([w for _, w in seen])
             pooled = np.maximum(raw, 0)
             means, tops = np.add.reduceat(pooled, cuts) / sizes[:, None], np.maximum.reduceat(pooled, cuts)
             seen = np.concatenate([means, tops], axis=1)
@@ -129,11 +110,8 @@ def train(texts: list[np.ndarray], labels: np.ndarray, prior: float, epochs: int
             share = top / np.maximum(np.add.reduceat(top.astype(float), cuts), 1)[doc]
             d = err[doc, None] * (params[2][:FILTERS] / sizes[doc, None] + params[2][FILTERS:] * share) * (raw > 0)
             grads[1] = d.sum(axis=0)
-            who = np.arange(len(x))[:, None]
             for j in range(WIDTH):
-                s = x[who, best + j]
-                np.add.at(grads[0][j], (s & 255, np.broadcast_to(lanes, s.shape)), d)
-                grads[0][j, 256] = (d * (s >= _MARK)).sum(axis=0)
+                np.add.at(grads[0][j], (windows[:, j], np.broadcast_to(lanes, d.shape)), d)
             grads[0] += 1e-5 * params[0]
             step += 1
             now = rate * (1 - epoch / epochs)
@@ -147,42 +125,48 @@ def train(texts: list[np.ndarray], labels: np.ndarray, prior: float, epochs: int
     return Model(params[0].astype(np.float32), params[1].astype(np.float32), params[2].astype(np.float32), shift)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2500, max_chunks: int = 16, seed: int = 3) -> Model:
-    """Trains on at most `per_class` labelled documents of each class, the smallest by hash of their id.
+def _sample(labels: DataFrame, id_col: str, label_col: str, per_class: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """At most `per_class` distinct ids (id, y) of each class, the smallest by hash, and the ids in each class; ids with both labels are left out."""
+    known = labels.where(F.col(quoted(label_col)).isin(0, 1)).select(id_key(F.col(quoted(id_col))).alias("id"), F.col(quoted(label_col)).cast("int").alias("y"))
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("id", "y")
+    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    first = [known.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(per_class) for y in (0, 1)]
+    return first[0].unionByName(first[1]), totals
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2500, seed: int = 3) -> Model:
+    """Trains on the whole texts of at most `per_class` labelled ids of each class, the smallest by hash.
 
-    Rows with a null label count as unlabelled. Without documents of both classes every score is the share of label 1
-    (one half without labels).
+    Labels other than 0 and 1 count as none, and so do those of an id that has both. Of several texts under one id
+    the smallest by hash is read, so at most 2 * per_class texts come to the driver. Ids that no document has are
+    passed over. Without documents of both classes every score is the share of label 1 (one half without labels).
     """
-    known = labels.where(F.col(label_col).isin(0, 1)).select(id_key(id_col).alias("id"), F.col(label_col).alias("y"))
-    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
-    first = Window.partitionBy("y").orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    sample = known.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_class)
-    rows = docs.select(id_key(F.col(f"`{id_col}`")).alias("id"), text_bytes(F.col(f"`{text_col}`")).alias("text")).join(F.broadcast(sample), "id")
-
-    @F.pandas_udf("binary")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _training_chunks(t, max_chunks).tobytes())
-
-    taken = rows.select("id", "y", cut("text").alias("x")).collect()  # 2 * per_class rows of at most max_chunks chunks
-    taken.sort(key=lambda r: (r["id"], r["y"], r["x"]))
-    texts = [np.frombuffer(bytes(r["x"]), dtype=np.int16).reshape(-1, CHUNK + WIDTH - 1) for r in taken]
-    y = np.array([r["y"] for r in taken], dtype=float)
+    sample, totals = _sample(labels, id_col, label_col, per_class, seed)
+    rows = docs.select(id_key(F.col(quoted(id_col))).alias("id"), text_bytes(F.col(quoted(text_col))).alias("text")).join(F.broadcast(sample), "id")
+    one = rows.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    taken = sorted((r["id"], r["y"], bytes(r["text"])) for r in one.collect())  # at most 2 * per_class rows
+    y = np.array([r[1] for r in taken], dtype=float)
     total = sum(totals.values())
     prior = totals.get(1, 0) / total if total else 0.5
     if len(set(y.tolist())) < 2:
         p = min(max(prior, 1e-3), 1 - 1e-3)
-        return Model(np.zeros((WIDTH, 257, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS, np.float32), float(np.log(p / (1 - p))))
-    return train(texts, y, prior, seed=seed)
+        return Model(np.zeros((WIDTH, 256, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS, np.float32), float(np.log(p / (1 - p))))
+    return train([r[2] for r in taken], y, prior, seed=seed)
 
 
-def with_quality(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """All columns and the probability of label 1. Null texts score as empty ones."""
+def with_quality(docs: DataFrame, model: Model, name: str, text_col: str = "text") -> DataFrame:
+    """All columns and the probability of label 1 as `name`; a column of that name is replaced. Null texts score as empty ones."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         model = shared.value
-        rows = model.rows()
-        return pd.Series([score_text(model, rows, t) for t in texts], dtype=float)
+        return pd.Series([score_text(model, t) for t in texts], dtype=float)
+
+    return docs.withColumn(name, score.asNondeterministic()(text_bytes(F.col(quoted(text_col)))))
+
 
-    return docs.withColumn(name, score.asNondeterministic()(text_bytes(F.col(f"`{text_col}`"))))
+def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of each row; repeated rows score alike, an empty table gives an empty table, other columns are ignored."""
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    return with_quality(rows, model, "score").select(F.col("id").alias(id_col), "score")

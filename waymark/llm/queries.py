@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import licenses
 from .ann_tree import nearest
-from .byte_cnn import fit_quality, with_quality
+from .byte_cnn import fit_quality, quality_scores
 from .common import SPACE_CLASS
 from .mixing import mix_sources
 from .oracles import ORACLES as ORACLES
@@ -55,7 +55,7 @@ def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = fit_quality(docs, _table(spark, sf_dir, "labels").where(~held_out))
-    scored = with_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score")
+    scored = quality_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
