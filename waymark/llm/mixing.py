@@ -1,7 +1,7 @@
 """Temperature mixing of sources to target weights, realised as budgeted block permutations.
 
 Shares of tokens p are raised to an exponent t and normalised. The exponent (1: as the corpus is, 0: all sources
-alike) is bisected to meet a target entropy or a limit on repetition. Each source then gets its weight's part of
+alike, above 1: large sources gain) is bisected to meet a target entropy or a limit on repetition. Each source then gets its weight's part of
 the token budget: whole epochs over all its blocks, and of one more epoch the first blocks of a permutation until
 the budget is met; of the block where the budget ends, the first documents of a permutation.
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE_CLASS, id_key, stage
+from .common import NULL_ID, SPACE_CLASS, fresh, id_key, quoted, stage
 
 #: Hashed cells of a source, which make up its blocks: the most blocks that a source can have.
 _CELLS = 1 << 16
@@ -49,24 +49,35 @@ def most_repeats(tokens: dict, weights: dict, budget: float | None) -> float:
     return max((weights[s] * budget / n for s, n in tokens.items() if n), default=0.0)
 
 
-def fit_exponent(tokens: dict, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, steps: int = 60) -> float:
-    """The largest exponent that reaches the entropy, then raised as far as the limit on repetition asks (at most to 1)."""
+#: An exponent is sought between 0 (all sources alike) and this.
+MOST_EXPONENT = 64.0
 
-    def bisect(good) -> float:
-        """The exponent in 0 to 1 where good(exponent) turns true; 1 if it never does."""
-        lo, hi = 0.0, 1.0
-        if good(lo):
-            return lo
-        for _ in range(steps):
-            mid = (lo + hi) / 2
-            lo, hi = (lo, mid) if good(mid) else (mid, hi)
-        return hi
 
+def _bisect(good, lo: float, hi: float, steps: int) -> float:
+    """The number nearest to lo, between lo and hi (either may be larger), at which good() turns true; hi if it never does."""
+    if good(lo):
+        return lo
+    for _ in range(steps):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if good(mid) else (mid, hi)
+    return hi
+
+
+def fit_exponent(tokens: dict, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, most: float = MOST_EXPONENT, steps: int = 60) -> float:
+    """The exponent that meets the entropy, then moved as far toward 1 (the corpus as it is) as the limit on repetition asks.
+
+    Below 1 small sources gain, above 1 large ones do; with `most` of 1 the target is a least entropy, and a corpus
+    that lies below it in sharpness stays as it is. Sources all alike have the same entropy under every exponent.
+    """
     exponent = 0.0
     if target_entropy is not None:
-        exponent = bisect(lambda t: entropy(tempered(tokens, t)) <= target_entropy)
+        # doubled until it brackets the target, so that bisection is not spent on far exponents
+        upper = 1.0
+        while upper < most and entropy(tempered(tokens, upper)) > target_entropy:
+            upper = min(most, 2 * upper)
+        exponent = _bisect(lambda t: entropy(tempered(tokens, t)) <= target_entropy, 0.0, upper, steps)
     if max_repeats is not None:
-        exponent = max(exponent, bisect(lambda t: most_repeats(tokens, tempered(tokens, t), budget) <= max_repeats))
+        exponent = _bisect(lambda t: most_repeats(tokens, tempered(tokens, t), budget) <= max_repeats, exponent, 1.0, steps)
     return exponent
 
 
@@ -92,29 +103,50 @@ def mix_sources(
     block_tokens: int = 100_000,
     tokens: Column | None = None,
     seed: int = 17,
-    with_docs: bool = False,
+    most_exponent: float = MOST_EXPONENT,
 ) -> DataFrame:
     """One row per document and epoch in which it is used: id, source, n_tokens, epoch, block, position.
 
     `position` (0 to 1) orders all rows so that sources run out together; within a source it goes epoch by epoch,
     block by block, document by document. `entropy_share` is the target entropy as a share of the logarithm of the
-    number of sources; `budget` is tokens, "total" (as many as there are) or "cover" (the least budget at which every
-    document is used). with_docs keeps all columns of `docs` instead and adds __epoch and __position.
+    number of sources, met as nearly as exponents from 0 to `most_exponent` and the limit on repetition allow; `budget`
+    is tokens, "total" (as many as there are) or "cover" (the least budget at which every document is used).
 
     A null source is the source ''. Documents without tokens follow their block. Rows that share an id share their
-    fate. A source without tokens is used once. An empty table gives an empty table.
+    fate. A source without tokens is used once. An empty table gives an empty table; other columns are ignored.
     """
-    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
-    key = _hash01(id_key(F.col(f"`{id_col}`")), F.lit(seed))
-    tokens = word_count(F.col(f"`{text_col}`")) if tokens is None else tokens
+    measured, sources = _planned(docs, id_col, source_col, text_col, entropy_share, max_repeats, budget, block_tokens, tokens, seed, most_exponent)
+    rows = _used(measured, sources, "source", "key", seed, {c: c for c in _WORK})
+    id_of = F.when(F.col("id") != F.lit(NULL_ID), F.col("id")).alias(id_col)
+    return rows.select(id_of, "source", "n_tokens", "epoch", "block", "weight", "position")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, **options) -> DataFrame:
+    """The documents as the mixture uses them: rows of `docs`, all columns, repeated where a source is repeated. Options as in mix_sources()."""
+    defaults = {"entropy_share": None, "max_repeats": None, "budget": "total", "block_tokens": 100_000, "tokens": None, "most_exponent": MOST_EXPONENT}
+    _, sources = _planned(docs, id_col, source_col, text_col, seed=seed, **(defaults | options))
+    names = dict(zip(_WORK, fresh(docs, *_WORK)))
+    source, key = fresh(docs, "source_key", "id_hash")
+    rows = docs.withColumns({source: _source(source_col), key: _hash01(id_key(F.col(quoted(id_col))), F.lit(seed))})
+    return _used(rows, sources, source, key, seed, names).select(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def _source(source_col: str) -> Column:
+    return F.coalesce(F.col(quoted(source_col)).cast("string"), F.lit(""))
+
+
+def _planned(docs: DataFrame, id_col: str, source_col: str, text_col: str, entropy_share, max_repeats, budget, block_tokens: int, tokens, seed: int, most_exponent: float) -> tuple[DataFrame, DataFrame]:
+    """Measures of every document (id, source, n_tokens, key, cell), and what is to be used of each source."""
+    key = _hash01(id_key(F.col(quoted(id_col))), F.lit(seed))
+    tokens = word_count(F.col(quoted(text_col))) if tokens is None else tokens
     cell = F.pmod(key, F.lit(_CELLS))
-    measured = docs.select(id_key(F.col(f"`{id_col}`")).alias("id"), source.alias("source"), tokens.cast("long").alias("n_tokens"), key.alias("key"), cell.alias("cell"))
+    measured = docs.select(id_key(F.col(quoted(id_col))).alias("id"), _source(source_col).alias("source"), tokens.cast("long").alias("n_tokens"), key.alias("key"), cell.alias("cell"))
     measured = stage(measured, "tokens")
     cells = stage(measured.groupBy("source", "cell").agg(F.sum("n_tokens").alias("t")), "cells")
     totals = {r["source"]: r["t"] for r in cells.groupBy("source").agg(F.sum("t").alias("t")).limit(MAX_SOURCES + 1).collect()}
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    plan = _plan(totals, entropy_share, max_repeats, budget, block_tokens)
+    plan = _plan(totals, entropy_share, max_repeats, budget, block_tokens, most_exponent)
     spark = docs.sparkSession
     plan_df = spark.createDataFrame(plan or [("", 0.0, 0, 0, 1, 0.0)], "source string, weight double, whole long, rest long, per_block long, epochs double")
     block = (F.col("cell") / F.col("per_block")).cast("long")
@@ -132,36 +164,37 @@ def mix_sources(
     by_doc = Window.partitionBy("source").orderBy("doc_order")
     edge = edge.withColumn("before", F.sum("n_tokens").over(by_doc.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens"))
     edge = edge.where("before < room").groupBy("source").agg(F.max("doc_order").alias("last_doc"))
-    sources = stage(plan_df.join(ends, "source", "left").join(edge, "source", "left"), "sources")
-
-    if with_docs:
-        rows = docs.withColumns({"__source": source, "__key": key}).join(F.broadcast(sources.select(*[F.col(c).alias(f"__{c}") for c in sources.columns])), "__source")
-    else:
-        rows = measured.join(F.broadcast(sources), "source")
-        rows = rows.select(*[F.col(c).alias(f"__{c}") for c in rows.columns])
-    rows = rows.withColumn("__block", (F.pmod("__key", F.lit(_CELLS)) / F.col("__per_block")).cast("long"))
-    last_order = _hash01(F.col("__source"), F.col("__block"), F.col("__whole"), F.lit(seed))
-    before_end = (last_order < F.col("__last_order")) | ((last_order == F.col("__last_order")) & (F.col("__block") < F.col("__last_block")))
-    at_end = (F.col("__block") == F.col("__last_block")) & (_hash01(F.col("__key"), F.col("__whole")) <= F.col("__last_doc"))
+    return measured, stage(plan_df.join(ends, "source", "left").join(edge, "source", "left"), "sources")
+
+
+#: Columns that tell what is used of a source, and those made of them for each use of a document.
+_PLAN = ("weight", "whole", "rest", "per_block", "epochs", "last_order", "last_block", "room", "last_doc")
+_WORK = _PLAN + ("block", "uses", "epoch", "position")
+
+
+def _used(rows: DataFrame, sources: DataFrame, source: str, key: str, seed: int, n: dict[str, str]) -> DataFrame:
+    """A row for each epoch in which a row is used; working columns are named by n."""
+    plan = sources.select(F.col("source").alias(source), *[F.col(c).alias(n[c]) for c in _PLAN])
+    rows = rows.join(F.broadcast(plan), source)  # at most MAX_SOURCES rows
+    rows = rows.withColumn(n["block"], (F.pmod(key, F.lit(_CELLS)) / F.col(n["per_block"])).cast("long"))
+    order = _hash01(F.col(source), F.col(n["block"]), F.col(n["whole"]), F.lit(seed))
+    before_end = (order < F.col(n["last_order"])) | ((order == F.col(n["last_order"])) & (F.col(n["block"]) < F.col(n["last_block"])))
+    at_end = (F.col(n["block"]) == F.col(n["last_block"])) & (_hash01(F.col(key), F.col(n["whole"])) <= F.col(n["last_doc"]))
     once_more = F.when(F.coalesce(before_end | at_end, F.lit(False)), 1).otherwise(0)
-    rows = rows.withColumn("__uses", F.col("__whole") + once_more).where("__uses > 0")
-    rows = rows.withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__uses") - 1)))
+    rows = rows.withColumn(n["uses"], F.col(n["whole"]) + once_more).where(F.col(n["uses"]) > 0)
+    rows = rows.withColumn(n["epoch"], F.explode(F.sequence(F.lit(0).cast("long"), F.col(n["uses"]) - 1)))
     scale = float(1 << 53)
-    place = _hash01(F.col("__source"), F.col("__block"), F.col("__epoch"), F.lit(seed)) / scale
-    within = _hash01(F.col("__key"), F.col("__epoch")) / scale / _CELLS
-    rows = rows.withColumn("__position", (F.col("__epoch") + place * (1 - 1 / _CELLS) + within) / F.greatest("__epochs", F.lit(1e-12)))
-    if with_docs:
-        return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__epoch", "__position")
-    named = F.when(F.col("__id") != F.lit(-(2**63)), F.col("__id")).alias(id_col)
-    return rows.select(named, F.col("__source").alias("source"), F.col("__n_tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"), F.col("__block").alias("block"), F.col("__weight").alias("weight"), F.col("__position").alias("position"))
+    place = _hash01(F.col(source), F.col(n["block"]), F.col(n["epoch"]), F.lit(seed)) / scale
+    within = _hash01(F.col(key), F.col(n["epoch"])) / scale / _CELLS
+    return rows.withColumn(n["position"], (F.col(n["epoch"]) + place * (1 - 1 / _CELLS) + within) / F.greatest(n["epochs"], F.lit(1e-12)))
 
 
-def _plan(totals: dict, entropy_share: float | None, max_repeats: float | None, budget: str | int, block_tokens: int) -> list[tuple]:
+def _plan(totals: dict, entropy_share: float | None, max_repeats: float | None, budget: str | int, block_tokens: int, most_exponent: float = MOST_EXPONENT) -> list[tuple]:
     """(source, weight, whole epochs, tokens of the last epoch, cells to a block, epochs) of each source."""
     used = {s: n for s, n in totals.items() if n}
     target = None if entropy_share is None else entropy_share * math.log(max(1, len(used)))
     fixed = None if budget == "cover" else sum(used.values()) if budget == "total" else int(budget)
-    exponent = fit_exponent(used, target, max_repeats, fixed) if target is not None or max_repeats is not None else 1.0
+    exponent = fit_exponent(used, target, max_repeats, fixed, most_exponent) if target is not None or max_repeats is not None else 1.0
     weights = tempered(used, exponent)
     spend = budget_to_cover(used, weights) if fixed is None else fixed
     out = []
@@ -173,8 +206,3 @@ def _plan(totals: dict, entropy_share: float | None, max_repeats: float | None,
         cells = min(_CELLS, max(1, math.ceil(block_tokens * _CELLS / n)))
         out.append((s, weights[s], mine // n, mine % n, cells, mine / n))
     return out
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as the mixture uses them: rows of `docs`, repeated where a source is repeated."""
-    return mix_sources(docs, with_docs=True, **options).drop("__epoch", "__position")
