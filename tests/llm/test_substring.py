@@ -56,6 +56,32 @@ def test_odd_rows(odd_docs, no_docs):
     assert drop_repeats(odd_docs).count() == 8
 
 
+def test_many_rows_without_an_id(spark):
+    """Rows under null are parts of the first document: each is cut by itself, and a later document by all of them."""
+    passages = [" ".join(f"p{k}w{i}" for i in range(25)) for k in range(300)]
+    rows = [(None, f"own{k} " + p) for k, p in enumerate(passages)] + [(4, " tail ".join(passages[:50]))] + [(None, "own0 " + passages[0])] * 3
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(found) == len(rows)
+    assert {r["n_removed"] for r in found if r["doc_id"] is None} == {0}
+    assert [(r["n_removed"], set(r["kept_text"].split())) for r in found if r["doc_id"] == 4] == [(50 * 25, {"tail"})]
+
+
+def test_hot_keys_and_working_names(spark, monkeypatch):
+    """Keys above and below the share that is broadcast give the same rows; columns named like working ones stay."""
+    from waymark.llm import common
+
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(k, f"a{k} b{k} {passage} c{k}" if k % 3 else " ".join(f"d{k // 2}x{i}" for i in range(40)), "kept", "too", "and") for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _doc string, __doc string, _at string")
+    want = plain([r[:2] for r in rows])
+    for heavy in (1, 5000):
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        assert {r["doc_id"]: r["n_removed"] for r in remove_repeats(df).collect()} == {i: w[1] for i, w in want.items()}
+    cut = drop_repeats(df)
+    assert cut.columns == df.columns
+    assert {(r["_doc"], r["__doc"], r["_at"]) for r in cut.collect()} == {("kept", "too", "and")}
+
+
 def test_query_digest(spark, docs, tmp_path):
     from waymark.llm.queries import op9_substring
 

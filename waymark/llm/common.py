@@ -65,6 +65,22 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+#: Fewer keys than this are heavy.
+HEAVY = 5000
+
+
+def join_heavy(rows: DataFrame, table: DataFrame, on: list[str], count: str) -> DataFrame:
+    """rows joined with a staged table of one row per key; `count` is how many rows meet the key.
+
+    Keys that more than one in HEAVY of these rows meet are fewer than HEAVY, so they are broadcast, and no task gathers
+    a hot key; the others are dealt by key.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    heavy = table.where(F.col(count) * HEAVY > F.lit(total))
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(table.where(F.col(count) * HEAVY <= F.lit(total)), on)
+    return rows.join(F.broadcast(heavy), on).unionByName(rest)
+
+
 def id_key(column: str | Column) -> Column:
     """A never-null long for a possibly null id."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("long"), F.lit(NULL_ID))

@@ -24,10 +24,10 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, chunks, id_key, joined, key_id, stage, text_bytes, window_hashes, word_hashes, word_spans
+from .common import as_long, chunks, fresh, id_key, join_heavy, joined, key_id, quoted, stage, text_bytes, window_hashes, word_hashes, word_spans
 
-_PIECE = 32  # rows that share an id are parts of one document; the part's number stands above the word's
-#: Bits of the bitmap of repeated minimisers: 16 to each, up to 32 MB, however large the corpus.
+#: Bits of the bitmap of repeated minimisers: 16 to each, up to 32 MB, however large the corpus. A full bitmap only drops
+#: less: a run is a row of six numbers for about seven words, so the shuffle stays below the size of the texts.
 _BITS_PER_KEY, _BITMAP_BITS = 16, 1 << 28
 _FIRST, _SECOND = 11, 29  # seeds of the two independent hash families
 _BASE = 0xD1B54A32D192ED03  # of the windows' second hash
@@ -85,8 +85,8 @@ def _keys(width: int, anchor: int):
     return run
 
 
-_RUN = "key long, words long, doc long, at long, n int"
-_RUN_SCHEMA = pa.schema([("key", pa.int64()), ("words", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
+_RUN = "key long, words long, doc long, part long, at long, n int"
+_RUN_SCHEMA = pa.schema([("key", pa.int64()), ("words", pa.int64()), ("doc", pa.int64()), ("part", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
 
 
 def _runs(width: int, anchor: int, bitmap: Broadcast):
@@ -109,8 +109,7 @@ def _runs(width: int, anchor: int, bitmap: Broadcast):
                     words[pick] = window_hashes(second, int(size) + width - 1, _BASE)[begin[pick]]
                 words = words * np.uint64(0x9E3779B97F4A7C15) + sizes.astype(np.uint64)
                 d = doc[begin]
-                at = (parts[lo:hi].astype(np.int64) << _PIECE)[d] + begin - first[d]
-                yield pa.record_batch([pa.array(as_long(keys)), pa.array(as_long(words)), pa.array(ids[lo:hi][d]), pa.array(at), pa.array(sizes.astype(np.int32))], schema=_RUN_SCHEMA)
+                yield pa.record_batch([pa.array(as_long(keys)), pa.array(as_long(words)), pa.array(ids[lo:hi][d]), pa.array(parts[lo:hi][d]), pa.array(begin - first[d]), pa.array(sizes.astype(np.int32))], schema=_RUN_SCHEMA)
 
     return run
 
@@ -124,47 +123,50 @@ def _windows(width: int):
             runs = b.column(3)
             for lo, hi in chunks(texts):
                 buf, starts, ends, doc, first = _words(texts[lo:hi])
-                take = [np.arange(first[k - lo] + at, first[k - lo] + at + n) for k in range(lo, hi) for at, n in zip(*_of_part(runs[k], parts[k]))]
+                take = [np.arange(first[k - lo] + at, first[k - lo] + at + n) for k in range(lo, hi) for at, n in zip(*_places(runs[k]))]
                 if take:
                     w = np.concatenate(take)
                     one, two = (window_hashes(word_hashes(buf, starts, ends, seed), width, base)[w] for seed, base in ((_FIRST, _BASE), (_SECOND, _BASE)))
                     d = doc[w]
-                    at = (parts[lo:hi].astype(np.int64) << _PIECE)[d] + w - first[d]
-                    yield pa.record_batch([pa.array(as_long(one)), pa.array(as_long(two)), pa.array(ids[lo:hi][d]), pa.array(at), pa.array(np.ones(len(w), dtype=np.int32))], schema=_RUN_SCHEMA)
+                    yield pa.record_batch([pa.array(as_long(one)), pa.array(as_long(two)), pa.array(ids[lo:hi][d]), pa.array(parts[lo:hi][d]), pa.array(w - first[d]), pa.array(np.ones(len(w), dtype=np.int32))], schema=_RUN_SCHEMA)
 
     return run
 
 
-def _of_part(runs: pa.Scalar, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words and sizes of the runs in one part of a document."""
+def _places(runs: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """First words and sizes of runs."""
     at, n = (runs.values.field(f).to_numpy(zero_copy_only=False) for f in ("at", "n"))
-    here = at >> _PIECE == part
-    return at[here] & ((1 << _PIECE) - 1), n[here].astype(np.int64)
+    return at, n.astype(np.int64)
 
 
 def _part(docs: DataFrame, id_col: str, text_col: str) -> Column:
     """0 where ids are unique. Else a hash of the text: rows alike in id and text are one part of a document."""
-    unique = docs.groupBy(id_key(F.col(f"`{id_col}`")).alias("doc")).agg(F.count("*").alias("c")).where("c > 1").isEmpty()
-    return F.lit(0) if unique else F.shiftrightunsigned(F.xxhash64(text_bytes(F.col(f"`{text_col}`"))), 33).cast("int")
+    unique = docs.groupBy(id_key(F.col(quoted(id_col))).alias("doc")).agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    return F.lit(0).cast("long") if unique else F.xxhash64(text_bytes(F.col(quoted(text_col))))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, part: Column) -> DataFrame:
-    return docs.select(id_key(F.col(f"`{id_col}`")).alias("doc"), part.alias("part"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
+    return docs.select(id_key(F.col(quoted(id_col))).alias("doc"), part.alias("part"), text_bytes(F.col(quoted(text_col))).alias("text"))
 
 
-def _after(rows: DataFrame, first: DataFrame) -> DataFrame:
-    """The rows whose (key, words) also stand at an earlier (doc, at)."""
-    return rows.join(first.select("key", "words", "first"), ["key", "words"]).where(F.struct("doc", "at", "n") > F.col("first")).select("doc", "at", "n")
+#: Where a run stands; its order is that of documents, parts and places.
+_PLACE = ("doc", "part", "at", "n")
+
 
+def _first(rows: DataFrame) -> DataFrame:
+    """Each (key, words) with its first place and how often it stands."""
+    return rows.groupBy("key", "words").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("c"))
 
-def _later(rows: DataFrame) -> DataFrame:
-    first = rows.groupBy("key", "words").agg(F.min(F.struct("doc", "at", "n")).alias("first"), F.count("*").alias("c"))
-    return _after(rows, first.where("c > 1"))
 
+def _after(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The places whose (key, words) also stand at an earlier one; `first` is staged."""
+    again = join_heavy(rows, first.where("c > 1"), ["key", "words"], "c")
+    return again.where(F.struct(*_PLACE) > F.col("first")).select(*_PLACE)
 
-def _of_docs(rows: DataFrame) -> DataFrame:
-    """A document's rows as one array; all its parts together, so that texts need not be dealt out anew by part."""
-    return rows.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+
+def _of_docs(places: DataFrame) -> DataFrame:
+    """The places in each part of a document as one array; what alike rows repeat counts once."""
+    return places.distinct().groupBy("doc", "part").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -183,12 +185,13 @@ def _spans(rows: DataFrame, width: int, anchor: int) -> DataFrame:
     repeated = stage(counted.where("c > 1").select("key"), "repeated")
     bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(repeated))
     runs = stage(rows.mapInArrow(_runs(width, anchor, bitmap), _RUN), "runs")
-    first = stage(runs.groupBy("key", "words").agg(F.min(F.struct("doc", "at", "n")).alias("first"), F.count("*").alias("c")), "first_runs")
+    first = stage(_first(runs), "first_runs")
     # windows of the earliest run of each word sequence, where a minimiser has several
-    mixed = first.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    single = first.join(mixed, "key", "left_semi").select("first.*")
-    windows = rows.join(_of_docs(single), "doc").select("doc", "part", "text", "runs").mapInArrow(_windows(width), _RUN)
-    return _after(runs, first.where("c > 1")).unionByName(_later(windows))
+    mixed = stage(first.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "mixed")
+    single = join_heavy(first, mixed, ["key"], "k").select("first.*")
+    windows = rows.join(_of_docs(single), ["doc", "part"]).select("doc", "part", "text", "runs").mapInArrow(_windows(width), _RUN)
+    windows = stage(windows, "windows")
+    return _after(runs, first).unionByName(_after(windows, stage(_first(windows), "first_windows")))
 
 
 def _intervals(starts: np.ndarray, sizes: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -221,8 +224,7 @@ def _removal(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts, runs = b.column(1).to_pylist(), b.column(3)
-            made = [_cut(t, *(_of_part(r, p) if r.is_valid else (none, none)), width) for t, p, r in zip(b.column(2).to_pylist(), parts, runs)]
+            made = [_cut(t, *(_places(r) if r.is_valid else (none, none)), width) for t, r in zip(b.column(2).to_pylist(), b.column(3))]
             spans = [[{"start": lo, "end": hi} for lo, hi in m[2]] for m in made]
             yield pa.record_batch([b.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array(spans, span), pa.array([m[3] for m in made], pa.string())], schema=schema)
 
@@ -240,28 +242,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = _rows(docs, id_col, text_col, _part(docs, id_col, text_col))
     spans = _spans(rows, width, anchor or max(1, min(6, width // 3)))
-    cut = rows.join(_of_docs(spans), "doc", "left").select("doc", "part", "text", "runs")
+    cut = rows.join(_of_docs(spans), ["doc", "part"], "left").select("doc", "part", "text", "runs")
     made = cut.mapInArrow(_removal(width), "doc long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
     return made.select(key_id("doc").alias(id_col), "n_words", "n_removed", "removed", "kept_text")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
-    """All columns of `docs`, with repeated passages cut from the text; every row stays."""
-    part = _part(docs, id_col, text_col)
-    spans = _of_docs(_spans(_rows(docs, id_col, text_col, part), width, max(1, min(6, width // 3))))
+    """All columns of `docs`, with repeated passages cut from the text; every row stays. Odd rows as in remove_repeats()."""
+    part_of = _part(docs, id_col, text_col)
+    spans = _of_docs(_spans(_rows(docs, id_col, text_col, part_of), width, max(1, min(6, width // 3))))
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, parts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.Series:
-        out = []
-        for text, p, at, n in zip(texts, parts, starts, sizes):
-            here = at >> _PIECE == p
-            out.append(_cut(text, at[here] & ((1 << _PIECE) - 1), n[here].astype(np.int64), width)[3])
-        return pd.Series(out, dtype=object)
-
-    text = F.col(f"`{text_col}`")
+    def cut(texts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([_cut(text, at, n, width)[3] for text, at, n in zip(texts, starts, sizes)], dtype=object)
+
+    text = F.col(quoted(text_col))
     none = F.array().cast("array<long>")
-    found = docs.withColumns({"__doc": id_key(F.col(f"`{id_col}`")), "__part": part})
-    found = found.join(spans.select(F.col("doc").alias("__doc"), F.col("runs.at").alias("__at"), F.col("runs.n").cast("array<long>").alias("__n")), "__doc", "left")
-    changed = F.col("__at").isNotNull()
-    kept = cut(F.when(changed, text_bytes(text)).otherwise(F.lit(b"")), F.col("__part"), F.coalesce("__at", none), F.coalesce("__n", none))
-    return found.select(*[F.when(changed, kept).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    doc, part, at, n = fresh(docs, "doc", "part", "at", "n")
+    found = docs.withColumns({doc: id_key(F.col(quoted(id_col))), part: part_of})
+    found = found.join(spans.select(F.col("doc").alias(doc), F.col("part").alias(part), F.col("runs.at").alias(at), F.col("runs.n").cast("array<long>").alias(n)), [doc, part], "left")
+    changed = F.col(at).isNotNull()
+    kept = cut(F.when(changed, text_bytes(text)).otherwise(F.lit(b"")), F.coalesce(at, none), F.coalesce(n, none))
+    return found.select(*[F.when(changed, kept).otherwise(text).alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns])
