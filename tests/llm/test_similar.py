@@ -65,16 +65,28 @@ def test_generated_documents_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+BITS, SEGMENTS = 8, 4
+
+
+def first_key(a, b):
+    """The first key that two prints of one word share, by trying all."""
+    keys = [similar.variant_keys(np.array([[x]], dtype=np.uint64), BITS, SEGMENTS)[0].tolist() for x in (a, b)]
+    return next((x for x, y in zip(*keys) if x == y), None)
+
+
 def test_members_apart_from_the_first_are_compared():
-    """Pairs across components, in blocks, over batches that cut runs."""
+    """Pairs across components, in blocks, over batches that cut runs; each in its first shared key alone."""
     import pyarrow as pa
 
     rng = np.random.default_rng(3)
-    rows = sorted({(int(k), int(c), int(c) * 1000 + int(x), int(x) & 7) for k, c, x in zip(rng.integers(0, 4, 900), rng.integers(0, 9, 900), rng.integers(0, 50, 900))})
+    hubs = rng.integers(0, 2**32, 6, dtype=np.uint64)
+    prints = [int(rng.choice(hubs)) ^ (1 << int(rng.integers(0, 32))) ^ (1 << int(rng.integers(0, 32))) for _ in range(200)]
+    keys = similar.variant_keys(np.array(prints, dtype=np.uint64)[:, None], BITS, SEGMENTS)
+    rows = sorted((int(k), i % 7, i, p) for i, p in enumerate(prints) for k in keys[i])
     cols = np.array(rows, dtype=np.int64).T
-    batches = [pa.record_batch([pa.array(c[lo : lo + 70]) for c in cols], names=["key", "c", "same", "check"]) for lo in range(0, len(rows), 70)]
-    found = [(u, v) for b in similar._across(1)(iter(batches)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    want = [(min(a[2], b[2]), max(a[2], b[2])) for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] and a[1] != b[1] and (a[3] ^ b[3]).bit_count() <= 1]
+    batches = [pa.record_batch([pa.array(c[lo : lo + 70]) for c in cols], names=["key", "c", "same", "p0"]) for lo in range(0, len(rows), 70)]
+    found = [(u, v) for b in similar._across(5, BITS, SEGMENTS)(iter(batches)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    want = [(i, j) for j in range(200) for i in range(j) if i % 7 != j % 7 and (prints[i] ^ prints[j]).bit_count() <= 5 and first_key(prints[i], prints[j]) is not None]
     assert sorted(found) == sorted(want)
 
 
@@ -83,10 +95,11 @@ def test_first_links_join_what_all_pairs_join(monkeypatch, small):
     """A key's links leave no two near classes apart, or send the key's rows on."""
     monkeypatch.setattr(similar, "_SMALL", small)
     rng = np.random.default_rng(5)
-    hubs = rng.integers(0, 2**63, 4, dtype=np.uint64)
-    check = np.array([int(rng.choice(hubs)) ^ (1 << int(rng.integers(0, 64))) for _ in range(300)], dtype=np.uint64)
-    i, j, more = similar._match(check, 2)
-    assert more and (np.bitwise_count(check[i] ^ check[j]) <= 2).all() and set(j.tolist()) == {b for b in range(300) if (np.bitwise_count(check[:b] ^ check[b]) <= 2).any()}
+    hubs = rng.integers(0, 2**24, 4, dtype=np.uint64) << np.uint64(8)  # the first segment is 0 in all
+    prints = np.array([int(rng.choice(hubs)) ^ (1 << int(rng.integers(8, 32))) for _ in range(300)], dtype=np.uint64)[:, None]
+    i, j, more = similar._match(0, prints, 2, BITS, SEGMENTS)
+    assert more and similar._near(prints[i], prints[j], 2).all() and set(j.tolist()) == {b for b in range(300) if similar._near(prints[:b], prints[b], 2).any()}
+    assert not len(similar._match(1 << 40, prints, 2, BITS, SEGMENTS)[0])  # they share an earlier key
 
 
 def test_large_groups_of_near_copies(spark):
@@ -112,7 +125,7 @@ def test_recall_at_the_similarity():
             prints = np.stack([similar.wide_print(np.concatenate([shared, own]), width) for own in (left, right)])
             keys = similar.variant_keys(prints, bits, segments)
             met += bool(set(keys[0].tolist()) & set(keys[1].tolist()))
-            near += np.bitwise_count(prints[0] ^ prints[1])[0] <= similar.distance_for(64, 0.8)
+            near += similar._near(prints[0], prints[1], similar.distance_for(64 * width, 0.8))
         assert met >= 0.95 * 300 and near >= 0.99 * 300
 
 

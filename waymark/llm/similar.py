@@ -7,7 +7,8 @@ has a segment that differs by at most one bit with a chance of `recall` at least
 more alike, and for those whose prints differ in fewer than twice as many bits as there are segments, it is surer or
 certain. Segments grow with the logarithm of the number of texts, so that a key holds about as many classes at any
 size. The variants of a segment, each with one bit wildcarded, are the keys of an equality match. A match is verified
-by 64 bits of the print inside the key's group, then by the whole print and the sizes, then by the whole sets.
+by the whole print inside the key's group, then by the sizes and the whole sets. A pair counts only in the first key
+that it shares.
 
 Keys with few matches yield all of them. In others each class is linked to an earlier one near it, which costs no more
 links than classes; their rows are compared once more after the first links are verified, and only pairs that are in
@@ -100,22 +101,39 @@ def variant_keys(prints: np.ndarray, bits: int, segments: int) -> np.ndarray:
     return ((parts[:, :, None] & masks) | tags).reshape(len(prints), -1)
 
 
-_ROW = pa.schema([("key", pa.int64()), ("same", pa.int64()), ("check", pa.int64())])
+def _keyed(bits: int, segments: int, width: int):
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "same", *_words(width))])
 
-
-def _keyed(bits: int, segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             same = b.column(0).to_numpy(zero_copy_only=False)
-            prints = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint64).reshape(len(same), -1) if len(same) else np.empty((0, 1), np.uint64)
+            prints = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint64).reshape(-1, width)
             for lo in range(0, len(same), 2000):
                 keys = variant_keys(prints[lo : lo + 2000], bits, segments)
-                again = [np.repeat(c[lo : lo + 2000], keys.shape[1]) for c in (same, prints[:, 0].view(np.int64))]
-                yield pa.record_batch([pa.array(keys.ravel()), *map(pa.array, again)], schema=_ROW)
+                again = [np.repeat(c[lo : lo + 2000], keys.shape[1]) for c in (same, *prints.view(np.int64).T)]
+                yield pa.record_batch([pa.array(keys.ravel()), *map(pa.array, again)], schema=schema)
 
     return run
 
 
+def _words(width: int) -> list[str]:
+    return [f"p{w}" for w in range(width)]
+
+
+def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Where prints (along the last axis) differ in at most `most` bits."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32) <= most
+
+
+def _is_first(apart: np.ndarray, key: int, bits: int, segments: int) -> np.ndarray:
+    """Whether a key is the first that pairs share, by their prints' differences (pairs x words)."""
+    flags = np.unpackbits(np.ascontiguousarray(apart).view(np.uint8), axis=1, bitorder="little")[:, : bits * segments]
+    counts = flags.reshape(len(apart), segments, bits).sum(axis=2, dtype=np.int16)
+    segment, bit = divmod(int(key) >> 40, bits)
+    # a segment that differs by one bit is shared with that bit cleared, an equal one with any
+    return ((counts <= 1).argmax(axis=1) == segment) & ((counts[:, segment] == 1) | (bit == 0))
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """The rows of each key, of rows sorted by it, as columns."""
     held: list[np.ndarray] = []
@@ -136,66 +154,72 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held, axis=1)
 
 
-def _match(check: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of places of near prints, and whether others may be left out; if so, each place that has an earlier one near it is in a pair."""
-    m = len(check)
-    if m == 2:
-        near = int(check[0] ^ check[1]).bit_count() <= most
-        return np.arange(near), np.arange(1, 1 + near), False
+def _match(key: int, prints: np.ndarray, most: int, bits: int, segments: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of places of near prints whose first key this is, and whether others may be left out; if so, each place that has an earlier such one is in a pair."""
+    m = len(prints)
     if m <= _SMALL:
-        i, j = np.nonzero(np.triu(np.bitwise_count(check[:, None] ^ check) <= most, 1))
+        i, j = np.nonzero(np.triu(_near(prints[:, None], prints, most), 1))
+        if len(i):
+            first = _is_first(prints[i] ^ prints[j], key, bits, segments)
+            i, j = i[first], j[first]
         if len(i) <= 3 * m:
             return i, j, False
-        j, first = np.unique(j, return_index=True)  # i rises, so the first is the smallest
-        return i[first], j, True
+        j, at = np.unique(j, return_index=True)  # i rises, so the first is the smallest
+        return i[at], j, True
     left, u, v = np.arange(m), [], []
     while len(left) > 1:
         hub, left = left[0], left[1:]
-        near = np.bitwise_count(check[left] ^ check[hub]) <= most
-        if near.any():
+        apart = prints[left] ^ prints[hub]
+        near = np.flatnonzero(np.bitwise_count(apart).sum(axis=1, dtype=np.int32) <= most)
+        near = near[_is_first(apart[near], key, bits, segments)] if len(near) else near
+        if len(near):
             v.append(left[near])
-            u.append(np.full(len(v[-1]), hub))
-            left = left[~near]
+            u.append(np.full(len(near), hub))
+            left = np.delete(left, near)
     return (np.concatenate(u), np.concatenate(v), True) if u else (left[:0], left[:0], False)
 
 
-def _matched(most: int):
-    """Rows sorted by key to pairs (u, v), and the rows (u: key, v, check) of keys that are to be compared once more."""
-    schema = pa.schema([("again", pa.bool_()), ("u", pa.int64()), ("v", pa.int64()), ("check", pa.int64())])
+def _matched(most: int, bits: int, segments: int, width: int):
+    """Rows sorted by key to pairs (u, v), and the rows (u: key, v, print) of keys that are to be compared once more."""
+    schema = pa.schema([("again", pa.bool_()), *((c, pa.int64()) for c in ("u", "v", *_words(width)))])
+
+    def batch(again: bool, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.full(len(columns[0]), again)), *map(pa.array, columns)], schema=schema)
 
-    def batch(again: bool, u: np.ndarray, v: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.full(len(u), again)), pa.array(u), pa.array(v), pa.array(check)], schema=schema)
+    def pairs(us: list, vs: list) -> pa.RecordBatch:
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return batch(False, u, v, *[np.zeros(len(u), dtype=np.int64)] * width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us: list[np.ndarray] = []
         vs: list[np.ndarray] = []
         n = 0
-        for key, same, check in _groups(batches):
+        for key, same, *words in _groups(batches):
             if len(same) < 2:
                 continue
-            i, j, more = _match(check.view(np.uint64), most)
+            i, j, more = _match(key[0], np.stack(words, axis=1).view(np.uint64), most, bits, segments)
             if not len(i):
                 continue
             us.append(np.minimum(same[i], same[j]))
             vs.append(np.maximum(same[i], same[j]))
             n += len(i)
             if more:
-                yield batch(True, key, same, check)
+                yield batch(True, key, same, *words)
             if n >= _BLOCK:
-                yield batch(False, np.concatenate(us), np.concatenate(vs), np.zeros(n, dtype=np.int64))
+                yield pairs(us, vs)
                 us, vs, n = [], [], 0
         if n:
-            yield batch(False, np.concatenate(us), np.concatenate(vs), np.zeros(n, dtype=np.int64))
+            yield pairs(us, vs)
 
     return run
 
 
-def _across(most: int):
-    """Rows (key, c, same, check) sorted by the first two to pairs (u, v) of a key's near members in different components."""
+def _across(most: int, bits: int, segments: int):
+    """Rows (key, c, same, print) sorted by the first two to pairs (u, v) of near members in different components, in the first key that they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c, same, check in _groups(batches):
-            check = check.view(np.uint64)
+        for key, c, same, *words in _groups(batches):
+            prints = np.stack(words, axis=1).view(np.uint64)
             ends = np.searchsorted(c, c, side="right")  # where the next component begins
             step = max(1, _BLOCK // max(1, len(c)))
             for lo in range(0, len(c), step):
@@ -203,11 +227,12 @@ def _across(most: int):
                 first = ends[lo]
                 if first >= len(c):
                     break
-                near = np.bitwise_count(check[lo:hi, None] ^ check[None, first:]) <= most
+                near = _near(prints[lo:hi, None], prints[None, first:], most)
                 near &= np.arange(first, len(c)) >= ends[lo:hi, None]
                 i, j = np.nonzero(near)
                 if len(i):
-                    a, b = same[lo + i], same[first + j]
+                    shared = _is_first(prints[lo + i] ^ prints[first + j], key[0], bits, segments)
+                    a, b = same[lo + i[shared]], same[first + j[shared]]
                     yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
 
     return run
@@ -221,19 +246,11 @@ def _set_hashes(shingle: int, seed: int):
     return hashes
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, most: int, hashes) -> DataFrame:
+def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, hashes) -> DataFrame:
     """The pairs (u, v) of classes whose whole sets have the similarity."""
-    sides = [classes.select(F.col("same").alias(s), F.col("n").alias(f"n{s}"), F.col("print").alias(f"p{s}")) for s in "uv"]
-
-    @F.pandas_udf("int")
-    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype="int32")
-        x, y = (np.frombuffer(b"".join(s), dtype=np.uint64).reshape(len(s), -1) for s in (a, b))
-        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32))
-
-    near = pairs.join(sides[0], "u").join(sides[1], "v").where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9)
-    near = stage(near.withColumn("apart", apart("pu", "pv")).where(F.col("apart") <= most).select("u", "v"), "near")
+    sizes = [classes.select(F.col("same").alias(s), F.col("n").alias(f"n{s}")) for s in "uv"]
+    near = pairs.join(sizes[0], "u").join(sizes[1], "v").where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9)
+    near = stage(near.select("u", "v"), "near")
     wanted = near.select(F.col("u").alias("same")).union(near.select("v")).distinct()
     wanted = classes.join(wanted, "same", "left_semi").select("same", "least.id", "least.th")
     sets = texts.join(wanted, ["id", "th"]).select("same", hashes("text").alias("hashes")).dropDuplicates(["same"])
@@ -264,20 +281,20 @@ def _members(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     made = stage(texts.select("id", "th", sketches("text").alias("s")).select("id", "th", "s.*"), "sketches")
     classes = made.groupBy("same").agg(F.min(F.struct("id", "th")).alias("least"), F.max("n").alias("n"), F.max("print").alias("print"))
     classes = stage(classes, "classes")
-    most, whole = distance_for(64, similarity), distance_for(64 * width, similarity)
-    hashes = _set_hashes(shingle, seed)
+    most, hashes = distance_for(64 * width, similarity), _set_hashes(shingle, seed)
+    words = _words(width)
+    longs = ", ".join(f"{w} long" for w in words)
 
-    rows = classes.where("n > 0").select("same", "print").mapInArrow(_keyed(bits, segments), "key long, same long, check long")
-    rows = rows.repartition("key").sortWithinPartitions("key", "same").mapInArrow(_matched(most), "again boolean, u long, v long, check long")
+    rows = classes.where("n > 0").select("same", "print").mapInArrow(_keyed(bits, segments, width), f"key long, same long, {longs}")
+    rows = rows.repartition("key").sortWithinPartitions("key", "same").mapInArrow(_matched(most, bits, segments, width), f"again boolean, u long, v long, {longs}")
     rows = stage(rows, "matches")
-    links = _similar(rows.where("not again").select("u", "v").distinct(), classes, texts, similarity, whole, hashes)
+    links = _similar(rows.where("not again").select("u", "v"), classes, texts, similarity, hashes)
     labels = stage(connected_components(links), "labels")
-    again = rows.where("again").select(F.col("u").alias("key"), F.col("v").alias("same"), "check")
+    again = rows.where("again").select(F.col("u").alias("key"), F.col("v").alias("same"), *words)
     if not again.isEmpty():
-        again = again.join(labels, again.same == labels.node, "left").select("key", F.coalesce("component", "same").alias("c"), "same", "check")
-        more = again.repartition("key").sortWithinPartitions("key", "c").mapInArrow(_across(most), "u long, v long").distinct()
-        more = _similar(more, classes, texts, similarity, whole, hashes)
-        labels = stage(connected_components(links.unionByName(more)), "labels")
+        again = again.join(labels, again.same == labels.node, "left").select("key", F.coalesce("component", "same").alias("c"), "same", *words)
+        more = again.repartition("key").sortWithinPartitions("key", "c").mapInArrow(_across(most, bits, segments), "u long, v long")
+        labels = stage(connected_components(links.unionByName(_similar(more, classes, texts, similarity, hashes))), "labels")
     named = labels.select(F.col("node").alias("same"), F.col("component").alias("c"))
     return stage(made.select("id", "th", "same").join(named, "same", "left").select("id", "th", "same", F.coalesce("c", "same").alias("c")), "members")
 
