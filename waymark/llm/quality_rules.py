@@ -1,11 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule is a number that is higher for worse texts. Its cutoff is chosen per stratum from a labelled holdout: of a
-fixed grid, walked from lenient to strict, the last cutoff for which the exact (Clopper-Pearson) upper bound of the
-share of good documents that it rejects stays within the rule's part of the risk. The walk stops at the first cutoff
-that fails (fixed-sequence testing), so the grid needs no correction; rules and strata share the error probability
-(Bonferroni). With probability `1 - error`, every stratum loses at most `risk` of its good documents to the rules.
-A stratum with too few labels gets no cutoff and loses none.
+Each rule is a number that is higher for worse texts. All rules' cutoffs in a stratum move together along one path, from
+lenient to strict, which is laid without the holdout: at step k each rule takes its strictest cutoff by which an
+estimated share LEVELS[k] of good documents at most would be rejected. The estimate is the share of unlabelled documents
+above the cutoff, less what bad documents explain of it by the bad-labelled ones.
+
+The labelled good documents are the holdout. Step by step, the exact (Clopper-Pearson) upper bound of the share of them
+that any rule rejects is compared with the risk; the walk stops at the first step that fails (fixed-sequence testing),
+so neither steps nor rules need a correction; strata share the error probability (Bonferroni). With probability
+`1 - error`, every stratum loses at most `risk` of its good documents to the rules. A stratum with too few labels gets
+no cutoff and loses none, and so does one without unlabelled documents.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_key, joined, key_id, mix64, stage, text_bytes, window_hashes, word_hashes, word_spans
+from .common import chunks, id_key, joined, key_id, mix64, quoted, stage, text_bytes, window_hashes, word_hashes, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 #: The fixed rules: fewer words, or a larger share (percent) of words in repeated windows, fail.
@@ -28,6 +32,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 RULES = ("symbol_share", "capital_share", "exclaim_share", "dup_line_share", "repeat_share", "stutter_share")
 #: Cutoffs of every rule, lenient to strict.
 GRID = tuple(round(0.97**k, 6) for k in range(200))
+#: Estimated shares of good documents that a rule may reject, by steps of the path.
+LEVELS = (0.0, *(round(0.0005 * 1.15**k, 8) for k in range(40)))
 #: Strata up to this many have their cutoffs broadcast; more are joined.
 _BROADCAST_STRATA = 10_000
 
@@ -102,8 +108,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
                 made = _measure(texts[lo:hi])
                 yield pa.record_batch([b.column(0)[lo:hi], b.column(1)[lo:hi], *(pa.array(made[c], type=schema.field(c).type) for c in (*_COUNTS, *RULES))], schema=schema)
 
-    stratum = F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("")) if stratum_col else F.lit("")
-    rows = docs.select(id_key(F.col(f"`{id_col}`")).alias("id"), stratum.alias("stratum"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
+    stratum = F.coalesce(F.col(quoted(stratum_col)).cast("string"), F.lit("")) if stratum_col else F.lit("")
+    rows = docs.select(id_key(F.col(quoted(id_col))).alias("id"), stratum.alias("stratum"), text_bytes(F.col(quoted(text_col))).alias("text"))
     made = rows.mapInArrow(run, "id long, stratum string, " + ", ".join(f"{c} long" for c in _COUNTS) + ", " + ", ".join(f"{c} double" for c in RULES))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return made.withColumn("base_failed", failed)
@@ -138,42 +144,108 @@ def upper_bound(k: int, n: int, error: float) -> float:
     return hi
 
 
-def strictest_cutoff(rejected: np.ndarray, n: int, risk: float, error: float) -> float:
-    """Of GRID, the last cutoff before the first whose rejected good documents have too high a bound; inf if none."""
-    best = math.inf
-    for cutoff, k in zip(GRID, rejected):
-        if not n or upper_bound(int(k), n, error) > risk:
-            break
-        best = cutoff
-    return best
+def last_step(rejected: np.ndarray, n: int, risk: float, error: float) -> int:
+    """The last step of a walk before the first whose rejected good documents, of n, have too high a bound; -1 if none."""
+    for k, lost in enumerate(rejected):
+        if not n or upper_bound(int(lost), n, error) > risk:
+            return k - 1
+    return len(rejected) - 1
+
+
+#: Bad documents above a cutoff, from which on it serves to estimate their share.
+_ENOUGH_BAD = 10
+
+
+def _above(rest: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bad documents at or above each cutoff, and shares above it: of unlabelled and of bad ones, each with one more that is not bad."""
+    above, bad_above = np.cumsum(rest)[: len(GRID)], np.cumsum(bad)[: len(GRID)]
+    return bad_above, np.where(above > 0, above + 1, 0) / (rest.sum() + 1), np.maximum(bad_above - 1, 0) / max(1, bad.sum()), bad_above >= _ENOUGH_BAD
+
+
+def share_of_bad(sides: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    """The share of bad documents among unlabelled ones: the least ratio of the shares above a cutoff, over all rules and cutoffs.
+
+    Where only bad documents lie above a cutoff the ratio is their share, elsewhere it is larger; unlike the share
+    among labels it does not depend on how documents were chosen for labelling. Ratios are raised by two standard
+    errors, so that the least is not one of few documents.
+    """
+    ratios = []
+    for bad_above, of_rest, of_bad, enough in (_above(*s) for s in sides):
+        ratios += (of_rest[enough] / of_bad[enough] * (1 + 2 / np.sqrt(bad_above[enough]))).tolist()
+    return float(min([1.0, *ratios])) if ratios else 0.0
+
+
+def path(rest: np.ndarray, bad: np.ndarray, bad_share: float) -> np.ndarray:
+    """For each level of LEVELS, the place in GRID of a rule's cutoff; len(GRID) is none.
+
+    `rest` (unlabelled) and `bad` count documents by how many of GRID's cutoffs lie above their value. A cutoff that
+    catches fewer than two bad documents is none.
+    """
+    if not rest.sum():
+        return np.full(len(LEVELS), len(GRID))
+    bad_above, of_rest, of_bad, _ = _above(rest, bad)
+    lost = np.maximum.accumulate(np.maximum(of_rest - bad_share * of_bad, 0))
+    steps = np.searchsorted(lost, np.array(LEVELS) + 1e-12, side="right") - 1  # the strictest cutoff within each level
+    # no stricter than its bad documents ask: the most lenient cutoff that rejects as many of them
+    caught = bad_above[steps]
+    return np.where((steps < 0) | (caught < 2), len(GRID), np.searchsorted(bad_above, caught))
 
 
-def _keeps(rule: str):
-    return lambda cutoff: F.col(rule) < cutoff
+_PATH = "stratum string, " + ", ".join(f"{r} array<int>" for r in RULES)
 
 
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", risk: float = 0.02, error: float = 0.05) -> DataFrame:
-    """(stratum, n_good, cutoff of each rule) from the labelled documents that pass the fixed rules."""
-    good = labels.where(F.col(label_col) == 1).select(id_key(id_col).alias("id")).distinct()
-    holdout = measured.where("not base_failed").join(good, "id", "left_semi")
-    strata = measured.select("stratum").distinct().count()
+    """(stratum, n_good, step, cutoff of each rule) from the documents that pass the fixed rules; `measured` is staged.
+
+    Ids labelled both ways count as unlabelled; of rows that share a labelled id each is an example.
+    """
     grid = F.array(*map(F.lit, GRID))
-    # how many of the grid's cutoffs keep a value; the stricter rest reject it
-    binned = [F.size(F.filter(grid, _keeps(rule))).alias(rule) for rule in RULES]
-    long = holdout.select("stratum", *binned).unpivot(["stratum"], list(RULES), "rule", "bin").groupBy("stratum", "rule", "bin").agg(F.count("*").alias("n"))
-    of_rule, share = risk / len(RULES), error / (len(RULES) * max(1, strata))
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"stratum": [rows["stratum"].iloc[0]], "n_good": [0]}
+    def above(rule: str):
+        return lambda cutoff: F.col(rule) < cutoff
+
+    y = F.col(quoted(label_col))
+    known = labels.where(y.isin(0, 1)).select(id_key(F.col(quoted(id_col))).alias("id"), y.cast("int").alias("y"))
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("id", "y")
+    # how many of the grid's cutoffs keep a value; the stricter rest reject it
+    binned = measured.where("not base_failed").select("id", "stratum", *[F.size(F.filter(grid, above(r))).alias(r) for r in RULES])
+    binned = stage(binned.join(known, "id", "left").select("stratum", F.coalesce("y", F.lit(-1)).alias("y"), *RULES), "binned")
+    counts = binned.groupBy("stratum", "y").agg(F.count("*").alias("n"))
+    strata = counts.where("y = 1").count()
+    long = binned.where("y <> 1").unpivot(["stratum", "y"], list(RULES), "rule", "bin").groupBy("stratum", "y", "rule", "bin").agg(F.count("*").alias("n"))
+
+    def lay(rows: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"stratum": [rows["stratum"].iloc[0]]}
+        sides = []
         for rule in RULES:
-            mine = rows[rows["rule"] == rule]
-            n = int(mine["n"].sum())
-            counts = np.bincount(mine["bin"].to_numpy(int), weights=mine["n"].to_numpy(float), minlength=len(GRID) + 1)
-            out["n_good"] = [n]
-            out[f"max_{rule}"] = [strictest_cutoff(np.cumsum(counts)[: len(GRID)], n, of_rule, share)]
+            mine = [rows[(rows["rule"] == rule) & (rows["y"] == y)] for y in (-1, 0)]
+            sides.append(tuple(np.bincount(m["bin"].to_numpy(int), weights=m["n"].to_numpy(float), minlength=len(GRID) + 1) for m in mine))
+        share = share_of_bad(sides)
+        out |= {rule: [path(*s, share).tolist()] for rule, s in zip(RULES, sides)}
         return pd.DataFrame(out)
 
-    return long.groupBy("stratum").applyInPandas(choose, "stratum string, n_good long, " + ", ".join(f"max_{r} double" for r in RULES))
+    paths = stage(long.groupBy("stratum").applyInPandas(lay, _PATH), "paths")  # at most 2 * rules * grid rows a stratum
+    few = paths.limit(_BROADCAST_STRATA + 1).count() <= _BROADCAST_STRATA
+    laid = paths.select("stratum", *[F.col(r).alias(f"path_{r}") for r in RULES])
+    good = binned.where("y = 1").join(F.broadcast(laid) if few else laid, "stratum", "left")
+    # the first step at which some rule rejects: cutoffs only get stricter along the path
+    first = F.least(*[F.coalesce(F.size(F.filter(f"path_{r}", _spares(r))), F.lit(len(LEVELS))) for r in RULES])
+    steps = good.select("stratum", first.alias("step")).groupBy("stratum", "step").agg(F.count("*").alias("n"))
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        lost = np.bincount(rows["step"].to_numpy(int), weights=rows["n"].to_numpy(float), minlength=len(LEVELS) + 1)
+        n = int(lost.sum())
+        return pd.DataFrame({"stratum": [rows["stratum"].iloc[0]], "n_good": [n], "step": [last_step(np.cumsum(lost)[: len(LEVELS)], n, risk, error / max(1, strata))]})
+
+    walked = steps.groupBy("stratum").applyInPandas(walk, "stratum string, n_good long, step int")  # at most a row a level
+    at = {r: F.element_at(r, F.greatest("step", F.lit(0)) + 1) for r in RULES}
+    cutoff = [F.when((F.col("step") >= 0) & (at[r] < len(GRID)), F.element_at(grid, at[r] % len(GRID) + 1)).alias(f"max_{r}") for r in RULES]
+    return walked.join(paths, "stratum", "left").select("stratum", "n_good", "step", *cutoff)
+
+
+def _spares(rule: str):
+    """Whether a step's cutoff lies above a document's value: the value's bin counts the cutoffs above it."""
+    return lambda cutoff: (cutoff == len(GRID)) | (cutoff < F.col(rule))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", label_col: str = "quality", risk: float = 0.02, error: float = 0.05) -> DataFrame:
