@@ -66,6 +66,25 @@ def test_odd_rows(spark):
     assert lookup(write_archive(df.limit(0)), df).count() == 0
 
 
+def test_captures_of_one_key_are_all_read(spark):
+    """Rows alike in id and url but not in payload, and so many without id and url that they fill blocks and shards."""
+    rows = [(1, "http://a/", "aa"), (1, "http://a/", "bbb"), (1, "http://a/", "bbb")] + [(None, None, f"payload {k % 1500}") for k in range(2500)] + [(k, f"http://b/{k}", "z") for k in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else these few rows make one shard
+    try:
+        archive = write_archive(df)
+        hot = ")/ " + "0" * 20
+        assert sum(first <= hot <= last for first, last in zip(archive.firsts, archive.lasts)) > 1
+        found = lookup(archive, df).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    least = {}
+    for i, _, html in rows:
+        least[html] = min(least.get(html, 2**63), -1 if i is None else i)
+    want = sorted((repr(i), len(html), sha(html.encode()), "revisit" if (-1 if i is None else i) > least[html] else "response") for i, _, html in rows)
+    assert sorted((repr(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in found) == want
+
+
 def test_query(spark):
     rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").collect()]
     assert digest(op2_warc(spark, f"{DATA}/sf0.01")) == plain(rows)
