@@ -139,10 +139,10 @@ def _places(runs: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return at, n.astype(np.int64)
 
 
-def _part(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    """0 where ids are unique. Else a hash of the text: rows alike in id and text are one part of a document."""
+def _part(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, bool]:
+    """0 where ids are unique. Else a hash of the text: rows alike in id and text are one part of a document. And whether they are."""
     unique = docs.groupBy(id_key(F.col(quoted(id_col))).alias("doc")).agg(F.count("*").alias("c")).where("c > 1").isEmpty()
-    return F.lit(0).cast("long") if unique else F.xxhash64(text_bytes(F.col(quoted(text_col))))
+    return F.lit(0).cast("long") if unique else F.xxhash64(text_bytes(F.col(quoted(text_col)))), unique
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, part: Column) -> DataFrame:
@@ -164,9 +164,9 @@ def _after(rows: DataFrame, first: DataFrame) -> DataFrame:
     return again.where(F.struct(*_PLACE) > F.col("first")).select(*_PLACE)
 
 
-def _of_docs(places: DataFrame) -> DataFrame:
+def _of_docs(places: DataFrame, unique: bool) -> DataFrame:
     """The places in each part of a document as one array; what alike rows repeat counts once."""
-    return places.distinct().groupBy("doc", "part").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    return (places if unique else places.distinct()).groupBy("doc", "part").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -180,7 +180,7 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _spans(rows: DataFrame, width: int, anchor: int) -> DataFrame:
+def _spans(rows: DataFrame, unique: bool, width: int, anchor: int) -> DataFrame:
     counted = rows.mapInArrow(_keys(width, anchor), "key long").groupBy("key").agg(F.count("*").alias("c"))
     repeated = stage(counted.where("c > 1").select("key"), "repeated")
     bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(repeated))
@@ -189,7 +189,7 @@ def _spans(rows: DataFrame, width: int, anchor: int) -> DataFrame:
     # windows of the earliest run of each word sequence, where a minimiser has several
     mixed = stage(first.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "mixed")
     single = join_heavy(first, mixed, ["key"], "k").select("first.*")
-    windows = rows.join(_of_docs(single), ["doc", "part"]).select("doc", "part", "text", "runs").mapInArrow(_windows(width), _RUN)
+    windows = rows.join(_of_docs(single, unique), ["doc", "part"]).select("doc", "part", "text", "runs").mapInArrow(_windows(width), _RUN)
     windows = stage(windows, "windows")
     return _after(runs, first).unionByName(_after(windows, stage(_first(windows), "first_windows")))
 
@@ -240,17 +240,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows don't span parts, and rows alike in id and text are one part, which does not repeat itself. An empty
     table gives an empty table; other columns are ignored.
     """
-    rows = _rows(docs, id_col, text_col, _part(docs, id_col, text_col))
-    spans = _spans(rows, width, anchor or max(1, min(6, width // 3)))
-    cut = rows.join(_of_docs(spans), ["doc", "part"], "left").select("doc", "part", "text", "runs")
+    part, unique = _part(docs, id_col, text_col)
+    rows = _rows(docs, id_col, text_col, part)
+    spans = _spans(rows, unique, width, anchor or max(1, min(6, width // 3)))
+    cut = rows.join(_of_docs(spans, unique), ["doc", "part"], "left").select("doc", "part", "text", "runs")
     made = cut.mapInArrow(_removal(width), "doc long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
     return made.select(key_id("doc").alias(id_col), "n_words", "n_removed", "removed", "kept_text")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
     """All columns of `docs`, with repeated passages cut from the text; every row stays. Odd rows as in remove_repeats()."""
-    part_of = _part(docs, id_col, text_col)
-    spans = _of_docs(_spans(_rows(docs, id_col, text_col, part_of), width, max(1, min(6, width // 3))))
+    part_of, unique = _part(docs, id_col, text_col)
+    spans = _of_docs(_spans(_rows(docs, id_col, text_col, part_of), unique, width, max(1, min(6, width // 3))), unique)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.Series:
