@@ -47,9 +47,31 @@ def test_small_table_is_exact_and_ties_go_to_smaller_ids(spark):
     odd = [(300, None, "x"), (301, [0.0] * 4, "x"), (302, [1.0, None, 0.0, 0.0], "x"), (303, [1.0, float("nan"), 0.0, 0.0], "x"), (304, [1.0, float("inf"), 0.0, 0.0], "x"), (305, [1.0, 2.0], "x"), (306, [], "x"), (None, base[1].tolist(), "x"), (0, base[0].tolist(), "again")]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, id string")
     clean = [(r["vec_id"], r["embedding"]) for r in df.collect() if r["vec_id"] is not None and r["vec_id"] < 300]
-    clean = list({i: v for i, v in clean}.items())
-    have, want = by_query(nearest(df, F.col("id") % 20 == 0, k=7, recall=1.0)), brute(clean, {0, 20, 40, 60, 80, 200}, 7)
-    assert {q: [i for i, _ in f] for q, f in have.items()} == {q: [i for i, _ in f] for q, f in want.items()}
+    have = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nearest(df, F.col("id") % 20 == 0, k=7, recall=1.0).collect())
+    want = []
+    for at, (i, v) in enumerate(clean):  # rows, not ids: one that shares an id is a query and a candidate of its own
+        if i % 20 == 0:
+            others = sorted((-float((np.array(v, float) * np.array(w, float)).sum()), j) for b, (j, w) in enumerate(clean) if b != at)
+            want += [(i, rank, j) for rank, (_, j) in enumerate(others[:7], 1)]
+    assert have == sorted(want) and sum(q == 0 for q, _, _ in have) == 14
+
+
+def test_trees_below_the_top_reach_the_recall(spark, monkeypatch):
+    """So small a top and leaves that every top leaf has a tree of its own and several parts."""
+    from waymark.llm import ann_tree
+
+    monkeypatch.setattr(ann_tree, "PART", 300)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 12))
+    x = (centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 12)) / 3).round(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    have = by_query(nearest(df, F.col("id") % 50 == 0, k=10, recall=0.97, leaf_size=40, top=8))
+    want = brute(rows, {i for i in range(0, 6000, 50)}, 10)
+    assert set(have) == set(want) and all(len(f) == 10 for f in have.values())
+    assert sum(len({i for i, _ in have[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+    exact = by_query(nearest(df, F.col("id") % 50 == 0, k=10, recall=1.0, leaf_size=40, top=8, calibration=1000))
+    assert exact == want
 
 
 def test_fewer_candidates_than_k_and_none(spark):

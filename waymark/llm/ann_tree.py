@@ -1,14 +1,19 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first traversal.
 
-The tree is fitted to a bounded sample and indexes every vector. A query walks it through a priority queue, nearest
-centroid first, and visits leaves until their number, calibrated on sample queries against brute force, is reached
-and their vectors are enough. Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2), where M is
-the largest norm.
+The tree has two levels of fitting. Its top, of at most TOP leaves, is fitted to a bounded sample on the driver; below
+each top leaf that holds many vectors a tree of its own is fitted inside Spark to a bounded sample of that leaf, so
+leaves grow with the table. Every vector is indexed. A query walks a tree through a priority queue, nearest centroid
+first, and visits leaves until their number, calibrated on sample queries against brute force, is reached; it is dealt
+to the top leaves that it visits and walks their own trees there. Vectors are sent once, to their top leaf.
+
+Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2), where M is the largest norm.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage
+from .common import quoted, stage
 
 BRANCH = 8
-#: Vectors of one leaf that one task scores together, and queries.
-_VECTORS, _QUERIES = 20_000, 2_000
+#: Leaves of the top tree, about; and vectors to which the tree of one top leaf is fitted, about.
+TOP, LOCAL_SAMPLE = 1024, 8192
+#: Vectors of a top leaf that one task scores, about; vectors and queries multiplied at a time.
+PART, _VECTORS, _QUERIES = 200_000, 8192, 1024
 
 
 @dataclass
@@ -112,36 +119,64 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1)
 
 
-def _top(scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of at least the k largest scores of a row, with all that rounding might tie with the last."""
-    if len(scores) <= k:
-        return np.arange(len(scores))
-    last = np.partition(scores, len(scores) - k)[len(scores) - k]
-    return np.flatnonzero(scores >= last - 1e-9 * max(1.0, abs(last)))
-
-
-def _block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of each query's k best in a block of vectors, itself left out."""
-    out = []
-    rough = queries @ vectors.T
-    for q, row in zip(range(len(queries)), rough):
-        row[ids == query_ids[q]] = -np.inf
-        at = _top(row, k)
-        at = at[row[at] > -np.inf]
-        exact = (vectors[at] * queries[q]).sum(axis=1)  # one sum for equal vectors, wherever they stand
-        best = np.lexsort((ids[at], -exact))[:k]
-        out.append((np.full(len(best), query_ids[q]), ids[at][best], exact[best]))
-    return tuple(np.concatenate([o[c] for o in out]) for c in range(3)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+class _Best:
+    """The k best candidates of each of a list of queries, as blocks of vectors pass."""
+
+    def __init__(self, rids: np.ndarray, queries: np.ndarray, k: int):
+        self.rids, self.queries, self.k = rids, queries, k
+        self.least = np.full(len(rids), -np.inf)  # the k-th best score so far
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.n = 0
+
+    def add(self, which: np.ndarray, rids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, *more: np.ndarray) -> None:
+        """Scores vectors for the queries `which`; `more` are further columns to keep of the vectors."""
+        for lo in range(0, len(which), _QUERIES):
+            q = which[lo : lo + _QUERIES]
+            rough = self.queries[q] @ vectors.T
+            order = np.argsort(rids)
+            own = np.minimum(np.searchsorted(rids, self.rids[q], sorter=order), len(rids) - 1)
+            same = rids[order[own]] == self.rids[q]
+            rough[np.flatnonzero(same), order[own[same]]] = -np.inf
+            bar = self.least[q]
+            if rough.shape[1] > self.k:
+                bar = np.maximum(bar, np.partition(rough, rough.shape[1] - self.k, axis=1)[:, rough.shape[1] - self.k])
+            # with all that rounding might tie with the last
+            i, j = np.nonzero((rough >= np.where(np.isinf(bar), bar, bar - 1e-9 * np.maximum(1.0, np.abs(bar)))[:, None]) & (rough > -np.inf))
+            exact = (vectors[j] * self.queries[q[i]]).sum(axis=1)  # one sum for equal vectors, wherever they stand
+            self.held.append((q[i], exact, ids[j], *(m[j] for m in more)))
+            self.n += len(i)
+            if self.n > 1 << 20:
+                self._cut()
+
+    def _cut(self) -> None:
+        columns = [np.concatenate(c) for c in zip(*self.held)]
+        order = np.lexsort((columns[2], -columns[1], columns[0]))
+        columns = [c[order] for c in columns]
+        begin = np.searchsorted(columns[0], columns[0])
+        rank = np.arange(len(begin)) - begin
+        last = rank == self.k - 1
+        self.least[columns[0][last]] = columns[1][last]
+        self.held, self.n = [tuple(c[rank < self.k] for c in columns)], int((rank < self.k).sum())
+
+    def result(self) -> tuple[np.ndarray, ...] | None:
+        """(query, score, id, ...) of the k best of each query, or None."""
+        if not self.held:
+            return None
+        self._cut()
+        return self.held[0]
 
 
 def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): doubles of vectors with an id, of the commonest length, that are finite and not zero; repeated rows once."""
-    v = F.col(f"`{vector_col}`").cast("array<double>")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
+    """(id, v): doubles of vectors with an id, of the commonest length, that are finite and not zero."""
+    v = F.col(quoted(vector_col)).cast("array<double>")
+    rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     rows = rows.where(~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
     dims = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return rows.where(F.size("v") == (dims["d"] if dims else 0)).dropDuplicates(["id", "v"])
+    return rows.where(F.size("v") == (dims["d"] if dims else 0))
+
+
+_FOUND = "rid long, query_id long, vec_id long, score double"
 
 
 def nearest(
@@ -150,50 +185,55 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = 20,
-    recall: float = 0.97,
+    recall: float = 0.95,
     sample: int = 20_000,
     calibration: int = 200,
     leaf_size: int = 1_000,
-    max_leaves: int = 16_384,
+    top: int = TOP,
 ) -> DataFrame:
     """One row per query and neighbour: query_id, rank (from 1), vec_id, score (inner product in doubles).
 
-    Queries are the rows where `is_query` (a Column over id) holds; candidates are all other ids. The tree is fitted
-    to at most `sample` vectors and calibrated with at most `calibration` queries, the smallest by hash of their id;
+    Queries are the rows where `is_query` (a Column over id) holds; a query's candidates are all rows but itself, so
+    rows that share an id are queries and candidates each of their own, and two lists go by one query_id. The top tree
+    is fitted to at most `sample` vectors and calibrated with at most `calibration` queries, the smallest by hash;
     every vector is indexed. Ties go to the smaller id. Null, zero and non-finite vectors, vectors of another length
-    than the commonest and null ids take no part; repeated rows count once; an empty table gives an empty table.
+    than the commonest and null ids take no part; an empty table gives an empty table.
 
     Of equal vectors only the k + 1 smallest ids can be among a query's k nearest, so only those are scored.
     """
     spark = vectors.sparkSession
-    rows = stage(usable_vectors(vectors, id_col, vector_col), "vectors")
-    norm = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("m"), F.count("*").alias("n")).first()
-    to_bytes = F.pandas_udf(lambda s: s.map(lambda x: np.asarray(x, dtype=np.float64).tobytes()), "binary")
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select(to_bytes("v").alias("v")).collect()  # `sample` rows
+
+    @F.pandas_udf("struct<v binary, norm double>")
+    def packed(s: pd.Series) -> pd.DataFrame:
+        x = [np.asarray(v, dtype=np.float64) for v in s]
+        return pd.DataFrame({"v": [v.tobytes() for v in x], "norm": [float(np.sqrt((v * v).sum())) for v in x]})
+
+    rows = usable_vectors(vectors, id_col, vector_col).select(F.monotonically_increasing_id().alias("rid"), "id", packed("v").alias("p"))
+    rows = stage(rows.select("rid", "id", "p.*"), "vectors")
+    total = rows.agg(F.max("norm").alias("m"), F.count("*").alias("n")).first()
+    some = rows.orderBy(F.xxhash64("rid"), "rid").limit(sample).select("v").collect()  # `sample` rows
     if not some:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    leaves = min(max_leaves, max(64, norm["n"] // leaf_size))
-    tree = fit_tree(_matrix([r["v"] for r in some]), float(norm["m"]), leaves)
+    tree = fit_tree(_matrix([r["v"] for r in some]), float(total["m"]), min(top, max(8, total["n"] // leaf_size)))
     shared = spark.sparkContext.broadcast(tree)
 
-    @F.pandas_udf("leaf long, v binary")
-    def index(v: pd.Series) -> pd.DataFrame:
-        x = np.stack(list(v)).astype(np.float64) if len(v) else np.empty((0, 0))
-        leaf = shared.value.leaf_of(shared.value.lifted(x)) if len(v) else np.empty(0, np.int64)
-        return pd.DataFrame({"leaf": leaf, "v": [r.tobytes() for r in x]})
+    @F.pandas_udf("int")
+    def top_leaf(v: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.leaf_of(shared.value.lifted(_matrix(list(v)))) if len(v) else [], dtype="int32")
 
-    alike = Window.partitionBy("v").orderBy("id")
+    alike = Window.partitionBy("v").orderBy("id", "rid")
     kept = rows.withColumn("copy", F.row_number().over(alike)).where(F.col("copy") <= k + 1)
-    indexed = stage(kept.withColumn("i", index("v")).select("id", "i.leaf", F.col("i.v").alias("v")), "leaves")
-    queries = rows.where(is_query).select(F.col("id").alias("query_id"), to_bytes("v").alias("q"))
-    sizes = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # at most a row per leaf
+    indexed = stage(kept.select("rid", "id", "v", top_leaf("v").alias("top")), "leaves")
     count = np.zeros(tree.leaves, dtype=np.int64)
-    count[list(sizes)] = list(sizes.values())
-    visits = _calibrate(tree, indexed, queries, count, k, recall, calibration)
-    parts = -(-np.maximum(count, 1) // _VECTORS)
+    for r in indexed.groupBy("top").agg(F.count("*").alias("n")).collect():  # a row per top leaf
+        count[r["top"]] = r["n"]
+    trees = _local_trees(indexed, count, float(total["m"]), leaf_size)
+    queries = rows.where(is_query).select("rid", "id", "v")
+    visits, within = _calibrate(tree, trees, indexed, queries, k, recall, calibration)
+    parts = np.maximum(1, -(-count // PART))
     plan = spark.sparkContext.broadcast((count, parts))
 
-    @F.pandas_udf("array<struct<leaf:long,part:long>>")
+    @F.pandas_udf("array<struct<top:int,part:int>>")
     def to_visit(q: pd.Series) -> pd.Series:
         tree, (count, parts) = shared.value, plan.value
         out = []
@@ -204,61 +244,165 @@ def nearest(
                     break
                 seen += 1
                 found += count[leaf]
-                mine += [{"leaf": leaf, "part": p} for p in range(parts[leaf])] if count[leaf] else []
+                mine += [{"top": leaf, "part": p} for p in range(parts[leaf])] if count[leaf] else []
             out.append(mine)
         return pd.Series(out)
 
-    asked = queries.withColumn("t", F.explode(to_visit("q"))).select("query_id", "q", "t.leaf", "t.part")
-    n_queries = queries.count()
-    query_parts = max(1, n_queries * max(1, visits) // max(1, tree.leaves) // _QUERIES)
-    asked = asked.withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)))
-    leaf_parts = F.element_at(F.lit([int(p) for p in parts]), (F.col("leaf") + 1).cast("int"))
-    stored = indexed.withColumn("part", F.pmod(F.xxhash64("id"), leaf_parts)).withColumn("query_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_parts - 1).cast("long"))))
+    @F.pandas_udf("int")
+    def part_of(top: pd.Series, rid: pd.Series) -> pd.Series:
+        return (rid % plan.value[1][top.to_numpy()]).astype("int32")
+
+    asked = queries.withColumn("t", F.explode(to_visit("v"))).select("t.top", "t.part", F.lit(1).alias("kind"), "rid", "id", "v")
+    stored = indexed.select("top", part_of("top", "rid").alias("part"), F.lit(2).alias("kind"), "rid", "id", "v")
+    dealt = asked.unionByName(stored)
+    if trees is not None:
+        copies = spark.createDataFrame([(t, p) for t in np.flatnonzero(count).tolist() for p in range(parts[t])], "top int, part int")  # at most n / PART + TOP rows
+        dealt = dealt.unionByName(trees.join(copies, "top").select("top", "part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("rid"), F.lit(0).cast("long").alias("id"), F.col("tree").alias("v")))
+    dealt = dealt.select("top", "part", "kind", "rid", "id", "v").repartition("top", "part").sortWithinPartitions("top", "part", "kind")
+    found = dealt.mapInArrow(_search(k, within), _FOUND)
+    order = Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _local_trees(indexed: DataFrame, count: np.ndarray, norm: float, leaf_size: int) -> DataFrame | None:
+    """(top, tree) of the top leaves that hold many vectors, each fitted to a sample of its own; None if there are none."""
+    large = np.flatnonzero(count > 4 * leaf_size)
+    if not len(large):
+        return None
+    steps = [(int(t), max(1, int(count[t]) // LOCAL_SAMPLE), int(count[t]) // leaf_size) for t in large]  # at most a row per top leaf
+    plan = indexed.sparkSession.createDataFrame(steps, "top int, step long, leaves long")
+    some = indexed.join(F.broadcast(plan), "top").where(F.pmod(F.xxhash64("rid"), "step") == 0)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        made = fit_tree(_matrix(list(rows["v"])), norm, int(rows["leaves"].iloc[0]), seed=7)
+        return pd.DataFrame({"top": [rows["top"].iloc[0]], "tree": [pickle.dumps(made)]})
+
+    return stage(some.select("top", "leaves", "v").groupBy("top").applyInPandas(fit, "top int, tree binary"), "trees")
+
+
+def _search(k: int, within: int):
+    """Rows (top, part, kind, rid, id, v) sorted by the first three, of kinds 0: the leaf's tree, 1: queries, 2: vectors; to each query's k best in the part."""
+    schema = pa.schema([("rid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    class Part:
+        def __init__(self):
+            self.tree: Tree | None = None
+            self.asked: list[tuple] = []
+            self.held: list[tuple] = []
+            self.n = 0
+            self.best: _Best | None = None
+            self.ids = np.empty(0, dtype=np.int64)
+
+        def take(self, kind: int, rids: np.ndarray, ids: np.ndarray, v: list[bytes]) -> None:
+            if kind == 0:
+                self.tree = pickle.loads(v[0])
+            elif kind == 1:
+                self.asked.append((rids, ids, _matrix(v)))
+            elif self.asked:
+                self.held.append((rids, ids, _matrix(v)))
+                self.n += len(rids)
+                if self.n >= _VECTORS:
+                    self.score()
+
+        def score(self) -> None:
+            if not self.n:
+                return
+            if self.best is None:
+                rids, self.ids, queries = (np.concatenate(c) for c in zip(*self.asked))
+                self.best, self.of_leaf = _Best(rids, queries, k), {}
+                for q in range(len(queries)) if self.tree else ():
+                    for _, leaf in zip(range(within), self.tree.visits(queries[q])):
+                        self.of_leaf.setdefault(leaf, []).append(q)
+            rids, ids, x = (np.concatenate(c) for c in zip(*self.held))
+            self.held, self.n = [], 0
+            if self.tree is None:
+                self.best.add(np.arange(len(self.ids)), rids, ids, x)
+                return
+            leaf = self.tree.leaf_of(self.tree.lifted(x))
+            order = np.argsort(leaf, kind="stable")
+            cuts = np.flatnonzero(np.diff(leaf[order])) + 1
+            for mine in np.split(order, cuts):
+                which = self.of_leaf.get(int(leaf[mine[0]]))
+                if which:
+                    self.best.add(np.array(which), rids[mine], ids[mine], x[mine])
+
+        def found(self) -> Iterator[pa.RecordBatch]:
+            self.score()
+            made = self.best.result() if self.best else None
+            if made is not None:
+                q, score, ids = made
+                yield pa.record_batch([pa.array(self.best.rids[q]), pa.array(self.ids[q]), pa.array(ids), pa.array(score)], schema=schema)
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, i, s = _block(left["id"].to_numpy(np.int64), _matrix(list(left["v"])), right["query_id"].to_numpy(np.int64), _matrix(list(right["q"])), k)
-        return pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part = None, Part()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            marks = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+            rids, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                now = tuple(marks[:2, lo].tolist())
+                if now != key:
+                    yield from part.found()
+                    key, part = now, Part()
+                part.take(int(marks[2, lo]), rids[lo:hi], ids[lo:hi], b.column(5)[lo:hi].to_pylist())
+        yield from part.found()
 
-    keys = ["leaf", "part", "query_part"]
-    scored = stored.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return run
 
 
-def brute_force(indexed: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """(query_id, id, leaf, score) of the k best of all indexed rows for a bounded set of queries."""
-    shared = indexed.sparkSession.sparkContext.broadcast((query_ids, queries))
-    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("leaf", pa.int64()), ("score", pa.float64())])
+def brute_force(indexed: DataFrame, rids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """(query, rid, top, v, score) of the k best of all indexed rows for a bounded set of queries, told by place."""
+    shared = indexed.sparkSession.sparkContext.broadcast((rids, queries))
+    schema = pa.schema([("query", pa.int64()), ("rid", pa.int64()), ("id", pa.int64()), ("top", pa.int32()), ("v", pa.binary()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(*shared.value, k)
         for b in batches:
-            if b.num_rows:
-                ids, leaf = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-                q, i, s = _block(ids, _matrix(b.column(2).to_pylist()), *shared.value, k)
-                order = np.argsort(ids, kind="stable")
-                yield pa.record_batch([pa.array(q), pa.array(i), pa.array(leaf[order[np.searchsorted(ids[order], i)]]), pa.array(s)], schema=schema)
-
-    made = indexed.select("id", "leaf", "v").mapInArrow(run, "query_id long, id long, leaf long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+            for lo in range(0, b.num_rows, _VECTORS):
+                part = b.slice(lo, _VECTORS)
+                mine, ids, tops = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+                v = part.column(2).to_pylist()
+                best.add(np.arange(len(shared.value[0])), mine, ids, _matrix(v), mine, tops, np.array(v, dtype=object))
+        made = best.result()
+        if made is not None:
+            q, score, ids, mine, tops, v = made
+            yield pa.record_batch([pa.array(q), pa.array(mine), pa.array(ids), pa.array(tops), pa.array(list(v), type=pa.binary()), pa.array(score)], schema=schema)
+
+    made = indexed.select("rid", "id", "v", "top").mapInArrow(run, "query long, rid long, id long, top int, v binary, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return made.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _calibrate(tree: Tree, indexed: DataFrame, queries: DataFrame, count: np.ndarray, k: int, recall: float, sample: int) -> int:
-    """The fewest leaf visits by which sample queries find `recall` of their true neighbours."""
-    some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample).collect()  # `sample` rows
+def _calibrate(tree: Tree, trees: DataFrame | None, indexed: DataFrame, queries: DataFrame, k: int, recall: float, sample: int) -> tuple[int, int]:
+    """The fewest top leaves, and leaves of their own trees, by which sample queries find `recall` of their true neighbours."""
+    some = queries.orderBy(F.xxhash64("rid"), "rid").limit(sample).collect()  # `sample` rows
     if not some:
-        return 1
-    ids, x = np.array([r["query_id"] for r in some], dtype=np.int64), _matrix([r["q"] for r in some])
-    true: dict[int, list[int]] = {}
-    for r in brute_force(indexed, ids, x, k).collect():  # k rows a query
-        true.setdefault(r["query_id"], []).append(r["leaf"])
-    hits = np.zeros(tree.leaves + 1)
-    for query, vector in zip(ids.tolist(), x):
-        at = {leaf: n for n, leaf in enumerate(tree.visits(vector), 1)}
-        leaves = true.get(query, [])
-        for leaf in leaves:
-            hits[at[leaf]] += 1 / len(leaves)
-    reached = np.cumsum(hits) / max(1e-9, hits.sum())
-    return int(np.searchsorted(reached, recall, side="left")) if hits.sum() else 1
+        return 1, 1
+    x = _matrix([r["v"] for r in some])
+    near = brute_force(indexed, np.array([r["rid"] for r in some], dtype=np.int64), x, k).collect()  # k rows a query
+    at = [{leaf: n for n, leaf in enumerate(tree.visits(v), 1)} for v in x]
+    level = recall if trees is None else math.sqrt(recall)
+    visits = _least([at[r["query"]][r["top"]] for r in near], level)
+    if trees is None:
+        return visits, 1
+    pairs = indexed.sparkSession.createDataFrame([(r["top"], x[r["query"]].tobytes(), r["v"]) for r in near], "top int, q binary, v binary")
+
+    def places(found: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(found) and len(trees):
+            tree = pickle.loads(trees["tree"].iloc[0])
+            leaves = tree.leaf_of(tree.lifted(_matrix(list(found["v"]))))
+            for q, leaf in zip(_matrix(list(found["q"])), leaves):
+                out.append(next(n for n, other in enumerate(tree.visits(q), 1) if other == leaf))
+        return pd.DataFrame({"place": np.array(out, dtype=np.int64)})
+
+    found = pairs.groupBy("top").cogroup(trees.groupBy("top")).applyInPandas(places, "place long").collect()  # k rows a query
+    return visits, _least([r["place"] for r in found], level)
+
+
+def _least(places: list[int], share: float) -> int:
+    """The least number that `share` of the places do not pass; 1 if there are none."""
+    ordered = sorted(places)
+    return ordered[min(len(ordered) - 1, math.ceil(share * len(ordered)) - 1)] if ordered else 1
