@@ -1,10 +1,12 @@
 """URL filters: explicit rules, and a character language-model ratio for the rest.
 
-Two Markov models of variable order (contexts of 0 to ORDER characters, Witten-Bell smoothed) are counted over all
-accepted and all rejected URLs. A URL's score is the log-likelihood difference per character; it is blocked below a
-cutoff that is calibrated on held-out URLs to reject at most `risk` of the accepted ones.
+Two Markov models of variable order (contexts of 0 to ORDER bytes, Witten-Bell smoothed) are counted over all accepted
+and all rejected URLs. A URL's score is the log-likelihood difference per byte; it is blocked below a cutoff that is
+calibrated on held-out URLs to reject at most `risk` of the accepted ones.
 
-Characters are folded into a small alphabet, so a model is a table of fixed size, however large the corpus.
+The models are tables in Spark: counts of every sequence of ORDER + 1 bytes that the examples hold, and from them, order
+by order, those of shorter contexts. What they hold grows with the examples. The log ratio of each distinct sequence in
+the URLs to be judged is found once by joins, and a URL's score is a sum over its sequences.
 """
 
 from __future__ import annotations
@@ -18,71 +20,76 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import join_heavy, quoted, stage
 
-ORDER = 3
-#: Letters, a digit, these marks, any other character, and the place before the first.
-_MARKS = "/.-_?=&%#:~+,"
-_LETTERS = string.ascii_lowercase + "0" + _MARKS
-ALPHABET = len(_LETTERS) + 2
-_OTHER, _START = ALPHABET - 2, ALPHABET - 1
-
-_CODE = np.full(256, _OTHER, dtype=np.int64)
-for _i, _c in enumerate(_LETTERS):
-    _CODE[ord(_c)] = _CODE[ord(_c.upper())] = _i
-_CODE[ord("0") : ord("9") + 1] = _LETTERS.index("0")
+ORDER = 5
+#: Log ratios are summed as whole numbers of this fraction, so that sums do not depend on their order.
+_UNIT = 1 << 20
 
 
 def _grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of each character with the ORDER characters before it, of all URLs, and where each URL ends."""
-    pad = b"\0" * ORDER
-    buf = np.frombuffer(b"".join(pad + u for u in urls), dtype=np.uint8)
+    """Each byte with the ORDER bytes before it (zeros before a URL) as a number, of all URLs, and each URL's length."""
     sizes = np.array([len(u) for u in urls], dtype=np.int64)
-    codes = _CODE[buf]
-    begins = np.concatenate(([0], np.cumsum(sizes + ORDER)[:-1])) if len(urls) else np.empty(0, dtype=np.int64)
-    for k in range(ORDER):
-        codes[begins + k] = _START
-    grams = np.zeros(max(0, len(codes) - ORDER), dtype=np.int64)
+    buf = np.frombuffer(b"".join(bytes(ORDER) + u for u in urls), dtype=np.uint8).astype(np.int64)
+    grams = np.zeros(max(0, len(buf) - ORDER), dtype=np.int64)
     for k in range(ORDER + 1):
-        grams = grams * ALPHABET + codes[k : len(codes) - ORDER + k]
-    real = np.ones(len(codes), dtype=bool)
+        grams = grams << 8 | buf[k : len(buf) - ORDER + k]
+    # gram t ends at byte t + ORDER; those that end in the zeros before a URL are not its own
+    real = np.ones(len(buf), dtype=bool)
+    begins = np.concatenate(([0], np.cumsum(sizes + ORDER)[:-1])) if len(urls) else np.empty(0, dtype=np.int64)
     for k in range(ORDER):
         real[begins + k] = False
-    return grams[real[ORDER:]], np.cumsum(sizes)
+    return grams[real[ORDER:]], sizes
 
 
-def log_model(counts: np.ndarray) -> np.ndarray:
-    """Smoothed log probabilities of every character in every context, from counts of (ORDER + 1)-grams."""
-    shape = (ALPHABET,) * (ORDER + 1)
-    full = counts.reshape(shape).astype(float)
-    p = np.full(ALPHABET, 1 / ALPHABET)
-    for order in range(ORDER + 1):
-        seen = full.sum(axis=tuple(range(ORDER - order)))
-        total, kinds = seen.sum(axis=-1, keepdims=True), (seen > 0).sum(axis=-1, keepdims=True)
-        lower = np.broadcast_to(p, seen.shape)  # the same context without its first character
-        p = np.where(total > 0, (seen + kinds * lower) / np.maximum(total + kinds, 1), lower)
-    return np.log(p).ravel()
-
-
-def _count(rows: DataFrame) -> np.ndarray:
-    """Counts (2 x ALPHABET ** (ORDER + 1)) over (url bytes, accepted); summed in each task before they are shuffled."""
-    size = ALPHABET ** (ORDER + 1)
-    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+def _exploded(rows: DataFrame) -> DataFrame:
+    """(bytes, tag) to (gram, tag), a row for each byte."""
+    schema = pa.schema([("gram", pa.int64()), ("tag", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(2 * size, dtype=np.int64)
         for b in batches:
-            urls, accepted = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
-            for side in (0, 1):
-                grams, _ = _grams([u for u, a in zip(urls, accepted) if a == side])
-                np.add.at(held, grams + side * size, 1)
-        at = np.flatnonzero(held)
-        yield pa.record_batch([pa.array(at), pa.array(held[at])], schema=schema)
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                grams, sizes = _grams(part.column(0).to_pylist())
+                yield pa.record_batch([pa.array(grams), pa.array(np.repeat(part.column(1).to_numpy(zero_copy_only=False), sizes))], schema=schema)
+
+    return rows.select("bytes", "tag").mapInArrow(run, "gram long, tag long")
+
 
-    made = rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * size rows
-    out = np.zeros(2 * size, dtype=np.int64)
-    out[made["gram"].to_numpy(np.int64)] = made["n"].to_numpy(np.int64)
-    return out.reshape(2, size)
+def count_grams(examples: DataFrame) -> DataFrame:
+    """(gram, n0, n1): how often rejected and accepted URLs (bytes, accepted) hold each sequence."""
+    rows = _exploded(examples.select("bytes", F.col("accepted").cast("long").alias("tag")))
+    return rows.groupBy("gram").agg(F.count_if(F.col("tag") == 0).alias("n0"), F.count_if(F.col("tag") == 1).alias("n1"))
+
+
+def _tail(gram: str | Column, size: int) -> Column:
+    return (F.col(gram) if isinstance(gram, str) else gram).bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def log_ratios(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gram, n, ratio): for each distinct gram the log of accepted over rejected probability of its last byte, in units.
+
+    With t examples of a context, d distinct bytes among them and n of this byte, a probability is (n + d * p) / (t + d),
+    where p is that after the context without its first byte; 1 / 256 before any context.
+    """
+    found = None
+    for order in range(ORDER + 1):
+        level = counts.groupBy(_tail("gram", order + 1).alias("tail")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        byte = _tail("tail", 1).cast("int")
+        entries = F.collect_list(F.struct(byte.alias("k"), F.struct("n0", "n1").alias("v")))  # at most 256 to a context
+        totals = [f(F.col(f"n{s}")).alias(f"{c}{s}") for s in (0, 1) for c, f in (("t", F.sum), ("d", lambda n: F.count_if(n > 0)))]
+        contexts = level.groupBy(F.shiftrightunsigned("tail", 8).alias("context")).agg(F.map_from_entries(entries).alias("bytes"), *totals)
+        tails = grams.select(_tail("gram", order + 1).alias("tail")).distinct()
+        tails = tails.withColumn("context", F.shiftrightunsigned("tail", 8)).join(contexts, "context", "left")
+        if found is None:
+            tails = tails.withColumns({f"p{s}": F.lit(1 / 256) for s in (0, 1)})
+        else:
+            tails = tails.withColumn("shorter", _tail("tail", order)).join(found.withColumnRenamed("tail", "shorter"), "shorter")
+        seen = F.try_element_at("bytes", byte)
+        p = [F.when(F.col(f"t{s}") > 0, (F.coalesce(seen[f"n{s}"], F.lit(0)) + F.col(f"d{s}") * F.col(f"p{s}")) / (F.col(f"t{s}") + F.col(f"d{s}"))).otherwise(F.col(f"p{s}")).alias(f"p{s}") for s in (0, 1)]
+        found = tails.select("tail", *p)
+    ratio = F.round((F.log("p1") - F.log("p0")) * _UNIT).cast("long")
+    return grams.join(found.select(F.col("tail").alias("gram"), ratio.alias("ratio")), "gram").select("gram", "n", "ratio")
 
 
 def parse_rule(rule: str) -> tuple[str, str, str]:
@@ -122,17 +129,15 @@ def _with_rules(rows: DataFrame, rules: list[str]) -> DataFrame:
     return rows.withColumn("matched", match("host", "path")).select(*rows.columns, F.col("matched.rule").alias("rule"), F.col("matched.verdict").alias("by_rule"))
 
 
-def _with_score(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
-
-    @F.pandas_udf("double")
-    def score(urls: pd.Series) -> pd.Series:
-        grams, ends = _grams(list(urls))
-        total = np.concatenate(([0.0], np.cumsum(shared.value[grams], dtype=np.float64)))
-        begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-        return pd.Series((total[ends] - total[begins]) / np.maximum(ends - begins, 1), dtype=float)
-
-    return rows.withColumn("score", score("bytes"))
+def _scored(urls: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """(url, rows, score) of distinct URLs (url: a hash, bytes, rows); an empty URL scores 0, and so do all without a model."""
+    if counts is None:
+        return urls.select("url", "rows", F.lit(0.0).alias("score"))
+    positions = stage(_exploded(urls.select("bytes", F.col("url").alias("tag"))), "positions")
+    grams = stage(positions.groupBy("gram").agg(F.count("*").alias("n")), "grams")
+    ratios = stage(log_ratios(grams, counts), "ratios")
+    sums = join_heavy(positions, ratios, ["gram"], "n").groupBy(F.col("tag").alias("url")).agg((F.sum("ratio") / F.count("*") / _UNIT).alias("score"))
+    return urls.select("url", "rows").join(sums, "url", "left").select("url", "rows", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def judge_urls(pages: DataFrame, rules: list[str], id_col: str = "page_id", url_col: str = "url", examples: DataFrame | None = None, risk: float = 0.01, holdout: int = 5) -> DataFrame:
@@ -142,25 +147,28 @@ def judge_urls(pages: DataFrame, rules: list[str], id_col: str = "page_id", url_
     in `holdout` by hash is kept for calibration. The longest rule that fits decides; for the rest the score does.
     With no accepted or no rejected examples all the rest is allowed. Null URLs and URLs without :// have an empty
     host and path and are judged like any text (null as ''); repeated rows are judged alike; an empty table gives
-    an empty table; other columns are ignored.
+    an empty table; other columns are ignored. URLs are told apart by a 64-bit hash.
     """
-    host, path = host_and_path(F.col(f"`{url_col}`"))
-    raw = F.coalesce(F.col(f"`{url_col}`"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(f"`{id_col}`").alias("id"), raw.alias("bytes"), host.alias("host"), path.alias("path"))
-    ruled = stage(_with_rules(rows, rules), "ruled")
+    host, path = host_and_path(F.col(quoted(url_col)))
+    raw = F.coalesce(F.col(quoted(url_col)), F.lit("")).cast("binary")
+    rows = pages.select(F.col(quoted(id_col)).alias("id"), raw.alias("bytes"), host.alias("host"), path.alias("path"))
+    ruled = stage(_with_rules(rows, rules).withColumn("url", F.xxhash64("bytes")), "ruled")
     if examples is None:
         known = ruled.where("by_rule is not null").select("bytes", (F.col("by_rule") == "allow").alias("accepted"))
     else:
         known = examples.where("url is not null and accepted is not null").select(F.col("url").cast("binary").alias("bytes"), "accepted")
-    known = known.withColumn("fold", F.pmod(F.xxhash64("bytes"), F.lit(holdout)))
-    counts = _count(known.where("fold <> 0").select("bytes", F.col("accepted").cast("int")))
-    rejected, accepted = (counts[k] for k in (0, 1))
-    learned = bool(accepted.sum() and rejected.sum())
-    ratio = log_model(accepted) - log_model(rejected) if learned else np.zeros(ALPHABET ** (ORDER + 1))
-    cutoff = _calibrate(_with_score(known.where("fold = 0 and accepted"), ratio), risk) if learned else -np.inf
-    scored = _with_score(ruled, ratio)
+    known = known.withColumn("url", F.xxhash64("bytes")).withColumn("fold", F.pmod("url", F.lit(holdout)))
+    counts = stage(count_grams(known.where("fold <> 0")), "counts")
+    both = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    learned = bool(both["n0"] and both["n1"])
+    held = known.where("fold = 0 and accepted").select("url", "bytes", F.lit(0).alias("page"))
+    urls = ruled.select("url", "bytes", F.lit(1).alias("page")).unionByName(held)
+    urls = stage(urls.groupBy("url").agg(F.first("bytes").alias("bytes"), F.sum("page").alias("rows")), "urls")
+    scores = stage(_scored(urls, counts if learned else None), "scores")
+    cutoff = _calibrate(held.join(scores, "url"), risk) if learned else -np.inf
     verdict = F.coalesce("by_rule", F.when(F.col("score") < F.lit(float(cutoff)), "block").otherwise("allow"))
-    return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")
+    judged = join_heavy(ruled.select("id", "host", "path", "rule", "by_rule", "url"), scores, ["url"], "rows")
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def _calibrate(accepted: DataFrame, risk: float, cells: int = 1000) -> float:
