@@ -1,55 +1,98 @@
 """Licence scans against brute force and SQL."""
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import DATA, differences, duck
-from waymark.llm.licenses import TEMPLATES, scan_licenses, sizes_for
+from waymark.llm.licenses import TEMPLATES, anchors, key_words, scan_licenses, sizes_for
 from waymark.llm.queries import ORACLES, op10_licenses
 
 
+def words_of(text):
+    return re.sub("[^a-z0-9]+", " ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)).strip(" ").split(" ")
+
+
 def pairs(text):
-    words = re.sub("[^a-z0-9]+", " ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)).strip(" ").split(" ")
+    words = words_of(text)
     return set(zip(words, words[1:]))
 
 
+def coefficient(a, b):
+    return 2 * len(a & b) / (len(a) + len(b)) if a else 0
+
+
 def plain(rows, dice=0.8):
-    out = []
+    out, windows = [], set()
     for i, text in rows:
         if text is None:
             continue
         lines = text.split("\n")
         for at, unit in [*enumerate(lines), *([(-1, text)] if len(lines) > 1 else [])]:
-            a = pairs(unit)
             for name, t in TEMPLATES.items():
-                b = pairs(t)
-                if a and 2 * len(a & b) / (len(a) + len(b)) >= dice:
-                    out.append((i, at, name))
-    return sorted(out, key=repr)
+                if coefficient(pairs(unit), pairs(t)) >= dice:
+                    out.append((i, at, None, name))
+        words = words_of(text)
+        for name, t in TEMPLATES.items():
+            size, places = len(words_of(t)), anchors(t, dice)
+            starts = {max(0, at - place) for at, p in enumerate(zip(words, words[1:])) for pair, place in places if " ".join(p) == pair}
+            best = max(((coefficient(set(zip(words[s : s + size], words[s + 1 : s + size])), pairs(t)), -s) for s in starts), default=(0, 0))
+            if best[0] >= dice:
+                windows.add((i, text, name, -best[1]))
+    return sorted(out + [(i, -2, s, name) for i, _, name, s in windows], key=repr)
+
+
+def wrapped(text, width=9):
+    words = text.split(" ")
+    return "\n".join(" * " + " ".join(words[k : k + width]) for k in range(0, len(words), width))
 
 
 TEXTS = [
     *TEMPLATES.values(),
     *(t.upper() for t in TEMPLATES.values()),
     *("Intro line.\n" + t + "\nand more" for t in TEMPLATES.values()),
-    TEMPLATES["MIT-permission"].replace("free of charge", "without charge").replace(", ", "\n"),
+    *("#!/bin/sh\n/* Copyright by some of us\n" + wrapped(t) + " */\nint main(void) { return of_the(license); }\n" * 3 for t in TEMPLATES.values()),
+    *("We like long lines of prose. " * 3 + t + " So there it ended." * 4 for t in TEMPLATES.values()),
+    TEMPLATES["MIT-text"].replace("free of charge", "without charge").replace(", ", "\n"),
     "Licensed under the Apache Licence, Version 2.0!",
     "licensed under nothing", "", None, "one", "\n\n", "Released under the MIT license. Released under the MIT license.", "é released  under_the MIT-License",
 ]
 
 
 def test_against_brute_force(spark, docs, no_docs):
-    df = spark.createDataFrame(list(enumerate(TEXTS)) + [(0, TEXTS[0]), (None, TEXTS[0])], "doc_id long, text string").withColumn("size", docs_lit()).withColumn("line", docs_lit())
-    rows = sorted(((r["doc_id"], r["line"], r["licence"]) for r in scan_licenses(df).collect()), key=repr)
+    df = spark.createDataFrame(list(enumerate(TEXTS)) + [(0, TEXTS[0]), (None, TEXTS[0])], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("size", "line", "start", "at", "pair", "id")})
+    found = scan_licenses(df).collect()
+    rows = sorted(((r["doc_id"], r["line"], r["start"], r["licence"]) for r in found), key=repr)
     assert rows == plain([(r["doc_id"], r["text"]) for r in df.collect()])
     assert scan_licenses(no_docs).count() == scan_licenses(docs).count() == 0
-
-
-def docs_lit():
-    from pyspark.sql import functions as F
-
-    return F.lit("clash")
+    assert scan_licenses(df, templates={"none": "word"}).count() == 0
+
+
+def test_notices_inside_texts_are_found(spark):
+    """Wrapped over lines or between prose on one line, and with a tenth of the words changed."""
+    rng, rows = random.Random(6), []
+    for name, t in TEMPLATES.items():
+        words = t.split(" ")
+        for k in rng.sample(range(1, len(words) - 1), len(words) // 12):
+            words[k] = "changed"
+        rows += [(f"{name} {kind}", "Some prose before it. " * 5 + body + " and prose behind it." * 5) for kind, body in (("whole", t), ("wrapped", wrapped(t)), ("changed", wrapped(" ".join(words))))]
+    found = {(r["doc_id"], r["licence"]): r["dice"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).where("line = -2").collect()}
+    for name in TEMPLATES:
+        assert found[f"{name} whole", name] == found[f"{name} wrapped", name] == 1
+        assert found[f"{name} changed", name] >= 0.8
+
+
+@pytest.mark.parametrize("dice", [0.8, 0.6])
+def test_key_words_and_anchors_lose_nothing(dice):
+    """Units with just as many of a template's bigrams as fit, chosen at random, hold a key word and an anchor."""
+    rng = random.Random(2)
+    for t in TEMPLATES.values():
+        b, keys, held = sorted(pairs(t)), set(key_words(t, dice)), {tuple(p.split(" ")) for p, _ in anchors(t, dice)}
+        for _ in range(200):
+            unit = rng.sample(b, sizes_for(len(b), dice)[0])
+            assert any(w in keys for p in unit for w in p) and held & set(unit)
 
 
 @pytest.mark.parametrize("b", [1, 2, 5, 40])
