@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import quoted, text_bytes
 from .licence_texts import TEMPLATES
 
+#: Words that most texts hold anyway: no key words where others suffice.
+_COMMON = frozenset("a all an and any are as at be but by can either for from general if in including is it language no not of on or other particular permission provided source subject such that the this to under use version was with without you".split())
 #: The `line` of a text as a whole, and of a window.
 TEXT, WINDOW = -1, -2
 
@@ -55,7 +57,7 @@ def sizes_for(b: int, dice: float) -> tuple[int, int]:
 
 
 def key_words(text: str, dice: float) -> list[str]:
-    """Words of which a unit that fits the template holds at least one: the bigrams without them are too few to fit. Long words first."""
+    """Words of which a unit that fits the template holds at least one: the bigrams without them are too few to fit. Rare and long ones first."""
     left, out = bigrams_of(text), []
     least = sizes_for(len(left), dice)[0]
     while left and len(left) >= least:
@@ -63,7 +65,7 @@ def key_words(text: str, dice: float) -> list[str]:
         for pair in left:
             for w in set(pair):
                 counts[w] = counts.get(w, 0) + 1
-        best = min(counts, key=lambda w: (-counts[w] * len(w) ** 2, w))
+        best = min(counts, key=lambda w: (w in _COMMON, -counts[w] * len(w) ** 2, w))
         out.append(best)
         left = {p for p in left if best not in p}
     return out
