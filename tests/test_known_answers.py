@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import driving, geometry
-from waymark.operators import events, graph, places, routes, spatial
+from waymark.operators import events, graph, places, routes, search, spatial
 from waymark.plans import catalog
+from waymark.sources import roads
 
 from .compare import DATA
 
@@ -102,7 +103,7 @@ def test_components(spark):
 
 def test_routes_agree_with_relaxation(spark):
     """Broadcast search, rounds of joins and a plain search give the same costs."""
-    edges = catalog.timed_edges(spark, f"{DATA}/sf0.001")
+    edges = roads.timed_edge(spark, f"{DATA}/sf0.001")
     rows = [(r["src"], r["dst"], r["time_s"]) for r in edges.collect()]
     best, queue = {0: 0.0}, [(0.0, 0)]
     while queue:
@@ -112,7 +113,7 @@ def test_routes_agree_with_relaxation(spark):
                 best[t] = d + w
                 heapq.heappush(queue, (d + w, t))
     pairs = spark.createDataFrame([(t, 0, t) for t in range(0, 200, 13)], "od_id long, src long, dst long")
-    found = {r["od_id"]: r["cost"] for r in graph.routes(edges, pairs, ["time_s"]).collect()}
+    found = {r["od_id"]: r["cost"] for r in search.routes(edges, search.between_nodes(pairs, ("time_s",))).collect()}
     assert {k: None if v is None else round(v, 6) for k, v in found.items()} == {t: round(best[t], 6) if t in best else None for t in range(0, 200, 13)}
     far = {r["uid"]: r["cost"] for r in graph.shortest_costs(edges, spark.createDataFrame([(0,)], "uid long"), "time_s", 40.0).collect()}
     assert {k: round(v, 6) for k, v in far.items()} == {k: round(v, 6) for k, v in best.items() if v <= 40.0}

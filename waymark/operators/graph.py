@@ -1,31 +1,26 @@
 """Graph operators over directed edge tables (edge_id, src, dst, ...).
 
 Components, reachability and shortest costs are rounds of joins with pre-aggregated minima; each round is written to
-the checkpoint folder, so lineage stays short and lost executors cost one round. Batches of origin-destination pairs
-on a graph small enough to broadcast run Dijkstra per pair inside tasks.
+the checkpoint folder, so lineage stays short and lost executors cost one round. Routes of single requests are in
+search.py.
 """
 
 from __future__ import annotations
 
-import heapq
 import tempfile
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-#: Edges of a graph that is broadcast for batches of routes; larger ones go by rounds of joins.
-MAX_BROADCAST_EDGES = 5_000_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; the folder is the session's, or a temporary one where none is set (tests)."""
+    """A reliable checkpoint; the folder is the session's, or a temporary one where a local session sets none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="waymark-checkpoint-"))
+        base = context.getConf().get("spark.checkpoint.dir")
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="waymark-checkpoint-"))
     return df.checkpoint()
 
 
@@ -111,70 +106,3 @@ def shortest_costs(edges: DataFrame, sources: DataFrame, weight: str, most: floa
         frontier = both.where("better").select("source", "uid", F.col("best").alias("cost"))
         if frontier.isEmpty():
             return cost
-
-
-def _adjacency(edges: DataFrame, weights: list[str]) -> dict:
-    """Sorted node ids and out-edges in rows (CSR) of a graph of at most MAX_BROADCAST_EDGES edges."""
-    rows = edges.select("edge_id", "src", "dst", *weights).limit(MAX_BROADCAST_EDGES + 1).toPandas()
-    if len(rows) > MAX_BROADCAST_EDGES:
-        raise ValueError(f"more than {MAX_BROADCAST_EDGES} edges: use shortest_costs()")
-    rows = rows.sort_values(["src", "edge_id"], kind="stable")
-    ids = np.unique(np.concatenate([rows["src"], rows["dst"]])) if len(rows) else np.empty(0, dtype=np.int64)
-    src = np.searchsorted(ids, rows["src"])
-    return {"ids": ids, "at": np.searchsorted(src, np.arange(len(ids) + 1)), "edge": rows["edge_id"].to_numpy(), "dst": np.searchsorted(ids, rows["dst"]), "w": {w: rows[w].to_numpy(float) for w in weights}}
-
-
-def _dijkstra(g: dict, weight: np.ndarray, start: int, goal: int) -> tuple[float, list[int]]:
-    """Cost and edge rows of a shortest path; of equal costs the smaller node, then the smaller edge id, comes first."""
-    best, came, done = {start: 0.0}, {}, set()
-    queue, total = [(0.0, start)], np.inf
-    while queue:
-        d, u = heapq.heappop(queue)
-        if u in done:
-            continue
-        if u == goal:
-            total = d
-            break
-        done.add(u)
-        for e in range(g["at"][u], g["at"][u + 1]):
-            v, new = int(g["dst"][e]), d + weight[e]
-            if new < best.get(v, np.inf):
-                best[v], came[v] = new, e
-                heapq.heappush(queue, (new, v))
-    path = []
-    while goal != start and not np.isinf(total):
-        path.append(came[goal])
-        goal = int(np.searchsorted(g["at"], came[goal], side="right")) - 1
-    return total, path[::-1]
-
-
-def routes(edges: DataFrame, pairs: DataFrame, weights: list[str]) -> DataFrame:
-    """(od_id, profile, cost, edges): a shortest path for each pair (od_id, src, dst) and weight; null cost if none."""
-    shared = pairs.sparkSession.sparkContext.broadcast(_adjacency(edges, weights))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = shared.value
-        index = {int(u): k for k, u in enumerate(g["ids"])}
-        for b in batches:
-            out = []
-            for od, s, t in zip(b["od_id"], b["src"], b["dst"]):
-                for w in weights:
-                    cost, path = _dijkstra(g, g["w"][w], index[s], index[t]) if s in index and t in index else (np.inf, [])
-                    out.append((od, w, None if np.isinf(cost) else cost, [int(g["edge"][e]) for e in path]))
-            yield pd.DataFrame(out, columns=["od_id", "profile", "cost", "edges"])
-
-    return pairs.select("od_id", "src", "dst").mapInPandas(run, "od_id long, profile string, cost double, edges array<long>")
-
-
-def alternatives(found: DataFrame, lengths: DataFrame, most_overlap: float = 0.85, longest: float = 2.0, keep: int = 3) -> DataFrame:
-    """Of each pair's routes by profile, those that differ: little overlap with the first, at most twice its length, by length."""
-    edges = found.where("cost is not null").select("od_id", "profile", "cost", F.explode("edges").alias("edge_id")).join(lengths, "edge_id")
-    total = edges.groupBy("od_id", "profile").agg(F.sum("length_m").alias("len"), F.first("cost").alias("cost"))
-    base = edges.where("profile = 'fastest'").select("od_id", "edge_id", F.lit(1).alias("in_base")).distinct()
-    shared = edges.join(base, ["od_id", "edge_id"]).groupBy("od_id", "profile").agg(F.sum("length_m").alias("shared"))
-    first = total.where("profile = 'fastest'").select("od_id", F.col("len").alias("len0"))
-    rows = total.join(first, "od_id").join(shared, ["od_id", "profile"], "left")
-    rows = rows.withColumn("overlap", F.coalesce("shared", F.lit(0.0)) / F.least("len", "len0"))
-    rows = rows.where((F.col("profile") == "fastest") | ((F.col("overlap") < most_overlap) & (F.col("len") <= longest * F.col("len0"))))
-    order = Window.partitionBy("od_id").orderBy("len", "profile")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select("od_id", "rank", "profile", F.round("len", 4).alias("length_m"), F.round("overlap", 6).alias("overlap"))

@@ -13,10 +13,10 @@ from ..operators import events, graph, junctions, places, quality, routes, spati
 from ..sources import roads
 from ..streaming import vehicle
 from ..streaming.fold import fold
-from . import network, oracle
+from . import network, oracle, routing
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(network.QUERIES)
-ORACLES: dict[str, str] = oracle.ORACLES | {name: oracle.with_tables(sql) for name, sql in network.SQL.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = network.QUERIES | routing.QUERIES
+ORACLES: dict[str, str] = oracle.ORACLES | {name: oracle.with_tables(sql) for name, sql in (network.SQL | routing.SQL).items()}
 
 C = F.col
 
@@ -26,12 +26,6 @@ def query(f):
     return f
 
 
-def timed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = roads.edge(spark, sf_dir).withColumn("length_m", geometry.distance(C("x1"), C("z1"), C("x2"), C("z2")))
-    e = e.withColumn("time_s", cost.time_s(C("kind"), C("speed_limit"), C("semaphore_id"), C("length_m")))
-    return e.withColumns({p: cost.cost(p, C("time_s"), C("length_m"), C("flags")) for p in ("fastest", "shortest", "balanced")})
-
-
 def route_time():
     return cost.time_s(C("kind"), C("speed_limit"), F.lit(-1), C("length_m"))
 
@@ -39,12 +33,12 @@ def route_time():
 @query
 def a07_time_distance_by_kind(spark, d):
     unknown = (C("kind") == 0) & (C("speed_limit") < 0)
-    return timed_edges(spark, d).groupBy("kind").agg(F.count("*").alias("edges"), F.round(F.sum("length_m"), 6).alias("distance_m"), F.round(F.sum("time_s"), 6).alias("time_s"), F.round(F.sum(F.when(unknown, C("length_m")).otherwise(0.0)), 6).alias("unknown_speed_m"))
+    return roads.timed_edge(spark, d).groupBy("kind").agg(F.count("*").alias("edges"), F.round(F.sum("length_m"), 6).alias("distance_m"), F.round(F.sum("time_s"), 6).alias("time_s"), F.round(F.sum(F.when(unknown, C("length_m")).otherwise(0.0)), 6).alias("unknown_speed_m"))
 
 
 @query
 def p16_cost_by_profile(spark, d):
-    return timed_edges(spark, d).select("edge_id", *[F.round(p, 6).alias(p) for p in ("fastest", "shortest", "balanced")])
+    return roads.timed_edge(spark, d).select("edge_id", *[F.round(p, 6).alias(p) for p in ("fastest", "shortest", "balanced")])
 
 
 @query
@@ -405,49 +399,6 @@ def g09_khop(spark, d):
     return graph.reachable(roads.edge(spark, d), _sources(spark, d), 3)
 
 
-def _stops(spark, d):
-    """The access nodes of all cities and companies."""
-    p = roads.poi(spark, d).where("kind in ('City', 'Company')").select(C("access_uid").alias("uid")).distinct()
-    return p.join(roads.node(spark, d).select("uid"), "uid", "left_semi")
-
-
-@query
-def g01_shortest_costs(spark, d):
-    """Least times from every city and company to all nodes that they reach, however far."""
-    return graph.shortest_costs(timed_edges(spark, d), _stops(spark, d), "time_s").select("source", "uid", F.round("cost", 6).alias("cost"))
-
-
-def _od(spark, d):
-    """Pairs of far-off nodes."""
-    n = roads.node(spark, d)
-    total = n.agg(F.count("*").alias("n"))
-    return n.where("uid % 40 = 0").join(F.broadcast(total)).select((C("uid") / 40).cast("long").alias("od_id"), C("uid").alias("src"), (C("uid") * 37 % C("n")).alias("dst"))
-
-
-@query
-def g02_route_costs(spark, d):
-    found = graph.routes(timed_edges(spark, d), _od(spark, d), ["fastest", "shortest", "balanced"])
-    return found.select("od_id", "profile", F.round("cost", 6).alias("cost"), F.size("edges").alias("n_edges"))
-
-
-@query
-def g05_alternatives(spark, d):
-    e = timed_edges(spark, d)
-    return graph.alternatives(graph.routes(e, _od(spark, d), ["fastest", "shortest", "balanced"]), e.select("edge_id", "length_m"))
-
-
-@query
-def a19_od_check(spark, d):
-    """Reached pairs, and routes whose edges do not follow one another or turn back."""
-    e = timed_edges(spark, d)
-    found = graph.routes(e, _od(spark, d), ["fastest"])
-    steps = found.select("od_id", F.posexplode("edges").alias("i", "edge_id")).join(e.select("edge_id", "src", "dst"), "edge_id")
-    order = Window.partitionBy("od_id").orderBy("i")
-    steps = steps.select("od_id", (C("dst") != F.lead("src").over(order)).alias("jump"), (F.lead("dst").over(order) == C("src")).alias("uturn"))
-    bad = steps.groupBy("od_id").agg(F.count_if("jump").alias("jumps"), F.count_if("uturn").alias("uturns"))
-    return found.join(bad, "od_id", "left").agg(F.count("*").alias("pairs"), F.count_if(C("cost").isNotNull()).alias("reached"), F.coalesce(F.sum("jumps"), F.lit(0)).alias("jumps"), F.coalesce(F.sum("uturns"), F.lit(0)).alias("uturns"))
-
-
 @query
 def t04_poi_search(spark, d):
     return places.search(roads.poi(spark, d), "Build").select("poi_id", "name")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import cost, geometry
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,6 +59,14 @@ def edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def timed_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with their length, time and cost by profile."""
+    c = F.col
+    e = edge(spark, sf_dir).withColumn("length_m", geometry.distance(c("x1"), c("z1"), c("x2"), c("z2")))
+    e = e.withColumn("time_s", cost.time_s(c("kind"), c("speed_limit"), c("semaphore_id"), c("length_m")))
+    return e.withColumns({p: cost.cost(p, c("time_s"), c("length_m"), c("flags")) for p in ("fastest", "shortest", "balanced")})
+
+
 def route_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
     unknown = (F.col("l_returnflag") == "N") | (F.col("l_quantity") <= 5)
