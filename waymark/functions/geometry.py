@@ -61,3 +61,26 @@ def turn_of_angle(angle: Column) -> Column:
     """Turn class of a signed angle, positive to the right."""
     a, side = F.abs(angle), F.when(angle > 0, "Right").otherwise("Left")
     return F.when(a < 0.7, F.concat(F.lit("Slight"), side)).when(a < 1.6, side).when(a < 2.6, F.concat(F.lit("Sharp"), side)).otherwise("UTurn")
+
+
+def turn_angle(before: Column, after: Column) -> Column:
+    """after - before by a truncated remainder, folded into -pi to pi at both ends; positive to the right."""
+    d = (after - before) % F.lit(TAU)
+    return F.when(d > PI, d - TAU).when(d < -PI, d + TAU).otherwise(d)
+
+
+def edge_length(points: Column, x1: Column, z1: Column, x2: Column, z2: Column) -> Column:
+    """Length along the points, or between the ends where there are fewer than two."""
+    return F.when(F.size(points) >= 2, polyline_length(points)).otherwise(distance(x1, z1, x2, z2))
+
+
+def entry_tangent(points: Column, x1: Column, z1: Column, x2: Column, z2: Column) -> Column:
+    """Direction of the first segment, or between the ends."""
+    a, b = F.get(points, F.lit(0)), F.get(points, F.lit(1))
+    return F.when(F.size(points) >= 2, bearing(a["x"], a["z"], b["x"], b["z"])).otherwise(bearing(x1, z1, x2, z2))
+
+
+def exit_tangent(points: Column, x1: Column, z1: Column, x2: Column, z2: Column) -> Column:
+    """Direction of the last segment, or between the ends."""
+    a, b = F.get(points, F.size(points) - 2), F.get(points, F.size(points) - 1)
+    return F.when(F.size(points) >= 2, bearing(a["x"], a["z"], b["x"], b["z"])).otherwise(bearing(x1, z1, x2, z2))

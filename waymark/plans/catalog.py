@@ -13,10 +13,10 @@ from ..operators import events, graph, junctions, places, quality, routes, spati
 from ..sources import roads
 from ..streaming import vehicle
 from ..streaming.fold import fold
-from . import network, oracle, routing
+from . import guidance, network, oracle, routing
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = network.QUERIES | routing.QUERIES
-ORACLES: dict[str, str] = oracle.ORACLES | {name: oracle.with_tables(sql) for name, sql in (network.SQL | routing.SQL).items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = network.QUERIES | routing.QUERIES | guidance.QUERIES
+ORACLES: dict[str, str] = oracle.ORACLES | {name: oracle.with_tables(sql) for name, sql in (network.SQL | routing.SQL | guidance.SQL).items()}
 
 C = F.col
 
@@ -232,11 +232,6 @@ def w07_legs(spark, d):
     return routes.legs(roads.route_edge(spark, d))
 
 
-@query
-def w08_maneuvers(spark, d):
-    return routes.maneuvers(roads.route_edge(spark, d))
-
-
 @query
 def a07_route_metrics(spark, d):
     return routes.metrics(roads.route_edge(spark, d), route_time())

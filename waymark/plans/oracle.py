@@ -30,6 +30,15 @@ FIXTURES = {
       CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS kind, round(l_extendedprice / 100, 4) AS length_m,
       CASE WHEN l_returnflag = 'N' OR l_quantity <= 5 THEN -1 WHEN l_quantity = 50 THEN 0 ELSE CAST(20 + 10 * floor(l_quantity / 10) AS INTEGER) END AS speed_limit,
       l_partkey AS edge_ref FROM lineitem""",
+    "f_walk": """SELECT *, x1 + dx AS x2, z1 + dz AS z2 FROM (SELECT *,
+        coalesce(sum(dx) OVER (PARTITION BY route_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0e0) AS x1,
+        coalesce(sum(dz) OVER (PARTITION BY route_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0e0) AS z1 FROM (
+      SELECT *, length_m / 2 * (cos(b_in) + cos(b_out)) AS dx, length_m / 2 * (sin(b_in) + sin(b_out)) AS dz, edge_ref // 8 % 4 AS road_class,
+        CASE WHEN kind = 1 AND edge_ref % 6 < 4 THEN CASE edge_ref % 6 WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END END AS turn_type FROM (
+      SELECT *, b_in + bend AS b_out FROM (
+      SELECT *, sum(turn) OVER (PARTITION BY route_id ORDER BY idx) + coalesce(sum(bend) OVER (PARTITION BY route_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0e0) AS b_in FROM (
+      SELECT *, CASE WHEN idx = 0 THEN 0.0e0 ELSE (edge_ref * 7 % 13 - 6) * 0.25e0 END AS turn, CASE WHEN kind = 1 THEN (edge_ref % 9 - 4) * 0.45e0 ELSE (edge_ref % 5 - 2) * 0.1e0 END AS bend FROM (
+      SELECT * REPLACE (CASE WHEN edge_ref % 23 = 0 THEN 2 WHEN edge_ref % 29 = 0 THEN 3 ELSE kind END AS kind) FROM f_route))))))""",
     "f_rtime": """SELECT *, length_m / (CASE WHEN kind <> 0 THEN 30 WHEN speed_limit < 0 THEN 50 WHEN speed_limit = 0 THEN 130 ELSE speed_limit END / 3.6e0) AS t FROM f_route""",
     "f_frame": """SELECT *, CAST((k % 50) * 100 + seq % 7 AS DOUBLE) AS x, CAST((k // 50) * 100 + seq % 5 AS DOUBLE) AS z, CASE WHEN event_type = 'purchase' THEN k END AS job_dest FROM (
       SELECT user_id AS vehicle, event_id AS seq, 50000 * row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sim_us,
@@ -69,7 +78,7 @@ FIXTURES = {
 }
 
 _DEPENDS = {
-    "f_edge": ["f_node"], "f_timed": ["f_edge"], "f_weight": ["f_timed"], "f_rtime": ["f_route"], "f_half": ["f_edge"], "f_approach": ["f_frame", "f_light"],
+    "f_edge": ["f_node"], "f_timed": ["f_edge"], "f_weight": ["f_timed"], "f_rtime": ["f_route"], "f_walk": ["f_route"], "f_half": ["f_edge"], "f_approach": ["f_frame", "f_light"],
     "f_near": ["f_frame", "f_edge"], "f_component": ["f_half"], "f_roads": ["f_edge"], "f_roadcomp": ["f_roads"], "f_land": ["f_edge"], "f_landcomp": ["f_land"],
 }
 
@@ -169,10 +178,6 @@ _SQL = {
     "w05_next_change": f"SELECT route_id, idx, offset_m, lim AS \"limit\" FROM {_BREAKS.format(where='')} QUALIFY row_number() OVER ({_ROUTE}) = 2",
     "w06_change_beyond": f"SELECT route_id, min_by(lim, offset_m) AS \"limit\", min(offset_m) AS offset_m FROM {_BREAKS.format(where='')} WHERE offset_m > 500.5 GROUP BY route_id",
     "w07_legs": f"SELECT route_id, idx, kind FROM (SELECT *, lag(kind) OVER ({_ROUTE}) AS before FROM f_route) WHERE before IS NULL OR before <> kind",
-    "w08_maneuvers": f"""SELECT route_id, idx, maneuver, round(off - coalesce(lag(off) OVER ({_ROUTE}), 0.0e0), 4) AS distance_from_prev FROM (
-      SELECT route_id, idx, coalesce(sum(length_m) OVER ({_ROUTE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0e0) AS off,
-        CASE WHEN lag(kind) OVER ({_ROUTE}) IS NULL THEN 'Depart' WHEN kind <> lag(kind) OVER ({_ROUTE}) THEN CASE WHEN kind = 1 THEN 'EnterJunction' ELSE 'LeaveJunction' END
-          WHEN abs(speed_limit - lag(speed_limit) OVER ({_ROUTE})) >= 30 THEN 'SpeedChange' END AS maneuver FROM f_route) WHERE maneuver IS NOT NULL""",
     "a07_route_metrics": """SELECT route_id, round(sum(length_m), 4) AS length_m, round(sum(t), 6) AS time_s, CAST(count_if(kind = 0) AS BIGINT) AS roads, CAST(count_if(kind <> 0) AS BIGINT) AS junctions,
       round(sum(CASE WHEN kind = 0 AND speed_limit < 0 THEN length_m ELSE 0.0e0 END), 4) AS unknown_speed_m FROM f_rtime GROUP BY route_id""",
     "a09_route_overlap": """SELECT p.a, p.b, coalesce(s.n, 0) AS shared_edges, round(coalesce(s.m, 0.0e0) / least(la.len, lb.len), 6) AS overlap FROM

@@ -80,6 +80,32 @@ def route_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route edges laid end to end in the plane: each turns against the one before and bends in its middle."""
+    c = F.col
+    by = Window.partitionBy("route_id").orderBy("idx")
+    before, so_far = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ref = c("edge_ref")
+    r = route_edge(spark, sf_dir).withColumn("kind", F.when(ref % 23 == 0, 2).when(ref % 29 == 0, 3).otherwise(c("kind")))
+    r = r.withColumns({"turn": F.when(c("idx") == 0, 0.0).otherwise((ref * 7 % 13 - 6) * 0.25), "bend": F.when(c("kind") == 1, (ref % 9 - 4) * 0.45).otherwise((ref % 5 - 2) * 0.1)})
+    r = r.withColumn("b_in", F.sum("turn").over(so_far) + F.coalesce(F.sum("bend").over(before), F.lit(0.0))).withColumn("b_out", c("b_in") + c("bend"))
+    half = c("length_m") / 2
+    r = r.withColumns({"mx": half * F.cos("b_in"), "mz": half * F.sin("b_in"), "dx": half * (F.cos("b_in") + F.cos("b_out")), "dz": half * (F.sin("b_in") + F.sin("b_out"))})
+    r = r.withColumns({"x1": F.coalesce(F.sum("dx").over(before), F.lit(0.0)), "z1": F.coalesce(F.sum("dz").over(before), F.lit(0.0))})
+    r = r.withColumns({"x2": c("x1") + c("dx"), "z2": c("z1") + c("dz")})
+    point = lambda x, z: F.struct(x.alias("x"), z.alias("z"))
+    points = F.array(point(c("x1"), c("z1")), point(c("x1") + c("mx"), c("z1") + c("mz")), point(c("x2"), c("z2")))
+    turn = F.when(c("kind") == 1, F.when(ref % 6 == 0, -1).when(ref % 6 == 1, 0).when(ref % 6 == 2, 1).when(ref % 6 == 3, 2))
+    return r.select("route_id", "idx", "kind", (F.floor(ref / 8) % 4).cast("int").alias("road_class"), "length_m", "speed_limit", points.alias("points"), "x1", "z1", "x2", "z2", turn.alias("turn_type"), "b_out", "edge_ref")
+
+
+def walk_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another road out of the node where some of the walked edges begin."""
+    c = F.col
+    w = walk(spark, sf_dir).withColumn("before", F.lag("b_out").over(Window.partitionBy("route_id").orderBy("idx")))
+    return w.where((c("idx") > 0) & ((c("edge_ref") + c("idx")) % 2 == 0)).select("route_id", "idx", (c("before") + (c("edge_ref") * 11 % 9 - 4) * 0.15).alias("tangent"))
+
+
 def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("long")
 
