@@ -11,8 +11,9 @@ by the whole print inside the key's group, then by the sizes and the whole sets.
 that it shares.
 
 Keys with few matches yield all of them. In others each class is linked to an earlier one near it, which costs no more
-links than classes; their rows are compared once more after the first links are verified, and only pairs that are in
-different components by then. So large groups of near copies cost few pairs, and no two members stay apart unseen.
+links than classes; their rows are compared once more after the first links are verified, with their sets at hand: only
+members in different components by then, and what joins two components is told once. So large groups of near copies
+yield few pairs, and no two members stay apart unseen.
 """
 
 from __future__ import annotations
@@ -214,36 +215,87 @@ def _matched(most: int, bits: int, segments: int, width: int):
     return run
 
 
-def _across(most: int, bits: int, segments: int):
-    """Rows (key, c, same, print) sorted by the first two to pairs (u, v) of near members in different components, in the first key that they share."""
+def _bitsets(sets: list[np.ndarray]) -> np.ndarray:
+    """Rows of bits for the members that at least two sets hold: all that intersections need."""
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[at]
+    out = np.zeros((len(sets), max(1, -(-int(shared.sum()) // 64))), dtype=np.uint64)
+    bit = place[at[keep]]
+    np.bitwise_or.at(out, (of[keep], bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
+def _joining(key: int, labels: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], similarity: float, most: int, bits: int, segments: int) -> Iterator[tuple[int, int]]:
+    """Places of members in different components whose sets have the similarity, in the first key that they share; a pair that joins components already joined is left out."""
+    shared, sizes = _bitsets(sets), np.array([len(s) for s in sets])
+    labels = labels.copy()
+    step = max(1, _BLOCK // len(labels))
+    for lo in range(0, len(labels), step):
+        hi = min(lo + step, len(labels))
+        near = (labels[lo:hi, None] != labels) & (np.arange(lo, hi)[:, None] < np.arange(len(labels)))
+        near &= np.minimum(sizes[lo:hi, None], sizes) >= similarity * np.maximum(sizes[lo:hi, None], sizes) - 1e-9
+        near &= _near(prints[lo:hi, None], prints, most)
+        i, j = np.nonzero(near)
+        if not len(i):
+            continue
+        i += lo
+        first = _is_first(prints[i] ^ prints[j], key, bits, segments)
+        i, j = i[first], j[first]
+        both = np.concatenate([np.bitwise_count(shared[i[k : k + 4096]] & shared[j[k : k + 4096]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 4096)]) if len(i) else np.empty(0, np.int64)
+        for a, b in np.stack([i, j], axis=1)[both / (sizes[i] + sizes[j] - both) >= similarity].tolist():
+            if labels[a] != labels[b]:
+                labels[labels == labels[b]] = labels[a]
+                yield a, b
+
+
+def _across(similarity: float, most: int, bits: int, segments: int):
+    """Rows (key, c, same, set, print) sorted by the first two to pairs (u, v) that join components."""
+
+    def pairs(rows: list[list]) -> pa.RecordBatch:
+        key, c, same, sets, *words = rows
+        prints = np.array(words, dtype=np.int64).T.view(np.uint64)
+        found = list(_joining(key[0], np.array(c, dtype=np.int64), np.ascontiguousarray(prints), [np.frombuffer(x, dtype=np.uint64) for x in sets], similarity, most, bits, segments))
+        return pa.record_batch([pa.array([min(same[a], same[b]) for a, b in found], pa.int64()), pa.array([max(same[a], same[b]) for a, b in found], pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, c, same, *words in _groups(batches):
-            prints = np.stack(words, axis=1).view(np.uint64)
-            ends = np.searchsorted(c, c, side="right")  # where the next component begins
-            step = max(1, _BLOCK // max(1, len(c)))
-            for lo in range(0, len(c), step):
-                hi = min(lo + step, len(c))
-                first = ends[lo]
-                if first >= len(c):
-                    break
-                near = _near(prints[lo:hi, None], prints[None, first:], most)
-                near &= np.arange(first, len(c)) >= ends[lo:hi, None]
-                i, j = np.nonzero(near)
-                if len(i):
-                    shared = _is_first(prints[lo + i] ^ prints[first + j], key[0], bits, segments)
-                    a, b = same[lo + i[shared]], same[first + j[shared]]
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+        held: list[list] = []
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            keys = np.array(columns[0], dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if held and lo < len(keys) and held[0][0] != columns[0][lo]:
+                    yield pairs(held)
+                    held = []
+                part = [c[lo:hi] for c in columns]
+                held = [h + p for h, p in zip(held, part)] if held else part
+        if held and held[0]:
+            yield pairs(held)
 
     return run
 
 
 def _set_hashes(shingle: int, seed: int):
+    """A text's set as an array, and as the bytes of its sorted numbers."""
+
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, shingle, seed).view(np.int64) for t in texts])
 
-    return hashes
+    @F.pandas_udf("binary")
+    def blobs(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle, seed).tobytes() for t in texts])
+
+    return hashes, blobs
+
+
+def _sets(wanted: DataFrame, classes: DataFrame, texts: DataFrame, hashes) -> DataFrame:
+    """(same, hashes) of the wanted classes, each made from one of its texts."""
+    wanted = classes.join(wanted, "same", "left_semi").select("same", "least.id", "least.th")
+    return texts.join(wanted, ["id", "th"]).select("same", hashes("text").alias("hashes")).dropDuplicates(["same"])
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, hashes) -> DataFrame:
@@ -251,10 +303,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity:
     sizes = [classes.select(F.col("same").alias(s), F.col("n").alias(f"n{s}")) for s in "uv"]
     near = pairs.join(sizes[0], "u").join(sizes[1], "v").where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9)
     near = stage(near.select("u", "v"), "near")
-    wanted = near.select(F.col("u").alias("same")).union(near.select("v")).distinct()
-    wanted = classes.join(wanted, "same", "left_semi").select("same", "least.id", "least.th")
-    sets = texts.join(wanted, ["id", "th"]).select("same", hashes("text").alias("hashes")).dropDuplicates(["same"])
-    sets = stage(sets, "sets")
+    sets = stage(_sets(near.select(F.col("u").alias("same")).union(near.select("v")).distinct(), classes, texts, hashes), "sets")
     left, right = (sets.select(F.col("same").alias(s), F.col("hashes").alias(h)) for s, h in (("u", "a"), ("v", "b")))
     both = F.size(F.array_intersect("a", "b"))
     return stage(near.join(right, "v").join(left, "u").where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v"), "similar")
@@ -281,7 +330,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     made = stage(texts.select("id", "th", sketches("text").alias("s")).select("id", "th", "s.*"), "sketches")
     classes = made.groupBy("same").agg(F.min(F.struct("id", "th")).alias("least"), F.max("n").alias("n"), F.max("print").alias("print"))
     classes = stage(classes, "classes")
-    most, hashes = distance_for(64 * width, similarity), _set_hashes(shingle, seed)
+    most, (hashes, blobs) = distance_for(64 * width, similarity), _set_hashes(shingle, seed)
     words = _words(width)
     longs = ", ".join(f"{w} long" for w in words)
 
@@ -293,8 +342,10 @@ def _members(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     again = rows.where("again").select(F.col("u").alias("key"), F.col("v").alias("same"), *words)
     if not again.isEmpty():
         again = again.join(labels, again.same == labels.node, "left").select("key", F.coalesce("component", "same").alias("c"), "same", *words)
-        more = again.repartition("key").sortWithinPartitions("key", "c").mapInArrow(_across(most, bits, segments), "u long, v long")
-        labels = stage(connected_components(links.unionByName(_similar(more, classes, texts, similarity, hashes))), "labels")
+        sets = stage(_sets(again.select("same").distinct(), classes, texts, blobs), "sets")
+        again = again.join(sets, "same").select("key", "c", "same", "hashes", *words)
+        more = again.repartition("key").sortWithinPartitions("key", "c", "same").mapInArrow(_across(similarity, most, bits, segments), "u long, v long")
+        labels = stage(connected_components(links.unionByName(stage(more, "more"))), "labels")
     named = labels.select(F.col("node").alias("same"), F.col("component").alias("c"))
     return stage(made.select("id", "th", "same").join(named, "same", "left").select("id", "th", "same", F.coalesce("c", "same").alias("c")), "members")
 
