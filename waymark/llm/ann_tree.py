@@ -3,8 +3,11 @@
 The tree has two levels of fitting. Its top, of at most TOP leaves, is fitted to a bounded sample on the driver; below
 each top leaf that holds many vectors a tree of its own is fitted inside Spark to a bounded sample of that leaf, so
 leaves grow with the table. Every vector is indexed. A query walks a tree through a priority queue, nearest centroid
-first, and visits leaves until their number, calibrated on sample queries against brute force, is reached; it is dealt
-to the top leaves that it visits and walks their own trees there. Vectors are sent once, to their top leaf.
+first, and visits leaves until their number, calibrated on sample queries against brute force, is reached; it walks
+the own trees of the top leaves that it visits where their vectors are.
+
+Neighbouring top leaves make up parts of equal size. Vectors are sent once, to their part, and a query once to each
+part in which it visits leaves; what leaves a part are a query's k best in it.
 
 Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2), where M is the largest norm.
 """
@@ -29,7 +32,7 @@ from .common import quoted, stage
 BRANCH = 8
 #: Leaves of the top tree, about; and vectors to which the tree of one top leaf is fitted, about.
 TOP, LOCAL_SAMPLE = 1024, 8192
-#: Vectors of a top leaf that one task scores, about; vectors and queries multiplied at a time.
+#: Vectors of a part, about, once there are more parts than twice the cores; vectors and queries multiplied at a time.
 PART, _VECTORS, _QUERIES = 200_000, 8192, 1024
 
 
@@ -130,10 +133,10 @@ class _Best:
 
     def add(self, which: np.ndarray, rids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, *more: np.ndarray) -> None:
         """Scores vectors for the queries `which`; `more` are further columns to keep of the vectors."""
+        order = np.argsort(rids)
         for lo in range(0, len(which), _QUERIES):
             q = which[lo : lo + _QUERIES]
             rough = self.queries[q] @ vectors.T
-            order = np.argsort(rids)
             own = np.minimum(np.searchsorted(rids, self.rids[q], sorter=order), len(rids) - 1)
             same = rids[order[own]] == self.rids[q]
             rough[np.flatnonzero(same), order[own[same]]] = -np.inf
@@ -230,35 +233,43 @@ def nearest(
     trees = _local_trees(indexed, count, float(total["m"]), leaf_size)
     queries = rows.where(is_query).select("rid", "id", "v")
     visits, within = _calibrate(tree, trees, indexed, queries, k, recall, calibration)
-    parts = np.maximum(1, -(-count // PART))
-    plan = spark.sparkContext.broadcast((count, parts))
-
-    @F.pandas_udf("array<struct<top:int,part:int>>")
+    # top leaf t lies in parts first[t] to last[t]
+    total_kept = int(count.sum())
+    n_parts = max(2 * spark.sparkContext.defaultParallelism, total_kept // PART)
+    begin = np.cumsum(count) - count
+    first, last = begin * n_parts // total_kept, np.maximum(begin, begin + count - 1) * n_parts // total_kept
+    plan = spark.sparkContext.broadcast((count, first, last))
+
+    @F.pandas_udf("array<struct<part:int,tops:array<int>>>")
     def to_visit(q: pd.Series) -> pd.Series:
-        tree, (count, parts) = shared.value, plan.value
+        tree, (count, first, last) = shared.value, plan.value
         out = []
         for query in _matrix(list(q)) if len(q) else ():
-            found, seen, mine = 0, 0, []
+            found, seen, mine = 0, 0, {}
             for leaf in tree.visits(query):
                 if seen >= visits and found > k:
                     break
                 seen += 1
                 found += count[leaf]
-                mine += [{"top": leaf, "part": p} for p in range(parts[leaf])] if count[leaf] else []
-            out.append(mine)
+                for part in range(first[leaf], last[leaf] + 1) if count[leaf] else ():
+                    mine.setdefault(part, []).append(leaf)
+            out.append([{"part": int(p), "tops": tops} for p, tops in mine.items()])
         return pd.Series(out)
 
     @F.pandas_udf("int")
     def part_of(top: pd.Series, rid: pd.Series) -> pd.Series:
-        return (rid % plan.value[1][top.to_numpy()]).astype("int32")
+        t = top.to_numpy()
+        _, first, last = plan.value
+        return pd.Series(first[t] + rid.to_numpy() % (last[t] - first[t] + 1)).astype("int32")
 
-    asked = queries.withColumn("t", F.explode(to_visit("v"))).select("t.top", "t.part", F.lit(1).alias("kind"), "rid", "id", "v")
-    stored = indexed.select("top", part_of("top", "rid").alias("part"), F.lit(2).alias("kind"), "rid", "id", "v")
+    none = F.lit(None).cast("array<int>")
+    asked = queries.withColumn("t", F.explode(to_visit("v"))).select("t.part", F.lit(1).alias("kind"), F.lit(-1).alias("top"), "rid", "id", "v", "t.tops")
+    stored = indexed.select(part_of("top", "rid").alias("part"), F.lit(2).alias("kind"), "top", "rid", "id", "v", none.alias("tops"))
     dealt = asked.unionByName(stored)
     if trees is not None:
-        copies = spark.createDataFrame([(t, p) for t in np.flatnonzero(count).tolist() for p in range(parts[t])], "top int, part int")  # at most n / PART + TOP rows
-        dealt = dealt.unionByName(trees.join(copies, "top").select("top", "part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("rid"), F.lit(0).cast("long").alias("id"), F.col("tree").alias("v")))
-    dealt = dealt.select("top", "part", "kind", "rid", "id", "v").repartition("top", "part").sortWithinPartitions("top", "part", "kind")
+        copies = spark.createDataFrame([(t, p) for t in np.flatnonzero(count).tolist() for p in range(int(first[t]), int(last[t]) + 1)], "top int, part int")  # at most parts and top leaves together
+        dealt = dealt.unionByName(trees.join(F.broadcast(copies), "top").select("part", F.lit(0).alias("kind"), "top", F.lit(0).cast("long").alias("rid"), F.lit(0).cast("long").alias("id"), F.col("tree").alias("v"), none.alias("tops")))
+    dealt = dealt.repartition("part").sortWithinPartitions("part", "kind", "top")
     found = dealt.mapInArrow(_search(k, within), _FOUND)
     order = Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -280,61 +291,75 @@ def _local_trees(indexed: DataFrame, count: np.ndarray, norm: float, leaf_size:
     return stage(some.select("top", "leaves", "v").groupBy("top").applyInPandas(fit, "top int, tree binary"), "trees")
 
 
+class _Part:
+    """Trees, queries and, as they pass, vectors of one part."""
+
+    def __init__(self, k: int, within: int):
+        self.k, self.within = k, within
+        self.trees: dict[int, Tree] = {}
+        self.asked: list[tuple] = []
+        self.best: _Best | None = None
+
+    def ask(self, rids: np.ndarray, ids: np.ndarray, v: list[bytes], tops: list[list[int]]) -> None:
+        self.asked.append((rids, ids, _matrix(v), tops))
+
+    def _ready(self) -> None:
+        rids, self.ids, queries = (np.concatenate([a[c] for a in self.asked]) for c in range(3))
+        self.best = _Best(rids, queries, self.k)
+        self.of_top: dict[int, list[int]] = {}
+        for q, tops in enumerate(t for a in self.asked for t in a[3]):
+            for top in tops:
+                self.of_top.setdefault(top, []).append(q)
+        self.now, self.of_leaf = None, {}
+
+    def score(self, top: int, rids: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        if not self.asked:
+            return
+        if self.best is None:
+            self._ready()
+        which = self.of_top.get(top)
+        if not which:
+            return
+        tree = self.trees.get(top)
+        if tree is None:
+            self.best.add(np.array(which), rids, ids, x)
+            return
+        if self.now != top:
+            self.now, self.of_leaf = top, {}
+            for q in which:
+                for _, leaf in zip(range(self.within), tree.visits(self.best.queries[q])):
+                    self.of_leaf.setdefault(leaf, []).append(q)
+        leaf = tree.leaf_of(tree.lifted(x))
+        order = np.argsort(leaf, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+            visitors = self.of_leaf.get(int(leaf[mine[0]]))
+            if visitors:
+                self.best.add(np.array(visitors), rids[mine], ids[mine], x[mine])
+
+    def found(self) -> tuple[np.ndarray, ...] | None:
+        made = self.best.result() if self.best else None
+        return None if made is None else (self.best.rids[made[0]], self.ids[made[0]], made[2], made[1])
+
+
 def _search(k: int, within: int):
-    """Rows (top, part, kind, rid, id, v) sorted by the first three, of kinds 0: the leaf's tree, 1: queries, 2: vectors; to each query's k best in the part."""
+    """Rows (part, kind, top, rid, id, v, tops) sorted by the first three, of kinds 0: a top leaf's tree, 1: queries, 2: vectors; to each query's k best in the part."""
     schema = pa.schema([("rid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    class Part:
-        def __init__(self):
-            self.tree: Tree | None = None
-            self.asked: list[tuple] = []
-            self.held: list[tuple] = []
-            self.n = 0
-            self.best: _Best | None = None
-            self.ids = np.empty(0, dtype=np.int64)
-
-        def take(self, kind: int, rids: np.ndarray, ids: np.ndarray, v: list[bytes]) -> None:
-            if kind == 0:
-                self.tree = pickle.loads(v[0])
-            elif kind == 1:
-                self.asked.append((rids, ids, _matrix(v)))
-            elif self.asked:
-                self.held.append((rids, ids, _matrix(v)))
-                self.n += len(rids)
-                if self.n >= _VECTORS:
-                    self.score()
-
-        def score(self) -> None:
-            if not self.n:
-                return
-            if self.best is None:
-                rids, self.ids, queries = (np.concatenate(c) for c in zip(*self.asked))
-                self.best, self.of_leaf = _Best(rids, queries, k), {}
-                for q in range(len(queries)) if self.tree else ():
-                    for _, leaf in zip(range(within), self.tree.visits(queries[q])):
-                        self.of_leaf.setdefault(leaf, []).append(q)
-            rids, ids, x = (np.concatenate(c) for c in zip(*self.held))
-            self.held, self.n = [], 0
-            if self.tree is None:
-                self.best.add(np.arange(len(self.ids)), rids, ids, x)
-                return
-            leaf = self.tree.leaf_of(self.tree.lifted(x))
-            order = np.argsort(leaf, kind="stable")
-            cuts = np.flatnonzero(np.diff(leaf[order])) + 1
-            for mine in np.split(order, cuts):
-                which = self.of_leaf.get(int(leaf[mine[0]]))
-                if which:
-                    self.best.add(np.array(which), rids[mine], ids[mine], x[mine])
-
-        def found(self) -> Iterator[pa.RecordBatch]:
-            self.score()
-            made = self.best.result() if self.best else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part = None, _Part(k, within)
+        held: list[tuple] = []  # vectors of one top leaf, scored together
+
+        def score() -> None:
+            if held:
+                part.score(held[0][0], *(np.concatenate([h[c] for h in held]) for c in (1, 2, 3)))
+                held.clear()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            score()
+            made = part.found()
             if made is not None:
-                q, score, ids = made
-                yield pa.record_batch([pa.array(self.best.rids[q]), pa.array(self.ids[q]), pa.array(ids), pa.array(score)], schema=schema)
+                yield pa.record_batch([pa.array(c) for c in made], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, part = None, Part()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -342,12 +367,20 @@ def _search(k: int, within: int):
             rids, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
             cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                now = tuple(marks[:2, lo].tolist())
+                now, kind, top = marks[:, lo].tolist()
                 if now != key:
-                    yield from part.found()
-                    key, part = now, Part()
-                part.take(int(marks[2, lo]), rids[lo:hi], ids[lo:hi], b.column(5)[lo:hi].to_pylist())
-        yield from part.found()
+                    yield from close()
+                    key, part = now, _Part(k, within)
+                v = b.column(5)[lo:hi].to_pylist()
+                if kind == 0:
+                    part.trees[top] = pickle.loads(v[0])
+                elif kind == 1:
+                    part.ask(rids[lo:hi], ids[lo:hi], v, b.column(6)[lo:hi].to_pylist())
+                else:
+                    if held and (held[0][0] != top or sum(len(h[1]) for h in held) >= _VECTORS):
+                        score()
+                    held.append((top, rids[lo:hi], ids[lo:hi], _matrix(v)))
+        yield from close()
 
     return run
 
