@@ -106,3 +106,48 @@ def shortest_costs(edges: DataFrame, sources: DataFrame, weight: str, most: floa
         frontier = both.where("better").select("source", "uid", F.col("best").alias("cost"))
         if frontier.isEmpty():
             return cost
+
+
+def bridges(links: DataFrame) -> DataFrame:
+    """(a, b) of undirected links whose loss parts what they join; links (a, b) that stand twice are none.
+
+    A forest is grown from each component's smallest node, round by round. Every link outside it marks its two ends
+    with its own random number; combined by exclusive or from the leaves up, the marks below a link of the forest are
+    zero just if no other link passes it by, but for a chance of 2**-64.
+    """
+    pairs = links.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+    pairs = checkpoint(pairs)
+    both = checkpoint(pairs.select("a", "b").union(pairs.select("b", "a")))
+    roots = components(both.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("component").alias("uid")).distinct()
+    grown, depth = checkpoint(roots.select("uid", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth"))), 0
+    rounds = [grown]
+    while True:
+        depth += 1
+        near = rounds[-1].join(both, F.col("uid") == F.col("a")).groupBy(F.col("b").alias("uid")).agg(F.min("a").alias("parent"))
+        near = checkpoint(near.join(grown, "uid", "left_anti").withColumn("depth", F.lit(depth)))
+        if near.isEmpty():
+            break
+        rounds.append(near)
+        grown = checkpoint(grown.unionByName(near))
+    tree = grown.where("parent is not null").select(F.least("uid", "parent").alias("a"), F.greatest("uid", "parent").alias("b"), F.col("uid").alias("below"))
+    outside = pairs.join(tree, ["a", "b"], "left").withColumn("more", F.col("n") - F.when(F.col("below").isNotNull(), 1).otherwise(0)).where("more > 0")
+    number = F.xxhash64("a", "b")
+    ends = outside.select(F.explode(F.array("a", "b")).alias("uid"), number.alias("mark"))
+    marks = ends.groupBy("uid").agg(F.bit_xor("mark").alias("mark"))
+    held = None  # marks of the round below, by the parent that gathers them
+    sums = []
+    # a link that stands twice is passed by its own double
+    doubled = pairs.where("n > 1").select("a", "b")
+    for k in range(len(rounds) - 1, 0, -1):
+        rows = rounds[k].join(marks, "uid", "left").select("uid", "parent", F.coalesce("mark", F.lit(0).cast("long")).alias("mark"))
+        if held is not None:
+            rows = rows.join(held, "uid", "left").select("uid", "parent", F.col("mark").bitwiseXOR(F.coalesce("below", F.lit(0).cast("long"))).alias("mark"))
+        rows = checkpoint(rows)
+        sums.append(rows)
+        held = rows.groupBy(F.col("parent").alias("uid")).agg(F.bit_xor("mark").alias("below"))
+    if not sums:
+        return pairs.select("a", "b").limit(0)
+    found = sums[0]
+    for more in sums[1:]:
+        found = found.unionByName(more)
+    return found.where("mark = 0").select(F.least("uid", "parent").alias("a"), F.greatest("uid", "parent").alias("b")).join(doubled, ["a", "b"], "left_anti")

@@ -68,7 +68,8 @@ def match_score(lateral: Column, heading: Column, tangent: Column, topology: Col
 
 def candidates(points: DataFrame, edges: DataFrame, radius: float, key: str, k: int = 8, scale: float = 20.0) -> DataFrame:
     """The k best scored candidate edges of each point (with heading) that has not been matched before."""
-    pairs = with_projection(radius_join(points, edges.where("kind in (0, 1)"), radius, key)).where(F.col("lateral") <= 3 * scale)
+    # an edge's box is no farther than the edge
+    pairs = with_projection(radius_join(points, edges.where("kind in (0, 1)"), min(radius, 3 * scale), key)).where(F.col("lateral") <= 3 * scale)
     score = match_score(F.col("lateral"), F.col("heading"), bearing(*(F.col(c) for c in ("x1", "z1", "x2", "z2"))), F.lit(0.5), scale)
     order = Window.partitionBy(key).orderBy(F.desc("score"), *first_scanned(radius), "edge_id")
     return pairs.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

@@ -6,13 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import checkpoint
+
 
 def order_statistics(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """sorted[floor(n * q)] of each group, at most the last; the upper middle for q = 0.5. By rank, not by interpolation."""
-    by = Window.partitionBy(*keys)
-    ranked = rows.where(F.col(value).isNotNull()).withColumns({"rank0": F.row_number().over(by.orderBy(value)) - 1, "n": F.count("*").over(by)})
+    """sorted[floor(n * q)] of each group, at most the last; the upper middle for q = 0.5. By rank, not by interpolation.
+
+    Equal values are counted before they are shuffled. Counts are dealt by ranges of group and value, so that a large
+    group is cumulated in many tasks; only one row for each group and task is gathered.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    counts = checkpoint(counts.repartitionByRange(*keys, value).withColumn("task", F.spark_partition_id()))
+    by_task = Window.partitionBy(*keys).orderBy("task")
+    tasks = counts.groupBy(*keys, "task").agg(F.sum("c").alias("held"))
+    tasks = tasks.withColumns({"before": F.coalesce(F.sum("held").over(by_task.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("held").over(Window.partitionBy(*keys))})
+    upto = F.sum("c").over(Window.partitionBy(*keys, "task").orderBy(value))
+    ranked = counts.withColumn("upto", upto)
+    same = [ranked[k].eqNullSafe(tasks[k]) for k in keys]
+    ranked = ranked.join(tasks, [*same, ranked["task"] == tasks["task"]]).select(*[ranked[k] for k in keys], ranked[value], "n", "c", (F.col("before") + F.col("upto")).alias("end"))
     at = {name: F.least(F.floor(F.col("n") * q), F.col("n") - 1) for name, q in shares.items()}
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("rank0") == k, F.col(value))).alias(name) for name, k in at.items()], F.max(value).alias("largest"))
+    holds = lambda k: (k < F.col("end")) & (k >= F.col("end") - F.col("c"))
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(holds(k), F.col(value))).alias(name) for name, k in at.items()], F.max(value).alias("largest"))
 
 
 def characters(texts: DataFrame, text: str, by: str) -> DataFrame:
@@ -34,6 +48,15 @@ PATTERNS = {
 }
 
 
+def pattern_verdicts(texts: DataFrame, key: str, text: str, allowed: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+    """(key, class, found, allowed) for each distinct match; allowed where (class, match) is on the list."""
+    found = PATTERNS if patterns is None else patterns
+    pairs = F.array(*[F.struct(F.lit(name).alias("class"), F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))).alias("matches")) for name, p in found.items()])
+    rows = texts.where(F.col(text).isNotNull()).select(key, F.explode(pairs).alias("p")).select(key, "p.class", F.explode("p.matches").alias("found"))
+    listed = allowed.select("class", F.col("match").alias("found"), F.lit(True).alias("listed")).distinct()
+    return rows.join(listed, ["class", "found"], "left").select(key, "class", "found", F.coalesce("listed", F.lit(False)).alias("allowed"))
+
+
 def pattern_scan(texts: DataFrame, key: str, text: str, patterns: dict[str, str] | None = None) -> DataFrame:
     """(key, class, hits) for each class of pattern that a text holds."""
     found = PATTERNS if patterns is None else patterns
@@ -42,9 +65,10 @@ def pattern_scan(texts: DataFrame, key: str, text: str, patterns: dict[str, str]
 
 
 def frame_rate(rows: DataFrame, key: str, frame_ms: str) -> DataFrame:
-    """Mean frames per second over active frames (over 0 and under 500 ms)."""
+    """Frames per second over active frames (over 0 and under 500 ms): the mean, the middle frame's and the slowest hundredth's."""
     active = rows.where((F.col(frame_ms) > 0) & (F.col(frame_ms) < 500))
-    return active.groupBy(key).agg(F.count("*").alias("frames"), F.round(1000 * F.count("*") / F.sum(frame_ms), 6).alias("mean_fps"))
+    ranks = order_statistics(active, [key], frame_ms, {"middle": 0.5, "slow": 0.99}).select(key, F.round(1000 / F.col("middle"), 6).alias("p50_fps"), F.round(1000 / F.col("slow"), 6).alias("low_fps"))
+    return active.groupBy(key).agg(F.count("*").alias("frames"), F.round(1000 * F.count("*") / F.sum(frame_ms), 6).alias("mean_fps")).join(ranks, key)
 
 
 def agreement(rows: DataFrame, key: str, a: Column, b: Column, limits: tuple[int, ...] = (5, 20)) -> DataFrame:

@@ -167,11 +167,11 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return roads.table(spark, d, "part").select("p_partkey", F.split("p_name", " ")[0].alias("token"))
 
 
-@query(f"SELECT {_TOKEN} AS token, count(*) AS uses FROM part WHERE {_TOKEN} NOT IN (SELECT {_TOKEN} FROM part WHERE p_partkey % 50 = 0) GROUP BY 1")
+@query(f"SELECT {_TOKEN} AS token, count(*) AS uses FROM part WHERE {_TOKEN} NOT IN (SELECT {_TOKEN} FROM part WHERE p_partkey % 400 = 0) GROUP BY 1")
 def j33_unresolved_tokens(spark, d):
     """Tokens without a descriptor: one row each, with how often they are used."""
     t = _tokens(spark, d)
-    return t.join(t.where("p_partkey % 50 = 0").select("token"), "token", "left_anti").groupBy("token").agg(F.count("*").alias("uses"))
+    return t.join(t.where("p_partkey % 400 = 0").select("token"), "token", "left_anti").groupBy("token").agg(F.count("*").alias("uses"))
 
 
 @query("SELECT src AS uid FROM f_edge WHERE kind IN (0, 1) UNION SELECT dst FROM f_edge WHERE kind IN (0, 1)")
@@ -179,10 +179,10 @@ def u01_touched_nodes(spark, d):
     return graph.active_nodes(roads.edge(spark, d).where("kind in (0, 1)"))
 
 
-@query(f"SELECT {_TOKEN} AS token FROM part EXCEPT SELECT {_TOKEN} FROM part WHERE p_partkey % 50 = 0")
+@query(f"SELECT {_TOKEN} AS token FROM part EXCEPT SELECT {_TOKEN} FROM part WHERE p_partkey % 400 = 0")
 def u04_missing_definitions(spark, d):
     t = _tokens(spark, d)
-    return t.select("token").subtract(t.where("p_partkey % 50 = 0").select("token"))
+    return t.select("token").subtract(t.where("p_partkey % 400 = 0").select("token"))
 
 
 @query(f"SELECT DISTINCT {_TOKEN} AS token FROM part")

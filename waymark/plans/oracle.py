@@ -70,16 +70,19 @@ FIXTURES = {
       WITH RECURSIVE b AS (SELECT src, dst FROM f_roads UNION SELECT dst, src FROM f_roads),
       r(uid, label) AS (SELECT DISTINCT src, src FROM b UNION SELECT b.dst, r.label FROM r JOIN b ON r.uid = b.src WHERE r.label < b.dst)
       SELECT uid, label FROM r) GROUP BY uid""",
-    "f_land": "SELECT * FROM f_edge WHERE kind IN (0, 1) AND road_class IN (0, 1, 2)",
+    "f_land": "SELECT * FROM f_edge WHERE kind IN (0, 1) AND road_class = 1",
     "f_landcomp": """SELECT uid, min(label) AS component FROM (
       WITH RECURSIVE b AS (SELECT src, dst FROM f_land UNION SELECT dst, src FROM f_land),
       r(uid, label) AS (SELECT DISTINCT src, src FROM b UNION SELECT b.dst, r.label FROM r JOIN b ON r.uid = b.src WHERE r.label < b.dst)
       SELECT uid, label FROM r) GROUP BY uid""",
+    # ways over water or motorway between pieces of land, each once for both directions
+    "f_ways": """SELECT least(src, dst) AS p, greatest(src, dst) AS q, min(least(coalesce(x.component, src), coalesce(y.component, dst))) AS a, max(greatest(coalesce(x.component, src), coalesce(y.component, dst))) AS b
+      FROM f_edge e LEFT JOIN f_landcomp x ON x.uid = e.src LEFT JOIN f_landcomp y ON y.uid = e.dst WHERE kind = 2 OR road_class = 3 GROUP BY 1, 2""",
 }
 
 _DEPENDS = {
     "f_edge": ["f_node"], "f_timed": ["f_edge"], "f_weight": ["f_timed"], "f_rtime": ["f_route"], "f_walk": ["f_route"], "f_half": ["f_edge"], "f_approach": ["f_frame", "f_light"],
-    "f_near": ["f_frame", "f_edge"], "f_component": ["f_half"], "f_roads": ["f_edge"], "f_roadcomp": ["f_roads"], "f_land": ["f_edge"], "f_landcomp": ["f_land"],
+    "f_near": ["f_frame", "f_edge"], "f_component": ["f_half"], "f_roads": ["f_edge"], "f_roadcomp": ["f_roads"], "f_land": ["f_edge"], "f_landcomp": ["f_land"], "f_ways": ["f_landcomp"],
 }
 
 
@@ -144,7 +147,7 @@ _SQL = {
       SELECT uid, country FROM f_node, f_city WHERE abs(x - cx) <= 800 AND abs(z - cz) <= 800 QUALIFY row_number() OVER (PARTITION BY uid ORDER BY abs(x - cx) + abs(z - cz), city_id) = 1) c ON c.uid = n.uid""",
     "j12_poi_access": "SELECT poi_id, kind, x, z FROM f_poi LEFT JOIN f_node ON access_uid = uid",
     "j23_near_company": """SELECT uid FROM f_node n WHERE EXISTS (SELECT 1 FROM f_poi p JOIN f_node c ON p.access_uid = c.uid
-      WHERE p.kind = 'Company' AND p.poi_id % 16 = 1 AND sqrt((n.x - c.x) * (n.x - c.x) + (n.z - c.z) * (n.z - c.z)) <= 150)""",
+      WHERE p.kind = 'Company' AND sqrt((n.x - c.x) * (n.x - c.x) + (n.z - c.z) * (n.z - c.z)) <= 150)""",
     "j17_signal_link": """SELECT m.edge_id, light_id, round(score, 6) AS score, CASE WHEN score >= 0.8 AND light_id = m.semaphore_id THEN 'VERIFIED' WHEN score >= 0.55 THEN 'PROBABLE' ELSE 'UNKNOWN' END AS confidence
       FROM f_edge m LEFT JOIN (
         SELECT edge_id, light_id, slot, round(0.5e0 * greatest(least(1 - d / 15, 1.0e0), 0.0e0) + 0.3e0 * greatest(least(1 - least(a, 6.283185307179586e0 - a) / 0.9e0, 1.0e0), 0.0e0) + 0.2e0 * CAST(light_id = semaphore_id AS INTEGER), 9) AS score FROM (
@@ -215,14 +218,27 @@ _SQL = {
     "a12_latency_quantiles": """SELECT event_type, n, s[CAST(least(floor(n * 0.5e0), n - 1) AS BIGINT) + 1] AS p50, s[CAST(least(floor(n * 0.9e0), n - 1) AS BIGINT) + 1] AS p90, s[CAST(least(floor(n * 0.99e0), n - 1) AS BIGINT) + 1] AS p99, s[n] AS largest
       FROM (SELECT event_type, count(value) AS n, list_sort(list(value)) AS s FROM events WHERE value IS NOT NULL GROUP BY 1)""",
     "a13_upper_median": "SELECT route_id, n, s[n // 2 + 1] AS median FROM (SELECT route_id, count(*) AS n, list_sort(list(length_m)) AS s FROM f_route GROUP BY 1)",
-    "a14_frame_stats": "SELECT user_id, count(*) AS frames, round(1000 * count(*) / sum(value), 6) AS mean_fps FROM events WHERE value > 0 AND value < 500 GROUP BY 1",
+    "a14_frame_stats": """SELECT user_id, frames, mean_fps, round(1000 / s[CAST(least(floor(frames * 0.5e0), frames - 1) AS BIGINT) + 1], 6) AS p50_fps, round(1000 / s[CAST(least(floor(frames * 0.99e0), frames - 1) AS BIGINT) + 1], 6) AS low_fps FROM (
+      SELECT user_id, count(*) AS frames, round(1000 * count(*) / sum(value), 6) AS mean_fps, list_sort(list(value)) AS s FROM events WHERE value > 0 AND value < 500 GROUP BY 1)""",
+    "j28_issue_places": """SELECT code, i.uid, coalesce(e.x1, -1.0e0) AS x, coalesce(e.z1, -1.0e0) AS z FROM (
+      SELECT 'REF_BROKEN_START' AS code, edge_id AS uid FROM f_edge WHERE src NOT IN (SELECT uid FROM f_node WHERE uid % 17 <> 0)
+      UNION ALL SELECT 'REF_BROKEN_END', edge_id FROM f_edge WHERE dst NOT IN (SELECT uid FROM f_node WHERE uid % 17 <> 0)) i LEFT JOIN f_edge e ON e.edge_id = i.uid AND e.road_class > 0""",
+    "f17_tile_id": """SELECT uid, CAST((power(4, 11) - 1) / 3 AS BIGINT) + d AS tile_id FROM (WITH RECURSIVE t(uid, s, x, y, d) AS (
+      SELECT uid, CAST(1024 AS BIGINT), CAST(least(greatest(floor((x * 40 / 111320.0e0 + 180) / 360 * 2048), 0), 2047) AS BIGINT),
+        CAST(least(greatest(floor((1 - ln(tan(radians(-z * 40 / 111320.0e0)) + 1 / cos(radians(-z * 40 / 111320.0e0))) / pi()) / 2 * 2048), 0), 2047) AS BIGINT), CAST(0 AS BIGINT) FROM f_node
+      UNION ALL SELECT uid, s // 2, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN s - 1 - y % s ELSE y % s END ELSE x % s END, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN s - 1 - x % s ELSE x % s END ELSE y % s END,
+        d + s * s * (CASE WHEN rx = 1 AND ry = 1 THEN 2 WHEN rx = 1 THEN 3 ELSE ry END) FROM (SELECT *, CASE WHEN x & s > 0 THEN 1 ELSE 0 END AS rx, CASE WHEN y & s > 0 THEN 1 ELSE 0 END AS ry FROM t WHERE s > 0))
+      SELECT uid, d FROM t WHERE s = 0)""",
+    "w17_reminder_gate": """SELECT vehicle, seq, 'OverSpeed' AS kind, allowed FROM (WITH RECURSIVE g AS (SELECT vehicle, seq, sim_us * 60 / 1e6 AS t, row_number() OVER (PARTITION BY vehicle ORDER BY sim_us, seq) AS rn FROM f_frame WHERE speed_ms > 4),
+      r(vehicle, rn, seq, last, allowed) AS (SELECT DISTINCT vehicle, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST('-infinity' AS DOUBLE), false FROM g
+      UNION ALL SELECT g.vehicle, g.rn, g.seq, CASE WHEN g.t - r.last >= 30 THEN g.t ELSE r.last END, g.t - r.last >= 30 FROM r JOIN g ON g.vehicle = r.vehicle AND g.rn = r.rn + 1) SELECT * FROM r WHERE rn > 0)""",
     "a15_agreement": "SELECT vehicle, count(*) AS n, round(count_if(abs(limit_ms * 3.6e0 - speed_ms * 3.6e0) <= 5) / count(*), 6) AS within_5, round(count_if(abs(limit_ms * 3.6e0 - speed_ms * 3.6e0) <= 20) / count(*), 6) AS within_20 FROM f_frame GROUP BY 1",
     "a03_components": "SELECT uid, component FROM f_component",
     "a04_component_sizes": """SELECT CASE WHEN nodes <= 1 THEN 0 WHEN nodes <= 2 THEN 1 WHEN nodes <= 5 THEN 2 WHEN nodes <= 10 THEN 3 WHEN nodes <= 50 THEN 4 WHEN nodes <= 100 THEN 5 WHEN nodes <= 1000 THEN 6 ELSE 7 END AS bucket,
       count(*) AS components, CAST(sum(nodes) AS BIGINT) AS nodes FROM (SELECT component, count(*) AS nodes FROM f_component GROUP BY 1) GROUP BY 1""",
     "a05_component_bbox": "SELECT component, count(*) AS nodes, min(x) AS min_x, max(x) AS max_x, min(z) AS min_z, max(z) AS max_z FROM f_component JOIN f_node USING (uid) GROUP BY 1 ORDER BY nodes DESC, component LIMIT 30",
-    "g08_reachable": """SELECT source, uid FROM (WITH RECURSIVE r(source, uid) AS (SELECT uid, uid FROM f_node WHERE uid % 500 = 0 UNION SELECT r.source, e.dst FROM r JOIN f_half e ON e.src = r.uid) SELECT * FROM r)""",
-    "g09_khop": """SELECT source, uid, CAST(min(hops) AS INTEGER) AS hops FROM (WITH RECURSIVE r(source, uid, hops) AS (SELECT uid, uid, 0 FROM f_node WHERE uid % 500 = 0 UNION SELECT r.source, e.dst, r.hops + 1 FROM r JOIN f_edge e ON e.src = r.uid WHERE r.hops < 3) SELECT * FROM r) GROUP BY 1, 2""",
+    "g08_reachable": """SELECT source, uid FROM (WITH RECURSIVE r(source, uid) AS (SELECT uid, uid FROM (SELECT DISTINCT r_regionkey * (n // 5) AS uid FROM region CROSS JOIN (SELECT count(*) AS n FROM part)) UNION SELECT r.source, e.dst FROM r JOIN f_half e ON e.src = r.uid) SELECT * FROM r)""",
+    "g09_khop": """SELECT source, uid, CAST(min(hops) AS INTEGER) AS hops FROM (WITH RECURSIVE r(source, uid, hops) AS (SELECT uid, uid, 0 FROM (SELECT DISTINCT access_uid AS uid FROM f_poi WHERE kind IN ('City', 'Company')) UNION SELECT r.source, e.dst, r.hops + 1 FROM r JOIN f_edge e ON e.src = r.uid WHERE r.hops < 3) SELECT * FROM r) GROUP BY 1, 2""",
     "t04_poi_search": "SELECT poi_id, name FROM f_poi WHERE contains(lower(name), 'build') ORDER BY poi_id LIMIT 20",
     "d01_resolve_name": """SELECT request, CASE WHEN coalesce(x.n, f.n) IS NULL THEN 'NotFound' WHEN coalesce(x.n, f.n) > 1 THEN 'Ambiguous' ELSE 'Found' END AS status, CASE WHEN coalesce(x.n, f.n) = 1 THEN coalesce(x.p, f.p) END AS poi_id
       FROM (SELECT 'Building_' || n_nationkey AS request FROM nation UNION ALL SELECT lower(r_name) FROM region) q
@@ -247,8 +263,10 @@ _SQL = {
     "a06_diagnostics": "SELECT CAST(count_if(kind = 0) AS BIGINT) AS roads, CAST(count_if(kind = 1) AS BIGINT) AS movements, CAST(count_if(kind = 2) AS BIGINT) AS ferries, count(DISTINCT semaphore_id) AS semaphores, CAST(count_if(flags > 0) AS BIGINT) AS flagged FROM f_edge",
     "a16_sectors": "SELECT CAST(floor(x / 1000) AS BIGINT) AS sx, CAST(floor(z / 1000) AS BIGINT) AS sz, count(*) AS nodes, round(avg(y), 6) AS mean_y FROM f_node GROUP BY 1, 2",
     "a18_poi_by_type": "SELECT kind, count(*) AS n, CAST(count_if(access_uid % 5 = 0) AS BIGINT) AS without_access FROM f_poi GROUP BY 1",
-    "a20_reach_scope": """SELECT source, count(DISTINCT uid) AS nodes, count(DISTINCT uid) < 8 AS broken FROM (WITH RECURSIVE r(source, uid, hops) AS (SELECT uid, uid, 0 FROM f_node WHERE uid % 100 = 0
-      UNION SELECT r.source, e.dst, r.hops + 1 FROM r JOIN f_edge e ON e.src = r.uid WHERE r.hops < 3 AND e.road_class <> 2) SELECT * FROM r) GROUP BY 1""",
+    "a20_reach_scope": """SELECT poi_id, CAST(sum(nodes) AS BIGINT) AS nodes, sum(nodes) < 8 AS broken FROM (
+      SELECT poi_id, unnest([src, dst]) AS source FROM f_poi JOIN (SELECT src, arg_min(dst, edge_id) AS dst FROM f_edge WHERE road_class <> 2 GROUP BY 1) ON access_uid = src WHERE kind = 'City') q
+      JOIN (SELECT source, count(DISTINCT uid) AS nodes FROM (WITH RECURSIVE r(source, uid, hops) AS (SELECT uid, uid, 0 FROM f_node
+        UNION SELECT r.source, e.dst, r.hops + 1 FROM r JOIN f_edge e ON e.src = r.uid WHERE r.hops < 3 AND e.road_class <> 2) SELECT * FROM r) GROUP BY 1) USING (source) GROUP BY 1""",
     "a28_connectivity": """SELECT components, largest, no_way_out, no_way_in, dead_ends FROM (SELECT count(*) AS components, max(nodes) AS largest FROM (SELECT component, count(*) AS nodes FROM f_component GROUP BY 1)),
       (SELECT CAST(count_if(o = 0) AS BIGINT) AS no_way_out, CAST(count_if(i = 0) AS BIGINT) AS no_way_in, CAST(count_if(o + i = 1) AS BIGINT) AS dead_ends FROM (SELECT uid, sum(o) AS o, sum(i) AS i FROM (SELECT src AS uid, 1 AS o, 0 AS i FROM f_half UNION ALL SELECT dst, 0, 1 FROM f_half) GROUP BY 1))""",
     "a34_extrapolation_error": "SELECT junction_id, max(least(off, 7000 - off)) AS max_error_ms FROM (SELECT junction_id, (wall_ms - min(wall_ms) OVER (PARTITION BY junction_id)) % 7000 AS off FROM f_signal) GROUP BY 1",
@@ -258,7 +276,7 @@ _SQL = {
     "g17_od_regression": """SELECT route_id, abs(m - base_m) <= 0.01e0 * base_m AND abs(n - base_n) <= 0.05e0 * base_n AS passed FROM (SELECT *, round(m * (1 + (route_id % 5 - 2) * 0.008e0), 4) AS base_m, n + route_id % 2 AS base_n FROM (
       SELECT route_id, round(sum(length_m), 4) AS m, count(*) AS n FROM f_route GROUP BY 1))""",
     "g21_nearest_node": """SELECT city_id, uid FROM f_city, f_node WHERE (x - cx) * (x - cx) + (z - cz) * (z - cz) <= 2048.0e0 * 2048 QUALIFY row_number() OVER (PARTITION BY city_id ORDER BY (x - cx) * (x - cx) + (z - cz) * (z - cz), uid) = 1""",
-    "k06_inverted_index": "SELECT word, count(*) AS places, min(poi_id) AS first FROM (SELECT poi_id, unnest(string_split(lower(name), '_')) AS word FROM f_poi) GROUP BY 1",
+    "k06_inverted_index": "SELECT word, poi_id // 1000 AS block, count(*) AS places, string_agg(CAST(poi_id AS VARCHAR), ',' ORDER BY poi_id) AS postings FROM (SELECT poi_id, unnest(string_split(lower(name), '_')) AS word FROM f_poi) GROUP BY 1, 2",
     "k13_snapshots": """SELECT seq, '{"vehicle":' || vehicle || ',"seq":' || seq || ',"paused":' || CASE WHEN paused THEN 'true' ELSE 'false' END || ',"job_dest":' || coalesce(CAST(job_dest AS VARCHAR), 'null') || '}' AS snapshot FROM f_frame""",
     "w18_next_controlled": f"SELECT route_id, idx, min(CASE WHEN kind = 1 THEN idx END) OVER ({_ROUTE} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_junction FROM f_route",
     "a22_movement_clusters": "SELECT s_suppkey AS junction_id, CAST(CASE WHEN s_suppkey % 4 = 1 THEN 2 ELSE 1 END AS BIGINT) AS clusters FROM supplier",
@@ -284,8 +302,8 @@ _SQL = {
     "p13_poi_mapping": "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'Fuel' WHEN 1 THEN 'Repair' WHEN 2 THEN 'Company' WHEN 4 THEN 'Rest' END AS kind FROM orders WHERE o_orderkey % 6 IN (0, 1, 2, 4)",
     "a33_regression_tallies": """SELECT kind, count(*) AS n, count(m.component) AS in_main FROM f_poi LEFT JOIN f_component c ON c.uid = access_uid
       LEFT JOIN (SELECT component FROM f_component GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) m ON m.component = c.component GROUP BY 1""",
-    "a21_transit_bridges": """SELECT least(a.component, b.component) AS a, greatest(a.component, b.component) AS b FROM f_edge e JOIN f_landcomp a ON a.uid = e.src JOIN f_landcomp b ON b.uid = e.dst
-      WHERE e.kind = 2 AND e.road_class IN (0, 1, 2) AND a.component <> b.component GROUP BY 1, 2 HAVING count(*) = 1""",
+    "a21_transit_bridges": """SELECT DISTINCT a, b FROM f_ways w WHERE NOT EXISTS (SELECT 1 FROM (WITH RECURSIVE r(p, q, node) AS (SELECT p, q, a FROM f_ways
+        UNION SELECT r.p, r.q, CASE WHEN w.a = r.node THEN w.b ELSE w.a END FROM r JOIN f_ways w ON r.node IN (w.a, w.b) WHERE NOT (w.p = r.p AND w.q = r.q)) SELECT * FROM r) r WHERE r.p = w.p AND r.q = w.q AND r.node = w.b) AND a <> b""",
     "p02_road_class": "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'promo') THEN 3 WHEN contains(lower(p_type), 'standard') THEN 2 WHEN contains(lower(p_type), 'economy') THEN 1 ELSE 0 END AS road_class FROM part",
 }
 
@@ -299,4 +317,11 @@ def _pattern_sql() -> str:
 
 _SQL["x02_event_fold"] = _SQL["w11_trace_events"]
 
-ORACLES: dict[str, str] = {name: with_tables(sql) for name, sql in _SQL.items()} | {"a36_pattern_scan": _pattern_sql()}
+def _verdict_sql() -> str:
+    from ..operators.stats import PATTERNS
+
+    one = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS class, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS found FROM documents WHERE text IS NOT NULL" for name, p in PATTERNS.items())
+    return f"""WITH m AS ({one}) SELECT doc_id, class, found, EXISTS (SELECT 1 FROM m a WHERE a.doc_id % 3 = 0 AND a.class = m.class AND a.found = m.found) AS allowed FROM m"""
+
+
+ORACLES: dict[str, str] = {name: with_tables(sql) for name, sql in _SQL.items()} | {"a36_pattern_scan": _pattern_sql(), "a36_allow_list": _verdict_sql()}

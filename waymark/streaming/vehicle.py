@@ -77,11 +77,11 @@ def match_step(state: dict, row: dict) -> tuple[dict, dict]:
 
 def with_candidates(frames: DataFrame, edges: DataFrame) -> DataFrame:
     """Frames with the edges near them: a stateless join, the same in batch and in a stream with a static network."""
-    pairs = with_projection(radius_join(frames, edges.where("kind in (0, 1)"), FIRST_M, "seq")).where(F.col("lateral") <= 3 * SCALE_M)
+    pairs = with_projection(radius_join(frames, edges.where("kind in (0, 1)"), min(FIRST_M, 3 * SCALE_M), "seq")).where(F.col("lateral") <= 3 * SCALE_M)
     dx = F.col("x") - F.greatest(F.least("x1", "x2"), F.least(F.col("x"), F.greatest("x1", "x2")))
     dz = F.col("z") - F.greatest(F.least("z1", "z2"), F.least(F.col("z"), F.greatest("z1", "z2")))
     one = F.struct("edge_id", "src", "dst", "lateral", bearing(*(F.col(c) for c in ("x1", "z1", "x2", "z2"))).alias("tangent"), F.sqrt(dx * dx + dz * dz).alias("box"))
-    near = pairs.groupBy("seq").agg(F.collect_list(one).alias("candidates"))  # edges within FIRST_M of one frame
+    near = pairs.groupBy("seq").agg(F.collect_list(one).alias("candidates"))  # edges near one frame
     return frames.join(near, "seq", "left")
 
 
