@@ -14,10 +14,10 @@ from ..operators import events, graph, junctions, places, quality, routes, spati
 from ..sources import roads
 from ..streaming import vehicle
 from ..streaming.fold import fold
-from . import guidance, network, oracle, routing
+from . import building, guidance, network, oracle, routing
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = network.QUERIES | routing.QUERIES | guidance.QUERIES
-ORACLES: dict[str, str] = oracle.ORACLES | {name: oracle.with_tables(sql) for name, sql in (network.SQL | routing.SQL | guidance.SQL).items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = network.QUERIES | routing.QUERIES | guidance.QUERIES | building.QUERIES
+ORACLES: dict[str, str] = oracle.ORACLES | {name: oracle.with_tables(sql) for name, sql in (network.SQL | routing.SQL | guidance.SQL | building.SQL).items()}
 
 C = F.col
 
