@@ -126,13 +126,26 @@ def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32) <= most
 
 
+def _masks(bits: int, segments: int, width: int) -> np.ndarray:
+    """The bits of each segment in the words of a print."""
+    flags = np.zeros((segments, 64 * width), dtype=np.uint8)
+    for s in range(segments):
+        flags[s, s * bits : (s + 1) * bits] = 1
+    return np.packbits(flags, axis=1, bitorder="little").view(np.uint64)
+
+
 def _is_first(apart: np.ndarray, key: int, bits: int, segments: int) -> np.ndarray:
-    """Whether a key is the first that pairs share, by their prints' differences (pairs x words)."""
-    flags = np.unpackbits(np.ascontiguousarray(apart).view(np.uint8), axis=1, bitorder="little")[:, : bits * segments]
-    counts = flags.reshape(len(apart), segments, bits).sum(axis=2, dtype=np.int16)
+    """Whether a key that pairs share is the first that they do, by their prints' differences (pairs x words)."""
     segment, bit = divmod(int(key) >> 40, bits)
+    masks = _masks(bits, segments, apart.shape[1])
     # a segment that differs by one bit is shared with that bit cleared, an equal one with any
-    return ((counts <= 1).argmax(axis=1) == segment) & ((counts[:, segment] == 1) | (bit == 0))
+    own = np.bitwise_count(apart & masks[segment]).sum(axis=1, dtype=np.int16)
+    at = np.flatnonzero((own == 1) | ((own == 0) & (bit == 0)))
+    for s in range(segment):
+        at = at[np.bitwise_count(apart[at] & masks[s]).sum(axis=1, dtype=np.int16) > 1]
+    out = np.zeros(len(apart), dtype=bool)
+    out[at] = True
+    return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
