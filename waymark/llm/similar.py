@@ -10,10 +10,10 @@ size. The variants of a segment, each with one bit wildcarded, are the keys of a
 by the whole print inside the key's group, then by the sizes and the whole sets. A pair counts only in the first key
 that it shares.
 
-Keys with few matches yield all of them. In others each class is linked to an earlier one near it, which costs no more
-links than classes; their rows are compared once more after the first links are verified, with their sets at hand: only
-members in different components by then, and what joins two components is told once. So large groups of near copies
-yield few pairs, and no two members stay apart unseen.
+Keys with few matches yield all of them. The rows of others are compared once more after the first links are verified,
+with their sets at hand: only members in different components by then, and what joins two components is told once. So
+that few are apart by then, each class is linked to an earlier one near it, once for each segment that they have alike.
+So large groups of near copies yield few pairs, and no two members stay apart unseen.
 """
 
 from __future__ import annotations
@@ -212,13 +212,15 @@ def _matched(most: int, bits: int, segments: int, width: int):
             if len(same) < 2:
                 continue
             i, j, more = _match(key[0], np.stack(words, axis=1).view(np.uint64), most, bits, segments)
+            if more:
+                yield batch(True, key, same, *words)
+                if int(key[0] >> 40) % bits:
+                    continue  # first links are told under the first variant of a segment; all pairs are compared once more
             if not len(i):
                 continue
             us.append(np.minimum(same[i], same[j]))
             vs.append(np.maximum(same[i], same[j]))
             n += len(i)
-            if more:
-                yield batch(True, key, same, *words)
             if n >= _BLOCK:
                 yield pairs(us, vs)
                 us, vs, n = [], [], 0
