@@ -176,7 +176,7 @@ def _match(key: int, prints: np.ndarray, most: int, bits: int, segments: int) ->
         if len(i):
             first = _is_first(prints[i] ^ prints[j], key, bits, segments)
             i, j = i[first], j[first]
-        if len(i) <= 3 * m:
+        if len(i) <= m // 2:
             return i, j, False
         j, at = np.unique(j, return_index=True)  # i rises, so the first is the smallest
         return i[at], j, True
