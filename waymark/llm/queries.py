@@ -11,6 +11,7 @@ from . import licenses
 from .ann_tree import nearest
 from .byte_cnn import fit_quality, quality_scores
 from .common import SPACE_CLASS
+from .fill_in_middle import fill_in_middle, restored
 from .mixing import mix_sources
 from .oracles import ORACLES as ORACLES
 from .packing import pack_documents
@@ -81,7 +82,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    fim = F.col("fim")
+    shas = F.sha2(fim["output"], 256).alias("output_sha256"), F.sha2(restored(fim), 256).alias("restored_sha256")
+    return made.select("doc_id", fim["n"].alias("n"), fim["form"].alias("form"), fim["prefix"].alias("prefix_chars"), fim["middle"].alias("middle_chars"), *shas)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_warc, op3_mixing, op4_packing, op5_byte_cnn, op6_simhash, op7_url_filter, op8_ann, op9_substring, op10_licenses)
+    for f in (op1_quality_rules, op2_warc, op3_mixing, op4_packing, op5_byte_cnn, op6_simhash, op7_url_filter, op8_ann, op9_substring, op10_licenses, op11_fill_in_middle)
 }
