@@ -38,4 +38,15 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
   sha256(t) AS restored_sha256
 FROM g"""
 
-ORACLES = {"op2_warc": WARC, "op9_substring": SUBSTRING, "op10_licenses": licenses.oracle(), "op11_fill_in_middle": FILL_IN_MIDDLE}
+HARD_NEGATIVES = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score
+  FROM r a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY p.score DESC, p.id) AS INTEGER) AS rank,
+  p.id AS negative_id, positive_score, p.score AS negative_score
+FROM positives JOIN p USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * p.score AND 100 * p.score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
+ORACLES = {"op2_warc": WARC, "op9_substring": SUBSTRING, "op10_licenses": licenses.oracle(), "op11_fill_in_middle": FILL_IN_MIDDLE, "op12_hard_negatives": HARD_NEGATIVES}

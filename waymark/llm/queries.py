@@ -12,6 +12,7 @@ from .ann_tree import nearest
 from .byte_cnn import fit_quality, quality_scores
 from .common import SPACE_CLASS
 from .fill_in_middle import fill_in_middle, restored
+from .hard_negatives import mine_negatives
 from .mixing import mix_sources
 from .oracles import ORACLES as ORACLES
 from .packing import pack_documents
@@ -89,7 +90,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", fim["n"].alias("n"), fim["form"].alias("form"), fim["prefix"].alias("prefix_chars"), fim["middle"].alias("middle_chars"), *shas)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_warc, op3_mixing, op4_packing, op5_byte_cnn, op6_simhash, op7_url_filter, op8_ann, op9_substring, op10_licenses, op11_fill_in_middle)
+    for f in (op1_quality_rules, op2_warc, op3_mixing, op4_packing, op5_byte_cnn, op6_simhash, op7_url_filter, op8_ann, op9_substring, op10_licenses, op11_fill_in_middle, op12_hard_negatives)
 }
