@@ -16,6 +16,7 @@ from .hard_negatives import mine_negatives
 from .mixing import mix_sources
 from .oracles import ORACLES as ORACLES
 from .packing import pack_documents
+from .personal_data import KINDS, find_personal_data
 from .quality_rules import judge_quality
 from .simhash import near_duplicates
 from .substring import remove_repeats
@@ -96,7 +97,17 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("pii")["spans"]
+    plain = F.filter(spans, lambda s: s["plain"])
+    told = lambda some: F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    added = (F.size(spans) - F.size(plain)).cast("long").alias("n_added")
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(told(plain), 256).alias("base_sha256"), told(spans).alias("spans"), added)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_warc, op3_mixing, op4_packing, op5_byte_cnn, op6_simhash, op7_url_filter, op8_ann, op9_substring, op10_licenses, op11_fill_in_middle, op12_hard_negatives)
+    for f in (op1_quality_rules, op2_warc, op3_mixing, op4_packing, op5_byte_cnn, op6_simhash, op7_url_filter, op8_ann, op9_substring, op10_licenses, op11_fill_in_middle, op12_hard_negatives, op13_personal_data)
 }
