@@ -13,7 +13,7 @@ from .compare import DATA
 def test_all_stops_reach_as_far_as_edges_go(spark):
     d = f"{DATA}/sf0.001"
     out = {}
-    for r in roads.timed_edge(spark, d).collect():
+    for r in roads.turned_edge(spark, d).collect():
         out.setdefault(r["src"], []).append((r["dst"], r["time_s"]))
     nodes = {r["uid"] for r in roads.node(spark, d).collect()}
     stops = {r["access_uid"] for r in roads.poi(spark, d).collect() if r["kind"] in ("City", "Company")} & nodes

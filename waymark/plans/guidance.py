@@ -52,14 +52,32 @@ _KIND = f"""CASE WHEN idx = 0 THEN 'Depart' WHEN kind = 2 THEN 'Ferry' WHEN kind
 
 
 @query(
-    f"""SELECT route_id, idx, maneuver, round(angle, 6) + 0.0e0 AS angle, round(x, 3) + 0.0e0 AS x, round(z, 3) + 0.0e0 AS z, round(off - coalesce(lag(off) OVER (PARTITION BY route_id ORDER BY idx, o), 0.0e0), 4) AS distance_from_prev FROM (
+    f"""SELECT route_id, idx, maneuver, round(angle, 6) + 0.0e0 AS angle, round(x, 4) + 0.0e0 AS x, round(z, 4) + 0.0e0 AS z, round(off - coalesce(lag(off) OVER (PARTITION BY route_id ORDER BY idx, o), 0.0e0), 4) AS distance_from_prev FROM (
   SELECT route_id, idx, off, 0 AS o, maneuver, CASE WHEN maneuver IN ('Depart', 'Ferry', 'Train', 'EnterMotorway', 'ExitMotorway') THEN 0.0e0 ELSE angle END AS angle, x1 AS x, z1 AS z FROM (SELECT *, {_KIND} AS maneuver FROM {_STEPS}) WHERE maneuver IS NOT NULL
   UNION ALL SELECT route_id, idx, off, 1, 'Arrive', 0.0e0, x2, z2 FROM {_STEPS} WHERE is_last)"""
 )
 def w08_maneuvers(spark, d):
     """Maneuvers of the walked routes."""
     found = maneuvers.maneuvers(roads.walk(spark, d), roads.walk_siblings(spark, d))
-    return found.select("route_id", "idx", "maneuver", F.round("angle", 6).alias("angle"), F.round("x", 3).alias("x"), F.round("z", 3).alias("z"), F.round("distance_from_prev", 4).alias("distance_from_prev"))
+    return found.select("route_id", "idx", "maneuver", F.round("angle", 6).alias("angle"), F.round("x", 4).alias("x"), F.round("z", 4).alias("z"), F.round("distance_from_prev", 4).alias("distance_from_prev"))
+
+
+_AHEAD = "OVER (PARTITION BY route_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+
+
+@query(
+    f"""SELECT route_id, idx, first_value(CASE WHEN told IS NOT NULL THEN idx END IGNORE NULLS) {_AHEAD} AS next_idx, first_value(told IGNORE NULLS) {_AHEAD} AS next_maneuver FROM (
+  SELECT *, coalesce(maneuver, CASE WHEN is_last THEN 'Arrive' END) AS told FROM (SELECT *, {_KIND} AS maneuver FROM {_STEPS}))"""
+)
+def w19_next_maneuver(spark, d):
+    """The maneuver that comes after each walked edge and the edge where it is told, if there is one; the last edge's own comes before the arrival."""
+    steps = roads.walk(spark, d)
+    found = maneuvers.maneuvers(steps, roads.walk_siblings(spark, d))
+    told = found.groupBy("route_id", "idx").agg(F.min(F.struct((C("maneuver") == "Arrive").alias("last"), "maneuver"))["maneuver"].alias("told"))
+    marked = steps.select("route_id", "idx").join(told, ["route_id", "idx"], "left")
+    ahead = Window.partitionBy("route_id").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
+    at = F.when(C("told").isNotNull(), C("idx"))
+    return marked.select("route_id", "idx", F.first(at, ignorenulls=True).over(ahead).alias("next_idx"), F.first("told", ignorenulls=True).over(ahead).alias("next_maneuver"))
 
 
 @query(f"SELECT maneuver, count(*) AS n FROM (SELECT {_KIND} AS maneuver FROM {_STEPS}) WHERE maneuver LIKE 'Keep%' GROUP BY 1")
@@ -155,7 +173,7 @@ def x09_reroutes(spark, d):
     at = roads.frame(spark, d).select("seq", (F.floor(C("x") / 100) + 50 * F.floor(C("z") / 100)).alias("src"))
     asked = _sessions(spark, d).where("state = 'Rerouting'").join(at, "seq").join(F.broadcast(n))
     pairs = asked.select(C("seq").alias("od_id"), "src", (C("vehicle") * 37 % C("n")).alias("dst"))
-    found = search.routes(roads.timed_edge(spark, d), search.between_nodes(pairs, ("fastest",)))
+    found = search.routes(roads.turned_edge(spark, d), search.between_nodes(pairs, ("fastest",)))
     return found.select(C("od_id").alias("seq"), F.round("cost", 4).alias("cost"))
 
 

@@ -220,16 +220,6 @@ def w10_continuity(spark, d):
     return steps.groupBy("route_id").agg(F.count("*").alias("steps"), F.count_if(C("next_ref") == C("edge_ref")).alias("repeats"), F.count_if((C("kind") == 1) & (C("next_kind") == 1)).alias("double_junctions"))
 
 
-@query(f"""SELECT route_id, idx, first_value(CASE WHEN changed THEN idx END IGNORE NULLS) OVER ({_ROUTE} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_idx FROM (
-  SELECT *, kind <> lag(kind) OVER ({_ROUTE}) OR abs(speed_limit - lag(speed_limit) OVER ({_ROUTE})) >= 30 AS changed FROM f_route)""")
-def w19_next_maneuver(spark, d):
-    """The edge of the next maneuver after each edge, if there is one."""
-    r = roads.route_edge(spark, d)
-    marked = r.select("route_id", "idx").join(routes.maneuvers(r).select("route_id", "idx", C("idx").alias("at")), ["route_id", "idx"], "left")
-    ahead = routes.by_route().rowsBetween(1, Window.unboundedFollowing)
-    return marked.select("route_id", "idx", F.first("at", ignorenulls=True).over(ahead).alias("next_idx"))
-
-
 _ARRIVAL = "PARTITION BY vehicle ORDER BY sim_us, seq"
 
 

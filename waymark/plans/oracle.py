@@ -21,9 +21,12 @@ FIXTURES = {
     "f_timed": """SELECT *, length_m / speed + CASE WHEN kind = 1 AND semaphore_id >= 0 THEN 8.0e0 ELSE 0.0e0 END AS time_s FROM (
       SELECT *, sqrt((x2 - x1) * (x2 - x1) + (z2 - z1) * (z2 - z1)) AS length_m,
         CASE WHEN kind <> 0 THEN 30 WHEN speed_limit < 0 THEN 50 WHEN speed_limit = 0 THEN 130 ELSE least(speed_limit, 130) END / 3.6e0 AS speed FROM f_edge)""",
+    "f_bent": """SELECT * EXCLUDE (time_s, bent), abs(bent) AS turn, time_s + CASE WHEN kind <> 1 THEN 0.0e0 WHEN abs(bent) >= 2.6e0 THEN 30.0e0 WHEN abs(bent) >= 1.2e0 THEN 3.0e0 ELSE 0.0e0 END AS time_s FROM (
+      SELECT * EXCLUDE (mx, mz), CASE WHEN kind <> 1 THEN 0.0e0 ELSE (atan2(z2 - mz, x2 - mx) - atan2(mz - z1, mx - x1) + 3 * pi()) % (2 * pi()) - pi() END AS bent FROM (
+      SELECT t.*, (x1 + x2) / 2 - 65.0e0 * (p_size % 5) / length_m * (z2 - z1) AS mx, (z1 + z2) / 2 + 65.0e0 * (p_size % 5) / length_m * (x2 - x1) AS mz FROM f_timed t JOIN f_node ON uid = edge_id // 4))""",
     "f_weight": """SELECT profile, edge_id, src, dst, kind, length_m, speed, CASE profile WHEN 'fastest' THEN time_s WHEN 'shortest' THEN length_m ELSE 0.7e0 * time_s + 0.3e0 * length_m / 1000 END
       + CASE WHEN flags & 2 <> 0 THEN 600.0e0 ELSE 0.0e0 END + CASE WHEN flags & 4 <> 0 THEN 3600.0e0 ELSE 0.0e0 END AS w
-      FROM f_timed CROSS JOIN (VALUES ('fastest'), ('shortest'), ('balanced')) v(profile)""",
+      FROM f_bent CROSS JOIN (VALUES ('fastest'), ('shortest'), ('balanced')) v(profile)""",
     "f_od": """SELECT s_suppkey AS od_id, 7 * s_suppkey % n AS src, (37 * s_suppkey + 11 * s_nationkey) % n AS dst, n
       FROM supplier CROSS JOIN (SELECT count(*) AS n FROM part)""",
     "f_route": """SELECT l_orderkey AS route_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) - 1 AS idx,
@@ -81,7 +84,7 @@ FIXTURES = {
 }
 
 _DEPENDS = {
-    "f_edge": ["f_node"], "f_timed": ["f_edge"], "f_weight": ["f_timed"], "f_rtime": ["f_route"], "f_walk": ["f_route"], "f_half": ["f_edge"], "f_approach": ["f_frame", "f_light"],
+    "f_edge": ["f_node"], "f_timed": ["f_edge"], "f_bent": ["f_timed"], "f_weight": ["f_bent"], "f_rtime": ["f_route"], "f_walk": ["f_route"], "f_half": ["f_edge"], "f_approach": ["f_frame", "f_light"],
     "f_near": ["f_frame", "f_edge"], "f_component": ["f_half"], "f_roads": ["f_edge"], "f_roadcomp": ["f_roads"], "f_land": ["f_edge"], "f_landcomp": ["f_land"], "f_ways": ["f_landcomp"],
 }
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import graph, search
+from ..operators.graph import checkpoint
 from ..sources import roads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,11 +62,17 @@ def _walked(found: DataFrame, edges: DataFrame, weights: tuple[str, ...]) -> Dat
     return found.join(sums, ["od_id", "profile"], "left")
 
 
+@query("SELECT edge_id, round(turn, 6) AS turn, round(time_s, 6) AS time_s FROM f_bent")
+def p15_turn_times(spark, d):
+    """How far each edge bends along its polyline, and its time with the delay of sharp bends and U-turns."""
+    return roads.turned_edge(spark, d).select("edge_id", F.round("turn", 6).alias("turn"), F.round("time_s", 6).alias("time_s"))
+
+
 @query(f"SELECT od_id, profile, round(cost, 4) AS cost, true AS valid FROM {_COSTS}")
 def g02_route_costs(spark, d):
     """Cost of each request's route, and whether its edges follow one another and cost as much."""
-    e = roads.timed_edge(spark, d)
-    found = _walked(search.routes(e, search.between_nodes(od_pairs(spark, d))), e, search.PROFILES)
+    e = roads.turned_edge(spark, d)
+    found = _walked(checkpoint(search.routes(e, search.between_nodes(od_pairs(spark, d)))), e, search.PROFILES)
     valid = C("cost").isNull() | ((F.abs(C("cost") - F.coalesce("walked", F.lit(0.0))) < 1e-6) & (F.coalesce("jumps", F.lit(0)) == 0))
     return found.select("od_id", "profile", F.round("cost", 4).alias("cost"), valid.alias("valid"))
 
@@ -73,20 +80,20 @@ def g02_route_costs(spark, d):
 @query(f"SELECT count(*) AS pairs, count(cost) AS reached, CAST(0 AS BIGINT) AS jumps, CAST(0 AS BIGINT) AS uturns FROM {_COSTS} WHERE profile = 'fastest'")
 def a19_od_check(spark, d):
     """Reached pairs, and how often the edges of their routes don't follow one another or turn back."""
-    e = roads.timed_edge(spark, d)
-    found = _walked(search.routes(e, search.between_nodes(od_pairs(spark, d), ("fastest",))), e, ("fastest",))
+    e = roads.turned_edge(spark, d)
+    found = _walked(checkpoint(search.routes(e, search.between_nodes(od_pairs(spark, d), ("fastest",)))), e, ("fastest",))
     return found.agg(F.count("*").alias("pairs"), F.count("cost").alias("reached"), F.coalesce(F.sum("jumps"), F.lit(0)).cast("long").alias("jumps"), F.coalesce(F.sum("uturns"), F.lit(0)).cast("long").alias("uturns"))
 
 
 _STOPS = "SELECT DISTINCT access_uid AS uid FROM f_poi WHERE kind IN ('City', 'Company') AND access_uid IN (SELECT uid FROM f_node)"
 
 
-@query(f"SELECT source, node AS uid, round(cost, 6) AS cost FROM {relaxed('source', f'SELECT uid, uid, 0.0e0 FROM ({_STOPS})', '(SELECT src, dst, time_s AS w FROM f_timed)')}")
+@query(f"SELECT source, node AS uid, round(cost, 6) AS cost FROM {relaxed('source', f'SELECT uid, uid, 0.0e0 FROM ({_STOPS})', '(SELECT src, dst, time_s AS w FROM f_bent)')}")
 def g01_shortest_costs(spark, d):
     """Least times from every city and company to all nodes that they reach, however far."""
     p = roads.poi(spark, d).where("kind in ('City', 'Company')").select(C("access_uid").alias("uid")).distinct()
     stops = p.join(roads.node(spark, d).select("uid"), "uid", "left_semi")
-    return graph.shortest_costs(roads.timed_edge(spark, d), stops, "time_s").select("source", "uid", F.round("cost", 6).alias("cost"))
+    return graph.shortest_costs(roads.turned_edge(spark, d), stops, "time_s").select("source", "uid", F.round("cost", 6).alias("cost"))
 
 
 @query(f"SELECT source, node AS uid, round(cost, 4) AS metres FROM {relaxed('source', 'SELECT DISTINCT r_regionkey * (n // 5), r_regionkey * (n // 5), 0.0e0 FROM region CROSS JOIN (SELECT count(*) AS n FROM part)', '(SELECT src, dst, CASE WHEN length_m > 0 THEN length_m ELSE 1.0e0 END AS w FROM f_timed)')}")
@@ -94,7 +101,7 @@ def g20_lengths(spark, d):
     """Least lengths from one node of each region; an edge without length counts one metre."""
     n = roads.table(spark, d, "part").agg(F.count("*").alias("n"))
     starts = roads.table(spark, d, "region").join(F.broadcast(n)).select((C("r_regionkey") * F.floor(C("n") / 5)).alias("uid")).distinct()
-    e = roads.timed_edge(spark, d).withColumn("w", F.when(C("length_m") > 0, C("length_m")).otherwise(1.0))
+    e = roads.turned_edge(spark, d).withColumn("w", F.when(C("length_m") > 0, C("length_m")).otherwise(1.0))
     return graph.shortest_costs(e, starts, "w").select("source", "uid", F.round("cost", 4).alias("metres"))
 
 
@@ -121,14 +128,14 @@ LEFT JOIN {relaxed('od_id, profile', _PLACE_SEEDS)} d ON d.od_id = p.od_id AND d
 )
 def g03_places_along_edges(spark, d):
     """Costs from a place along one edge to a place along another."""
-    e = roads.timed_edge(spark, d)
+    e = roads.turned_edge(spark, d)
     return search.routes(e, search.between_places(_places(spark, d), e)).select("od_id", "profile", F.round("cost", 4).alias("cost"))
 
 
 @query(f"SELECT od_id, profile, round({_PART.format(m='abs(goal_m - start_m)')}, 6) AS cost FROM {_PLACES} JOIN f_weight ON edge_id = start_edge WHERE start_edge = goal_edge")
 def g04_along_one_edge(spark, d):
     """Costs where both places lie on one edge."""
-    return search.along_one_edge(_places(spark, d), roads.timed_edge(spark, d)).select("od_id", "profile", F.round("cost", 6).alias("cost"))
+    return search.along_one_edge(_places(spark, d), roads.turned_edge(spark, d)).select("od_id", "profile", F.round("cost", 6).alias("cost"))
 
 
 _EXTRA = "SELECT o.od_id, e.edge_id, 60.0e0 AS extra FROM f_od o JOIN f_edge e ON e.dst = o.dst WHERE e.edge_id % 2 = 0"
@@ -140,7 +147,7 @@ LEFT JOIN {relaxed('od_id, profile', _OD_SEEDS, extra=_EXTRA)} d ON d.od_id = o.
 )
 def g06_penalties(spark, d):
     """Costs where some of the edges into each goal cost a minute more."""
-    e, pairs = roads.timed_edge(spark, d), od_pairs(spark, d)
+    e, pairs = roads.turned_edge(spark, d), od_pairs(spark, d)
     dearer = pairs.join(e.select("edge_id", "dst").where("edge_id % 2 = 0"), "dst").select("od_id", F.explode(F.array(*map(F.lit, search.PROFILES))).alias("profile"), "edge_id", F.lit(60.0).alias("extra"))
     return search.routes(e, search.with_penalties(search.between_nodes(pairs), dearer)).select("od_id", "profile", F.round("cost", 4).alias("cost"))
 
@@ -148,7 +155,7 @@ def g06_penalties(spark, d):
 @query()
 def g05_alternatives(spark, d):
     """Up to three routes of each request that differ. No SQL: which of two equally cheap routes is found is the search's."""
-    found = search.alternatives(roads.timed_edge(spark, d), search.between_nodes(od_pairs(spark, d)))
+    found = search.alternatives(roads.turned_edge(spark, d), search.between_nodes(od_pairs(spark, d)))
     return found.select("od_id", "rank", "profile", F.round("length_m", 4).alias("length_m"))
 
 
@@ -186,5 +193,5 @@ def g18_random_od(spark, d):
     n = roads.table(spark, d, "part").count()
     u = random_numbers(2 * RANDOM_PAIRS, 42)
     pairs = spark.createDataFrame([(k, int(u[2 * k] * n), int(u[2 * k + 1] * n)) for k in range(RANDOM_PAIRS)], "od_id long, src long, dst long")
-    found = search.routes(roads.timed_edge(spark, d), search.between_nodes(pairs, ("fastest",)))
+    found = search.routes(roads.turned_edge(spark, d), search.between_nodes(pairs, ("fastest",)))
     return found.agg(F.count("*").alias("pairs"), F.count("cost").alias("reached"), F.round(F.sum("cost"), 3).alias("total_s"))

@@ -31,6 +31,10 @@ def node(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed edges with straight geometry (x1, z1) to (x2, z2)."""
+    return _edge(spark, sf_dir).drop("p_size")
+
+
+def _edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = node(spark, sf_dir)
     size = F.col("p_size")
     out = a.withColumn("dir", F.explode(F.array(*map(F.lit, range(4))))).where(((F.col("dir") >= 2) | (F.col("uid") % 50 < 49)) & ((F.col("dir") % 2 == 0) | (size % 3 != 0)))
@@ -55,18 +59,38 @@ def edge(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(back, F.col("bz")).otherwise(F.col("z")).alias("z1"),
             F.when(back, F.col("x")).otherwise(F.col("bx")).alias("x2"),
             F.when(back, F.col("z")).otherwise(F.col("bz")).alias("z2"),
+            "p_size",
         )
     )
 
 
 def timed_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges with their length, time and cost by profile."""
+    return _timed(edge(spark, sf_dir))
+
+
+def _timed(edges: DataFrame, turn: Column | None = None) -> DataFrame:
     c = F.col
-    e = edge(spark, sf_dir).withColumn("length_m", geometry.distance(c("x1"), c("z1"), c("x2"), c("z2")))
-    e = e.withColumn("time_s", cost.time_s(c("kind"), c("speed_limit"), c("semaphore_id"), c("length_m")))
+    e = edges.withColumn("length_m", geometry.distance(c("x1"), c("z1"), c("x2"), c("z2")))
+    e = e.withColumn("time_s", cost.time_s(c("kind"), c("speed_limit"), c("semaphore_id"), c("length_m"), turn))
     return e.withColumns({p: cost.cost(p, c("time_s"), c("length_m"), c("flags")) for p in ("fastest", "shortest", "balanced")})
 
 
+def turned_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed edges along their own polylines: movements bend in their middle, and sharp bends take time."""
+    c = F.col
+    e = _edge(spark, sf_dir)
+    length = geometry.distance(c("x1"), c("z1"), c("x2"), c("z2"))
+    aside = 65.0 * (c("p_size") % 5) / length
+    point = lambda x, z: F.struct(x.alias("x"), z.alias("z"))
+    begin, end = point(c("x1"), c("z1")), point(c("x2"), c("z2"))
+    middle = point((c("x1") + c("x2")) / 2 - aside * (c("z2") - c("z1")), (c("z1") + c("z2")) / 2 + aside * (c("x2") - c("x1")))
+    e = e.withColumn("points", F.when(c("kind") == 1, F.array(begin, middle, end)).otherwise(F.array(begin, end)))
+    ends = (c("points"), c("x1"), c("z1"), c("x2"), c("z2"))
+    e = e.withColumn("turn", F.abs(geometry.turn_angle(geometry.entry_tangent(*ends), geometry.exit_tangent(*ends))))
+    return _timed(e.drop("p_size"), c("turn"))
+
+
 def route_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
     unknown = (F.col("l_returnflag") == "N") | (F.col("l_quantity") <= 5)
