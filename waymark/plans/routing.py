@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import graph, search
+from ..operators import search
 from ..operators.graph import checkpoint
+from ..operators.overlay import Overlay, nearest_sources
 from ..sources import roads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,12 +89,20 @@ def a19_od_check(spark, d):
 _STOPS = "SELECT DISTINCT access_uid AS uid FROM f_poi WHERE kind IN ('City', 'Company') AND access_uid IN (SELECT uid FROM f_node)"
 
 
-@query(f"SELECT source, node AS uid, round(cost, 6) AS cost FROM {relaxed('source', f'SELECT uid, uid, 0.0e0 FROM ({_STOPS})', '(SELECT src, dst, time_s AS w FROM f_bent)')}")
+#: Stops that are told for each node.
+STOPS = 5
+
+
+@query(
+    f"""SELECT source, node AS uid, round(cost, 6) AS cost FROM {relaxed('source', f'SELECT uid, uid, 0.0e0 FROM ({_STOPS})', '(SELECT src, dst, time_s AS w FROM f_bent)')}
+QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(cost, 6), source) <= {STOPS}"""
+)
 def g01_shortest_costs(spark, d):
-    """Least times from every city and company to all nodes that they reach, however far."""
+    """Least times from cities and companies: the nearest five of each node, however far."""
     p = roads.poi(spark, d).where("kind in ('City', 'Company')").select(C("access_uid").alias("uid")).distinct()
     stops = p.join(roads.node(spark, d).select("uid"), "uid", "left_semi")
-    return graph.shortest_costs(roads.turned_edge(spark, d), stops, "time_s").select("source", "uid", F.round("cost", 6).alias("cost"))
+    cells = Overlay.build(roads.turned_edge(spark, d), ["time_s"])
+    return nearest_sources(cells, stops, "time_s", STOPS).select("source", "uid", F.round("cost", 6).alias("cost"))
 
 
 @query(f"SELECT source, node AS uid, round(cost, 4) AS metres FROM {relaxed('source', 'SELECT DISTINCT r_regionkey * (n // 5), r_regionkey * (n // 5), 0.0e0 FROM region CROSS JOIN (SELECT count(*) AS n FROM part)', '(SELECT src, dst, CASE WHEN length_m > 0 THEN length_m ELSE 1.0e0 END AS w FROM f_timed)')}")
@@ -101,8 +110,8 @@ def g20_lengths(spark, d):
     """Least lengths from one node of each region; an edge without length counts one metre."""
     n = roads.table(spark, d, "part").agg(F.count("*").alias("n"))
     starts = roads.table(spark, d, "region").join(F.broadcast(n)).select((C("r_regionkey") * F.floor(C("n") / 5)).alias("uid")).distinct()
-    e = roads.turned_edge(spark, d).withColumn("w", F.when(C("length_m") > 0, C("length_m")).otherwise(1.0))
-    return graph.shortest_costs(e, starts, "w").select("source", "uid", F.round("cost", 4).alias("metres"))
+    e = roads.timed_edge(spark, d).withColumn("w", F.when(C("length_m") > 0, C("length_m")).otherwise(1.0))
+    return nearest_sources(Overlay.build(e, ["w"]), starts, "w", None).select("source", "uid", F.round("cost", 4).alias("metres"))
 
 
 _FIRST_OUT = "(SELECT src, min(edge_id) AS edge_id FROM f_edge GROUP BY src)"
