@@ -581,15 +581,6 @@ def f42_last_wins(spark, d):
     return roads.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("loaded"))
 
 
-@query
-def g17_od_regression(spark, d):
-    """Routes against a baseline: lengths within 1 %, edges within 5 %."""
-    r = routes.metrics(roads.route_edge(spark, d), route_time()).select("route_id", "length_m", (C("roads") + C("junctions")).alias("edges"))
-    base = r.select("route_id", F.round(C("length_m") * (1 + (C("route_id") % 5 - 2) * 0.008), 4).alias("base_m"), (C("edges") + C("route_id") % 2).alias("base_edges"))
-    ok = (F.abs(C("length_m") - C("base_m")) <= 0.01 * C("base_m")) & (F.abs(C("edges") - C("base_edges")) <= 0.05 * C("base_edges"))
-    return r.join(base, "route_id", "left").select("route_id", ok.alias("passed"))
-
-
 @query
 def g21_nearest_node(spark, d):
     """The nearest node to each city's centre, by cells of 2048 m around it."""

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry
 from ..operators import maneuvers, search
 from ..sources import roads
-from ..streaming import session
+from ..streaming import liveness, session
 from ..streaming.fold import fold
 from .routing import relaxed
 
@@ -177,6 +177,33 @@ def x09_reroutes(spark, d):
     return found.select(C("od_id").alias("seq"), F.round("cost", 4).alias("cost"))
 
 
+#: Microseconds after which a source without a new sequence is stale, and one without frames is gone.
+STALE_US, GONE_US = 6 * 3600 * 10**6, 24 * 3600 * 10**6
+_SEEN = "(SELECT user_id AS vehicle, event_id AS seq, epoch_us(ts) AS at_us, CAST(json_extract(props, '$.k') AS BIGINT) // 25 AS sequence FROM events)"
+_SEEN_BY = "PARTITION BY vehicle ORDER BY at_us, seq"
+
+
+@query(
+    f"""WITH RECURSIVE numbered AS (SELECT *, row_number() OVER ({_SEEN_BY}) AS n, lead(at_us) OVER ({_SEEN_BY}) AS after, (SELECT max(at_us) FROM {_SEEN}) AS until FROM {_SEEN}),
+walked(vehicle, n, sequence, new_us, seen_us, status, told) AS (
+  SELECT vehicle, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, 'None', [{{'at_us': 0::BIGINT, 'state': ''}}][2:] FROM (SELECT DISTINCT vehicle FROM {_SEEN})
+  UNION ALL
+  SELECT vehicle, n, sequence, new_us, at_us, status,
+    list_filter([CASE WHEN came <> before THEN {{'at_us': at_us, 'state': came}} END, CASE WHEN dried THEN {{'at_us': new_us + {STALE_US}, 'state': 'Stale'}} END, CASE WHEN gone THEN {{'at_us': at_us + {GONE_US}, 'state': 'Disconnected'}} END], lambda x: x IS NOT NULL) FROM (
+    SELECT *, CASE WHEN gone THEN 'Disconnected' WHEN dried THEN 'Stale' ELSE came END AS status FROM (
+    SELECT *, came = 'Fresh' AND new_us + {STALE_US} < coalesce(after, until + 1) AS dried, at_us + {GONE_US} < coalesce(after, until + 1) AS gone FROM (
+    SELECT f.vehicle, f.n, f.sequence, f.at_us, f.after, f.until, w.status AS before, CASE WHEN w.sequence IS DISTINCT FROM f.sequence THEN f.at_us ELSE w.new_us END AS new_us,
+      CASE WHEN w.sequence IS DISTINCT FROM f.sequence THEN 'Fresh' WHEN w.status = 'Disconnected' THEN 'Stale' ELSE w.status END AS came
+    FROM walked w JOIN numbered f ON f.vehicle = w.vehicle AND f.n = w.n + 1))))
+SELECT vehicle, t.at_us AS at_us, t.state AS state FROM (SELECT vehicle, unnest(told) AS t FROM walked)"""
+)
+def s07_liveness(spark, d):
+    """When each vehicle's source becomes fresh, stale and disconnected."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    frames = roads.table(spark, d, "events").select(C("user_id").alias("vehicle"), F.unix_micros(C("ts").cast("timestamp")).alias("at_us"), C("event_id").alias("seq"), F.floor(k / 25).alias("sequence"))
+    return liveness.liveness(frames, STALE_US, GONE_US)
+
+
 #: The phases of the signal script, 40 frames each: light (1 red, 2 green, 3 yellow), seconds left, metres ahead, limit.
 SCRIPT = ((1, 12.0, 120.0, 50), (1, 5.6, 100.0, -1), (3, 6.0, 120.0, 50), (None, 0.0, 0.0, 50), (2, 8.0, 100.0, 50), (1, 18.0, 60.0, 30))
 SCRIPT_FRAMES = 40

@@ -276,8 +276,6 @@ _SQL = {
     "f40_parallel_arrays": """SELECT n_nationkey, k AS lane, CASE WHEN k < n_nationkey % 4 + 1 THEN (k + 1) * 10 ELSE 0 END AS "limit", CASE WHEN k < n_nationkey % 3 + 1 THEN (k + 1) * 7 ELSE 0 END AS urban
       FROM nation, (VALUES (0), (1), (2), (3)) v(k) WHERE k < greatest(n_nationkey % 4 + 1, n_nationkey % 3 + 1)""",
     "f42_last_wins": "SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS loaded FROM events GROUP BY 1, 2",
-    "g17_od_regression": """SELECT route_id, abs(m - base_m) <= 0.01e0 * base_m AND abs(n - base_n) <= 0.05e0 * base_n AS passed FROM (SELECT *, round(m * (1 + (route_id % 5 - 2) * 0.008e0), 4) AS base_m, n + route_id % 2 AS base_n FROM (
-      SELECT route_id, round(sum(length_m), 4) AS m, count(*) AS n FROM f_route GROUP BY 1))""",
     "g21_nearest_node": """SELECT city_id, uid FROM f_city, f_node WHERE (x - cx) * (x - cx) + (z - cz) * (z - cz) <= 2048.0e0 * 2048 QUALIFY row_number() OVER (PARTITION BY city_id ORDER BY (x - cx) * (x - cx) + (z - cz) * (z - cz), uid) = 1""",
     "k06_inverted_index": "SELECT word, poi_id // 1000 AS block, count(*) AS places, string_agg(CAST(poi_id AS VARCHAR), ',' ORDER BY poi_id) AS postings FROM (SELECT poi_id, unnest(string_split(lower(name), '_')) AS word FROM f_poi) GROUP BY 1, 2",
     "k13_snapshots": """SELECT seq, '{"vehicle":' || vehicle || ',"seq":' || seq || ',"paused":' || CASE WHEN paused THEN 'true' ELSE 'false' END || ',"job_dest":' || coalesce(CAST(job_dest AS VARCHAR), 'null') || '}' AS snapshot FROM f_frame""",

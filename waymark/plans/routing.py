@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import search
+from ..operators import od, search, synthesis
 from ..operators.graph import checkpoint
 from ..operators.overlay import Overlay, nearest_sources
 from ..sources import roads
@@ -168,6 +168,82 @@ def g05_alternatives(spark, d):
     return found.select("od_id", "rank", "profile", F.round("length_m", 4).alias("length_m"))
 
 
+_NEXT = """(SELECT n_nationkey, r_name, coalesce(lead(n_nationkey) OVER w, first_value(n_nationkey) OVER w) AS other FROM nation JOIN region ON n_regionkey = r_regionkey
+  WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey))"""
+_CITY_ROWS = "(SELECT DISTINCT name AS place, access_uid AS uid, x, z FROM f_poi JOIN f_node ON uid = access_uid WHERE kind = 'City')"
+_CITY_PAIRS = f"""(SELECT DISTINCT r_name AS region, place AS "from", split_part(place, '_', 1) || '_' || other AS "to" FROM {_CITY_ROWS} JOIN {_NEXT} ON n_nationkey = CAST(split_part(place, '_', 2) AS BIGINT))"""
+
+
+def _od_sql(edges: str) -> str:
+    """Features of the city pairs over some edges: costs with the features of their paths, least cost first."""
+    asked = "time_s + CASE WHEN flags & 2 <> 0 THEN 600.0e0 ELSE 0.0e0 END + CASE WHEN flags & 4 <> 0 THEN 3600.0e0 ELSE 0.0e0 END + 1e-6 * length_m + CASE WHEN kind IN (2, 3) THEN 1e-4 ELSE 0.0e0 END"
+    return f"""(WITH RECURSIVE steps AS (SELECT src, dst, {asked} AS w, length_m, time_s, kind IN (2, 3) AS wet FROM f_bent WHERE {edges}),
+d(source, node, c, m, s, n, t) USING KEY (source, node) AS (
+  SELECT DISTINCT uid, uid, 0.0e0, 0.0e0, 0.0e0, 0::BIGINT, false FROM {_CITY_ROWS} UNION SELECT q.* FROM (
+    SELECT source, node, b.c, b.m, b.s, b.n, b.t FROM (SELECT d.source, e.dst AS node, min({{'c': d.c + e.w, 'm': d.m + e.length_m, 's': d.s + e.time_s, 'n': d.n + 1, 't': d.t OR e.wet}}) AS b FROM d JOIN steps e ON e.src = d.node GROUP BY ALL)) q
+  LEFT JOIN recurring.d AS r ON r.source = q.source AND r.node = q.node WHERE r.c IS NULL OR q.c < r.c - 1e-9)
+SELECT "from", "to", b.m AS distance_m, b.s AS eta_s, b.n AS edges, b.t AS transit, EXISTS (SELECT 1 FROM f_poi o JOIN f_node k ON k.uid = o.access_uid JOIN f_node g ON g.uid = b.g WHERE o.kind = 'Company' AND (k.x - g.x) * (k.x - g.x) + (k.z - g.z) * (k.z - g.z) < 2250000.0e0) AS company FROM (
+  SELECT "from", "to", min({{'m': round(d.m, 3), 's': round(d.s, 3), 'a': d.source, 'g': d.node, 'n': d.n, 't': d.t}}) AS b
+  FROM {_CITY_PAIRS} p JOIN {_CITY_ROWS} a ON a.place = p."from" JOIN {_CITY_ROWS} g ON g.place = p."to" JOIN d ON d.source = a.uid AND d.node = g.uid GROUP BY ALL))"""
+
+
+def _od_features(spark: SparkSession, d: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """City pairs of each region, a name's own kind in the next country, and their features over some edges."""
+    poi = roads.poi(spark, d).join(roads.node(spark, d).select(C("uid").alias("access_uid"), "x", "z"), "access_uid")
+    rows = poi.where("kind = 'City'").select(C("name").alias("place"), C("access_uid").alias("uid"), "x", "z").distinct()
+    order = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    nations = roads.table(spark, d, "nation").join(roads.table(spark, d, "region"), C("n_regionkey") == C("r_regionkey"))
+    first = F.first("n_nationkey").over(order)
+    nations = nations.select(C("n_nationkey").alias("country"), C("r_name").alias("region"), F.coalesce(F.lead("n_nationkey").over(order), first).alias("other"))
+    part = F.split("place", "_")
+    pairs = rows.select("place", part[0].alias("kind"), part[1].cast("long").alias("country")).distinct().join(F.broadcast(nations), "country")
+    pairs = pairs.select("region", C("place").alias("from"), F.concat_ws("_", "kind", "other").alias("to"))
+    return pairs, od.od_features(roads.turned_edge(spark, d).where(edges), pairs, rows, poi.where("kind = 'Company'").select("x", "z"))
+
+
+@query(f'SELECT region, f.* FROM {_od_sql("true")} f JOIN {_CITY_PAIRS} USING ("from", "to")')
+def g16_od_features(spark, d):
+    """Least distance, time, edges, ferries and companies of the fastest roads between the rows of two cities."""
+    pairs, found = _od_features(spark, d, "true")
+    return pairs.join(found, ["from", "to"])
+
+
+_DIFFERS = "abs(n.{0} - b.{0}) / greatest(b.{0}, 1) > {1}"
+
+
+@query(
+    f"""SELECT b."from", b."to", n."from" IS NULL AS missing, coalesce({_DIFFERS.format('distance_m', '0.01e0')}, false) AS distance, coalesce({_DIFFERS.format('eta_s', '0.05e0')}, false) AS eta, coalesce({_DIFFERS.format('edges', '0.05e0')}, false) AS edges,
+  coalesce(n.transit <> b.transit, false) AS transit, coalesce(n.company <> b.company, false) AS company FROM {_od_sql("true")} b LEFT JOIN {_od_sql("kind <> 2")} n ON n."from" = b."from" AND n."to" = b."to" """
+)
+def g17_od_regression(spark, d):
+    """City pairs without the ferries against the baseline with them."""
+    return od.regression(_od_features(spark, d, "true")[1], _od_features(spark, d, "kind <> 2")[1])
+
+
+_LEGS = """(SELECT od_id, 0 AS idx, a.x AS x1, a.z AS z1, b.x AS x2, a.z AS z2, abs(b.x - a.x) AS len, 0.0e0 AS off FROM f_od JOIN f_node a ON a.uid = src JOIN f_node b ON b.uid = dst
+  UNION ALL SELECT od_id, 1, b.x, a.z, b.x, b.z, abs(b.z - a.z), abs(b.x - a.x) FROM f_od JOIN f_node a ON a.uid = src JOIN f_node b ON b.uid = dst)"""
+
+
+@query(
+    f"""SELECT od_id, count(*) AS frames, round(max(v), 6) AS top_speed, round(sum(v) * 0.05e0, 3) AS driven_m, round(sum(x1 + (x2 - x1) * p), 2) AS x_sum, round(sum(z1 + (z2 - z1) * p), 2) AS z_sum FROM (
+  SELECT t.*, l.x1, l.z1, l.x2, l.z2, least(floor((pos - off) * greatest(ceil(len), 1) / greatest(len, 1e-9)), greatest(ceil(len), 1)) / greatest(ceil(len), 1) AS p FROM (
+    WITH RECURSIVE totals AS (SELECT od_id, sum(len) AS total FROM {_LEGS} GROUP BY 1),
+    t(od_id, total, n, pos, v) AS (SELECT od_id, total, 0, 0.0e0, 0.5e0 FROM totals UNION ALL SELECT od_id, total, n + 1, a,
+      CASE WHEN n + 1 < 160 THEN greatest(least((n + 1) * 0.05e0 / 8 * 22, 22.0e0), 0.5e0) WHEN a > greatest(total - 200, 0.0e0) THEN greatest(least(22 * greatest((total - a) / 200, 0.0e0), 22.0e0), 0.5e0) ELSE 22.0e0 END
+      FROM (SELECT *, pos + v * 0.05e0 AS a FROM t) WHERE a < total) SELECT * FROM t) t
+  JOIN {_LEGS} l ON l.od_id = t.od_id AND l.idx = CASE WHEN pos >= (SELECT len FROM {_LEGS} o WHERE o.od_id = t.od_id AND o.idx = 0) AND (SELECT len FROM {_LEGS} o WHERE o.od_id = t.od_id AND o.idx = 1) > 0 THEN 1 ELSE 0 END) GROUP BY 1"""
+)
+def f20_route_synthesis(spark, d):
+    """Drives along each request's way, east or west and then north or south: frames, speed, distance and places."""
+    n = roads.node(spark, d)
+    ends = od_pairs(spark, d).join(n.select(C("uid").alias("src"), C("x").alias("ax"), C("z").alias("az")), "src").join(n.select(C("uid").alias("dst"), C("x").alias("bx"), C("z").alias("bz")), "dst")
+    leg = lambda k, x1, z1, x2, z2: F.struct(F.lit(k).alias("idx"), C(x1).alias("x1"), C(z1).alias("z1"), C(x2).alias("x2"), C(z2).alias("z2"))
+    legs = ends.select(C("od_id").alias("route_id"), F.explode(F.array(leg(0, "ax", "az", "bx", "az"), leg(1, "bx", "az", "bx", "bz"))).alias("l")).select("route_id", "l.*")
+    total = lambda v, digits: F.round(F.sum(v), digits)
+    found = synthesis.drive(legs).groupBy(C("route_id").alias("od_id"))
+    return found.agg(F.count("*").alias("frames"), F.round(F.max("speed"), 6).alias("top_speed"), F.round(F.sum("speed") * synthesis.STEP_S, 3).alias("driven_m"), total("x", 2).alias("x_sum"), total("z", 2).alias("z_sum"))
+
+
 #: The multiplier and increment of the generator of random pairs, modulo 2**64.
 LCG_A, LCG_C = 6364136223846793005, 1442695040888963407
 #: Pairs that a random check draws.
