@@ -14,10 +14,10 @@ from ..operators import events, graph, junctions, places, quality, routes, spati
 from ..sources import roads
 from ..streaming import vehicle
 from ..streaming.fold import fold
-from . import building, guidance, network, oracle, routing
+from . import building, completeness, guidance, network, oracle, routing
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = network.QUERIES | routing.QUERIES | guidance.QUERIES | building.QUERIES
-ORACLES: dict[str, str] = oracle.ORACLES | {name: oracle.with_tables(sql) for name, sql in (network.SQL | routing.SQL | guidance.SQL | building.SQL).items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = network.QUERIES | routing.QUERIES | guidance.QUERIES | building.QUERIES | completeness.QUERIES
+ORACLES: dict[str, str] = oracle.ORACLES | {name: oracle.with_tables(sql) for name, sql in (network.SQL | routing.SQL | guidance.SQL | building.SQL | completeness.SQL).items()}
 
 C = F.col
 
@@ -624,39 +624,19 @@ def p02_road_class(spark, d):
     return roads.table(spark, d, "part").select("p_partkey", F.when(F.contains(low, F.lit("promo")), 3).when(F.contains(low, F.lit("standard")), 2).when(F.contains(low, F.lit("economy")), 1).otherwise(0).alias("road_class"))
 
 
-def _junctions(spark, d):
-    """Movements of made-up junctions: one for each supplier, some of them rings with entries and exits."""
-    s = roads.table(spark, d, "supplier").select(C("s_suppkey").alias("junction_id"), (C("s_suppkey") % 5 + 3).alias("n"))
-    i = s.withColumn("i", F.explode(F.sequence(F.lit(0), C("n").cast("int") - 1)))
-    ring = i.select("junction_id", C("i").alias("entry"), ((C("i") + 1) % C("n")).alias("exit"))
-    arms = i.where("junction_id % 3 <> 0").select("junction_id", (C("i") + 100).alias("entry"), C("i").alias("exit")).union(i.where("junction_id % 3 <> 0").select("junction_id", C("i").alias("entry"), (C("i") + 200).alias("exit")))
-    apart = s.where("junction_id % 4 = 1").select("junction_id", F.lit(900).alias("entry"), F.lit(901).alias("exit"))
-    return ring.union(arms).union(apart).select("junction_id", C("entry").cast("long").alias("entry"), C("exit").cast("long").alias("exit"), (C("junction_id") % 7 * 25 + 10).cast("double").alias("length_m"))
-
-
 @query
 def g13_roundabouts(spark, d):
-    return junctions.roundabouts(_junctions(spark, d))
+    return junctions.roundabouts(completeness.junction_movements(spark, d))
 
 
 @query
 def a22_movement_clusters(spark, d):
-    return junctions.clusters(_junctions(spark, d)).select("junction_id", "clusters")
+    return junctions.clusters(completeness.junction_movements(spark, d)).select("junction_id", "clusters")
 
 
 @query
 def k02_movements_without_loops(spark, d):
-    return _junctions(spark, d).where("entry <> exit").groupBy("junction_id").agg(F.count("*").alias("movements"))
-
-
-@query
-def x06_tracker(spark, d):
-    """Each vehicle drives the route of its number: its frames are matched to the route's edges in turn."""
-    r = roads.route_edge(spark, d)
-    n = r.groupBy("route_id").agg(F.count("*").alias("n"))
-    f = roads.frame(spark, d).join(n, C("vehicle") == C("route_id")).withColumn("idx", (C("sim_us") / 150_000).cast("long") % C("n"))
-    matches = f.join(r.select("route_id", "idx", "edge_ref", "length_m"), ["route_id", "idx"]).withColumn("offset", C("length_m") * (C("seq") % 10) / 10)
-    return vehicle.track(matches, r).select("vehicle", "seq", "idx", F.round("travelled_m", 4).alias("travelled_m"), F.round("remaining_m", 4).alias("remaining_m"))
+    return completeness.junction_movements(spark, d).where("entry <> exit").groupBy("junction_id").agg(F.count("*").alias("movements"))
 
 
 @query
@@ -689,13 +669,6 @@ def j09_terminal_pairs(spark, d):
     return pairs.select("s_suppkey", "src", "dst").unionByName(both)
 
 
-@query
-def v03_direction_conflicts(spark, d):
-    """Edges whose start node names another forward item."""
-    n = roads.node(spark, d).select(C("uid").alias("src"), (C("uid") * 4 + C("p_size") % 3).alias("forward"))
-    return quality.issues(roads.edge(spark, d).where("kind = 0").join(n, "src").where("forward <> edge_id"), "DIR_FORWARD_CONFLICT", "Info", "edge_id")
-
-
 @query
 def a30_access_coverage(spark, d):
     """Share of places of each kind whose access node is an active one."""
@@ -703,16 +676,6 @@ def a30_access_coverage(spark, d):
     return roads.poi(spark, d).where("kind in ('Company', 'Fuel', 'Garage', 'Repair')").join(active, "access_uid", "left").groupBy("kind").agg(F.count("*").alias("n"), F.count("there").alias("covered"), F.round(F.count("there") / F.count("*"), 6).alias("share"))
 
 
-@query
-def a25_junction_span(spark, d):
-    """Junction edges that join different components of the road edges alone."""
-    labels = graph.components(roads.edge(spark, d).where("kind = 0 and road_class in (0, 1)"))
-    j = roads.edge(spark, d).where("kind = 1")
-    a, b = (labels.select(C("uid").alias(c), C("component").alias(f"{c}_c")) for c in ("src", "dst"))
-    rows = j.join(a, "src").join(b, "dst")
-    return rows.agg(F.count("*").alias("junctions"), F.count_if(C("src_c") != C("dst_c")).alias("spanning"))
-
-
 @query
 def f04_turn_angle(spark, d):
     """Angles at which edges follow one another, folded to 0 to pi, without turning back."""

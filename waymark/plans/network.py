@@ -211,15 +211,6 @@ def w03_limit_in_force(spark, d):
     return roads.route_edge(spark, d).select("route_id", "idx", routes.carried_limit().alias("limit"))
 
 
-@query(f"""SELECT route_id, count(*) AS steps, CAST(count_if(nxt = edge_ref) AS BIGINT) AS repeats, CAST(count_if(kind = 1 AND nk = 1) AS BIGINT) AS double_junctions FROM (
-  SELECT *, lead(edge_ref) OVER ({_ROUTE}) AS nxt, lead(kind) OVER ({_ROUTE}) AS nk FROM f_route) WHERE nxt IS NOT NULL GROUP BY 1""")
-def w10_continuity(spark, d):
-    """Steps of each route that stay on one edge, or go from junction to junction."""
-    order = routes.by_route()
-    steps = roads.route_edge(spark, d).withColumns({"next_ref": F.lead("edge_ref").over(order), "next_kind": F.lead("kind").over(order)}).where("next_ref is not null")
-    return steps.groupBy("route_id").agg(F.count("*").alias("steps"), F.count_if(C("next_ref") == C("edge_ref")).alias("repeats"), F.count_if((C("kind") == 1) & (C("next_kind") == 1)).alias("double_junctions"))
-
-
 _ARRIVAL = "PARTITION BY vehicle ORDER BY sim_us, seq"
 
 
@@ -227,19 +218,6 @@ def _arrival():
     return Window.partitionBy("vehicle").orderBy("sim_us", "seq")
 
 
-@query(f"SELECT vehicle, seq, max(x) OVER ({_ARRIVAL}) AS progress_m FROM f_frame")
-def w22_monotone_progress(spark, d):
-    """Progress that never goes back."""
-    return roads.frame(spark, d).select("vehicle", "seq", F.max("x").over(_arrival().rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("progress_m"))
-
-
-@query(f"SELECT vehicle, seq FROM (SELECT vehicle, seq, seq // 3000 AS s, lag(seq // 3000) OVER ({_ARRIVAL}) AS before FROM f_frame) WHERE before IS NULL OR s <> before")
-def x01_new_sequences(spark, d):
-    """Frames whose sequence number differs from the one before."""
-    rows = roads.frame(spark, d).withColumn("number", F.floor(C("seq") / 3000)).withColumn("before", F.lag("number").over(_arrival()))
-    return rows.where(C("before").isNull() | (C("before") != C("number"))).select("vehicle", "seq")
-
-
 @query("""SELECT junction_id, event_id, kind, wall_ms FROM (SELECT *, lag(kind) OVER (PARTITION BY junction_id ORDER BY wall_ms, event_id) AS before FROM f_signal) WHERE before <> kind""")
 def x15_phase_anchors(spark, d):
     """Events at which a junction's state changes."""
@@ -253,26 +231,6 @@ def d02_by_access(spark, d):
     return roads.poi(spark, d).groupBy(F.lpad(F.lower(F.hex("access_uid")), 16, "0").alias("access")).agg(F.min("poi_id").alias("poi_id"))
 
 
-@query("""SELECT repeats, loops, repeats = 0 AND loops = 0 AS passed FROM (SELECT
-  (SELECT count(*) FROM (SELECT src, dst FROM f_edge WHERE kind = 0 GROUP BY 1, 2 HAVING count(*) > 1)) AS repeats, (SELECT count(*) FROM f_edge WHERE kind = 1 AND src = dst) AS loops)""")
-def v08_semantic_gate(spark, d):
-    """No road twice, no movement from a node to itself."""
-    e = roads.edge(spark, d)
-    repeats = e.where("kind = 0").groupBy("src", "dst").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("repeats"))
-    both = repeats.join(F.broadcast(e.where("kind = 1 and src = dst").agg(F.count("*").alias("loops"))))
-    return both.withColumn("passed", (C("repeats") == 0) & (C("loops") == 0))
-
-
-@query("""SELECT a.n_nationkey, CASE WHEN b.print IS NULL THEN 'ABSENT' WHEN b.print = a.print THEN 'MATCH' ELSE 'CHANGED' END AS status FROM (SELECT n_nationkey, length(n_name) AS print FROM nation) a
-  LEFT JOIN (SELECT n_nationkey, length(n_name) + CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 0 END AS print FROM nation WHERE n_nationkey % 4 <> 3) b ON b.n_nationkey = a.n_nationkey""")
-def v10_manifest_status(spark, d):
-    """Prints of files against those of a manifest."""
-    now = roads.table(spark, d, "nation").select("n_nationkey", F.length("n_name").alias("print"))
-    manifest = now.where("n_nationkey % 4 <> 3").select("n_nationkey", (C("print") + F.when(C("n_nationkey") % 5 == 0, 1).otherwise(0)).alias("known"))
-    status = F.when(C("known").isNull(), "ABSENT").when(C("known") == C("print"), "MATCH").otherwise("CHANGED")
-    return now.join(manifest, "n_nationkey", "left").select("n_nationkey", status.alias("status"))
-
-
 @query("SELECT k AS keyword, CAST(coalesce(sum(CASE WHEN contains(lower(text), k) THEN 1 ELSE 0 END), 0) AS BIGINT) AS texts FROM documents, (VALUES " + ", ".join(f"('{k}')" for k in KEYWORDS) + ") v(k) GROUP BY 1")
 def v12_keyword_evidence(spark, d):
     """Texts that hold each keyword."""

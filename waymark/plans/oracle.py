@@ -290,10 +290,8 @@ _SQL = {
       WHERE l IN (SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'p.' ELSE 'p' END || n_nationkey FROM nation) AND r IN (SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'p.' ELSE 'p' END || n_nationkey FROM nation) GROUP BY id""",
     "j09_terminal_pairs": """SELECT s_suppkey, CASE WHEN w = 0 THEN a ELSE b END AS src, CASE WHEN w = 0 THEN b ELSE a END AS dst FROM (SELECT s_suppkey, s_suppkey * 10 + i AS a, s_suppkey * 10 + j + 1 AS b FROM supplier, (VALUES (0), (1), (2)) x(i), (VALUES (0), (1)) y(j)
       WHERE i <= s_nationkey % 3 AND j <= s_suppkey % 2), (VALUES (0), (1)) z(w) WHERE a <> b AND (w = 0 OR s_suppkey % 2 = 0)""",
-    "v03_direction_conflicts": "SELECT 'DIR_FORWARD_CONFLICT' AS code, 'Info' AS severity, edge_id AS uid FROM f_edge e JOIN f_node n ON n.uid = e.src WHERE kind = 0 AND n.uid * 4 + n.p_size % 3 <> edge_id",
     "a30_access_coverage": """SELECT kind, count(*) AS n, count(t.uid) AS covered, round(count(t.uid) / count(*), 6) AS share FROM f_poi LEFT JOIN (SELECT src AS uid FROM f_half UNION SELECT dst FROM f_half) t ON t.uid = access_uid
       WHERE kind IN ('Company', 'Fuel', 'Garage', 'Repair') GROUP BY 1""",
-    "a25_junction_span": "SELECT count(*) AS junctions, CAST(count_if(a.component <> b.component) AS BIGINT) AS spanning FROM f_edge e JOIN f_roadcomp a ON a.uid = e.src JOIN f_roadcomp b ON b.uid = e.dst WHERE e.kind = 1",
     "f04_turn_angle": """SELECT from_edge, to_edge, round(least(t, 2 * pi() - t), 6) AS angle FROM (SELECT a.edge_id AS from_edge, b.edge_id AS to_edge, abs(atan2(b.z2 - b.z1, b.x2 - b.x1) - atan2(a.z2 - a.z1, a.x2 - a.x1)) AS t
       FROM f_edge a JOIN f_edge b ON b.src = a.dst AND b.dst <> a.src WHERE a.road_class = 1 AND b.road_class = 1)""",
     "f10_yaw": "SELECT slot, round(atan2(2 * c * s, 1 - 2 * s * s), 6) AS yaw FROM (SELECT slot, sin((slot % 12 * 0.5e0 - 3.0e0) / 2) AS s, cos((slot % 12 * 0.5e0 - 3.0e0) / 2) AS c FROM f_light)",

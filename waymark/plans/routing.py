@@ -262,12 +262,6 @@ _DRAWN = f"""(WITH RECURSIVE r(k, s) AS (SELECT 0, CAST(42 AS HUGEINT) UNION ALL
   SELECT k + 1, (s * CAST({LCG_A} AS HUGEINT) + CAST({LCG_C} AS HUGEINT)) % CAST(18446744073709551616 AS HUGEINT) FROM r WHERE k < {2 * RANDOM_PAIRS}) SELECT k, CAST(s >> 33 AS DOUBLE) / 2147483648.0e0 AS u FROM r WHERE k > 0)"""
 
 
-@query(f"SELECT CAST(k AS INTEGER) AS k, u FROM {_DRAWN}")
-def f18_random_numbers(spark, d):
-    """The generator's first numbers: each follows from the one before, so they are drawn on the driver."""
-    return spark.createDataFrame(list(enumerate(random_numbers(2 * RANDOM_PAIRS, 42), 1)), "k int, u double")
-
-
 @query(
     f"""SELECT count(*) AS pairs, count(d.cost) AS reached, round(sum(d.cost), 3) AS total_s FROM (
   SELECT a.k // 2 AS od_id, CAST(floor(a.u * n) AS BIGINT) AS src, CAST(floor(b.u * n) AS BIGINT) AS dst FROM {_DRAWN} a JOIN {_DRAWN} b ON b.k = a.k + 1 CROSS JOIN (SELECT count(*) AS n FROM part) WHERE a.k % 2 = 1) o
