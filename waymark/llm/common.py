@@ -21,7 +21,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(SPACE_BYTES)] = True
 
 #: Words are hashed in blocks of about this many bytes, so that memory stays flat for very long texts.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -169,7 +169,7 @@ def window_hashes(values: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15
         span *= 2
 
 
-def chunks(texts: list[bytes], most: int = 4 << 20):
+def chunks(texts: list[bytes], most: int = 1 << 20):
     """Slices of a batch of texts that hold about `most` bytes together; a longer text stands alone."""
     lo = size = 0
     for i, text in enumerate(texts):
