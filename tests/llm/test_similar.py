@@ -1,6 +1,7 @@
 """Shingle similarity against brute force over all pairs."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,10 +83,20 @@ def test_members_apart_from_the_first_are_compared():
     hubs = rng.integers(0, 2**32, 6, dtype=np.uint64)
     prints = [int(rng.choice(hubs)) ^ (1 << int(rng.integers(0, 32))) ^ (1 << int(rng.integers(0, 32))) for _ in range(200)]
     sets = [np.unique(rng.choice(40, 30, replace=False).astype(np.uint64) + np.uint64(100 * (i % 3))) for i in range(200)]
-    keys = similar.variant_keys(np.array(prints, dtype=np.uint64)[:, None], BITS, SEGMENTS)
-    rows = sorted((int(k), i % 50, i, p) for i, p in enumerate(prints) for k in keys[i])
-    columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [sets[r[2]].tobytes() for r in rows], [r[3] for r in rows]]
-    batches = [pa.record_batch([pa.array(c[lo : lo + 70]) for c in columns], names=["key", "c", "same", "hashes", "p0"]) for lo in range(0, len(rows), 70)]
+    # all members at home, and at a home one bit away those of the smaller side
+    values = similar._values(np.array(prints, dtype=np.uint64)[:, None], BITS, SEGMENTS)
+    held = Counter((s, int(v)) for row in values for s, v in enumerate(row))
+    rows = []
+    for i, p in enumerate(prints):
+        for s, v in enumerate(values[i].tolist()):
+            rows.append((s << 40 | v, i % 50, i, 2, p))
+            for bit in range(BITS):
+                other = v ^ (1 << bit)
+                if held[s, other] > held[s, v] or held[s, other] == held[s, v] and v > other:
+                    rows.append((s << 40 | other, i % 50, i, 0, p))
+    rows.sort()
+    columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [sets[r[2]].tobytes() for r in rows], [r[4] for r in rows]]
+    batches = [pa.record_batch([pa.array(c[lo : lo + 70]) for c in columns], names=["key", "c", "same", "part", "hashes", "p0"]) for lo in range(0, len(rows), 70)]
     found = [(u, v) for b in similar._across(0.6, 5, BITS, SEGMENTS)(iter(batches)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
 
     def alike(i, j):

@@ -10,10 +10,11 @@ size. The variants of a segment, each with one bit wildcarded, are the keys of a
 by the whole print inside the key's group, then by the sizes and the whole sets. A pair counts only in the first key
 that it shares.
 
-Keys with few matches yield all of them. The rows of others are compared once more after the first links are verified,
+Keys with few matches yield all of them. The members of others are compared once more after the first links are verified,
 with their sets at hand: only members in different components by then, and what joins two components is told once. So
 that few are apart by then, each class is linked to an earlier one near it, once for each segment that they have alike.
-So large groups of near copies yield few pairs, and no two members stay apart unseen.
+For that, members go to the home of their segment's own value once, and to that of a value that differs by the wildcard
+bit only from the smaller side of a key. So large groups of near copies yield few rows, and no two members stay apart unseen.
 """
 
 from __future__ import annotations
@@ -148,6 +149,38 @@ def _is_first(apart: np.ndarray, key: int, bits: int, segments: int) -> np.ndarr
     return out
 
 
+def _is_first_segment(apart: np.ndarray, segment: int, bits: int, segments: int) -> np.ndarray:
+    """Whether pairs that share a key of this segment share none of an earlier one."""
+    masks = _masks(bits, segments, apart.shape[1])
+    at = np.arange(len(apart))
+    for s in range(segment):
+        at = at[np.bitwise_count(apart[at] & masks[s]).sum(axis=1, dtype=np.int16) > 1]
+    out = np.zeros(len(apart), dtype=bool)
+    out[at] = True
+    return out
+
+
+def _values(prints: np.ndarray, bits: int, segments: int) -> np.ndarray:
+    """Rows of prints to rows of their segments' values."""
+    flags = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")[:, : bits * segments]
+    return flags.reshape(len(prints), segments, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def _homes(bits: int, segments: int, width: int):
+    """Classes with their prints to a row for each segment: its home (segment and value)."""
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "same", *_words(width))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = b.column(0).to_numpy(zero_copy_only=False)
+            prints = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint64).reshape(-1, width)
+            keys = _values(prints, bits, segments) | (np.arange(segments, dtype=np.int64) << 40)
+            again = [np.repeat(c, segments) for c in (same, *prints.view(np.int64).T)]
+            yield pa.record_batch([pa.array(keys.ravel()), *map(pa.array, again)], schema=schema)
+
+    return run
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """The rows of each key, of rows sorted by it, as columns."""
     held: list[np.ndarray] = []
@@ -194,15 +227,33 @@ def _match(key: int, prints: np.ndarray, most: int, bits: int, segments: int) ->
 
 
 def _matched(most: int, bits: int, segments: int, width: int):
-    """Rows sorted by key to pairs (u, v), and the rows (u: key, v, print) of keys that are to be compared once more."""
-    schema = pa.schema([("again", pa.bool_()), *((c, pa.int64()) for c in ("u", "v", *_words(width)))])
+    """Rows sorted by key to pairs (u, v); of keys that are to be compared once more, the homes wanted (u: home, v: 1 if
+    its members are to be compared with each other) and the guests of homes (u: home, v, print)."""
+    schema = pa.schema([("kind", pa.string()), *((c, pa.int64()) for c in ("u", "v", *_words(width)))])
 
-    def batch(again: bool, *columns: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.full(len(columns[0]), again)), *map(pa.array, columns)], schema=schema)
+    def batch(kind: str, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([kind] * len(columns[0])), *map(pa.array, columns)], schema=schema)
 
-    def pairs(us: list, vs: list) -> pa.RecordBatch:
+    def pairs(us: list, vs: list, kind: str = "pair") -> pa.RecordBatch:
         u, v = np.concatenate(us), np.concatenate(vs)
-        return batch(False, u, v, *[np.zeros(len(u), dtype=np.int64)] * width)
+        return batch(kind, u, v, *[np.zeros(len(u), dtype=np.int64)] * width)
+
+    def once_more(key: int, same: np.ndarray, words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        segment, bit = divmod(key >> 40, bits)
+        values = _values(np.stack(words, axis=1).view(np.uint64), bits, segments)[:, segment]
+        set_bit = (values >> bit & 1).astype(bool)
+        home = (segment << 40) | (key & ((1 << 40) - 1))
+        homes = home, home | (1 << bit)
+        sides = np.flatnonzero(~set_bit), np.flatnonzero(set_bit)
+        large = int(len(sides[1]) > len(sides[0]))
+        guests = sides[1 - large]
+        if bit == 0:  # here pairs with equal segments are told too
+            wanted = [h for h, side in zip(homes, sides) if len(side) > 1]
+            if wanted:
+                yield pairs([np.array(wanted)], [np.ones(len(wanted), dtype=np.int64)], "home")
+        if len(guests):
+            yield pairs([np.array([homes[large]])], [np.zeros(1, dtype=np.int64)], "home")
+            yield batch("guest", np.full(len(guests), homes[large]), same[guests], *[w[guests] for w in words])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us: list[np.ndarray] = []
@@ -213,7 +264,7 @@ def _matched(most: int, bits: int, segments: int, width: int):
                 continue
             i, j, more = _match(key[0], np.stack(words, axis=1).view(np.uint64), most, bits, segments)
             if more:
-                yield batch(True, key, same, *words)
+                yield from once_more(int(key[0]), same, words)
                 if int(key[0] >> 40) % bits:
                     continue  # first links are told under the first variant of a segment; all pairs are compared once more
             if not len(i):
@@ -243,21 +294,25 @@ def _bitsets(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _joining(key: int, labels: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], similarity: float, most: int, bits: int, segments: int) -> Iterator[tuple[int, int]]:
-    """Places of members in different components whose sets have the similarity, in the first key that they share; a pair that joins components already joined is left out."""
+def _joining(key: int, alone: bool, guest: np.ndarray, labels: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], similarity: float, most: int, bits: int, segments: int) -> Iterator[tuple[int, int]]:
+    """Places of members in different components whose sets have the similarity, in the first segment that they share; a pair that joins components already joined is left out.
+
+    Guests are compared with members that are at home, these with each other unless guests came `alone` for them.
+    """
     shared, sizes = _bitsets(sets), np.array([len(s) for s in sets])
     labels = labels.copy()
     step = max(1, _BLOCK // len(labels))
     for lo in range(0, len(labels), step):
         hi = min(lo + step, len(labels))
         near = (labels[lo:hi, None] != labels) & (np.arange(lo, hi)[:, None] < np.arange(len(labels)))
+        near &= (guest[lo:hi, None] != guest) if alone else ~(guest[lo:hi, None] & guest)
         near &= np.minimum(sizes[lo:hi, None], sizes) >= similarity * np.maximum(sizes[lo:hi, None], sizes) - 1e-9
         near &= _near(prints[lo:hi, None], prints, most)
         i, j = np.nonzero(near)
         if not len(i):
             continue
         i += lo
-        first = _is_first(prints[i] ^ prints[j], key, bits, segments)
+        first = _is_first_segment(prints[i] ^ prints[j], key >> 40, bits, segments)
         i, j = i[first], j[first]
         both = np.concatenate([np.bitwise_count(shared[i[k : k + 4096]] & shared[j[k : k + 4096]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 4096)]) if len(i) else np.empty(0, np.int64)
         for a, b in np.stack([i, j], axis=1)[both / (sizes[i] + sizes[j] - both) >= similarity].tolist():
@@ -267,12 +322,12 @@ def _joining(key: int, labels: np.ndarray, prints: np.ndarray, sets: list[np.nda
 
 
 def _across(similarity: float, most: int, bits: int, segments: int):
-    """Rows (key, c, same, set, print) sorted by the first two to pairs (u, v) that join components."""
+    """Rows (key, c, same, part, set, print) sorted by the first two to pairs (u, v) that join components; part: 0 for guests, 1 at home, 2 at home and to be compared with each other."""
 
     def pairs(rows: list[list]) -> pa.RecordBatch:
-        key, c, same, sets, *words = rows
-        prints = np.array(words, dtype=np.int64).T.view(np.uint64)
-        found = list(_joining(key[0], np.array(c, dtype=np.int64), np.ascontiguousarray(prints), [np.frombuffer(x, dtype=np.uint64) for x in sets], similarity, most, bits, segments))
+        key, c, same, part, sets, *words = rows
+        prints, part = np.array(words, dtype=np.int64).T.view(np.uint64), np.array(part)
+        found = list(_joining(key[0], bool(part.max() < 2), part == 0, np.array(c, dtype=np.int64), np.ascontiguousarray(prints), [np.frombuffer(x, dtype=np.uint64) for x in sets], similarity, most, bits, segments))
         return pa.record_batch([pa.array([min(same[a], same[b]) for a, b in found], pa.int64()), pa.array([max(same[a], same[b]) for a, b in found], pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,15 +405,17 @@ def _members(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     longs = ", ".join(f"{w} long" for w in words)
 
     rows = classes.where("n > 0").select("same", "print").mapInArrow(_keyed(bits, segments, width), f"key long, same long, {longs}")
-    rows = rows.repartition("key").sortWithinPartitions("key", "same").mapInArrow(_matched(most, bits, segments, width), f"again boolean, u long, v long, {longs}")
+    rows = rows.repartition("key").sortWithinPartitions("key", "same").mapInArrow(_matched(most, bits, segments, width), f"kind string, u long, v long, {longs}")
     rows = stage(rows, "matches")
-    links = _similar(rows.where("not again").select("u", "v"), classes, texts, similarity, hashes)
+    links = _similar(rows.where("kind = 'pair'").select("u", "v"), classes, texts, similarity, hashes)
     labels = stage(connected_components(links), "labels")
-    again = rows.where("again").select(F.col("u").alias("key"), F.col("v").alias("same"), *words)
-    if not again.isEmpty():
-        again = again.join(labels, again.same == labels.node, "left").select("key", F.coalesce("component", "same").alias("c"), "same", *words)
+    homes = rows.where("kind = 'home'").groupBy(F.col("u").alias("key")).agg((F.max("v") + 1).alias("part"))
+    if not homes.isEmpty():
+        at_home = classes.where("n > 0").select("same", "print").mapInArrow(_homes(bits, segments, width), f"key long, same long, {longs}").join(homes, "key")
+        again = at_home.unionByName(rows.where("kind = 'guest'").select(F.col("u").alias("key"), F.col("v").alias("same"), *words, F.lit(0).cast("long").alias("part")))
+        again = stage(again.join(labels, again.same == labels.node, "left").select("key", F.coalesce("component", "same").alias("c"), "same", "part", *words), "again")
         sets = stage(_sets(again.select("same").distinct(), classes, texts, blobs), "sets")
-        again = again.join(sets, "same").select("key", "c", "same", "hashes", *words)
+        again = again.join(sets, "same").select("key", "c", "same", "part", "hashes", *words)
         more = again.repartition("key").sortWithinPartitions("key", "c", "same").mapInArrow(_across(similarity, most, bits, segments), "u long, v long")
         labels = stage(connected_components(links.unionByName(stage(more, "more"))), "labels")
     named = labels.select(F.col("node").alias("same"), F.col("component").alias("c"))
