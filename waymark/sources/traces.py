@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 FRAME_SCHEMA = "t double, sequence long, running boolean, paused boolean, simulation_time long, game_time_minutes long, position array<double>, heading array<double>, speed double, speed_limit double, job struct<destination_city:string,destination_company:string,income:long>"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text): the lines of text files with their numbers from 0, however a file is split over tasks.
+
+    Each split counts its own lines, a running sum over a file's splits tells where each begins.
+    """
+    raw = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"), F.monotonically_increasing_id().alias("row"))
+    splits = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = splits.select("file", "block", (before - F.col("first")).alias("shift"))
+    return raw.join(places, ["file", "block"]).select("file", (F.col("row") + F.col("shift")).alias("line"), "text")
+
+
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
     """Frames of JSON lines, each file up to its first line that cannot be read, as a replay stops there.
 
-    A file is one drive and is read whole, so that its lines have numbers; its first bad line is a minimum over them.
+    The first bad line of a file is a minimum over its lines' numbers; no task holds a whole file.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    rows = raw.where("text <> ''").withColumn("frame", F.from_json("text", FRAME_SCHEMA, {"mode": "PERMISSIVE"}))
+    rows = numbered_lines(spark, path).where("trim(text) <> ''").withColumn("frame", F.from_json("text", FRAME_SCHEMA, {"mode": "PERMISSIVE"}))
     rows = rows.withColumn("bad", F.col("frame").isNull() | F.col("frame.sequence").isNull())
     first = rows.where("bad").groupBy("file").agg(F.min("line").alias("stop"))
     kept = rows.join(first, "file", "left").where("stop is null or line < stop")
