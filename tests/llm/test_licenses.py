@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,9 +39,8 @@ def plain(rows, dice=0.8):
         for name, t in TEMPLATES.items():
             size, places = len(words_of(t)), anchors(t, dice)
             starts = {max(0, at - place) for at, p in enumerate(zip(words, words[1:])) for pair, place in places if " ".join(p) == pair}
-            best = max(((coefficient(set(zip(words[s : s + size], words[s + 1 : s + size])), pairs(t)), -s) for s in starts), default=(0, 0))
-            if best[0] >= dice:
-                windows.add((i, text, name, -best[1]))
+            fit = {s: c for s in starts if (c := coefficient(set(zip(words[s : s + size], words[s + 1 : s + size])), pairs(t))) >= dice}
+            windows |= {(i, text, name, s) for s, c in fit.items() if all((c, -s) >= (o, -r) for r, o in fit.items() if abs(r - s) < size)}
     return sorted(out + [(i, -2, s, name) for i, _, name, s in windows], key=repr)
 
 
@@ -84,6 +84,22 @@ def test_notices_inside_texts_are_found(spark):
         assert found[f"{name} changed", name] >= 0.8
 
 
+def test_every_notice_of_a_long_text(spark):
+    """Many notices in one text of millions of characters: each is told once, in time that grows with the text."""
+    mit, prose = TEMPLATES["MIT-text"], "some words of prose that stand between and say little " * 12
+    seconds = []
+    for n in (400, 1600):
+        text = "\n".join(f"{prose}{k}\n{mit}" for k in range(n))
+        df = spark.createDataFrame([(n, text)], "doc_id long, text string")
+        began = time.time()
+        found = scan_licenses(df).where("line = -2 and licence = 'MIT-text'").collect()
+        seconds.append(time.time() - began)
+        step = len(words_of(f"{prose}{0}\n{mit}"))
+        assert [r["start"] for r in sorted(found, key=lambda r: r["start"])] == [step * k + step - len(words_of(mit)) for k in range(n)]
+        assert {r["dice"] for r in found} == {1.0}
+    assert len(text) > 2_000_000 and seconds[1] < 60 and seconds[1] < 8 * max(seconds[0], 2)
+
+
 @pytest.mark.parametrize("dice", [0.8, 0.6])
 def test_key_words_and_anchors_lose_nothing(dice):
     """Units with just as many of a template's bigrams as fit, chosen at random, hold a key word and an anchor."""

@@ -8,7 +8,8 @@ b * (2 - t) / t bigrams that share t * b / (2 - t) of its own at least. So:
 - a text without any of a template's key words (`key_words`), which too many of its bigrams hold, is passed over whole;
 - templates are listed under each size of unit that they fit, and an equality join on the size yields the candidates;
 - a window that fits holds one of the template's anchors, more than b * (2 - 2 t) / (2 - t) of its bigrams. Windows as
-  long as the template are laid where one of its anchors stands in its place, and of those that fit the best counts.
+  long as the template are laid where one of its anchors stands in its place, and each that fits is told unless a
+  better one overlaps it. A text's bigrams are cut into overlapping blocks first, so work is linear in its length.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import quoted, text_bytes
 from .licence_texts import TEMPLATES
@@ -90,8 +92,9 @@ def _templates(spark: SparkSession, templates: dict[str, str], dice: float) -> D
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, dice: float = 0.8) -> DataFrame:
     """One row per unit and fitting template: id, line (from 0; -1: the text as a whole, -2: a window), start, licence, dice.
 
-    For each text and licence at most one window is told, that of the largest coefficient and then the earliest;
-    `start` is its first word, null for other units. Null and empty texts fit nothing; repeated rows give repeated
+    Of windows of one licence that overlap, one is told if none that overlaps it has a larger coefficient, or the same and
+    an earlier start; `start` is its first word, null for other units. Very long texts are scanned whole, block by
+    block. Null and empty texts fit nothing; repeated rows give repeated
     matches, but for windows, which texts alike under one id give once; units that fit several templates, tied or not,
     give a row for each; an empty table gives an empty table; other columns are ignored.
     """
@@ -123,22 +126,33 @@ def _units(rows: DataFrame, templates: dict[str, str], known: DataFrame, dice: f
 
 
 def _windows(rows: DataFrame, templates: dict[str, str], known: DataFrame, dice: float) -> DataFrame:
-    """The best window of each text for each licence."""
-    places = [(pair, name, t, len(template_words(text))) for name, text in templates.items() for pair, t in anchors(text, dice)]
-    table = rows.sparkSession.createDataFrame(places, "pair string, licence string, place int, length int")
+    """The windows of each text that fit each licence, without those that a better one overlaps."""
+    lengths = {name: len(template_words(text)) for name, text in templates.items()}
+    longest = max(lengths.values())
+    step, reach = 2 * longest, longest**2
+    # places scaled so that windows of any licence overlap if theirs are at most `reach` apart
+    places = [(pair, name, t, lengths[name], reach // max(1, lengths[name] - 1)) for name, text in templates.items() for pair, t in anchors(text, dice)]
+    table = rows.sparkSession.createDataFrame(places, "pair string, licence string, place int, length int, scale long")
     every = F.lit(sorted({p[0] for p in places}))
     made = rows.select("id", F.xxhash64(text_bytes("text")).alias("text_hash"), F.explode(F.array(all_bigrams(normalised_words(F.col("text"))))).alias("all_pairs"))
-    made = made.withColumn("present", F.array_intersect("all_pairs", every)).where(F.size("present") > 0)
-    hits = F.filter(F.transform("all_pairs", lambda p, i: F.struct(p.alias("pair"), i.alias("at"))), lambda h: F.array_contains("present", h["pair"]))
-    hits = made.select("id", "text_hash", "all_pairs", F.explode(hits).alias("hit")).select("id", "text_hash", "all_pairs", "hit.*")
+    # a window lies in the block in which it starts: `step` starts to a block
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("all_pairs") - 1) / step).cast("int")), lambda k: F.struct((k * step).alias("from"), F.slice("all_pairs", k * step + 1, step + longest).alias("pairs")))
+    blocks = made.where(F.size("all_pairs") > 0).select("id", "text_hash", F.explode(cut).alias("block")).select("id", "text_hash", "block.from", F.col("block.pairs").alias("block"))
+    blocks = blocks.withColumn("present", F.array_intersect("block", every)).where(F.size("present") > 0)
+    hits = F.filter(F.transform("block", lambda p, i: F.struct(p.alias("pair"), i.alias("at"))), lambda h: F.array_contains("present", h["pair"]))
+    hits = blocks.select("id", "text_hash", "from", "block", F.explode(hits).alias("hit")).select("id", "text_hash", "from", "block", "hit.*")
     hits = hits.join(F.broadcast(table), "pair")  # bounded by the caller's templates
-    start = F.greatest(F.lit(0), F.col("at") - F.col("place"))
-    laid = hits.select("id", "text_hash", "licence", start.alias("start"), F.explode(F.array(F.array_distinct(F.slice("all_pairs", start + 1, F.col("length") - 1)))).alias("unit_pairs"))
+    inside = F.col("at") - F.col("place")
+    hits = hits.withColumn("inside", F.when(F.col("from") == 0, F.greatest(F.lit(0), inside)).otherwise(inside)).where((F.col("inside") >= 0) & (F.col("inside") < step))
+    laid = hits.select("id", "text_hash", "licence", "scale", (F.col("from") + F.col("inside")).alias("start"), F.explode(F.array(F.array_distinct(F.slice("block", F.col("inside") + 1, F.col("length") - 1)))).alias("unit_pairs"))
     laid = laid.withColumn("size", F.size("unit_pairs")).join(F.broadcast(known), ["size", "licence"])
     score = 2.0 * F.size(F.array_intersect("unit_pairs", "pairs")) / (F.col("size") + F.col("b"))
-    best = laid.select("id", "text_hash", "licence", "start", score.alias("dice")).where(F.col("dice") >= dice)
-    best = best.groupBy("id", "text_hash", "licence").agg(F.max(F.struct("dice", (-F.col("start")).alias("back"))).alias("best"))
-    return best.select("id", F.lit(WINDOW).alias("line"), (-F.col("best.back")).cast("int").alias("start"), "licence", "best.dice")
+    fit = laid.select("id", "text_hash", "licence", "scale", "start", score.alias("dice")).where(F.col("dice") >= dice)
+    fit = fit.groupBy("id", "text_hash", "licence", "scale", "start").agg(F.max("dice").alias("dice"))
+    near = Window.partitionBy("id", "text_hash", "licence").orderBy(F.col("start") * F.col("scale")).rangeBetween(-reach, reach)
+    best = F.max(F.struct("dice", (-F.col("start")).alias("back"))).over(near)
+    told = fit.withColumn("best", best).where((F.col("best.dice") == F.col("dice")) & (F.col("best.back") == -F.col("start")))
+    return told.select("id", F.lit(WINDOW).alias("line"), F.col("start").cast("int").alias("start"), "licence", "dice")
 
 
 def oracle(dice: float = 0.8) -> str:
@@ -164,11 +178,12 @@ whole AS (SELECT doc_id, {in_order} AS pairs FROM (SELECT doc_id, {words.format(
 stands AS (SELECT doc_id, unnest(range(len(pairs))) AS i, unnest(pairs) AS pair FROM whole),
 starts AS (SELECT DISTINCT doc_id, licence, greatest(0, i - place) AS start FROM stands JOIN places USING (pair)),
 laid AS (
-  SELECT s.doc_id, s.licence, s.start, list_distinct(w.pairs[s.start + 1 : s.start + t.m - 1]) AS u, t.pairs
+  SELECT s.doc_id, s.licence, s.start, t.m, list_distinct(w.pairs[s.start + 1 : s.start + t.m - 1]) AS u, t.pairs
   FROM starts s JOIN templates t USING (licence) JOIN whole w ON w.doc_id = s.doc_id),
 by_window AS (
-  SELECT doc_id, licence, start, 2.0e0 * len(list_intersect(u, t.pairs)) / (len(u) + len(t.pairs)) AS dice
+  SELECT doc_id, licence, start, m, 2.0e0 * len(list_intersect(u, t.pairs)) / (len(u) + len(t.pairs)) AS dice
   FROM laid t WHERE {fits.format(u='u')}),
-best AS (SELECT * FROM by_window WHERE dice >= {dice}e0 QUALIFY row_number() OVER (PARTITION BY doc_id, licence ORDER BY dice DESC, start) = 1)
+fit AS (SELECT * FROM by_window WHERE dice >= {dice}e0),
+best AS (SELECT * FROM fit a WHERE NOT EXISTS (SELECT 1 FROM fit b WHERE b.doc_id = a.doc_id AND b.licence = a.licence AND b.start <> a.start AND abs(b.start - a.start) < a.m AND (b.dice > a.dice OR b.dice = a.dice AND b.start < a.start)))
 SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(NULL AS INTEGER) AS start, licence, dice FROM by_unit WHERE dice >= {dice}e0
 UNION ALL SELECT doc_id, -2 AS line, CAST(start AS INTEGER) AS start, licence, dice FROM best"""
