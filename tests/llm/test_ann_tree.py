@@ -80,3 +80,17 @@ def test_fewer_candidates_than_k_and_none(spark):
     assert nearest(df.limit(0), F.col("id") == 0).count() == 0
     assert nearest(df.limit(1), F.lit(True)).count() == 0
     assert nearest(df, F.lit(False)).count() == 0
+
+
+def test_leaves_with_fewer_than_k_vectors(spark, monkeypatch):
+    """One leaf of one tree is visited: queries for which it holds fewer than k visit all, and k are told, exactly."""
+    from waymark.llm import ann_tree
+
+    monkeypatch.setattr(ann_tree, "_calibrate", lambda *_: (1, 1))
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(700, 6)).round(4))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    have = by_query(nearest(df, F.col("id") % 20 == 0, k=20, leaf_size=10, top=8))
+    want = brute(rows, set(range(0, 700, 20)), 20)
+    assert set(have) == set(want) and all(len(f) == 20 for f in have.values())
+    assert sum(have[q] == want[q] for q in want) >= len(want) // 3

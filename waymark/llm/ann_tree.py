@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import math
 import pickle
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -202,6 +203,8 @@ def nearest(
     every vector is indexed. Ties go to the smaller id. Null, zero and non-finite vectors, vectors of another length
     than the commonest and null ids take no part; an empty table gives an empty table.
 
+    A query whose visited leaves hold fewer than k candidates, though there are more, visits all leaves.
+
     Of equal vectors only the k + 1 smallest ids can be among a query's k nearest, so only those are scored.
     """
     spark = vectors.sparkSession
@@ -240,39 +243,50 @@ def nearest(
     first, last = begin * n_parts // total_kept, np.maximum(begin, begin + count - 1) * n_parts // total_kept
     plan = spark.sparkContext.broadcast((count, first, last))
 
-    @F.pandas_udf("array<struct<part:int,tops:array<int>>>")
-    def to_visit(q: pd.Series) -> pd.Series:
-        tree, (count, first, last) = shared.value, plan.value
-        out = []
-        for query in _matrix(list(q)) if len(q) else ():
-            found, seen, mine = 0, 0, {}
-            for leaf in tree.visits(query):
-                if seen >= visits and found > k:
-                    break
-                seen += 1
-                found += count[leaf]
-                for part in range(first[leaf], last[leaf] + 1) if count[leaf] else ():
-                    mine.setdefault(part, []).append(leaf)
-            out.append([{"part": int(p), "tops": tops} for p, tops in mine.items()])
-        return pd.Series(out)
-
     @F.pandas_udf("int")
     def part_of(top: pd.Series, rid: pd.Series) -> pd.Series:
         t = top.to_numpy()
         _, first, last = plan.value
         return pd.Series(first[t] + rid.to_numpy() % (last[t] - first[t] + 1)).astype("int32")
 
+    def visited(visits: int):
+        @F.pandas_udf("array<struct<part:int,tops:array<int>>>")
+        def to_visit(q: pd.Series) -> pd.Series:
+            tree, (count, first, last) = shared.value, plan.value
+            out = []
+            for query in _matrix(list(q)) if len(q) else ():
+                found, seen, mine = 0, 0, {}
+                for leaf in tree.visits(query):
+                    if seen >= visits and found > k:
+                        break
+                    seen += 1
+                    found += count[leaf]
+                    for part in range(first[leaf], last[leaf] + 1) if count[leaf] else ():
+                        mine.setdefault(part, []).append(leaf)
+                out.append([{"part": int(p), "tops": tops} for p, tops in mine.items()])
+            return pd.Series(out)
+
+        return to_visit
+
     none = F.lit(None).cast("array<int>")
-    asked = queries.withColumn("t", F.explode(to_visit("v"))).select("t.part", F.lit(1).alias("kind"), F.lit(-1).alias("top"), "rid", "id", "v", "t.tops")
     stored = indexed.select(part_of("top", "rid").alias("part"), F.lit(2).alias("kind"), "top", "rid", "id", "v", none.alias("tops"))
-    dealt = asked.unionByName(stored)
     if trees is not None:
         copies = spark.createDataFrame([(t, p) for t in np.flatnonzero(count).tolist() for p in range(int(first[t]), int(last[t]) + 1)], "top int, part int")  # at most parts and top leaves together
-        dealt = dealt.unionByName(trees.join(F.broadcast(copies), "top").select("part", F.lit(0).alias("kind"), "top", F.lit(0).cast("long").alias("rid"), F.lit(0).cast("long").alias("id"), F.col("tree").alias("v"), none.alias("tops")))
-    dealt = dealt.repartition("part").sortWithinPartitions("part", "kind", "top")
-    found = dealt.mapInArrow(_search(k, within), _FOUND)
+        stored = stored.unionByName(trees.join(F.broadcast(copies), "top").select("part", F.lit(0).alias("kind"), "top", F.lit(0).cast("long").alias("rid"), F.lit(0).cast("long").alias("id"), F.col("tree").alias("v"), none.alias("tops")))
     order = Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(queries: DataFrame, visits: int, within: int) -> DataFrame:
+        asked = queries.withColumn("t", F.explode(visited(visits)("v"))).select("t.part", F.lit(1).alias("kind"), F.lit(-1).alias("top"), "rid", "id", "v", "t.tops")
+        dealt = asked.unionByName(stored).repartition("part").sortWithinPartitions("part", "kind", "top")
+        return dealt.mapInArrow(_search(k, within), _FOUND).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    found = stage(ranked(queries, visits, within), "near")
+    # leaves that were visited may hold fewer than k: such queries visit all
+    whole = found.groupBy("rid").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, total["n"] - 1)).select("rid")
+    short = queries.join(whole, "rid", "left_anti") if total["n"] > 1 else queries.limit(0)
+    if not short.isEmpty():
+        found = found.join(whole, "rid", "left_semi").unionByName(ranked(short, tree.leaves, sys.maxsize).select(*found.columns))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def _local_trees(indexed: DataFrame, count: np.ndarray, norm: float, leaf_size: int) -> DataFrame | None:
