@@ -116,6 +116,34 @@ def j26_missing_nodes(spark, d):
     return completeness.missing_nodes(_road_items(spark, d), prefab_nodes(spark, d), roads.node(spark, d).where("uid % 17 <> 0"))
 
 
+_FERRIES = """(SELECT poi_id AS uid, CASE WHEN poi_id % 31 = 6 THEN -poi_id ELSE access_uid END AS node, poi_id % 130 AS prefab, n.x + 37 + poi_id % 900 AS x, n.z - 3000 * (poi_id % 5) AS z FROM f_poi JOIN f_node n ON n.uid = access_uid WHERE kind IN ('Ferry', 'Train'))"""
+_ENDS = "(SELECT src AS node, 1 AS o, kind FROM f_edge UNION ALL SELECT dst, 0, kind FROM f_edge)"
+_LAND = "(SELECT DISTINCT node FROM (SELECT unnest([src, dst]) AS node FROM f_edge WHERE kind NOT IN (2, 3)))"
+
+
+@query(f"""SELECT f.uid, EXISTS (SELECT 1 FROM f_node n WHERE n.uid = f.node) AS in_graph, EXISTS (SELECT 1 FROM {_ENDS} e WHERE e.node = f.node) AS any_edge, f.node IN (SELECT node FROM {_LAND}) AS on_land,
+  (SELECT count(*) FROM f_edge e WHERE e.src = f.node) AS out_edges, (SELECT count(*) FROM f_edge e WHERE e.dst = f.node) AS in_edges, l.n AS link_nodes, l.k AS link_land_nodes, o.owner,
+  CASE WHEN o.owner IS NOT NULL THEN (SELECT count(*) FROM {_MOVED} m WHERE m.prefab = o.owner) END AS owner_movements, round(d.m, 4) AS nearest_land_m
+FROM {_FERRIES} f LEFT JOIN (SELECT uid AS prefab, count(*) AS n, count(g.node) AS k FROM {_PREFAB_NODES} p LEFT JOIN {_LAND} g ON g.node = p.node GROUP BY 1) l ON l.prefab = f.prefab
+LEFT JOIN (SELECT node, min(uid) AS owner FROM {_PREFAB_NODES} GROUP BY 1) o ON o.node = f.node
+JOIN (SELECT f.uid, sqrt(min((n.x - f.x) * (n.x - f.x) + (n.z - f.z) * (n.z - f.z))) AS m FROM {_FERRIES} f, f_node n WHERE n.uid IN (SELECT node FROM {_LAND}) GROUP BY 1) d ON d.uid = f.uid""")
+def g19_ferry_report(spark, d):
+    """What every ferry and train terminal stands on, and how far land is."""
+    n = roads.node(spark, d)
+    p = roads.poi(spark, d).where("kind in ('Ferry', 'Train')").join(n.select(C("uid").alias("access_uid"), "x", "z"), "access_uid")
+    ferries = p.select(C("poi_id").alias("uid"), F.when(C("poi_id") % 31 == 6, -C("poi_id")).otherwise(C("access_uid")).alias("node"), (C("poi_id") % 130).alias("prefab"), (C("x") + 37 + C("poi_id") % 900).alias("x"), (C("z") - 3000 * (C("poi_id") % 5)).alias("z"))
+    s = roads.table(spark, d, "supplier").select(C("s_suppkey").alias("prefab"))
+    moved = s.where("prefab % 3 <> 0").unionByName(s.where("prefab % 2 = 0"))
+    found = completeness.ferry_report(ferries, roads.edge(spark, d), n, prefab_nodes(spark, d), moved)
+    return found.withColumn("nearest_land_m", F.round("nearest_land_m", 4))
+
+
+@query(f"SELECT count(*) // 2 AS edges, count(*) AS endpoints, count(*) FILTER (node NOT IN (SELECT node FROM {_LAND})) AS endpoints_isolated FROM (SELECT unnest([src, dst]) AS node FROM f_edge WHERE kind IN (2, 3))")
+def g19_transit_summary(spark, d):
+    """Ferries and trains, their ends, and the ends that no other edge touches."""
+    return completeness.transit_summary(roads.edge(spark, d))
+
+
 _NAMED = "(SELECT uid, CASE WHEN p_size % 9 = 0 THEN 0 ELSE uid * 4 + p_size % 3 END AS forward, CASE WHEN p_size % 8 = 0 THEN 0 ELSE (uid - 1) * 4 + p_size % 2 END AS backward FROM f_node)"
 
 
