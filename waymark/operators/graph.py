@@ -8,20 +8,31 @@ search.py.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint; the folder is the session's, or a temporary one where a local session sets none."""
-    context = df.sparkSession.sparkContext
+    _shared(df.sparkSession)
+    return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, beside the checkpoints."""
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _shared(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         base = context.getConf().get("spark.checkpoint.dir")
         if not base and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(base or tempfile.mkdtemp(prefix="waymark-checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
 def active_nodes(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import completeness, graph, junctions, search
-from ..sources import roads
+from ..sources import graph_file, roads
 from ..streaming import vehicle
 from .routing import LCG_A, LCG_C, _COSTS, od_pairs
 
@@ -116,6 +116,24 @@ def j26_missing_nodes(spark, d):
     return completeness.missing_nodes(_road_items(spark, d), prefab_nodes(spark, d), roads.node(spark, d).where("uid % 17 <> 0"))
 
 
+#: The magic of the files that the round trip writes, and their number.
+MAGIC, SHARDS = b"WAYMARK", 4
+
+
+@query("""SELECT edge_id, src, dst, kind, CAST(CAST(length_m AS FLOAT) AS DOUBLE) AS length_m, speed_limit, road_class, semaphore_id, flags + CASE WHEN kind = 1 THEN 8 ELSE 0 END AS flags, CASE WHEN kind = 1 THEN edge_id % 97 END AS movement_id,
+  CASE WHEN kind = 1 THEN 3 ELSE 2 END AS points, x1 + x2 + CASE WHEN kind = 1 THEN (x1 + x2) / 2 - 65.0e0 * (p_size % 5) / length_m * (z2 - z1) ELSE 0.0e0 END AS x_sum FROM f_bent JOIN f_node ON uid = edge_id // 4""")
+def k01_packed_graph(spark, d):
+    """The network written as packed files and read again by byte ranges."""
+    c = F.col
+    e = roads.turned_edge(spark, d).withColumns({"source_uid": c("edge_id"), "movement_id": F.when(c("kind") == 1, c("edge_id") % 97), "y1": F.lit(0.0), "y2": F.lit(0.0)})
+    e = e.withColumn("points", F.transform("points", lambda p: F.struct(p["x"].alias("x"), F.lit(0.0).alias("y"), p["z"].alias("z"))))
+    columns = "source_uid src dst kind length_m speed_limit road_class semaphore_id flags movement_id points x1 y1 z1 x2 y2 z2".split()
+    files = graph_file.write_graph(e.select(*columns), graph.new_folder(spark, "packed"), MAGIC, SHARDS)
+    found = graph_file.named_edges(*graph_file.read_graph(spark, files, MAGIC))
+    x_sum = F.aggregate("points", F.lit(0.0), lambda s, p: s + p["x"])
+    return found.select(c("source_uid").alias("edge_id"), "src", "dst", "kind", c("length_m").cast("double").alias("length_m"), "speed_limit", "road_class", "semaphore_id", "flags", "movement_id", F.size("points").alias("points"), x_sum.alias("x_sum"))
+
+
 _FERRIES = """(SELECT poi_id AS uid, CASE WHEN poi_id % 31 = 6 THEN -poi_id ELSE access_uid END AS node, poi_id % 130 AS prefab, n.x + 37 + poi_id % 900 AS x, n.z - 3000 * (poi_id % 5) AS z FROM f_poi JOIN f_node n ON n.uid = access_uid WHERE kind IN ('Ferry', 'Train'))"""
 _ENDS = "(SELECT src AS node, 1 AS o, kind FROM f_edge UNION ALL SELECT dst, 0, kind FROM f_edge)"
 _LAND = "(SELECT DISTINCT node FROM (SELECT unnest([src, dst]) AS node FROM f_edge WHERE kind NOT IN (2, 3)))"
@@ -213,19 +231,19 @@ def _tracked(spark: SparkSession, d: str) -> DataFrame:
     return vehicle.track(matches, r)
 
 
-@query(f"SELECT vehicle, seq, idx, round(travelled, 4) AS travelled_m, round(route_m - travelled, 4) AS remaining_m FROM {_TRACKED}")
+@query(f"SELECT vehicle, seq, idx, round(travelled, 6) AS travelled_m, round(route_m - travelled, 6) AS remaining_m FROM {_TRACKED}")
 def x06_tracker(spark, d):
     """Each vehicle drives the route of its number: its frames are matched to the route's edges in turn. Vehicles without a route are not tracked."""
-    return _tracked(spark, d).select("vehicle", "seq", "idx", F.round("travelled_m", 4).alias("travelled_m"), F.round("remaining_m", 4).alias("remaining_m"))
+    return _tracked(spark, d).select("vehicle", "seq", "idx", F.round("travelled_m", 6).alias("travelled_m"), F.round("remaining_m", 6).alias("remaining_m"))
 
 
-@query(f"""SELECT vehicle, count(*) AS frames, count(*) FILTER (travelled < before) AS falls, count(*) FILTER (idx < earlier) AS steps_back, round(max(travelled), 4) AS travelled_m FROM (
+@query(f"""SELECT vehicle, count(*) AS frames, count(*) FILTER (travelled < before) AS falls, count(*) FILTER (idx < earlier) AS steps_back, round(max(travelled), 6) AS travelled_m FROM (
   SELECT *, lag(travelled) OVER w AS before, lag(idx) OVER w AS earlier FROM {_TRACKED} WINDOW w AS (PARTITION BY vehicle ORDER BY k)) GROUP BY 1""")
 def w22_monotone_progress(spark, d):
     """How far each tracked vehicle has come: travelled distance never falls, though matches may step back."""
     order = Window.partitionBy("vehicle").orderBy("sim_us", "seq")
     rows = _tracked(spark, d).join(roads.frame(spark, d).select("seq", "sim_us"), "seq").withColumns({"before": F.lag("travelled_m").over(order), "earlier": F.lag("idx").over(order)})
-    return rows.groupBy("vehicle").agg(F.count("*").alias("frames"), F.count_if(C("travelled_m") < C("before")).alias("falls"), F.count_if(C("idx") < C("earlier")).alias("steps_back"), F.round(F.max("travelled_m"), 4).alias("travelled_m"))
+    return rows.groupBy("vehicle").agg(F.count("*").alias("frames"), F.count_if(C("travelled_m") < C("before")).alias("falls"), F.count_if(C("idx") < C("earlier")).alias("steps_back"), F.round(F.max("travelled_m"), 6).alias("travelled_m"))
 
 
 @query(f"""SELECT repeats, loops, pairs, reached, repeats = 0 AND loops = 0 AND reached >= 0.9e0 * pairs AS passed FROM (SELECT
