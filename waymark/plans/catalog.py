@@ -13,7 +13,6 @@ from ..operators.graph import checkpoint
 from ..operators import events, graph, junctions, places, quality, routes, spatial, stats
 from ..sources import roads
 from ..streaming import vehicle
-from ..streaming.fold import fold
 from . import building, completeness, guidance, network, oracle, routing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = network.QUERIES | routing.QUERIES | guidance.QUERIES | building.QUERIES | completeness.QUERIES
@@ -474,7 +473,7 @@ def x02_event_fold(spark, d):
 def w17_reminder_gate(spark, d):
     """Overspeed reminders, one in half a second of simulated time at most."""
     rows = roads.frame(spark, d).select("vehicle", "seq", C("sim_us") * 60, F.lit("OverSpeed").alias("kind"), "speed_ms").toDF("vehicle", "seq", "sim_us", "kind", "speed_ms").where("speed_ms > 4")
-    return fold(rows.drop("speed_ms"), "vehicle", ["sim_us", "seq"], vehicle.gate_step, {}, vehicle.GATE_SCHEMA)
+    return vehicle.gate(rows.drop("speed_ms"))
 
 
 @query

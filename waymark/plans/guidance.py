@@ -12,7 +12,7 @@ from ..functions import geometry
 from ..operators import maneuvers, search
 from ..sources import roads
 from ..streaming import liveness, session
-from ..streaming.fold import fold
+from ..streaming.columns import fold_columns
 from .routing import relaxed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,8 +131,7 @@ SELECT * FROM s WHERE rn > 0)"""
 
 
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
-    step = lambda state, row: session.session_step(state, row, _PAUSE)
-    return fold(_watched(spark, d), "vehicle", ["sim_us", "seq"], step, {}, session.SESSION_SCHEMA)
+    return fold_columns(_watched(spark, d), ["vehicle"], ["sim_us", "seq"], session.session_columns(_PAUSE), session.SESSION_SCHEMA)
 
 
 @query(f"SELECT vehicle, seq, state, unmatched, round(off_m, 3) AS off_m FROM {_SESSION}")
