@@ -107,7 +107,7 @@ def j15_topk_candidates(spark, d):
 
 @query
 def a10_match_confidence(spark, d):
-    near = spatial.nearest_edge(roads.frame(spark, d), roads.edge(spark, d), 60.0, "seq")
+    near = spatial.nearest_edge(roads.strayed_frame(spark, d), roads.edge(spark, d), 60.0, "seq")
     rows = roads.frame(spark, d).select("seq").join(near.select("seq", "lateral"), "seq", "left")
     confidence = F.when(C("lateral") < 8, "HIGH").when(C("lateral") < 20, "MEDIUM").when(C("lateral").isNotNull(), "LOW").otherwise("UNMATCHED")
     return rows.groupBy(confidence.alias("confidence")).agg(F.count("*").alias("n"), F.round(F.avg("lateral"), 6).alias("mean_lateral"))
@@ -459,7 +459,8 @@ def s15_overlay(spark, d):
 
 @query
 def x03_map_match(spark, d):
-    frames = roads.frame(spark, d).withColumn("heading", F.pmod(C("seq"), F.lit(7)) * 0.5 - 1.5)
+    """Frames of each vehicle matched to edges one after the other."""
+    frames = roads.strayed_frame(spark, d).withColumn("heading", F.pmod(C("seq"), F.lit(7)) * 0.5 - 1.5)
     return vehicle.match(frames, roads.edge(spark, d)).select("vehicle", "seq", "edge_id", F.round("lateral", 6).alias("lateral"), F.round("score", 6).alias("score"), "confidence")
 
 

@@ -58,6 +58,7 @@ FIXTURES = {
     "f_half": "SELECT * FROM f_edge WHERE road_class IN (0, 1)",
     "f_approach": """SELECT f.*, l.state, l.time_remaining, CAST(seq % 240 AS DOUBLE) AS ahead_m, seq % 4 <> 0 AS verified
       FROM f_frame f JOIN f_light l ON l.slot = f.seq % (SELECT count(*) FROM supplier)""",
+    "f_strayed": """SELECT * REPLACE (x + seq % 10 * 5.0e0 + CASE WHEN vehicle % 5 = 0 AND sim_us BETWEEN 300000 AND 2000000 THEN 100000.0e0 ELSE 0.0e0 END AS x, z + seq % 10 * 5.0e0 AS z) FROM f_frame""",
     # points near edges, with the box test and the projection
     "f_near": """SELECT *, sqrt((x - x1 - t * dx) * (x - x1 - t * dx) + (z - z1 - t * dz) * (z - z1 - t * dz)) AS lat, t * sqrt(dx * dx + dz * dz) AS off FROM (
       SELECT *, CASE WHEN dx * dx + dz * dz > 0 THEN least(greatest(((x - x1) * dx + (z - z1) * dz) / (dx * dx + dz * dz), 0.0e0), 1.0e0) ELSE 0.0e0 END AS t FROM (
@@ -82,10 +83,11 @@ FIXTURES = {
     "f_ways": """SELECT least(src, dst) AS p, greatest(src, dst) AS q, min(least(coalesce(x.component, src), coalesce(y.component, dst))) AS a, max(greatest(coalesce(x.component, src), coalesce(y.component, dst))) AS b
       FROM f_edge e LEFT JOIN f_landcomp x ON x.uid = e.src LEFT JOIN f_landcomp y ON y.uid = e.dst WHERE kind = 2 OR road_class = 3 GROUP BY 1, 2""",
 }
+FIXTURES["f_strayednear"] = FIXTURES["f_near"].replace("f_frame", "f_strayed")
 
 _DEPENDS = {
     "f_edge": ["f_node"], "f_timed": ["f_edge"], "f_bent": ["f_timed"], "f_weight": ["f_bent"], "f_rtime": ["f_route"], "f_walk": ["f_route"], "f_half": ["f_edge"], "f_approach": ["f_frame", "f_light"],
-    "f_near": ["f_frame", "f_edge"], "f_component": ["f_half"], "f_roads": ["f_edge"], "f_roadcomp": ["f_roads"], "f_land": ["f_edge"], "f_landcomp": ["f_land"], "f_ways": ["f_landcomp"],
+    "f_near": ["f_frame", "f_edge"], "f_strayed": ["f_frame"], "f_strayednear": ["f_strayed", "f_edge"], "f_component": ["f_half"], "f_roads": ["f_edge"], "f_roadcomp": ["f_roads"], "f_land": ["f_edge"], "f_landcomp": ["f_land"], "f_ways": ["f_landcomp"],
 }
 
 
@@ -144,7 +146,7 @@ _SQL = {
       SELECT *, CASE WHEN d0 < -pi() THEN d0 + 2 * pi() ELSE d0 END AS dd FROM (
       SELECT *, ((seq % 7 * 0.5e0 - 1.5e0) - atan2(z2 - z1, x2 - x1) + pi()) % (2 * pi()) - pi() AS d0 FROM f_near WHERE kind IN (0, 1) AND box2 <= 300 * 300 AND lat <= 60)))
       QUALIFY rank <= 8""",
-    "a10_match_confidence": "SELECT CASE WHEN lat < 8 THEN 'HIGH' WHEN lat < 20 THEN 'MEDIUM' WHEN lat IS NOT NULL THEN 'LOW' ELSE 'UNMATCHED' END AS confidence, count(*) AS n, round(avg(lat), 6) AS mean_lateral FROM f_frame LEFT JOIN " + _NEAREST.format(scan=_scan(60), r=60) + " USING (seq) GROUP BY 1",
+    "a10_match_confidence": "SELECT CASE WHEN lat < 8 THEN 'HIGH' WHEN lat < 20 THEN 'MEDIUM' WHEN lat IS NOT NULL THEN 'LOW' ELSE 'UNMATCHED' END AS confidence, count(*) AS n, round(avg(lat), 6) AS mean_lateral FROM f_frame LEFT JOIN " + _NEAREST.format(scan=_scan(60), r=60).replace("f_near", "f_strayednear") + " USING (seq) GROUP BY 1",
     "a11_most_matched_edges": "SELECT edge_id, count(*) AS frames FROM " + _NEAREST.format(scan=_scan(60), r=60) + " GROUP BY 1 ORDER BY frames DESC, edge_id LIMIT 5",
     "j04_country_of_node": """SELECT n.uid, coalesce(c.country, 'germany') AS country FROM f_node n LEFT JOIN (
       SELECT uid, country FROM f_node, f_city WHERE abs(x - cx) <= 800 AND abs(z - cz) <= 800 QUALIFY row_number() OVER (PARTITION BY uid ORDER BY abs(x - cx) + abs(z - cz), city_id) = 1) c ON c.uid = n.uid""",
@@ -314,6 +316,21 @@ def _pattern_sql() -> str:
     return f"SELECT * FROM ({rows}) WHERE hits > 0"
 
 
+_SQL["x03_map_match"] = """SELECT * FROM (WITH RECURSIVE seen AS (SELECT vehicle, seq, x, z, row_number() OVER (PARTITION BY vehicle ORDER BY sim_us, seq) AS n FROM f_strayed),
+near AS (SELECT s.vehicle, s.n, edge_id, src, dst, lat, sqrt(box2) AS box,
+    0.5e0 * least(greatest(1 - lat / 20, 0), 1) + 0.3e0 * least(greatest(1 - abs(least(d, pi() - d)) / (pi() / 2), 0), 1) AS alone FROM (
+  SELECT *, CASE WHEN d0 < -pi() THEN d0 + 2 * pi() ELSE d0 END AS d FROM (
+  SELECT *, ((seq % 7 * 0.5e0 - 1.5e0) - atan2(z2 - z1, x2 - x1) + pi()) % (2 * pi()) - pi() AS d0 FROM f_strayednear WHERE kind IN (0, 1) AND box2 <= 60 * 60 AND lat <= 60)) p JOIN seen s USING (seq)),
+m(vehicle, n, seq, src, dst, lost, best) AS (
+  SELECT DISTINCT vehicle, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, 0::BIGINT, NULL::STRUCT(r DOUBLE, e BIGINT, s DOUBLE, l DOUBLE, a BIGINT, b BIGINT) FROM seen
+  UNION ALL
+  SELECT vehicle, n, seq, CASE WHEN best IS NOT NULL THEN best.a WHEN lost < 30 THEN src END, CASE WHEN best IS NOT NULL THEN best.b WHEN lost < 30 THEN dst END, CASE WHEN best IS NULL THEN lost + 1 ELSE 0 END, best FROM (
+    SELECT vehicle, n, seq, src, dst, lost, min(CASE WHEN e IS NOT NULL THEN {'r': -round(score, 9), 'e': e, 's': score, 'l': lat, 'a': a, 'b': b} END) AS best FROM (
+      SELECT m.vehicle, s.n, s.seq, m.src, m.dst, m.lost, c.edge_id AS e, c.lat, c.src AS a, c.dst AS b,
+        c.alone + 0.2e0 * CASE WHEN m.src IS NULL THEN 0.5e0 WHEN m.dst = c.src THEN 1 WHEN m.dst = c.dst OR m.src = c.src THEN 0.3e0 ELSE 0 END AS score
+      FROM m JOIN seen s ON s.vehicle = m.vehicle AND s.n = m.n + 1 LEFT JOIN near c ON c.vehicle = s.vehicle AND c.n = s.n AND c.box <= CASE WHEN m.src IS NULL THEN 300 ELSE 60 END)
+    GROUP BY 1, 2, 3, 4, 5, 6))
+SELECT vehicle, seq, best.e AS edge_id, round(best.l, 6) AS "lateral", round(best.s, 6) AS score, CASE WHEN best IS NULL THEN 'UNMATCHED' WHEN best.l < 8 THEN 'HIGH' WHEN best.l < 20 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM m WHERE n > 0)"""
 _SQL["x02_event_fold"] = _SQL["w11_trace_events"]
 
 def _verdict_sql() -> str:

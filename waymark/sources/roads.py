@@ -150,6 +150,13 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def strayed_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames beside the roads by up to 45 m each way; every fifth vehicle is far off the map for 35 frames."""
+    aside = F.col("seq") % 10 * 5.0
+    away = F.when((F.col("vehicle") % 5 == 0) & F.col("sim_us").between(300_000, 2_000_000), 100_000.0).otherwise(0.0)
+    return frame(spark, sf_dir).withColumns({"x": F.col("x") + aside + away, "z": F.col("z") + aside})
+
+
 def signal_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     kinds = F.create_map(*[F.lit(x) for pair in (("click", "R2G"), ("view", "G2R"), ("signup", "OTHER"), ("error", "RST"), ("purchase", "PROF")) for x in pair])
