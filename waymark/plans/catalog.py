@@ -13,10 +13,10 @@ from ..operators.graph import checkpoint
 from ..operators import events, graph, junctions, places, quality, routes, spatial, stats
 from ..sources import roads
 from ..streaming import vehicle
-from . import building, completeness, guidance, network, oracle, routing
+from . import building, completeness, export, guidance, network, oracle, routing
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = network.QUERIES | routing.QUERIES | guidance.QUERIES | building.QUERIES | completeness.QUERIES
-ORACLES: dict[str, str] = oracle.ORACLES | {name: oracle.with_tables(sql) for name, sql in (network.SQL | routing.SQL | guidance.SQL | building.SQL | completeness.SQL).items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = network.QUERIES | routing.QUERIES | guidance.QUERIES | building.QUERIES | completeness.QUERIES | export.QUERIES
+ORACLES: dict[str, str] = oracle.ORACLES | {name: oracle.with_tables(sql) for name, sql in (network.SQL | routing.SQL | guidance.SQL | building.SQL | completeness.SQL).items()} | export.SQL
 
 C = F.col
 

@@ -91,8 +91,8 @@ _DEPENDS = {
 }
 
 
-def with_tables(sql: str) -> str:
-    """Puts the derived tables that a query names before it."""
+def with_tables(sql: str, inline: tuple[str, ...] = ()) -> str:
+    """Puts the derived tables that a query names before it; those of `inline` are computed at each use."""
     wanted: list[str] = []
 
     def add(name: str) -> None:
@@ -104,7 +104,7 @@ def with_tables(sql: str) -> str:
     for name in FIXTURES:
         if name in sql:
             add(name)
-    return "WITH " + ",\n".join(f"{n} AS ({FIXTURES[n]})" for n in wanted) + "\n" + sql if wanted else sql
+    return "WITH " + ",\n".join(f"{n} AS {'NOT MATERIALIZED ' * (n in inline)}({FIXTURES[n]})" for n in wanted) + "\n" + sql if wanted else sql
 
 
 def _scan(radius: float) -> str:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import export
+
 FRAME_SCHEMA = "t double, sequence long, running boolean, paused boolean, simulation_time long, game_time_minutes long, position array<double>, heading array<double>, speed double, speed_limit double, job struct<destination_city:string,destination_company:string,income:long>"
 
 
@@ -60,9 +62,25 @@ def read_phase_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, mode="DROPMALFORMED")
 
 
-def open_dataset(spark: SparkSession, folder: str, required: tuple[str, ...] = ("node", "edge")) -> dict[str, DataFrame]:
-    """Tables of a dataset whose manifest.json names format 2 and each table's rows; fails if a count differs."""
-    manifest = spark.read.json(f"{folder}/manifest.json", multiLine=True, schema="format int, tables map<string,long>").first()
+def read_clock_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Clock samples as CSV with a header; the speed may be lacking. Shorter rows and unreadable ones are left out."""
+    schema = "wall_ms long, sim_us long, paused_sim_us long, render_us long, game_min long, scale double, speed_kph double"
+    rows = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE")
+    return rows.dropna(subset=["wall_ms", "sim_us", "paused_sim_us", "game_min", "scale"])
+
+
+def read_frame_times(spark: SparkSession, path: str, column: int = 10, longest_ms: float = 500.0) -> DataFrame:
+    """(frame_ms) from a column, counted from one, of CSV files of any width; headers and times out of range are left out."""
+    value = F.get(F.split("value", ","), F.lit(column - 1)).try_cast("double").alias("frame_ms")
+    return spark.read.text(path).select(value).where((F.col("frame_ms") > 0) & (F.col("frame_ms") < longest_ms))
+
+
+def open_dataset(spark: SparkSession, folder: str, required: tuple[str, ...] = ("node", "edge"), prints: bool = False) -> dict[str, DataFrame]:
+    """Tables of a dataset whose manifest.json names format 2 and each table's rows; fails if a count differs.
+
+    With `prints`, every table is read whole and held against its fingerprint too.
+    """
+    manifest = spark.read.json(f"{folder}/manifest.json", multiLine=True, schema="format int, tables map<string,long>, prints map<string,string>").first()
     if manifest is None or manifest["format"] != 2:
         raise ValueError(f"{folder} is no dataset of format 2")
     found = {}
@@ -70,15 +88,25 @@ def open_dataset(spark: SparkSession, folder: str, required: tuple[str, ...] = (
         found[name] = spark.read.parquet(f"{folder}/{name}")
         if found[name].count() != rows:
             raise ValueError(f"{name} has another number of rows than its manifest")
+        if prints and export.fingerprint(found[name]).first()["print"] != (manifest["prints"] or {}).get(name):
+            raise ValueError(f"{name} has other rows than its manifest")
     if missing := set(required) - set(found):
         raise ValueError(f"{folder} lacks {sorted(missing)}")
     return found
 
 
 def write_dataset(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> None:
-    """Writes tables as Parquet and a manifest with their counts last, so that a manifest tells a whole dataset."""
+    """Writes tables as Parquet and a manifest with their counts and fingerprints last, so that a manifest tells a whole dataset."""
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{name}")
     counts = {name: spark.read.parquet(f"{folder}/{name}").count() for name in tables}
-    one = spark.createDataFrame([(2, counts)], "format int, tables map<string,long>")
+    prints = {name: export.fingerprint(spark.read.parquet(f"{folder}/{name}")).first()["print"] for name in tables}
+    one = spark.createDataFrame([(2, counts, prints)], "format int, tables map<string,long>, prints map<string,string>")
     one.coalesce(1).write.json(f"{folder}/manifest.json")
+
+
+def write_document(sections: DataFrame, path: str) -> None:
+    """Sections (section, document) as one JSON object, a key for each; sections are few."""
+    one = sections.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "document")))).alias("m"))
+    body = F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"])), ",")
+    one.select(F.concat(F.lit("{"), body, F.lit("}")).alias("value")).coalesce(1).write.text(path)
