@@ -1,7 +1,12 @@
 """Repeated passages against brute force."""
 
 import hashlib
+import tracemalloc
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from waymark.llm import substring
 from waymark.llm.substring import drop_repeats, remove_repeats
 
 
@@ -88,3 +93,24 @@ def test_query_digest(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     want = {i: hashlib.sha256(b" ".join(kept)).hexdigest() for i, (_, _, kept) in plain([(r["doc_id"], r["text"]) for r in docs.collect()]).items()}
     assert {r["doc_id"]: r["kept_sha256"] for r in op9_substring(spark, str(tmp_path)).collect()} == want
+
+
+def test_bitmap_takes_little_of_the_driver(spark, monkeypatch):
+    """All marks are set, no others, also in a full bitmap; the driver holds a few times its bytes, not a row for each of its words."""
+    keys = spark.range(400_000).select(F.xxhash64("id").alias("key")).cache()
+    plain_keys = np.array([r["key"] for r in keys.collect()], dtype=np.int64).view(np.uint64)
+    for most in (1 << 28, 1 << 17):
+        monkeypatch.setattr(substring, "_BITMAP_BITS", most)
+        tracemalloc.start()
+        found = substring._bitmap(keys)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        bits = 64 * len(found)
+        assert bits == min(most, 1 << 23)
+        want = np.zeros(bits, dtype=bool)
+        for mark in substring._marks(plain_keys, bits):
+            want[mark.astype(np.int64)] = True
+        assert np.array_equal(np.unpackbits(found.view(np.uint8), bitorder="little").astype(bool), want)
+        assert peak < 4 * found.nbytes + (2 << 20)
+    assert not substring._bitmap(keys.limit(0)).any()
+    keys.unpersist()

@@ -29,6 +29,7 @@ from .common import as_long, chunks, fresh, id_key, join_heavy, joined, key_id,
 #: Bits of the bitmap of repeated minimisers: 16 to each, up to 32 MB, however large the corpus. A full bitmap only drops
 #: less: a run is a row of six numbers for about seven words, so the shuffle stays below the size of the texts.
 _BITS_PER_KEY, _BITMAP_BITS = 16, 1 << 28
+_SLICES = 256  # the bitmap comes to the driver in so many, a power of two
 _FIRST, _SECOND = 11, 29  # seeds of the two independent hash families
 _BASE = 0xD1B54A32D192ED03  # of the windows' second hash
 
@@ -169,15 +170,29 @@ def _of_docs(places: DataFrame, unique: bool) -> DataFrame:
     return (places if unique else places.distinct()).groupBy("doc", "part").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
 
+def _slice_of(words: int):
+    """One slice of the bitmap, of `words` words, from its (word, bits)."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        out = np.zeros(words, dtype="<u8")
+        out[table["word"].to_numpy() & (words - 1)] = table["bits"].to_numpy().view(np.uint64)
+        return pa.table({"slice": pa.array([table["slice"][0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    return pack
+
+
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """The bitmap of keys: bits are joined in Spark, so at most _BITMAP_BITS / 64 rows come to the driver."""
+    """The bitmap of keys: bits are joined and packed in Spark, so the driver gets _SLICES rows and no more bytes than the bitmap has."""
     size = min(_BITMAP_BITS, 1 << max(16, (_BITS_PER_KEY * keys.count()).bit_length()))
+    words = size // 64 // _SLICES
     marks = [F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(size - 1)) for shift in (0, 32)]
     bits = keys.select(F.explode(F.array(*marks)).alias("m")).select(F.shiftright("m", 6).alias("word"), F.expr("shiftleft(1L, cast(m & 63 as int))").alias("bit"))
-    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(size // 64, dtype=np.uint64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
+    joined_bits = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).withColumn("slice", F.expr(f"cast(word div {words} as int)"))
+    found = joined_bits.groupBy("slice").applyInArrow(_slice_of(words), "slice int, bits binary").toArrow()
+    out = np.zeros((_SLICES, words), dtype=np.uint64)
+    for k, part in zip(found["slice"], found["bits"]):
+        out[k.as_py()] = np.frombuffer(part.as_buffer(), dtype="<u8")
+    return out.reshape(-1)
 
 
 def _spans(rows: DataFrame, unique: bool, width: int, anchor: int) -> DataFrame:
