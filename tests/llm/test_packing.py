@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from waymark.llm.packing import pack_documents, plan_bins
+from waymark.llm import packing
+from waymark.llm.packing import WordIds, pack_documents, plan_bins
 from waymark.llm.queries import tokenizer_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
@@ -94,3 +95,32 @@ def test_special_tokens_and_marks(spark):
     texts = ["it's I'M don't. word.'s A<|endoftext|>b <|ENDOFTEXT|>", "İstanbul ΣΑΣ ς ß ﬁ 12ab3 x.y,,z!!'s ''", "日本語 😀 naïve. café, ÉTÉ!! ²³ ª", "...", "a|b **c** %%% &&&d"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     check(pack_documents(docs, PATH, with_ids=True).collect(), docs.collect(), 2048)
+
+
+def letters(rng, n):
+    """Words of letters, of syllables and at random, some with few letters, some longer than are merged side by side."""
+    syllables = ["the", "ing", "tion", "er", "schaft", "über", "ión", "ñ", "ß", "aa", "日本", "ль", "e"]
+    made = ["a", "é", "a" * 31, "a" * 32, "ab" * 16, "a" * 33, "é" * 16, "é" * 17, "the" * 40]
+    while len(made) < n:
+        pick = syllables if rng.random() < 0.7 else "abcdefghijklmnopqrstuvwxyz" if rng.random() < 0.7 else "ab"
+        made.append("".join(rng.choice(pick) for _ in range(rng.randint(1, 12))))
+    return made
+
+
+def test_new_words_of_letters_are_merged_side_by_side(monkeypatch):
+    """Ids are the tokenizer's, and no call of it is made for each word; also when words are forgotten between batches."""
+    words = letters(random.Random(3), 30_000)
+    tokenizer = Tokenizer.from_file(PATH)
+    want = {w: tokenizer.encode(w, add_special_tokens=False).ids for w in set(words)}
+    alone = []
+    encode = WordIds._encode
+    monkeypatch.setattr(WordIds, "_encode", lambda self, unit: alone.append(unit) or encode(self, unit))
+    for cached in (10**6, 5000):
+        monkeypatch.setattr(packing, "_CACHED_WORDS", cached)
+        ids = WordIds(PATH)
+        alone.clear()
+        for lo in range(0, len(words), 6000):
+            part = words[lo : lo + 6000]
+            made = ids.batch([w.encode() for w in part[:3000]] + [b"", " ".join(part[3000:]).encode()])
+            assert [x.tolist() for x in made] == [want[w] for w in part[:3000]] + [[], [i for w in part[3000:] for i in want[w]]]
+        assert {len(u) > 32 for u in alone} == {True}

@@ -10,6 +10,7 @@ hashed buckets, so that no size, however common, is gathered in one task.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 from .common import chunks, id_key, joined, key_id, stage, text_bytes, word_hashes, word_spans
 
 #: A worker forgets its words when it holds this many; they are only a cache.
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 600_000
 #: Ranks are counted over buckets of about this many items.
 _BUCKET_ITEMS = 20_000
 
@@ -106,12 +107,93 @@ _SMALL = (_BYTES >= 97) & (_BYTES <= 122)
 _MARK = np.isin(_BYTES, list(b".,!?;:*&%$#|"))
 
 
+#: Longer words are merged one at a time; so many words are merged side by side.
+_LONGEST, _SIDE_BY_SIDE = 32, 1 << 14
+_NO_MERGE = np.int32(2**31 - 1)
+
+
+class Merges:
+    """The merges of a byte-level vocabulary with word ends, for many words side by side.
+
+    In each round every word takes its next merge: the one of lowest rank, the leftmost of equal ones.
+    """
+
+    def __init__(self, tokenizer):
+        model = json.loads(tokenizer.to_str())["model"]
+        vocabulary, end, letters = model["vocab"], model.get("end_of_word_suffix") or "", _byte_letters()
+        inner, last = ([vocabulary.get(x + mark, -1) for x in letters] for mark in ("", end))
+        self.fits = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "ignore_merges")) and min(inner + last) >= 0
+        if not self.fits:
+            return
+        self.none = max(vocabulary.values()) + 1  # the id beyond a word's ends
+        made = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.made = np.array([vocabulary[a + b] for a, b in made], dtype=np.int32)
+        pairs = self._pair(np.array([vocabulary[a] for a, _ in made], dtype=np.int64), np.array([vocabulary[b] for _, b in made], dtype=np.int64))
+        order = np.argsort(pairs, kind="stable")
+        self.pairs, self.ranks = np.append(pairs[order], 2**62), np.append(order, 0).astype(np.int32)
+        self.first = np.array(inner + last, dtype=np.int32)  # of a byte, and of one that ends its word
+        codes = np.repeat(self.first, len(self.first)), np.tile(self.first, len(self.first))
+        self.start = self._keys(*codes, np.int32(0)).reshape(len(self.first), -1)
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a.astype(np.int64) * (self.none + 1) + b
+
+    def _keys(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank and place of the merge of a and b, as one number; _NO_MERGE if there is none."""
+        pair = self._pair(a, b)
+        i = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[i] == pair, self.ranks[i] * _LONGEST + at, _NO_MERGE).astype(np.int32)
+
+    def apply(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many each word has, of words of at most _LONGEST bytes that stand one after another in `data`."""
+        longest, n = int(sizes.max()), len(sizes)
+        begins = np.cumsum(sizes) - sizes
+        word, place = np.repeat(np.arange(n), sizes), np.arange(len(data)) - np.repeat(begins, sizes)
+        codes = data.astype(np.int64)
+        codes[begins + sizes - 1] += 256
+        # a column for each word; the last row is beyond its ends
+        ids = np.full((longest + 1, n), self.none, dtype=np.int32)
+        ids[place, word] = self.first[codes]
+        alive = ids != self.none
+        keys = np.full((longest + 1, n), _NO_MERGE, dtype=np.int32)
+        both = np.flatnonzero(word[1:] == word[:-1])
+        start = self.start[codes[both], codes[both + 1]]
+        keys[place[both], word[both]] = np.where(start == _NO_MERGE, start, start + place[both])
+        after, before = (np.repeat(np.arange(longest + 1, dtype=np.int32)[:, None] + step, n, axis=1) for step in (1, -1))
+        after[sizes - 1, np.arange(n)] = longest
+        while True:
+            best = keys.min(axis=0)
+            at = np.flatnonzero(best != _NO_MERGE)
+            if not len(at):
+                return ids.T[alive.T], alive.sum(axis=0)
+            best = best[at]
+            left, made = best % _LONGEST, self.made[best // _LONGEST]
+            right, prior = after[left, at], before[left, at]
+            then = after[right, at]
+            ids[left, at], alive[right, at], keys[right, at] = made, False, _NO_MERGE
+            after[left, at], before[then, at] = then, left
+            keys[left, at] = self._keys(made, ids[then, at], left)
+            keys[prior, at] = self._keys(ids[prior, at], made, prior)
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of `data` one after another, and where each begins."""
+    begins = np.cumsum(lengths) - lengths
+    return data[np.repeat(starts - begins, lengths) + np.arange(int(lengths.sum()))], begins
+
+
+def _letters_alone(text: str) -> bool:
+    """Whether a text, lower-cased in A-Z, is letters alone that the tokenizer's normalizer leaves as they are."""
+    return text.isalpha() and (text.isascii() or text == text.lower() and unicodedata.is_normalized("NFC", text))
+
+
 class WordIds:
     """Ids of texts under a lower-casing, space-dropping tokenizer with word-end merges.
 
     Such a tokenizer never joins across white space, nor a letter with the marks that end a word, so these units are
-    hashed, encoded once and remembered. A unit of small letters alone is one unit of the vocabulary's merges; any
-    other goes through the whole tokenizer, and so does a text that may hold special tokens.
+    hashed, encoded once and remembered. A unit of small letters alone is one unit of the vocabulary's merges, which
+    all such units take side by side; any other goes through the whole tokenizer, and so does a text that may hold
+    special tokens.
     """
 
     def __init__(self, path: str):
@@ -119,26 +201,41 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Merges(self.tokenizer)
         self.letters = _byte_letters()
         self.forget()
 
     def forget(self) -> None:
-        self.rows: dict[int, int] = {}
+        self.hashes, self.rows = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)  # in the order of hashes
         self.ids, self.begins, self.sizes = np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
     def _encode(self, unit: bytes) -> list[int]:
         text = unit.decode("utf-8", "replace")
-        if text.isalpha() and (text.isascii() or text == text.lower() and unicodedata.is_normalized("NFC", text)):
+        if _letters_alone(text):
             return [t.id for t in self.tokenizer.model.tokenize(text if text.isascii() else "".join(self.letters[b] for b in unit))]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, units: list[bytes], hashes: list[int]) -> None:
-        made = [self._encode(u) for u in units]
-        sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
-        self.rows.update(zip(hashes, range(len(self.sizes), len(self.sizes) + len(made))))
+    def _learn(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Remembers the ids of units of `low`; returns the row of each."""
+        lengths = ends - starts
+        raw = low.tobytes()
+        data, begins = _gathered(low, starts, lengths)
+        fits = np.add.reduceat(_SMALL[data], begins, dtype=np.int64) == lengths
+        for k in np.flatnonzero(~fits).tolist():
+            fits[k] = _letters_alone(raw[starts[k] : ends[k]].decode("utf-8", "replace"))
+        fits &= self.merges.fits & (lengths <= _LONGEST)
+        short, rest = np.flatnonzero(fits), np.flatnonzero(~fits)
+        short = short[np.argsort(lengths[short], kind="stable")]
+        groups = [short[lo : lo + _SIDE_BY_SIDE] for lo in range(0, len(short), _SIDE_BY_SIDE)]
+        made = [self.merges.apply(_gathered(low, starts[g], lengths[g])[0], lengths[g]) for g in groups]
+        others = [self._encode(raw[starts[k] : ends[k]]) for k in rest.tolist()]
+        sizes = np.concatenate([n for _, n in made] + [np.fromiter(map(len, others), dtype=np.int64, count=len(others))])
+        rows = np.empty(len(sizes), dtype=np.int64)
+        rows[np.concatenate((short, rest))] = np.arange(len(self.sizes), len(self.sizes) + len(sizes))
         self.begins = np.concatenate((self.begins, len(self.ids) + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
-        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(made), dtype="<u4", count=int(sizes.sum()))))
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in made), np.fromiter(chain.from_iterable(others), dtype="<u4")], dtype="<u4", casting="unsafe")
+        return rows
 
     def batch(self, texts: list[bytes]) -> list[np.ndarray]:
         """Little-endian 32-bit ids of each text."""
@@ -156,14 +253,19 @@ class WordIds:
         first = np.cumsum(counts) - counts
         unit_starts, unit_ends = np.repeat(starts, counts), np.repeat(ends, counts)
         unit_ends[first[two]] = unit_starts[first[two] + 1] = cut[two]
-        hashes, where, unit = np.unique(word_hashes(low, unit_starts, unit_ends, 13), return_index=True, return_inverse=True)
-        known = hashes.tolist()
-        new = [k for k, h in enumerate(known) if h not in self.rows]
-        if new:
-            raw = low.tobytes()
-            at = where[new]
-            self._learn([raw[a:b] for a, b in zip(unit_starts[at].tolist(), unit_ends[at].tolist())], [known[k] for k in new])
-        row = np.fromiter(map(self.rows.__getitem__, known), dtype=np.int64, count=len(known))[unit]
+        hashes, unit = np.unique(word_hashes(low, unit_starts, unit_ends, 13), return_inverse=True)
+        at = np.searchsorted(self.hashes, hashes)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == hashes[known]
+        rows = np.empty(len(hashes), dtype=np.int64)
+        rows[known] = self.rows[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            where = np.empty(len(hashes), dtype=np.int64)
+            where[unit] = np.arange(len(unit))
+            rows[new] = self._learn(low, unit_starts[where[new]], unit_ends[where[new]])
+            self.hashes, self.rows = np.insert(self.hashes, at[new], hashes[new]), np.insert(self.rows, at[new], rows[new])
+        row = rows[unit]
         sizes = self.sizes[row]
         total = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.ids[np.repeat(self.begins[row] - total[:-1], sizes) + np.arange(total[-1])]
