@@ -19,11 +19,13 @@ def lng_lat(x: Column, z: Column) -> tuple[Column, Column]:
 
 
 def tile_xy(x: Column, z: Column, zoom: int) -> tuple[Column, Column]:
+    """The tile of a place, places off the map in the tiles at its edges; where latitudes have no logarithm, in the last row."""
     lng, lat = lng_lat(x, z)
     n = 1 << zoom
     rad = F.radians(lat)
     tx = F.floor((lng + 180) / 360 * n)
-    ty = F.floor((1 - F.ln(F.tan(rad) + 1 / F.cos(rad)) / math.pi) / 2 * n)
+    up = F.tan(rad) + 1 / F.cos(rad)
+    ty = F.when(up > 0, F.floor((1 - F.ln(up) / math.pi) / 2 * n)).when(up <= 0, F.lit(n - 1))
     inside = lambda t: F.least(F.greatest(t, F.lit(0)), F.lit(n - 1)).cast("long")
     return inside(tx), inside(ty)
 
