@@ -24,7 +24,7 @@ def shifted(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["f17_tile_id", "f37_calendar"])
+@pytest.mark.parametrize("name", ["f17_tile_id", "f37_calendar", "p11_sector_names"])
 def test_same_rows_as_sql(spark, shifted, name):
     folder, con = shifted
     assert differences(catalog.QUERIES[name](spark, folder), con, catalog.ORACLES[name]) == ""

@@ -95,7 +95,8 @@ def p10_active_frames(spark, d):
 def p11_sector_names(spark, d):
     """Names of sectors to their numbers; other names are dropped."""
     sign = F.when(C("uid") % 2 == 0, "+").otherwise("-")
-    name = F.when(C("uid") % 7 == 0, F.concat(F.lit("other"), C("uid"))).otherwise(F.concat(F.lit("sec"), sign, F.lpad(C("uid") % 50, 4, "0"), F.lit("+"), F.lpad(F.floor(C("uid") / 50), 4, "0")))
+    four = lambda n: F.lpad(n, F.greatest(F.length(n.cast("string")), F.lit(4)), F.lit("0"))
+    name = F.when(C("uid") % 7 == 0, F.concat(F.lit("other"), C("uid"))).otherwise(F.concat(F.lit("sec"), sign, four(C("uid") % 50), F.lit("+"), four(F.floor(C("uid") / 50))))
     pattern = r"^sec([+-]\d+)([+-]\d+)$"
     named = roads.node(spark, d).select("uid", name.alias("name")).where(C("name").rlike(pattern))
     return named.select("uid", *[F.regexp_extract("name", pattern, k).cast("long").alias(c) for k, c in ((1, "sx"), (2, "sz"))])
