@@ -1,5 +1,6 @@
 """Inheritance of profiles on known cases."""
 
+from waymark.operators import profiles
 from waymark.operators.profiles import inherited
 
 
@@ -13,3 +14,21 @@ def test_elements_override_their_parents(spark):
     assert {r["name"]: r["issue"] for r in issues.collect()} == {"ring": "Cycle", "other": "Cycle", "self": "Cycle", "lost": "Missing", "below": "Missing"}
     values, issues = inherited(spark.createDataFrame([], "name string, parent string, values array<long>"))
     assert values.count() == issues.count() == 0
+
+
+def test_rings_take_no_more_rows_than_profiles(spark, monkeypatch):
+    rows = [(k, None if k % 50 == 0 else k - 1, [k]) for k in range(200)] + [(k, k - 2 if k % 3 == 2 else k + 1, [k, k]) for k in range(300, 600)]
+    rows += [(1000 + k, 1000 + k - 1 if k else 1099, [1]) for k in range(100)]
+    written = []
+    real = profiles.checkpoint
+
+    def counted(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(profiles, "checkpoint", counted)
+    values, issues = inherited(spark.createDataFrame(rows, "name long, parent long, values array<long>"))
+    assert {(r["name"], r["at"], r["value"]) for r in values.collect()} == {(k, 0, k) for k in range(200)}
+    assert {(r["name"], r["issue"]) for r in issues.collect()} == {(k, "Cycle") for k in [*range(300, 600), *range(1000, 1100)]}
+    assert max(written) <= len(rows)

@@ -12,27 +12,29 @@ def inherited(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Values (name, at, value) with what each profile inherits, and profiles without an end to their line (name, issue).
 
     `profiles` are (name, parent or null, values: array). A chain that comes back to itself is a Cycle, one to a name
-    that is not there Missing; neither has values. Rounds double the distance that each profile looks up.
+    that is not there Missing; neither has values. Each round doubles the distance that a profile looks up, with what
+    lies on the way laid one over the other, so no profile has more rows than its values. A round in which no line
+    comes to its end is the last: what then remains goes round.
     """
-    own = profiles.select("name", F.posexplode("values").alias("at", "value"))
-    up = checkpoint(profiles.where("parent is not null").select("name", F.col("parent").alias("over"), F.lit(1).cast("long").alias("steps")))
-    known = profiles.select(F.col("name").alias("over"))
-    missing = up.join(known, "over", "left_anti").select("name")
-    ends = profiles.where("parent is null").select("name")
-    every, reach = up, up
-    limit = profiles.count()
+    lines = checkpoint(profiles.select("name", F.col("parent").alias("over")))
+    known = lines.select(F.col("name").alias("over"), F.lit(True).alias("known"))
+    lines = checkpoint(lines.join(known, "over", "left").select("name", F.when(F.col("known"), F.col("over")).alias("over"), F.when(F.col("over").isNull(), "well").when(F.col("known").isNull(), "Missing").alias("end")))
+    ended, going = lines.where("end is not null").select("name", "end"), lines.where("end is null").select("name", "over")
+    jumps = []
     while True:
-        # lines of 1 to n steps and those of n steps make lines of 1 to 2n
-        longer = reach.select("name", F.col("over").alias("mid"), F.col("steps").alias("s")).join(every.select(F.col("name").alias("mid"), "over", "steps"), "mid")
-        made = checkpoint(longer.select("name", "over", (F.col("s") + F.col("steps")).alias("steps")).where(F.col("steps") <= limit))
-        if made.isEmpty():
+        jumps.append(going)
+        up = going.select(F.col("name").alias("over"), F.col("over").alias("far")).join(ended.select(F.col("name").alias("over"), "end"), "over", "full")
+        step = checkpoint(going.join(up, "over").select("name", F.col("far").alias("over"), "end"))
+        found = step.where("end is not null").select("name", "end")
+        if found.isEmpty():
             break
-        every = checkpoint(every.unionByName(made))
-        far = every.groupBy("name").agg(F.max("steps").alias("steps"))
-        reach = checkpoint(every.join(far, ["name", "steps"]))
-    lost = every.join(missing.select(F.col("name").alias("over")), "over").select("name").union(missing).distinct().select("name", F.lit("Missing").alias("issue"))
-    well = every.join(ends.select(F.col("name").alias("over")), "over", "left_semi").select("name").union(ends).distinct()
-    turned = profiles.select("name").join(well, "name", "left_anti").join(lost, "name", "left_anti").select("name", F.lit("Cycle").alias("issue"))
-    line = every.unionByName(profiles.select("name", F.col("name").alias("over"), F.lit(0).cast("long").alias("steps"))).join(well, "name", "left_semi")
-    values = line.join(own.withColumnRenamed("name", "over"), "over").groupBy("name", "at").agg(F.min_by("value", "steps").alias("value"))
-    return values, lost.unionByName(turned)
+        ended, going = checkpoint(ended.unionByName(found)), step.where("end is null").select("name", "over")
+    well = checkpoint(ended.where("end = 'well'").select("name"))
+    values = profiles.join(well, "name", "left_semi").select("name", F.posexplode("values").alias("at", "value")).withColumn("own", F.lit(True))
+    for jump in jumps[:-1]:
+        above = values.select(F.col("name").alias("over"), "at", F.col("value").alias("high"))
+        held = jump.join(well, "name", "left_semi").join(above, "over").select("name", "at", "high")
+        both = values.join(held, ["name", "at"], "full").select("name", "at", F.when(F.col("own"), F.col("value")).otherwise(F.col("high")).alias("value"))
+        values = checkpoint(both.withColumn("own", F.lit(True)))
+    turned = profiles.select("name").join(ended, "name", "left_anti").select("name", F.lit("Cycle").alias("issue"))
+    return values.drop("own"), ended.where("end = 'Missing'").select("name", F.col("end").alias("issue")).unionByName(turned)
