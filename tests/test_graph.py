@@ -58,3 +58,17 @@ def test_names_that_hold_one_another(spark):
         mine = [i for i, n in enumerate(names) if n.lower() == low] or [i for i, n in enumerate(names) if n.lower() in low or low in n.lower()]
         assert found[a] == ("NotFound" if not mine else "Found" if len(mine) == 1 else "Ambiguous", mine[0] if len(mine) == 1 else None)
     assert places.resolve_names(spark.createDataFrame([("a",)], "request string"), p.limit(0)).select(F.col("status")).first()[0] == "NotFound"
+
+
+def test_bridges_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    links = [(k, k + 1) for k in range(150)] + [(40, 60), (200, 201), (201, 202), (202, 200), (202, 203)]
+    rounds, real = [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: rounds.append(1) or real(df))
+    found = {tuple(r) for r in graph.bridges(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == plain_bridges(links) and len(rounds) < 40
+
+
+def test_bridges_by_rounds_where_components_are_large(spark):
+    links = [(k, k + 1) for k in range(8)] + [(2, 5), (10, 11), (11, 12), (12, 10), (12, 13), (20, 21), (21, 20), (30, 31)]
+    found = [tuple(r) for r in graph.bridges(spark.createDataFrame(links, "a long, b long"), most=3).collect()]
+    assert len(found) == len(set(found)) and set(found) == plain_bridges(links)
