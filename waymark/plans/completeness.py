@@ -254,7 +254,7 @@ def v08_semantic_gate(spark, d):
     e = roads.turned_edge(spark, d)
     repeats = e.where("kind = 0").groupBy("src", "dst").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("repeats"))
     loops = e.where("kind = 1 and src = dst").agg(F.count("*").alias("loops"))
-    found = search.routes(e, search.between_nodes(od_pairs(spark, d), ("fastest",))).agg(F.count("*").alias("pairs"), F.count("cost").alias("reached"))
+    found = search.costs(e, search.between_nodes(od_pairs(spark, d), ("fastest",))).agg(F.count("*").alias("pairs"), F.count("cost").alias("reached"))
     every = repeats.join(F.broadcast(loops)).join(F.broadcast(found))
     return every.withColumn("passed", (C("repeats") == 0) & (C("loops") == 0) & (C("reached") >= 0.9 * C("pairs")))
 
